@@ -158,7 +158,7 @@ def f4(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("o"), F.col("l_orderkey").cast("string")).alias("row_key"),
         pos.alias("pos"),
         token.alias("token"),
-        ((_hexval(F.col("h"), 2) - 8) / F.lit(100.0)).alias("score"),
+        ((F.instr(F.lit(HEX), F.substring("h", 2, 1)) - 8) / F.lit(100.0)).alias("score"),
         F.when((c == 0) & (pos > 1) & (pos < n), F.lit(0)).otherwise(F.lit(1)).alias("mask"),
     )
 

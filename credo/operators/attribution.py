@@ -55,10 +55,12 @@ def merge_subwords(tokens: DataFrame, chunk: int = CHUNK) -> DataFrame:
     j = j.withColumn("_start", start)
     piece = F.when(F.col("pos") == F.col("_start"), F.col("token")).otherwise(F.substring("token", 3, 1 << 30))
     words = j.groupBy("row_key", F.col("_start").alias("word_pos")).agg(
-        F.sum("score").alias("score"),
-        F.sort_array(F.collect_list(F.struct("pos", piece.alias("p")))).alias("_pieces"))
+        F.sort_array(F.collect_list(F.struct("pos", piece.alias("p"), "score"))).alias("_pieces"))
+    # scores are added left to right in text order, as a running merge would
+    score = F.aggregate("_pieces", F.lit(0.0), lambda acc, x: acc + x["score"])
     return words.select("row_key", "word_pos",
-                        F.array_join(F.transform("_pieces", lambda x: x["p"]), "").alias("word"), "score")
+                        F.array_join(F.transform("_pieces", lambda x: x["p"]), "").alias("word"),
+                        score.alias("score"))
 
 
 def top_words(words: DataFrame, k: int = TOP_WORDS, word: str = "word", order: str = "word_pos") -> DataFrame:
@@ -86,12 +88,13 @@ def completeness_delta(contrib: DataFrame, target: DataFrame, score: str = "scor
     s = contrib.groupBy("row_key").agg(F.sum(score).alias("_sum"))
     j = target.join(s, "row_key", "left")
     delta = F.abs(F.coalesce(F.col("_sum"), F.lit(0.0)) - F.col(target_col))
-    j = j.withColumn("delta", delta)
-    quality = (F.when(F.col("delta") < DELTA_EXCELLENT, F.lit("EXCELLENT"))
-               .when(F.col("delta") < DELTA_ACCEPTABLE, F.lit("ACCEPTABLE"))
+    # bands are decided at 1e-9, so float summation order cannot flip them
+    j = j.withColumn("delta", delta).withColumn("_band", F.round("delta", 9))
+    quality = (F.when(F.col("_band") < DELTA_EXCELLENT, F.lit("EXCELLENT"))
+               .when(F.col("_band") < DELTA_ACCEPTABLE, F.lit("ACCEPTABLE"))
                .otherwise(F.lit("POOR")))
-    return j.select("row_key", F.round("delta", 6).alias("delta"), quality.alias("quality"),
-                    (F.col("delta") < DELTA_ACCEPTABLE).alias("use_primary"))
+    return j.select("row_key", (F.round("delta", 6) + F.lit(0.0)).alias("delta"), quality.alias("quality"),
+                    (F.col("_band") < DELTA_ACCEPTABLE).alias("use_primary"))
 
 
 def word_positions(df: DataFrame, text_col: str = "statement", clean: bool = True) -> DataFrame:

@@ -132,7 +132,8 @@ def explain_rows(scored: DataFrame, words: DataFrame | None, threshold, default_
     words:  (row_key, top_words) or None."""
     label = decide("prob", threshold)
     out = scored.withColumn("prediction", label).withColumn("confidence", confidence_pct("prob", F.col("prediction")))
-    out = out.withColumn("_ev", evidence_array(default_cred))
+    out = out.withColumn("_dc", default_cred if isinstance(default_cred, Column) else F.lit(float(default_cred)))
+    out = out.withColumn("_ev", evidence_array(F.col("_dc")))
     if words is not None:
         out = out.join(words, "row_key", "left")
     else:

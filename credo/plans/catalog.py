@@ -31,6 +31,7 @@ from credo.plans.chain import (Chain, chain_sql, features_cte, norm_lookup_cte,
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 THRESHOLD = K.THRESHOLD_FALLBACK
+TH_SQL = f"{THRESHOLD!r}E0"
 
 
 def q(name: str, sql: str | None = None):
@@ -70,7 +71,7 @@ def lookup_sizes(spark, sf):
 
 
 @q("write_predictions", fx.with_fixtures(
-    f"SELECT row_key, CASE WHEN prob >= {THRESHOLD!r} THEN 'TRUE' ELSE 'FALSE' END AS prediction, "
+    f"SELECT row_key, CASE WHEN prob >= {TH_SQL} THEN 'TRUE' ELSE 'FALSE' END AS prediction, "
     "round_even(prob, 4) AS probability FROM f3 ORDER BY row_key LIMIT 20", "f3"))
 def write_predictions(spark, sf):
     from credo.sources.sinks import predictions, preview
@@ -169,7 +170,7 @@ def sigmoid_prob(spark, sf):
 
 
 @q("decide", fx.with_fixtures(
-    f"SELECT row_key, CASE WHEN prob >= {THRESHOLD!r} THEN 'TRUE' ELSE 'FALSE' END AS prediction FROM f3", "f3"))
+    f"SELECT row_key, CASE WHEN prob >= {TH_SQL} THEN 'TRUE' ELSE 'FALSE' END AS prediction FROM f3", "f3"))
 def decide(spark, sf):
     return fx.f3(spark, sf).select("row_key", fsc.decide("prob", THRESHOLD).alias("prediction"))
 
@@ -177,7 +178,7 @@ def decide(spark, sf):
 @q("confidence_pct", fx.with_fixtures(
     f"SELECT row_key, prediction, CAST(round_even(CASE WHEN prediction = 'TRUE' THEN prob * 100.0E0 "
     f"ELSE (1.0E0 - prob) * 100.0E0 END, 0) AS INTEGER) AS confidence FROM (SELECT row_key, prob, "
-    f"CASE WHEN prob >= {THRESHOLD!r} THEN 'TRUE' ELSE 'FALSE' END AS prediction FROM f3) t", "f3"))
+    f"CASE WHEN prob >= {TH_SQL} THEN 'TRUE' ELSE 'FALSE' END AS prediction FROM f3) t", "f3"))
 def confidence_pct(spark, sf):
     d = fx.f3(spark, sf).withColumn("prediction", fsc.decide("prob", THRESHOLD))
     return d.select("row_key", "prediction", fsc.confidence_pct("prob", F.col("prediction")).alias("confidence"))
@@ -409,3 +410,452 @@ def unseen_report(spark, sf):
     c = Chain(spark, sf)
     f = fe.feature_flags(fe.attach_cs(c.splitted(), c.lookups()), c.lookups())
     return fe.unseen_report(f)
+
+
+# ------------------------------------------------------------- 2.9 metrics
+_PRED = f"SELECT row_key, y, prob, prob >= {TH_SQL} AS p FROM f3"
+_CC = ("SELECT CAST(sum(CASE WHEN y = 0 AND NOT p THEN 1 ELSE 0 END) AS BIGINT) AS tn, "
+       "CAST(sum(CASE WHEN y = 0 AND p THEN 1 ELSE 0 END) AS BIGINT) AS fp, "
+       "CAST(sum(CASE WHEN y = 1 AND NOT p THEN 1 ELSE 0 END) AS BIGINT) AS fn, "
+       "CAST(sum(CASE WHEN y = 1 AND p THEN 1 ELSE 0 END) AS BIGINT) AS tp")
+_M_SQL = {
+    "accuracy": "CAST(tp + tn AS DOUBLE) / CAST(tn + fp + fn + tp AS DOUBLE)",
+    "balanced_accuracy": ("(coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0) + coalesce(CAST(tn AS DOUBLE) / nullif(tn + fp, 0), 0)) "
+                          "/ nullif(CAST((tp + fn > 0) AS INTEGER) + CAST((tn + fp > 0) AS INTEGER), 0)"),
+    "mcc": ("CASE WHEN sqrt(CAST(tp + fp AS DOUBLE) * CAST(tp + fn AS DOUBLE) * CAST(tn + fp AS DOUBLE) * CAST(tn + fn AS DOUBLE)) = 0 "
+            "THEN 0.0E0 ELSE (CAST(tp AS DOUBLE) * CAST(tn AS DOUBLE) - CAST(fp AS DOUBLE) * CAST(fn AS DOUBLE)) / "
+            "sqrt(CAST(tp + fp AS DOUBLE) * CAST(tp + fn AS DOUBLE) * CAST(tn + fp AS DOUBLE) * CAST(tn + fn AS DOUBLE)) END"),
+    "f1": "coalesce(2.0E0 * tp / nullif(2 * tp + fp + fn, 0), 0.0E0)",
+    "precision": "coalesce(CAST(tp AS DOUBLE) / nullif(tp + fp, 0), 0.0E0)",
+    "recall": "coalesce(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 0.0E0)",
+}
+_AUC_CTES = [
+    ("ap", "SELECT prob, sum(y) AS pos, sum(1 - y) AS neg FROM f3 GROUP BY prob"),
+    ("ac", "SELECT pos, neg, coalesce(sum(neg) OVER (ORDER BY prob ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM ap"),
+    ("auc", "SELECT round(CAST(sum(pos * (2 * nb + neg)) AS DOUBLE) / (2.0E0 * CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE)), 6) AS auc_roc FROM ac"),
+]
+
+
+def _scored_f3(spark, sf):
+    return fx.f3(spark, sf)
+
+
+@q("confusion_matrix", fx.with_fixtures(
+    "SELECT * FROM (VALUES (0, 0), (0, 1), (1, 0), (1, 1)) v(actual, predicted) JOIN LATERAL "
+    "(SELECT CAST(count(*) AS BIGINT) AS n FROM pr WHERE y = v.actual AND CAST(p AS INTEGER) = v.predicted) c ON true",
+    "f3", extra=[("pr", _PRED)]))
+def confusion_matrix(spark, sf):
+    return me.confusion_matrix(_scored_f3(spark, sf), THRESHOLD)
+
+
+def _metric_q(name):
+    sql = fx.with_fixtures(f"SELECT round({_M_SQL[name]}, 6) AS {name} FROM cc", "f3",
+                           extra=[("pr", _PRED), ("cc", _CC + " FROM pr")])
+
+    def fn(spark, sf):
+        return getattr(me, name)(_scored_f3(spark, sf), THRESHOLD)
+    fn.__name__ = name
+    q(name, sql)(fn)
+
+
+for _m in ("accuracy", "balanced_accuracy", "mcc", "f1", "precision", "recall"):
+    _metric_q(_m)
+
+
+@q("auc_roc", fx.with_fixtures("SELECT auc_roc FROM auc", "f3", extra=_AUC_CTES))
+def auc_roc(spark, sf):
+    return me.auc_roc(_scored_f3(spark, sf))
+
+
+@q("metrics_report", fx.with_fixtures(
+    "SELECT tn, fp, fn, tp, " + ", ".join(f"round({v}, 6) AS {k}" for k, v in _M_SQL.items())
+    + ", (SELECT auc_roc FROM auc) AS auc_roc FROM cc", "f3",
+    extra=[("pr", _PRED), ("cc", _CC + " FROM pr")] + _AUC_CTES))
+def metrics_report(spark, sf):
+    return me.metrics_report(_scored_f3(spark, sf), THRESHOLD)
+
+
+def _by_group_sql():
+    ctes = [
+        ("g3", "SELECT f3.*, f2.speaker_affiliation FROM f3 JOIN f2 USING (row_key)"),
+        ("pr", f"SELECT speaker_affiliation, y, prob, prob >= {TH_SQL} AS p FROM g3"),
+        ("cc", _CC + ", speaker_affiliation FROM pr GROUP BY speaker_affiliation"),
+        ("ap", "SELECT speaker_affiliation, prob, sum(y) AS pos, sum(1 - y) AS neg FROM g3 GROUP BY speaker_affiliation, prob"),
+        ("ac", "SELECT speaker_affiliation, pos, neg, coalesce(sum(neg) OVER (PARTITION BY speaker_affiliation ORDER BY prob "
+               "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS nb FROM ap"),
+        ("auc", "SELECT speaker_affiliation, round(CAST(sum(pos * (2 * nb + neg)) AS DOUBLE) / nullif(2.0E0 * "
+                "CAST(sum(pos) AS DOUBLE) * CAST(sum(neg) AS DOUBLE), 0), 6) AS auc_roc FROM ac GROUP BY speaker_affiliation"),
+    ]
+    body = ("SELECT cc.speaker_affiliation, tn + fp + fn + tp AS n, "
+            + ", ".join(f"round({v}, 6) AS {k}" for k, v in _M_SQL.items())
+            + ", auc.auc_roc FROM cc LEFT JOIN auc USING (speaker_affiliation)")
+    return fx.with_fixtures(body, "f2", "f3", extra=ctes)
+
+
+@q("metrics_by_group", _by_group_sql())
+def metrics_by_group(spark, sf):
+    f2 = fx.f2(spark, sf)
+    g = fx.f3_from(f2).join(f2.select("row_key", "speaker_affiliation"), "row_key")
+    return me.metrics_by_group(g, "speaker_affiliation", THRESHOLD)
+
+
+def _sweep_sql():
+    vals = ", ".join(f"({i}, {t!r}E0)" for i, t in enumerate(K.THRESHOLDS))
+    body = ("SELECT i, threshold, tn, fp, fn, tp, round(ba, 6) AS balanced_accuracy, "
+            "row_number() OVER (ORDER BY ba DESC NULLS LAST, i) = 1 AS is_best FROM (SELECT *, "
+            f"{_M_SQL['balanced_accuracy']} AS ba FROM cnt) z")
+    cnt = ("SELECT t.i, t.threshold, "
+           "CAST(sum(CASE WHEN y = 0 AND prob < t.threshold THEN 1 ELSE 0 END) AS BIGINT) AS tn, "
+           "CAST(sum(CASE WHEN y = 0 AND prob >= t.threshold THEN 1 ELSE 0 END) AS BIGINT) AS fp, "
+           "CAST(sum(CASE WHEN y = 1 AND prob < t.threshold THEN 1 ELSE 0 END) AS BIGINT) AS fn, "
+           "CAST(sum(CASE WHEN y = 1 AND prob >= t.threshold THEN 1 ELSE 0 END) AS BIGINT) AS tp "
+           "FROM th t CROSS JOIN f3 GROUP BY t.i, t.threshold")
+    return fx.with_fixtures(body, "f3", extra=[("th", f"SELECT * FROM (VALUES {vals}) v(i, threshold)"), ("cnt", cnt)])
+
+
+@q("threshold_sweep", _sweep_sql())
+def threshold_sweep(spark, sf):
+    return sw.threshold_sweep(_scored_f3(spark, sf))
+
+
+_CANDIDATES = [(1, "prob"), (2, "spk_cred"), (3, "afl_cred"), (4, "ctx_cred")]
+
+
+def _select_best_sql():
+    u = " UNION ALL ".join(f"SELECT {i} AS candidate, y, {c} AS prob FROM f3" for i, c in _CANDIDATES)
+    cc = _CC.replace("AS tp", "AS tp, candidate") + " FROM (SELECT candidate, y, prob >= 0.5E0 AS p FROM cand) x GROUP BY candidate"
+    body = ("SELECT candidate, round(ba, 6) AS balanced_accuracy, row_number() OVER (ORDER BY ba DESC NULLS LAST, candidate) = 1 "
+            f"AS is_best FROM (SELECT candidate, {_M_SQL['balanced_accuracy']} AS ba FROM cc) z")
+    return fx.with_fixtures(body, "f3", extra=[("cand", u), ("cc", cc)])
+
+
+@q("select_best", _select_best_sql())
+def select_best(spark, sf):
+    f3 = _scored_f3(spark, sf)
+    cand = None
+    for i, c in _CANDIDATES:
+        part = f3.select(F.lit(i).alias("candidate"), "y", F.col(c).alias("prob"))
+        cand = part if cand is None else cand.unionByName(part)
+    return sw.select_best(cand, threshold=0.5)
+
+
+# ------------------------------------------- 2.10 attribution and explanation
+_MERGE_CTES = [
+    ("m", "SELECT row_key, pos, token, score FROM f4 WHERE mask = 1"),
+    ("g0", "SELECT *, row_number() OVER (PARTITION BY row_key ORDER BY pos) AS rn FROM m"),
+    ("g1", "SELECT *, sum(CASE WHEN token NOT LIKE '##%' OR rn = 1 THEN 1 ELSE 0 END) OVER "
+           "(PARTITION BY row_key ORDER BY pos ROWS UNBOUNDED PRECEDING) AS wid FROM g0"),
+    ("g2", "SELECT *, min(pos) OVER (PARTITION BY row_key, wid) AS wpos FROM g1"),
+    ("mw", "SELECT row_key, min(pos) AS word_pos, string_agg(CASE WHEN pos = wpos THEN token ELSE substr(token, 3) END, '' "
+           "ORDER BY pos) AS word, list_reduce(list(score ORDER BY pos), lambda a, b: a + b) AS score FROM g2 GROUP BY row_key, wid"),
+]
+_TOP_CTES = _MERGE_CTES + [
+    ("tw", "SELECT row_key, rank, word, score FROM (SELECT *, row_number() OVER (PARTITION BY row_key ORDER BY abs(score) DESC, "
+           "word_pos) AS rank FROM mw WHERE word NOT IN ('[CLS]', '[SEP]', '[PAD]')) t WHERE rank <= 3"),
+    ("wl", "SELECT row_key, string_agg(word, ', ' ORDER BY rank) AS top_words FROM tw GROUP BY row_key"),
+]
+
+
+def _merged_f4(spark, sf):
+    return at.merge_subwords(at.mask_filter(fx.f4(spark, sf)))
+
+
+def _top_f4(spark, sf):
+    return at.top_words(at.drop_special_tokens(_merged_f4(spark, sf), "word"))
+
+
+@q("merge_subwords", fx.with_fixtures("SELECT row_key, word_pos, word, round(score, 6) + 0.0E0 AS score FROM mw", "f4",
+                                      extra=_MERGE_CTES))
+def merge_subwords(spark, sf):
+    return round_doubles(_merged_f4(spark, sf))
+
+
+@q("top_words", fx.with_fixtures("SELECT row_key, rank, word, round(score, 6) + 0.0E0 AS score FROM tw", "f4", extra=_TOP_CTES))
+def top_words(spark, sf):
+    return round_doubles(_top_f4(spark, sf).select("row_key", F.col("rank").cast("bigint").alias("rank"), "word", "score"))
+
+
+@q("completeness_delta", fx.with_fixtures(
+    "SELECT t.row_key, round(d, 6) + 0.0E0 AS delta, CASE WHEN round(d, 9) < 0.05E0 THEN 'EXCELLENT' WHEN round(d, 9) < 0.2E0 "
+    "THEN 'ACCEPTABLE' ELSE 'POOR' END AS quality, round(d, 9) < 0.2E0 AS use_primary FROM (SELECT t.row_key, "
+    "abs(coalesce(s.s, 0.0E0) - t.target) AS d FROM (SELECT row_key, sum(score) AS target FROM f4 GROUP BY row_key) t "
+    "LEFT JOIN (SELECT row_key, sum(score) AS s FROM mw GROUP BY row_key) s USING (row_key)) t",
+    "f4", extra=_MERGE_CTES))
+def completeness_delta(spark, sf):
+    f4 = fx.f4(spark, sf)
+    target = f4.groupBy("row_key").agg(F.sum("score").alias("target"))
+    return at.completeness_delta(_merged_f4(spark, sf), target)
+
+
+def _tokens_sql(src: str, text: str = "statement") -> str:
+    arr = f"CASE WHEN {s_clean(text)} = '' THEN []::VARCHAR[] ELSE string_split(lower({s_clean(text)}), ' ') END"
+    return (f"SELECT row_key, CAST(generate_subscripts(arr, 1) AS BIGINT) AS pos, unnest(arr) AS word "
+            f"FROM (SELECT row_key, {arr} AS arr FROM {src}) z")
+
+
+def _text_attr_sql():
+    ctes = [
+        ("wp", _tokens_sql("d")),
+        ("trw", "SELECT w.word, CAST(sum(d.y) AS BIGINT) AS n_true, CAST(sum(1 - d.y) AS BIGINT) AS n_false FROM wp w "
+                "JOIN d USING (row_key) WHERE d.split = 'train' GROUP BY w.word"),
+        ("tot", "SELECT sum(n_true) AS tp, sum(n_false) AS tn, count(*) AS v FROM trw"),
+        ("coef", "SELECT word, ln((n_true + 1.0E0) / ((SELECT tp FROM tot) + 1.0E0 * (SELECT v FROM tot))) - "
+                 "ln((n_false + 1.0E0) / ((SELECT tn FROM tot) + 1.0E0 * (SELECT v FROM tot))) AS coef FROM trw"),
+    ]
+    body = ("SELECT c.row_key, c.word, c.n, c.first_pos, round(c.n * coalesce(coef.coef, 0.0E0), 6) AS score FROM "
+            "(SELECT row_key, word, count(*) AS n, min(pos) AS first_pos FROM wp GROUP BY row_key, word) c "
+            "LEFT JOIN coef USING (word)")
+    return chain_sql(body, fixture="f1", extra=ctes)
+
+
+def _f1_text_model(spark, sf):
+    c = Chain(spark, sf, fixture="f1")
+    s = c.splitted()
+    pos = at.word_positions(s)
+    tr = s.filter(F.col("split") == "train")
+    coef = at.word_log_odds(pos.join(tr.select("row_key"), "row_key"), tr)
+    return c, s, pos, coef
+
+
+@q("text_attribution", _text_attr_sql())
+def text_attribution(spark, sf):
+    _, _, pos, coef = _f1_text_model(spark, sf)
+    return round_doubles(at.text_attribution(pos, coef.select("word", "coef")))
+
+
+@q("tokenize_truncate", fx.with_fixtures(
+    "SELECT row_key, CAST(len(arr) AS INTEGER) AS n_words, CAST(least(len(arr), 126) AS INTEGER) AS n_tokens, "
+    "array_to_string(arr[1:126], ' ') AS tokens FROM (SELECT row_key, "
+    f"CASE WHEN {s_clean('statement')} = '' THEN []::VARCHAR[] ELSE string_split(lower({s_clean('statement')}), ' ') END AS arr "
+    "FROM f1) z", "f1"))
+def tokenize_truncate(spark, sf):
+    from credo.operators.modeling import tokenize_truncate as tt
+    t = tt(fx.f1(spark, sf))
+    return t.select("row_key", "n_words", "n_tokens", F.array_join("tokens", " ").alias("tokens"))
+
+
+def _default_cred_sql():
+    return "(SELECT default_cred FROM st)"
+
+
+def _evidence_sql():
+    dc = _default_cred_sql()
+    items = [
+        ("cs_ratio", 0, "a_cs_ratio", "printf('the speaker''s falsehood score is %.2f/1.0 (%s)', cs_val, dir_cs)",
+         "NOT coalesce(cs_known, true)"),
+        ("speaker_cred", 1, "a_speaker_cred",
+         "printf('this speaker has been truthful %.0f%% of the time historically (%s)', spk_cred * 100, dir_spk)",
+         f"abs(spk_cred - {dc}) < 0.02E0"),
+        ("affil_cred", 2, "a_affil_cred",
+         "printf('this speaker''s political affiliation has a %.0f%% truthfulness rate (%s)', afl_cred * 100, dir_afl)", "false"),
+        ("ctx_cred", 3, "a_ctx_cred",
+         "printf('statements made in this context are true %.0f%% of the time (%s)', ctx_cred * 100, dir_ctx)", "false"),
+        ("len_norm", 4, "a_len_norm",
+         "printf('the statement is %s (%s)', CASE WHEN len_norm > 1.0E0 THEN 'unusually long' WHEN len_norm < -1.0E0 "
+         "THEN 'unusually short' ELSE 'typical length' END, dir_len)", "false"),
+    ]
+    dirs = ", ".join(f"CASE WHEN {a} > 0 THEN 'supports TRUE' ELSE 'supports FALSE' END AS dir_{s}"
+                     for s, a in (("cs", "a_cs_ratio"), ("spk", "a_speaker_cred"), ("afl", "a_affil_cred"),
+                                  ("ctx", "a_ctx_cred"), ("len", "a_len_norm")))
+    u = " UNION ALL ".join(
+        f"SELECT row_key, '{f}' AS feature, {o} AS ord, {a} AS score, {line} AS line FROM x3 WHERE NOT ({skip})"
+        for f, o, a, line, skip in items)
+    ctes = [("x3", f"SELECT *, {dirs} FROM f3"), ("ev0", u),
+            ("ev", "SELECT row_key, CAST(rank AS INTEGER) AS rank, feature, score, line FROM (SELECT *, row_number() OVER "
+                   "(PARTITION BY row_key ORDER BY abs(score) DESC, ord) AS rank FROM ev0) t WHERE rank <= 3")]
+    return ctes
+
+
+@q("evidence_lines", chain_sql("SELECT row_key, rank, feature, round(score, 6) AS score, line FROM ev",
+                               lookups=True, fixtures=("f3",), extra=_evidence_sql()))
+def evidence_lines(spark, sf):
+    c = Chain(spark, sf)
+    dc = c.stats().select("default_cred").scalar()
+    e = ex.evidence_lines(fx.f3_from(c.statements()).withColumn("_dc", dc), F.col("_dc"))
+    return round_doubles(e)
+
+
+def _explain_sql(with_prompt: bool):
+    nl = "chr(10)"
+    ctes = _evidence_sql() + _TOP_CTES + [
+        ("ex0", f"SELECT f3.row_key, f3.prob, CASE WHEN f3.prob >= {TH_SQL} THEN 'TRUE' ELSE 'FALSE' END AS prediction, "
+                "wl.top_words, f2.statement FROM f3 JOIN f2 USING (row_key) LEFT JOIN wl ON wl.row_key = "
+                "concat('o', split_part(f3.row_key, '-', 1))"),
+        ("ex1", "SELECT *, CAST(round_even(CASE WHEN prediction = 'TRUE' THEN prob * 100.0E0 ELSE (1.0E0 - prob) * 100.0E0 END, 0) "
+                "AS INTEGER) AS confidence FROM ex0"),
+        ("ev1", "SELECT line FROM ev WHERE ev.rank = 1"),
+        ("lines", "SELECT row_key, string_agg(concat('   - ', line), chr(10) ORDER BY rank) AS lines, "
+                  "max(CASE WHEN rank = 1 THEN line END) AS first_line FROM ev GROUP BY row_key"),
+    ]
+    s1 = "printf('This statement is likely %s (confidence: %d%%).', CASE WHEN prediction = 'TRUE' THEN 'true' ELSE 'false' END, confidence)"
+    s2 = "CASE WHEN coalesce(top_words, '') <> '' THEN concat('The words most associated with this decision were: ', top_words, '.') END"
+    e = "regexp_replace(trim(first_line), '^[- ]+', '')"
+    s3 = (f"CASE WHEN first_line IS NOT NULL AND {e} <> '' THEN concat(upper(substr({e}, 1, 1)), substr({e}, 2), "
+          f"CASE WHEN {e} LIKE '%.' THEN '' ELSE '.' END) END")
+    cols = f"ex1.row_key, prediction, confidence, top_words, concat_ws(' ', {s1}, {s2}, {s3}) AS explanation"
+    if with_prompt:
+        prompt = ("concat('You are explaining a political fact-checking decision. You ONLY have access to the evidence listed below. "
+                  f"Do NOT use any external knowledge or verify the claim yourself.', {nl}, {nl}, "
+                  f"'Statement: \"', coalesce(statement, ''), '\"', {nl}, 'Classification: ', prediction, ' (confidence ', "
+                  f"CAST(confidence AS VARCHAR), '%)', {nl}, {nl}, 'Evidence used:', {nl}, "
+                  f"'1. Key words that influenced the decision: ', coalesce(top_words, ''), {nl}, "
+                  f"'2. Speaker/context signals:', {nl}, coalesce(lines, ''), {nl}, {nl}, "
+                  f"'Write a 2-3 sentence explanation for a general audience.', {nl}, 'Strict rules:', {nl}, "
+                  f"'- Plain text only. No Markdown, no headers, no bold, no bullet points.', {nl}, "
+                  f"'- Do NOT verify the statement or use any external knowledge.', {nl}, "
+                  f"'- ONLY explain what the evidence above suggests about why it is likely ', prediction, '.', {nl}, "
+                  f"'- No technical terms (no ''model'', ''AI'', ''algorithm'', ''attribution'').', {nl}, "
+                  "'- Be direct but acknowledge uncertainty where appropriate.')")
+        cols += f", {prompt} AS prompt"
+    body = f"SELECT {cols} FROM ex1 LEFT JOIN lines USING (row_key)"
+    return chain_sql(body, lookups=True, fixtures=("f3", "f4"), extra=ctes)
+
+
+def _explained(spark, sf, with_prompt):
+    c = Chain(spark, sf)
+    dc = c.stats().select("default_cred").scalar()
+    f2 = c.statements()
+    f3 = fx.f3_from(f2).join(f2.select("row_key", "statement"), "row_key")
+    words = at.words_list(_top_f4(spark, sf)).withColumnRenamed("row_key", "_order")
+    f3 = f3.withColumn("_order", F.concat(F.lit("o"), F.split_part(F.col("row_key"), F.lit("-"), F.lit(1))))
+    f3 = f3.join(words, "_order", "left").drop("_order")
+    scored = f3
+    label = fsc.decide("prob", THRESHOLD)
+    scored = scored.withColumn("prediction", label)
+    scored = scored.withColumn("confidence", fsc.confidence_pct("prob", F.col("prediction")))
+    scored = scored.withColumn("_dc", dc)
+    scored = scored.withColumn("_ev", ex.evidence_array(F.col("_dc")))
+    first = F.when(F.size("_ev") > 0, F.element_at("_ev", 1)["line"])
+    scored = scored.withColumn("explanation", ex.rule_based_explanation(F.col("prediction"), F.col("confidence"),
+                                                                        F.col("top_words"), first))
+    cols = ["row_key", "prediction", "confidence", "top_words", "explanation"]
+    if with_prompt:
+        scored = scored.withColumn("prompt", ex.explanation_prompt(
+            F.col("statement"), F.col("prediction"), F.col("confidence"), F.col("top_words"),
+            F.transform("_ev", lambda x: x["line"])))
+        cols.append("prompt")
+    return scored.select(*cols)
+
+
+@q("rule_based_explanation", _explain_sql(False))
+def rule_based_explanation(spark, sf):
+    return _explained(spark, sf, False)
+
+
+@q("explanation_prompt", _explain_sql(True))
+def explanation_prompt(spark, sf):
+    return _explained(spark, sf, True)
+
+
+# ------------------------------------------------ 2.8 text features, models
+def _f1_features(spark, sf):
+    c = Chain(spark, sf, fixture="f1")
+    return c.features()
+
+
+@q("text_features", fx.with_fixtures(
+    "SELECT row_key, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS dim, round(unnest(v), 6) AS value "
+    "FROM (SELECT row_key, CAST(text_vec AS DOUBLE[]) AS v FROM f5) z", "f1", "f5"))
+def text_features(spark, sf):
+    from credo.operators.modeling import join_embeddings
+    f1 = fx.f1(spark, sf).select("row_key")
+    j = join_embeddings(f1, fx.f5(spark, sf))
+    return round_doubles(j.select("row_key", F.posexplode(F.col("text_vec").cast("array<double>")).alias("dim", "value")))
+
+
+CS_A, CS_B = -2.0, 1.0
+
+
+def _fused_sql_cte():
+    return ("fu", f"SELECT ft.row_key, list_concat(CAST(f5.text_vec AS DOUBLE[]), [tanh({CS_A!r}E0 * ft.cs_ratio + {CS_B!r}E0), "
+                  "ft.speaker_cred, ft.affil_cred, ft.ctx_cred, ft.len_norm]) AS fused FROM ft JOIN f5 USING (row_key)")
+
+
+@q("fuse_features", chain_sql(
+    "SELECT row_key, CAST(generate_subscripts(fused, 1) - 1 AS INTEGER) AS dim, round(unnest(fused), 6) AS value FROM fu",
+    fixture="f1", normalized=True, fixtures=("f5",), extra=[features_cte(), _fused_sql_cte()]))
+def fuse_features(spark, sf):
+    from credo.operators.modeling import fuse_features as ff, join_embeddings
+    f = join_embeddings(_f1_features(spark, sf), fx.f5(spark, sf))
+    fu = ff(f, CS_A, CS_B)
+    return round_doubles(fu.select("row_key", F.posexplode("fused").alias("dim", "value")))
+
+
+HEAD_HIDDEN = 4
+
+
+def _head_sql():
+    from credo.operators.modeling import head_weights
+    w = head_weights(69, HEAD_HIDDEN)
+
+    def lst(v):
+        return "[" + ", ".join(f"{float(x)!r}E0" for x in v) + "]"
+
+    hs = [f"greatest(0.0E0, {float(w['b1'][j])!r}E0 + list_dot_product(fused, {lst(w['W1'][j])}))" for j in range(HEAD_HIDDEN)]
+    logit = f"{float(w['b2'])!r}E0 + " + " + ".join(f"{float(w['w2'][j])!r}E0 * {h}" for j, h in enumerate(hs))
+    body = (f"SELECT row_key, round(lg, 6) AS logit, round(1.0E0 / (1.0E0 + exp(-lg)), 6) AS prob "
+            f"FROM (SELECT row_key, {logit} AS lg FROM fu) z")
+    return chain_sql(body, fixture="f1", normalized=True, fixtures=("f5",), extra=[features_cte(), _fused_sql_cte()])
+
+
+@q("head_score", _head_sql())
+def head_score(spark, sf):
+    from credo.operators.modeling import fuse_features as ff, head_score as hs, head_weights, join_embeddings
+    f = ff(join_embeddings(_f1_features(spark, sf), fx.f5(spark, sf)), CS_A, CS_B)
+    return round_doubles(hs(f, head_weights(69, HEAD_HIDDEN)).select("row_key", "logit", "prob"))
+
+
+def _fitted(spark, sf):
+    from credo.operators.modeling import train_model as tm
+    c = Chain(spark, sf)
+    feats = c.features()
+    return c, feats, tm(feats.filter(F.col("split") == "train"))
+
+
+@q("train_model")
+def train_model(spark, sf):
+    """Coefficients of the class-weighted model (rows-only check)."""
+    from credo.operators.modeling import coefficients
+    _, _, m = _fitted(spark, sf)
+    numeric, intercept, text_w = coefficients(m)
+    rows = [(k, float(v)) for k, v in numeric.items()] + [("intercept", intercept),
+                                                          ("text_nonzero", float((text_w != 0).sum()))]
+    return spark.createDataFrame(rows, "name string, value double")
+
+
+@q("batch_score")
+def batch_score(spark, sf):
+    from credo.operators.modeling import batch_score as bs
+    _, feats, m = _fitted(spark, sf)
+    return bs(m, feats).select("row_key", "split", "y", "prob")
+
+
+# ------------------------------------------------------ numeric attribution
+_NUM_W = {"cs_ratio": -1.5, "speaker_cred": 2.0, "affil_cred": 0.75, "ctx_cred": 0.5, "len_norm": -0.1}
+
+
+def _num_attr_parts(spark=None, sf=None):
+    return _NUM_W
+
+
+@q("numeric_attribution")
+def numeric_attribution(spark, sf):
+    c = Chain(spark, sf)
+    st = c.stats().first()  # one row of artifacts
+    base, noise = at.baseline_samples(K.CS_DEFAULT, st["default_cred"])
+    return round_doubles(at.numeric_attribution(c.features(), _NUM_W, base, noise))
+
+
+@q("perturbation_attribution")
+def perturbation_attribution(spark, sf):
+    """Fallback attributions for the rows whose primary attribution is POOR
+    (rows-only check)."""
+    c, s, pos, coef = _f1_text_model(spark, sf)
+    attr = at.text_attribution(pos, coef.select("word", "coef"))
+    feats = c.features()
+    target = feats.select("row_key", F.lit(0.0).alias("target"))
+    cd = at.completeness_delta(attr, target)
+    routed = cd.filter(~F.col("use_primary")).select("row_key")
+    base = feats.join(routed, "row_key", "left_semi").select(
+        "row_key", (F.col("speaker_cred") - F.lit(0.5)).alias("base"))
+    return at.perturbation_attribution(pos.join(routed, "row_key", "left_semi"), base, coef.select("word", "coef"))

@@ -22,7 +22,8 @@ from credo.plans import fixtures as fx
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column (hash-compared outputs)."""
-    return df.select(*[F.round(F.col(c), digits).alias(c) if t in ("double", "float") else F.col(c)
+    # "+ 0.0" turns a rounded -0.0 into 0.0
+    return df.select(*[(F.round(F.col(c), digits) + F.lit(0.0)).alias(c) if t in ("double", "float") else F.col(c)
                        for c, t in df.dtypes])
 
 
@@ -198,11 +199,12 @@ def features_cte(name: str = "ft", src: str = "d", mode: str = "normalized",
 
 
 def chain_sql(body: str, fixture: str = "f2", split: str = "hash", lookups: bool = False,
-              normalized: bool = False, extra: list[tuple[str, str]] | None = None) -> str:
+              normalized: bool = False, extra: list[tuple[str, str]] | None = None,
+              fixtures: tuple[str, ...] = ()) -> str:
     ctes = chain_ctes(fixture, split)
     if lookups or normalized:
         ctes += lookups_ctes("d")
     if normalized:
         ctes.append(norm_lookup_cte())
     ctes += extra or []
-    return fx.with_fixtures(body, fixture, extra=ctes)
+    return fx.with_fixtures(body, fixture, *fixtures, extra=ctes)

@@ -122,7 +122,7 @@ def text_attribution(positions: DataFrame, coef: DataFrame, key: str = "word") -
                     (F.col("n") * F.coalesce(F.col("coef"), F.lit(0.0))).alias("score"))
 
 
-def hashed_bucket(word: Column, coef: DataFrame | None = None, num_features: int = 1 << 18) -> Column:
+def hashed_bucket(word: Column, coef: DataFrame | None = None, num_features: int = 1 << 16) -> Column:
     """The HashingTF feature index of a term (Murmur3, seed 42), JVM-side."""
     return F.pmod(F.hash(word), F.lit(num_features))
 

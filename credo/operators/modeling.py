@@ -26,7 +26,7 @@ from pyspark.sql.types import DoubleType
 from credo.constants import FEATURE_NAMES, MAX_LEN
 from credo.functions.text import word_tokens
 
-NUM_FEATURES = 1 << 18
+NUM_FEATURES = 1 << 16
 NUMERIC = ["cs_ratio", "speaker_cred", "affil_cred", "ctx_cred", "len_norm"]
 
 
@@ -114,13 +114,14 @@ def train_model(train: DataFrame, reg: float = 0.01, text: bool = True, max_iter
     return build_pipeline(reg, text, max_iter=max_iter).fit(t)
 
 
-def batch_score(model: PipelineModel, df: DataFrame, text: bool = True) -> DataFrame:
+def batch_score(model: PipelineModel, df: DataFrame, text: bool = True, keep=()) -> DataFrame:
     """Add ``prob`` = P(TRUE) (and ``logit``)."""
     d = with_words(df) if text and "words" not in df.columns else df
     s = model.transform(d)
     s = s.withColumn("prob", vector_to_array("probability")[1]) \
          .withColumn("logit", vector_to_array("rawPrediction")[1])
-    return s.drop("features", "rawPrediction", "probability", "prediction", "text_tf", "words")
+    drop = [c for c in ("features", "rawPrediction", "probability", "prediction", "text_tf", "words") if c not in keep]
+    return s.drop(*drop)
 
 
 def coefficients(model: PipelineModel, text: bool = True, num_features: int = NUM_FEATURES):

@@ -859,3 +859,63 @@ def perturbation_attribution(spark, sf):
     base = feats.join(routed, "row_key", "left_semi").select(
         "row_key", (F.col("speaker_cred") - F.lit(0.5)).alias("base"))
     return at.perturbation_attribution(pos.join(routed, "row_key", "left_semi"), base, coef.select("word", "coef"))
+
+
+# --------------------------------------------------- flows and the stream
+def _trained(spark, sf, fixture="f2"):
+    from credo.plans.training import train
+    from credo.sources.statements import normalize_statements
+    key = (sf, fixture)
+    cache = _trained.__dict__.setdefault("cache", {})
+    if key not in cache or cache[key][0] is not spark:
+        res = train(spark, normalize_statements(getattr(fx, fixture)(spark, sf)), regs=(0.01,))
+        from credo.sources.artifacts import load_artifacts
+        cache[key] = (spark, res, load_artifacts(spark, res["artifacts_dir"]))
+    return cache[key][1], cache[key][2]
+
+
+@q("train_run")
+def train_run(spark, sf):
+    """The full training flow; returns its threshold sweep on validation."""
+    res, _ = _trained(spark, sf)
+    return res["sweep"]
+
+
+@q("evaluate_run")
+def evaluate_run(spark, sf):
+    """Training then evaluation on the test split: one metrics row."""
+    from credo.plans.evaluation import evaluate
+    from credo.sources.statements import normalize_statements
+    _, art = _trained(spark, sf)
+    return evaluate(normalize_statements(fx.f2(spark, sf)), art)["report"]
+
+
+@q("predict_batch")
+def predict_batch(spark, sf):
+    """Score and explain request records (f1 statements with aliases)."""
+    from credo.plans.scoring import score_requests
+    from credo.sources.statements import requests_from
+    _, art = _trained(spark, sf)
+    return score_requests(requests_from(fx.f1(spark, sf)), art)
+
+
+@q("explain_batch")
+def explain_batch(spark, sf):
+    """Explanations for every deduplicated f2 statement (model-based)."""
+    from credo.plans.scoring import score_requests
+    res, art = _trained(spark, sf)
+    rows = res["split"].select("row_key", "statement", "speaker_name", "speaker_affiliation", "statement_context")
+    return score_requests(rows, art).select("row_key", "prediction", "explanation")
+
+
+@q("score_stream")
+def score_stream(spark, sf):
+    """f2 statements arriving as a lineitem file stream, scored with the
+    trained artifacts into a parquet sink (availableNow), read back."""
+    from credo.session import scratch_dir
+    from credo.streaming.score_stream import lineitem_statement_stream, start
+    _, art = _trained(spark, sf)
+    out, ck = scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-ck")
+    qy = start(lineitem_statement_stream(spark, sf), art, out, ck)
+    qy.awaitTermination()
+    return spark.read.parquet(out)

@@ -134,10 +134,11 @@ def word_log_odds(positions: DataFrame, labels: DataFrame, alpha: float = 1.0) -
     c = j.groupBy("word").agg(F.sum("y").cast("bigint").alias("n_true"),
                               F.sum(1 - F.col("y")).cast("bigint").alias("n_false"))
     tot = c.agg(F.sum("n_true").alias("tp"), F.sum("n_false").alias("tn"), F.count(F.lit(1)).alias("v"))
-    tp, tn, v = (tot.select(x).scalar() for x in ("tp", "tn", "v"))
+    c = c.withColumn("_t", tot.select(F.struct("tp", "tn", "v")).scalar())  # one scalar subquery
+    tp, tn, v = F.col("_t.tp"), F.col("_t.tn"), F.col("_t.v")
     a = F.lit(float(alpha))
     coef = (F.log((F.col("n_true") + a) / (tp + a * v)) - F.log((F.col("n_false") + a) / (tn + a * v)))
-    return c.withColumn("coef", coef)
+    return c.withColumn("coef", coef).drop("_t")
 
 
 def numeric_attribution(df: DataFrame, weights: dict, baseline_mean: dict, noise_mean: dict | None = None,

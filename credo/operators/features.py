@@ -35,12 +35,22 @@ def _probe(kind: str, col: str, normalised: bool) -> Column:
     return NORM[kind](F.col(col)) if normalised else strip_ws(F.col(col))
 
 
-def _stat(stats, name: str) -> Column:
-    """A scalar from a stats mapping (literal) or a one-row DataFrame
-    (scalar subquery, evaluated once)."""
+STAT_NAMES = ("default_cred", "len_mean", "len_std")
+
+
+def _with_stats(df: DataFrame, stats) -> DataFrame:
+    """Attach the scalar stats as one struct column ``_st``: literals from a
+    mapping, or ONE scalar subquery over a one-row DataFrame (computed once
+    per query, then a constant in every task)."""
     if isinstance(stats, DataFrame):
-        return stats.select(name).scalar()
-    return F.lit(float(stats[name]))
+        st = stats.select(F.struct(*STAT_NAMES).alias("_st")).scalar()
+    else:
+        st = F.struct(*[F.lit(float(stats[n])).alias(n) for n in STAT_NAMES])
+    return df.withColumn("_st", st)
+
+
+def _stat(stats, name: str) -> Column:
+    return F.col("_st")[name]
 
 
 def lookups_for_mode(lookups: DataFrame, mode: str, policy: str = "merge") -> DataFrame:
@@ -75,13 +85,14 @@ def build_metadata(df: DataFrame, lookups: DataFrame, stats=None, key_mode: str
     and len_norm (z-score of the statement length)."""
     lk = lookups_for_mode(lookups, key_mode, policy)
     stats = lookup_stats(lookups) if stats is None else stats
+    out = _with_stats(df, stats)
     dflt = _stat(stats, "default_cred")
-    out = df
     for name, (kind, col) in META.items():
         out = _join_value(out, lk, kind, _probe(kind, col, key_mode == "normalized"), "cred", name, dflt)
     text = standardize_format("statement") if clean_text else F.col("statement")
     length = statement_length(text)
-    return out.withColumn("len_norm", (length - _stat(stats, "len_mean")) / _stat(stats, "len_std"))
+    out = out.withColumn("len_norm", (length - _stat(stats, "len_mean")) / _stat(stats, "len_std"))
+    return out.drop("_st")
 
 
 def feature_table(df: DataFrame, lookups: DataFrame, stats=None, key_mode: str = "normalized",
@@ -97,8 +108,8 @@ def key_mode_compare(df: DataFrame, lookups: DataFrame, cs_default: float = CS_D
     and key mode.  One pass: each feature is joined once per key spelling."""
     raw_lk = lookups
     norm_lk = normalize_lookup(lookups)
-    dflt = lookup_stats(lookups).select("default_cred").scalar()
-    out = df
+    out = _with_stats(df, lookup_stats(lookups))
+    dflt = F.col("_st")["default_cred"]
     variants = []
     for feat, kind, col, value, default in (
             [("cs_ratio", "speaker", "speaker_name", "cs", F.lit(float(cs_default)))]

@@ -109,9 +109,17 @@ def build_pipeline(reg: float = 0.01, text: bool = True, num_features: int = NUM
 
 def train_model(train: DataFrame, reg: float = 0.01, text: bool = True, max_iter: int = 50) -> PipelineModel:
     """Fit the class-weighted classifier on the training split."""
+    from pyspark import StorageLevel
+
     t = class_weights(with_words(train) if text and "words" not in train.columns else train)
-    t = t.withColumn("y", F.col("y").cast("double"))
-    return build_pipeline(reg, text, max_iter=max_iter).fit(t)
+    t = t.withColumn("y", F.col("y").cast("double")).select("y", "w", *NUMERIC, *(["words"] if text else []))
+    # the optimizer makes many passes: keep the training rows (memory, spilling
+    # to disk); a lost block is recomputed from its deterministic lineage
+    t = t.persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        return build_pipeline(reg, text, max_iter=max_iter).fit(t)
+    finally:
+        t.unpersist()
 
 
 def batch_score(model: PipelineModel, df: DataFrame, text: bool = True, keep=()) -> DataFrame:

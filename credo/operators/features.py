@@ -98,9 +98,31 @@ def build_metadata(df: DataFrame, lookups: DataFrame, stats=None, key_mode: str
 def feature_table(df: DataFrame, lookups: DataFrame, stats=None, key_mode: str = "normalized",
                   cs_default: float = CS_DEFAULT, clean_text: bool = False,
                   policy: str = "merge") -> DataFrame:
-    """cs_ratio, cs_known and the four metadata features for every row."""
-    out = attach_cs(df, lookups, key_mode, cs_default, policy)
-    return build_metadata(out, lookups, stats, key_mode, clean_text, policy)
+    """cs_ratio, cs_known and the four metadata features for every row.
+
+    When the credit score and the speaker credibility use the same probe
+    (raw and normalized modes) one speaker join serves both."""
+    if key_mode == "eval_compat":
+        out = attach_cs(df, lookups, key_mode, cs_default, policy)
+        return build_metadata(out, lookups, stats, key_mode, clean_text, policy)
+    lk = lookups_for_mode(lookups, key_mode, policy)
+    stats = lookup_stats(lookups) if stats is None else stats
+    out = _with_stats(df, stats)
+    dflt = _stat(stats, "default_cred")
+    normed = key_mode == "normalized"
+    spk = lk.filter(F.col("kind") == "speaker").select(F.col("key").alias("_k_spk"), F.col("cs").alias("_cs"),
+                                                       F.col("cred").alias("_cred"))
+    out = out.join(spk, _probe("speaker", "speaker_name", normed) == F.col("_k_spk"), "left")
+    out = (out.withColumn("cs_ratio", F.coalesce(F.col("_cs"), F.lit(float(cs_default))))
+              .withColumn("cs_known", F.col("_k_spk").isNotNull())
+              .withColumn("speaker_cred", F.coalesce(F.col("_cred"), dflt))
+              .drop("_k_spk", "_cs", "_cred"))
+    for name in ("affil_cred", "ctx_cred"):
+        kind, col = META[name]
+        out = _join_value(out, lk, kind, _probe(kind, col, normed), "cred", name, dflt)
+    text = standardize_format("statement") if clean_text else F.col("statement")
+    out = out.withColumn("len_norm", (statement_length(text) - _stat(stats, "len_mean")) / _stat(stats, "len_std"))
+    return out.drop("_st")
 
 
 def key_mode_compare(df: DataFrame, lookups: DataFrame, cs_default: float = CS_DEFAULT) -> DataFrame:

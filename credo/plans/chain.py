@@ -57,8 +57,11 @@ class Chain:
         return self.splitted().filter(F.col("split") == "train")
 
     def lookups(self) -> DataFrame:
+        """Training lookups, computed once and checkpointed into the shared
+        checkpoint folder: every join branch and the stats subquery read the
+        small materialised table instead of re-running dedup + split."""
         if "lk" not in self._cache:
-            self._cache["lk"] = all_lookups(self.train())
+            self._cache["lk"] = all_lookups(self.train()).checkpoint(eager=True)
         return self._cache["lk"]
 
     def stats(self) -> DataFrame:

@@ -152,30 +152,43 @@ def numeric_attribution(df: DataFrame, weights: dict, baseline_mean: dict, noise
 
     names = names or FEATURE_NAMES
     noise_mean = noise_mean or {n: 0.0 for n in names}
-    cols = {"cs_ratio": "cs_ratio", "speaker_cred": "speaker_cred", "affil_cred": "affil_cred",
-            "ctx_cred": "ctx_cred", "len_norm": "len_norm"}
+
+    def lit(v):
+        return v if isinstance(v, Column) else F.lit(float(v))
+
     out = [F.col("row_key")]
     for n in names:
-        x = F.col(cols[n])
-        out.append((F.lit(float(weights[n])) * (x + F.lit(float(noise_mean[n])) - F.lit(float(baseline_mean[n]))))
+        out.append((F.lit(float(weights[n])) * (F.col(n) + lit(noise_mean[n]) - lit(baseline_mean[n])))
                    .alias(f"a_{n}"))
     return df.select(*out)
 
 
-def baseline_samples(cs_default: float, default_cred: float, n: int = 50, sd: float = 0.05,
-                     noise_sd: float = 0.09, seed: int = 42):
-    """Mean of the neutral baselines (+ small Gaussian noise) and of the
-    input noise, from a fixed seed (a bounded, driver-side parameter table)."""
+def baseline_offsets(n: int = 50, sd: float = 0.05, noise_sd: float = 0.09, seed: int = 42):
+    """Mean baseline offset and mean input noise per feature, from a fixed
+    seed: the sample table (n x 5) is a bounded parameter, only its means
+    matter for a model linear in the numeric features."""
     import numpy as np
 
     from credo.constants import FEATURE_NAMES
 
     rng = np.random.default_rng(seed)
-    neutral = np.array([cs_default, default_cred, default_cred, default_cred, 0.0])
-    base = neutral + rng.normal(0.0, sd, size=(n, 5))
-    noise = rng.normal(0.0, noise_sd, size=(n, 5))
-    return (dict(zip(FEATURE_NAMES, base.mean(axis=0).tolist())),
-            dict(zip(FEATURE_NAMES, noise.mean(axis=0).tolist())))
+    offs = rng.normal(0.0, sd, size=(n, 5)).mean(axis=0)
+    noise = rng.normal(0.0, noise_sd, size=(n, 5)).mean(axis=0)
+    return dict(zip(FEATURE_NAMES, offs.tolist())), dict(zip(FEATURE_NAMES, noise.tolist()))
+
+
+def neutral_point(cs_default: float, default_cred) -> dict:
+    """The neutral input: unknown speaker, average credibility, mean length."""
+    return {"cs_ratio": cs_default, "speaker_cred": default_cred, "affil_cred": default_cred,
+            "ctx_cred": default_cred, "len_norm": 0.0}
+
+
+def baseline_samples(cs_default: float, default_cred: float, n: int = 50, sd: float = 0.05,
+                     noise_sd: float = 0.09, seed: int = 42):
+    """(mean baseline, mean noise) per feature for a neutral point."""
+    offs, noise = baseline_offsets(n, sd, noise_sd, seed)
+    neutral = neutral_point(cs_default, default_cred)
+    return {k: neutral[k] + offs[k] for k in offs}, noise
 
 
 def perturbation_attribution(positions: DataFrame, base_score: DataFrame, coef: DataFrame,

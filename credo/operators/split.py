@@ -54,14 +54,17 @@ def _largest_remainder(counts: DataFrame, n_draws_col: str, out: str) -> DataFra
             .drop("_cont", "_floor", "_rem", "_need", "_rk")
 
 
-def split_sizes(df: DataFrame, class_col: str, test: float = 0.1, val: float = 0.1) -> DataFrame:
+def split_sizes(df: DataFrame, class_col: str, test: float = 0.1, val: float = 0.1,
+                counts: DataFrame | None = None) -> DataFrame:
     """Per class: cnt, n_test, n_val (tiny table).
 
     Total test size = ceil(test * n); train+val is shared over classes by
     largest remainder and test takes the rest of each class.  The second cut
     applies ``val / (1 - test)`` to what is left, in the same way.
+    ``counts`` (columns _cls, cnt) may be given to avoid another pass.
     """
-    counts = df.groupBy(F.col(class_col).alias("_cls")).agg(F.count(F.lit(1)).alias("cnt"))
+    if counts is None:
+        counts = df.groupBy(F.col(class_col).alias("_cls")).agg(F.count(F.lit(1)).alias("cnt"))
     w_all = Window.partitionBy(F.lit(0))
     counts = counts.withColumn("total", F.sum("cnt").over(w_all))
     counts = counts.withColumn("_n_test", F.ceil(F.lit(float(test)) * F.col("total")).cast("bigint"))
@@ -87,7 +90,8 @@ def split_stratified(df: DataFrame, class_col: str = "y", key: str = KEY,
     buckets = rows.groupBy(F.col(class_col).alias("_cls"), "_b").agg(F.count(F.lit(1)).alias("_bn"))
     wcls = Window.partitionBy("_cls").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     buckets = buckets.withColumn("_start", F.coalesce(F.sum("_bn").over(wcls), F.lit(0)).cast("bigint"))
-    sizes = split_sizes(df, class_col, test, val)
+    class_counts = buckets.groupBy("_cls").agg(F.sum("_bn").cast("bigint").alias("cnt"))
+    sizes = split_sizes(df, class_col, test, val, counts=class_counts)
     buckets = buckets.join(F.broadcast(sizes), "_cls")  # sizes: one row per class
     t_end = F.col("n_test")
     v_end = F.col("n_test") + F.col("n_val")

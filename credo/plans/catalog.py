@@ -834,16 +834,27 @@ def batch_score(spark, sf):
 _NUM_W = {"cs_ratio": -1.5, "speaker_cred": 2.0, "affil_cred": 0.75, "ctx_cred": 0.5, "len_norm": -0.1}
 
 
-def _num_attr_parts(spark=None, sf=None):
-    return _NUM_W
+def _num_attr_sql():
+    offs, noise = at.baseline_offsets()
+    neutral = {"cs_ratio": f"{K.CS_DEFAULT!r}E0", "len_norm": "0.0E0"}
+    parts = []
+    for n in K.FEATURE_NAMES:
+        base = f"({neutral.get(n, '(SELECT default_cred FROM st)')} + {offs[n]!r}E0)"
+        parts.append(f"round({_NUM_W[n]!r}E0 * ({n} + {noise[n]!r}E0 - {base}), 6) + 0.0E0 AS a_{n}")
+    return chain_sql(f"SELECT row_key, {', '.join(parts)} FROM ft", normalized=True, extra=[features_cte()])
 
 
-@q("numeric_attribution")
+@q("numeric_attribution", _num_attr_sql())
 def numeric_attribution(spark, sf):
+    """Expected-gradients attribution of the five numeric features against
+    noisy neutral baselines, for weights linear in those features."""
     c = Chain(spark, sf)
-    st = c.stats().first()  # one row of artifacts
-    base, noise = at.baseline_samples(K.CS_DEFAULT, st["default_cred"])
-    return round_doubles(at.numeric_attribution(c.features(), _NUM_W, base, noise))
+    offs, noise = at.baseline_offsets()
+    dc = F.col("_st")["default_cred"]
+    neutral = at.neutral_point(F.lit(K.CS_DEFAULT), dc)
+    base = {k: neutral[k] + F.lit(offs[k]) for k in offs}
+    f = c.features().withColumn("_st", c.stats().select(F.struct("default_cred")).scalar())
+    return round_doubles(at.numeric_attribution(f, _NUM_W, base, noise))
 
 
 @q("perturbation_attribution")

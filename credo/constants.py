@@ -31,6 +31,8 @@ CS_UNKNOWN_HUNDREDTHS = 50
 CS_DEFAULT = 0.5              # credit score of a speaker unseen in training
 DEFAULT_CRED_FALLBACK = 0.557  # used only when no artifact provides one
 THRESHOLD_FALLBACK = 0.57      # used only when no artifact provides one
+LEN_MEAN_FALLBACK = 50.0       # used only when the training split is empty
+LEN_STD_FALLBACK = 20.0        # used only when the training split is empty
 LEN_STD_EPSILON = 1e-8
 MAX_LEN = 128                  # tokens incl. the two special tokens
 SPLIT_SEED = 42

@@ -130,9 +130,12 @@ def hashed_bucket(word: Column, coef: DataFrame | None = None, num_features: int
 def word_log_odds(positions: DataFrame, labels: DataFrame, alpha: float = 1.0) -> DataFrame:
     """A closed-form linear text model: smoothed log-ratio of a word's rate
     in TRUE vs FALSE training statements.  (word, n_true, n_false, coef)."""
-    j = positions.join(labels.select("row_key", "y"), "row_key")
-    c = j.groupBy("word").agg(F.sum("y").cast("bigint").alias("n_true"),
-                              F.sum(1 - F.col("y")).cast("bigint").alias("n_false"))
+    # count per (row, word) first: a long document or a common word is
+    # pre-aggregated before it meets the labels
+    per_row = positions.groupBy("row_key", "word").agg(F.count(F.lit(1)).alias("_n"))
+    j = per_row.join(labels.select("row_key", "y"), "row_key")
+    c = j.groupBy("word").agg((F.sum(F.col("y") * F.col("_n"))).cast("bigint").alias("n_true"),
+                              (F.sum((1 - F.col("y")) * F.col("_n"))).cast("bigint").alias("n_false"))
     tot = c.agg(F.sum("n_true").alias("tp"), F.sum("n_false").alias("tn"), F.count(F.lit(1)).alias("v"))
     c = c.withColumn("_t", tot.select(F.struct("tp", "tn", "v")).scalar())  # one scalar subquery
     tp, tn, v = F.col("_t.tp"), F.col("_t.tn"), F.col("_t.v")

@@ -98,9 +98,17 @@ def cred_lookup(train: DataFrame, kind: str) -> DataFrame:
 
 
 def lookup_stats(lookups: DataFrame) -> DataFrame:
-    """One row: n, n_true, default_cred, len_mean, len_std."""
-    return (lookups.filter(F.col("kind") == "all")
-            .select("n", "n_true", F.col("cred").alias("default_cred"), "len_mean", "len_std"))
+    """Exactly one row: n, n_true, default_cred, len_mean, len_std (fallback
+    values when the training split was empty)."""
+    from credo.constants import DEFAULT_CRED_FALLBACK, LEN_MEAN_FALLBACK, LEN_STD_FALLBACK
+
+    a = lookups.filter(F.col("kind") == "all")
+    return a.agg(
+        F.coalesce(F.max("n"), F.lit(0)).cast("bigint").alias("n"),
+        F.coalesce(F.max("n_true"), F.lit(0)).cast("bigint").alias("n_true"),
+        F.coalesce(F.max("cred"), F.lit(DEFAULT_CRED_FALLBACK)).alias("default_cred"),
+        F.coalesce(F.max("len_mean"), F.lit(LEN_MEAN_FALLBACK)).alias("len_mean"),
+        F.coalesce(F.max("len_std"), F.lit(LEN_STD_FALLBACK)).alias("len_std"))
 
 
 def default_cred(train: DataFrame) -> DataFrame:

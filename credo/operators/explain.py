@@ -51,18 +51,31 @@ def direction(score: Column) -> Column:
     return F.when(score > 0, F.lit("supports TRUE")).otherwise(F.lit("supports FALSE"))
 
 
+def _fmt2(v: Column) -> Column:
+    """'%.2f' after half-even rounding (no Formatter call)."""
+    return F.bround(v, 2).cast("decimal(24,2)").cast("string")
+
+
+def _fmt0(v: Column) -> Column:
+    """'%.0f' after half-even rounding."""
+    return F.bround(v, 0).cast("decimal(24,0)").cast("string")
+
+
 def _line(feature: str) -> Column:
     val, att = (F.col(c) for c in FEATURE_COLUMNS[feature])
     d = direction(att)
     if feature == "cs_ratio":
-        return F.format_string(CS_LINE, F.bround(val, 2), d)
+        return F.concat(F.lit("the speaker's falsehood score is "), _fmt2(val), F.lit("/1.0 ("), d, F.lit(")"))
     if feature == "speaker_cred":
-        return F.format_string(SPK_LINE, F.bround(val * 100, 0), d)
+        return F.concat(F.lit("this speaker has been truthful "), _fmt0(val * 100),
+                        F.lit("% of the time historically ("), d, F.lit(")"))
     if feature == "affil_cred":
-        return F.format_string(AFL_LINE, F.bround(val * 100, 0), d)
+        return F.concat(F.lit("this speaker's political affiliation has a "), _fmt0(val * 100),
+                        F.lit("% truthfulness rate ("), d, F.lit(")"))
     if feature == "ctx_cred":
-        return F.format_string(CTX_LINE, F.bround(val * 100, 0), d)
-    return F.format_string(LEN_LINE, length_bucket(val), d)
+        return F.concat(F.lit("statements made in this context are true "), _fmt0(val * 100),
+                        F.lit("% of the time ("), d, F.lit(")"))
+    return F.concat(F.lit("the statement is "), length_bucket(val), F.lit(" ("), d, F.lit(")"))
 
 
 def _skip(feature: str, default_cred) -> Column:
@@ -74,30 +87,59 @@ def _skip(feature: str, default_cred) -> Column:
     return F.lit(False)
 
 
-def evidence_array(default_cred, k: int = EVIDENCE_LINES) -> Column:
-    """Up to k evidence items, strongest |attribution| first; skip rules are
-    applied before the limit; ties keep the feature order."""
-    items = []
-    for order, feat in enumerate(FEATURE_NAMES):
-        att = F.col(FEATURE_COLUMNS[feat][1])
-        items.append(F.struct(
-            (F.lit(0.0) - F.abs(att)).alias("neg_abs"), F.lit(order).alias("ord"),
-            F.lit(feat).alias("feature"), att.alias("score"), _line(feat).alias("line"),
-            _skip(feat, default_cred).alias("skip")))
-    kept = F.filter(F.array(*items), lambda x: ~x["skip"])
-    return F.slice(F.sort_array(kept), 1, k)
+def _ranks(default_cred) -> list[Column]:
+    """Rank (1 = strongest |attribution|) of each kept feature, NULL when
+    skipped; ties keep the feature order.  Plain comparisons, codegen'd."""
+    kept = [~_skip(f, default_cred) for f in FEATURE_NAMES]
+    mag = [F.abs(F.col(FEATURE_COLUMNS[f][1])) for f in FEATURE_NAMES]
+    ranks = []
+    for i in range(len(FEATURE_NAMES)):
+        ahead = F.lit(1)
+        for j in range(len(FEATURE_NAMES)):
+            if j == i:
+                continue
+            before = (mag[j] > mag[i]) | ((mag[j] == mag[i]) & F.lit(j < i))
+            ahead = ahead + F.when(kept[j] & before, 1).otherwise(0)
+        ranks.append(F.when(kept[i], ahead))
+    return ranks
+
+
+def with_evidence(df: DataFrame, default_cred, k: int = EVIDENCE_LINES) -> DataFrame:
+    """Add ev{r}_feature, ev{r}_score, ev{r}_line for r = 1..k (NULL when
+    fewer than r features are kept).  The five ranks are computed once as
+    columns; only the chosen lines are ever built."""
+    ranked = df.select("*", *[r.alias(f"_rk{i}") for i, r in enumerate(_ranks(default_cred))])
+    cols = []
+    for r in range(1, k + 1):
+        feat = score = line = None
+        for i, f in enumerate(FEATURE_NAMES):
+            hit = F.col(f"_rk{i}") == r
+            feat = F.when(hit, F.lit(f)) if feat is None else feat.when(hit, F.lit(f))
+            att = F.col(FEATURE_COLUMNS[f][1])
+            score = F.when(hit, att) if score is None else score.when(hit, att)
+            line = F.when(hit, _line(f)) if line is None else line.when(hit, _line(f))
+        cols += [feat.alias(f"ev{r}_feature"), score.alias(f"ev{r}_score"), line.alias(f"ev{r}_line")]
+    return ranked.select("*", *cols).drop(*[f"_rk{i}" for i in range(len(FEATURE_NAMES))])
 
 
 def evidence_lines(df: DataFrame, default_cred, k: int = EVIDENCE_LINES) -> DataFrame:
-    """(row_key, rank, feature, score, line), rank 1..k."""
-    e = df.select("row_key", F.posexplode(evidence_array(default_cred, k)).alias("_i", "_e"))
-    return e.select("row_key", (F.col("_i") + 1).alias("rank"), F.col("_e.feature").alias("feature"),
-                    F.col("_e.score").alias("score"), F.col("_e.line").alias("line"))
+    """(row_key, rank, feature, score, line), rank 1..k, one row per line."""
+    wide = with_evidence(df, default_cred, k)
+    args = ", ".join(f"{r}, ev{r}_feature, ev{r}_score, ev{r}_line" for r in range(1, k + 1))
+    long = wide.selectExpr("row_key", f"stack({k}, {args}) AS (rank, feature, score, line)")
+    return long.filter(F.col("feature").isNotNull())
+
+
+def evidence_joined(k: int = EVIDENCE_LINES) -> Column:
+    """The ev{r}_line columns prefixed and joined with newlines."""
+    lines = [F.col(f"ev{r}_line") for r in range(1, k + 1)]
+    return F.concat_ws("\n", *[F.when(x.isNotNull(), F.concat(F.lit(LINE_PREFIX), x)) for x in lines])
 
 
 def explanation_prompt(statement: Column, label: Column, confidence: Column, top_words: Column,
                        lines: Column) -> Column:
-    """The full prompt text; ``lines`` is an array of evidence line strings."""
+    """The full prompt text; ``lines`` is the evidence lines, each prefixed
+    with '   - ' and joined with newlines."""
     body = F.concat(
         F.lit(PROMPT_HEAD),
         F.lit('Statement: "'), F.coalesce(statement, F.lit("")), F.lit('"\n'),
@@ -105,7 +147,7 @@ def explanation_prompt(statement: Column, label: Column, confidence: Column, top
         F.lit("Evidence used:\n"),
         F.lit("1. Key words that influenced the decision: "), F.coalesce(top_words, F.lit("")), F.lit("\n"),
         F.lit("2. Speaker/context signals:\n"),
-        F.array_join(F.transform(lines, lambda x: F.concat(F.lit(LINE_PREFIX), x)), "\n"),
+        F.coalesce(lines, F.lit("")),
     )
     return F.concat(body, F.format_string(PROMPT_TAIL, label))
 
@@ -129,22 +171,21 @@ def explain_rows(scored: DataFrame, words: DataFrame | None, threshold, default_
 
     scored: row_key, prob, the five feature values and a_* attributions
             (cs_known, cs_val, spk_cred, afl_cred, ctx_cred, len_norm);
-    words:  (row_key, top_words) or None."""
+    words:  (row_key, top_words) or None.  ``default_cred`` may be a
+    number or a column."""
     label = decide("prob", threshold)
     out = scored.withColumn("prediction", label).withColumn("confidence", confidence_pct("prob", F.col("prediction")))
-    out = out.withColumn("_dc", default_cred if isinstance(default_cred, Column) else F.lit(float(default_cred)))
-    out = out.withColumn("_ev", evidence_array(F.col("_dc")))
     if words is not None:
         out = out.join(words, "row_key", "left")
-    else:
+    elif "top_words" not in out.columns:
         out = out.withColumn("top_words", F.lit(None).cast("string"))
-    first = F.element_at(F.col("_ev"), 1)["line"]
+    out = with_evidence(out, default_cred)
     out = out.withColumn("explanation", rule_based_explanation(F.col("prediction"), F.col("confidence"),
-                                                               F.col("top_words"), F.when(F.size("_ev") > 0, first)))
+                                                               F.col("top_words"), F.col("ev1_line")))
     cols = ["row_key", "prediction", "confidence", "top_words", "explanation"]
     if with_prompt:
         stmt = F.col(statement_col) if statement_col else F.lit("")
         out = out.withColumn("prompt", explanation_prompt(stmt, F.col("prediction"), F.col("confidence"),
-                                                          F.col("top_words"), F.transform("_ev", lambda x: x["line"])))
+                                                          F.col("top_words"), evidence_joined()))
         cols.append("prompt")
     return out.select(*cols)

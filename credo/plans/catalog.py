@@ -719,22 +719,8 @@ def _explained(spark, sf, with_prompt):
     words = at.words_list(_top_f4(spark, sf)).withColumnRenamed("row_key", "_order")
     f3 = f3.withColumn("_order", F.concat(F.lit("o"), F.split_part(F.col("row_key"), F.lit("-"), F.lit(1))))
     f3 = f3.join(words, "_order", "left").drop("_order")
-    scored = f3
-    label = fsc.decide("prob", THRESHOLD)
-    scored = scored.withColumn("prediction", label)
-    scored = scored.withColumn("confidence", fsc.confidence_pct("prob", F.col("prediction")))
-    scored = scored.withColumn("_dc", dc)
-    scored = scored.withColumn("_ev", ex.evidence_array(F.col("_dc")))
-    first = F.when(F.size("_ev") > 0, F.element_at("_ev", 1)["line"])
-    scored = scored.withColumn("explanation", ex.rule_based_explanation(F.col("prediction"), F.col("confidence"),
-                                                                        F.col("top_words"), first))
-    cols = ["row_key", "prediction", "confidence", "top_words", "explanation"]
-    if with_prompt:
-        scored = scored.withColumn("prompt", ex.explanation_prompt(
-            F.col("statement"), F.col("prediction"), F.col("confidence"), F.col("top_words"),
-            F.transform("_ev", lambda x: x["line"])))
-        cols.append("prompt")
-    return scored.select(*cols)
+    return ex.explain_rows(f3.withColumn("_dc", dc), None, THRESHOLD, F.col("_dc"),
+                           statement_col="statement", with_prompt=with_prompt)
 
 
 @q("rule_based_explanation", _explain_sql(False))

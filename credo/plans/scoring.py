@@ -20,7 +20,8 @@ from pyspark.sql.types import ArrayType, DoubleType
 from credo.constants import CS_DEFAULT, FEATURE_NAMES, TOP_WORDS
 from credo.functions.text import standardize_format, word_tokens
 from credo.operators.attribution import baseline_samples
-from credo.operators.explain import evidence_array, rule_based_explanation
+from credo.operators.explain import rule_based_explanation, with_evidence
+from credo.functions.scoring import confidence_pct
 from credo.operators.features import feature_table
 from credo.operators.lookups import lookup_stats
 from credo.operators.modeling import NUM_FEATURES, batch_score, coefficients
@@ -82,9 +83,8 @@ def score_requests(requests: DataFrame, artifacts: dict, clean_text: bool = True
     for name, alias in VALUE_COLS.items():
         if alias != name:
             scored = scored.withColumn(alias, F.col(name))
-    scored = scored.withColumn("_ev", evidence_array(F.lit(float(stats["default_cred"]))))
-    conf = F.bround(F.when(F.col("prediction") == "TRUE", F.col("prob") * 100).otherwise((1 - F.col("prob")) * 100), 0)
-    first = F.when(F.size("_ev") > 0, F.element_at("_ev", 1)["line"])
-    scored = scored.withColumn("explanation", rule_based_explanation(F.col("prediction"), conf.cast("int"),
-                                                                     F.col("top_words"), first))
+    scored = with_evidence(scored, float(stats["default_cred"]), k=1)
+    conf = confidence_pct("prob", F.col("prediction"))
+    scored = scored.withColumn("explanation", rule_based_explanation(F.col("prediction"), conf,
+                                                                     F.col("top_words"), F.col("ev1_line")))
     return scored.select("row_key", "prediction", "probability", "explanation")

@@ -66,9 +66,13 @@ def statement_length(c) -> Column:
     return F.length(F.coalesce(_col(c), F.lit(""))).cast("int")
 
 
+# fixed value: a token is a run of ASCII letters/digits or one ASCII
+# punctuation character (what an uncased basic tokenizer yields on the
+# cleaned, ASCII-only text before sub-word splitting)
+TOKEN_PATTERN = "[a-z0-9]+|[!-/:-@\\[-`{-~]"
+
+
 def word_tokens(c, clean: bool = True) -> Column:
-    """Lower-cased word tokens of the whole text (empty text -> empty array)."""
-    t = standardize_format(c) if clean else F.trim(
-        F.regexp_replace(F.coalesce(_col(c), F.lit("")), f"{WS_CLASS}+", " "))
-    t = F.lower(t)
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, " "))
+    """Lower-cased tokens of the whole text (empty text -> empty array)."""
+    t = standardize_format(c) if clean else F.coalesce(_col(c), F.lit(""))
+    return F.regexp_extract_all(F.lower(t), F.lit(TOKEN_PATTERN), 0)

@@ -587,8 +587,12 @@ def completeness_delta(spark, sf):
     return at.completeness_delta(_merged_f4(spark, sf), target)
 
 
+def _tok_arr_sql(text: str) -> str:
+    return f"regexp_extract_all(lower({s_clean(text)}), '{ft.TOKEN_PATTERN.replace(chr(92) * 2, chr(92))}')"
+
+
 def _tokens_sql(src: str, text: str = "statement") -> str:
-    arr = f"CASE WHEN {s_clean(text)} = '' THEN []::VARCHAR[] ELSE string_split(lower({s_clean(text)}), ' ') END"
+    arr = _tok_arr_sql(text)
     return (f"SELECT row_key, CAST(generate_subscripts(arr, 1) AS BIGINT) AS pos, unnest(arr) AS word "
             f"FROM (SELECT row_key, {arr} AS arr FROM {src}) z")
 
@@ -626,8 +630,7 @@ def text_attribution(spark, sf):
 @q("tokenize_truncate", fx.with_fixtures(
     "SELECT row_key, CAST(len(arr) AS INTEGER) AS n_words, CAST(least(len(arr), 126) AS INTEGER) AS n_tokens, "
     "array_to_string(arr[1:126], ' ') AS tokens FROM (SELECT row_key, "
-    f"CASE WHEN {s_clean('statement')} = '' THEN []::VARCHAR[] ELSE string_split(lower({s_clean('statement')}), ' ') END AS arr "
-    "FROM f1) z", "f1"))
+    f"{_tok_arr_sql('statement')} AS arr FROM f1) z", "f1"))
 def tokenize_truncate(spark, sf):
     from credo.operators.modeling import tokenize_truncate as tt
     t = tt(fx.f1(spark, sf))

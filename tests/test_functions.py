@@ -52,6 +52,7 @@ def test_statement_length_counts_code_points(spark):
 def test_word_tokens_empty_text(spark):
     assert one(spark, word_tokens("v"), "   ") == []
     assert one(spark, word_tokens("v"), "Hello  World") == ["hello", "world"]
+    assert one(spark, word_tokens("v"), "It's 30% (really)!") == ["it", "'", "s", "30", "%", "(", "really", ")", "!"]
 
 
 @pytest.mark.parametrize("label,y,w", [("true", 1, 0.0), ("mostly-true", 1, 0.2), ("half-true", 1, 0.5),

@@ -1,10 +1,11 @@
 """Text features, feature fusion, training and batch scoring.
 
-Training is Spark ML: ``HashingTF`` word counts over the whole cleaned text
+Training is Spark ML: ``HashingTF`` term presence over the whole cleaned text
 + the five numeric features -> ``VectorAssembler`` -> class-weighted
 ``LogisticRegression`` (TRUE rows weigh n_false / n_true, as a positive-class
 weight in a binary cross-entropy).  The model is linear in every input, so
-integrated-gradient attributions are exact (weight x value).
+integrated-gradient attributions are exact (weight x value; a present word
+contributes its bucket weight once).
 
 ``head_score`` evaluates a given two-layer ReLU head over fused feature
 arrays with NumPy inside an Arrow-batched pandas UDF; the weights travel
@@ -48,8 +49,8 @@ def with_words(df: DataFrame, text: str = "statement", clean: bool = True) -> Da
 
 
 def text_features(df: DataFrame, num_features: int = NUM_FEATURES, words: str = "words") -> DataFrame:
-    """Hashed word counts (sparse vector ``text_tf``)."""
-    return HashingTF(inputCol=words, outputCol="text_tf", numFeatures=num_features).transform(df)
+    """Hashed term presence (sparse 0/1 vector ``text_tf``)."""
+    return HashingTF(inputCol=words, outputCol="text_tf", numFeatures=num_features, binary=True).transform(df)
 
 
 def join_embeddings(df: DataFrame, embeddings: DataFrame, key: str = "row_key") -> DataFrame:
@@ -99,7 +100,8 @@ def build_pipeline(reg: float = 0.01, text: bool = True, num_features: int = NUM
     stages = []
     inputs = list(NUMERIC)
     if text:
-        stages.append(HashingTF(inputCol="words", outputCol="text_tf", numFeatures=num_features))
+        # presence, not counts: long texts would otherwise dominate (validated on f1)
+        stages.append(HashingTF(inputCol="words", outputCol="text_tf", numFeatures=num_features, binary=True))
         inputs.append("text_tf")
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
     stages.append(LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", regParam=reg,

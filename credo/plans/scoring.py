@@ -67,6 +67,8 @@ def score_requests(requests: DataFrame, artifacts: dict, clean_text: bool = True
         return scored.select("row_key", "prediction", "probability")
     numeric_w, _, text_w = coefficients(model, True, num_features)
     # word contributions: weight of the word's hash bucket (exact IG for a linear model)
+    # presence features: each distinct word (first occurrence order) contributes once
+    scored = scored.withColumn("words", F.array_distinct("words"))
     scored = scored.withColumn("_buckets", F.transform("words", lambda w: F.pmod(F.hash(w), F.lit(num_features))))
     scored = scored.withColumn("_wscores", _word_scores_udf(spark, text_w)(F.col("_buckets")))
     ranked = F.sort_array(F.transform(F.arrays_zip(F.col("words").alias("w"), F.col("_wscores").alias("s"),

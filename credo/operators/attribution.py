@@ -195,34 +195,43 @@ def baseline_samples(cs_default: float, default_cred: float, n: int = 50, sd: fl
 
 
 def perturbation_attribution(positions: DataFrame, base_score: DataFrame, coef: DataFrame,
-                             n_samples: int = 50, top: int = 10) -> DataFrame:
-    """Fallback word importance by random word removal, as one batch job.
-
-    For every (row, sample) a word is kept when a bit of md5(row, sample,
-    word position) is set (sample 0 keeps every word).  Each variant is
-    scored with the linear text model plus the row's frozen non-text score;
-    a word's importance is the similarity-weighted mean score of variants
-    that keep it minus of those that drop it.  Rows: samples x words per
-    statement (linear in its length); only the routed rows should be passed.
+                             n_samples: int = 50, top: int = 10, kernel_width: float = 0.25) -> DataFrame:
+    """Word importance by random word removal, as one batch job.
+
+    Bag of words: for every (row, sample, word) the word -- all its
+    occurrences -- is kept when the low bit of md5(row|sample|word) is set;
+    sample 0 keeps everything.  Each variant is scored with the linear text
+    model plus the row's frozen non-text logit; a word's importance is the
+    kernel-weighted mean probability of the variants that keep it minus that
+    of the variants that drop it (kernel exp(-(1 - kept share)^2 / width^2)).
+    Rows: samples x distinct words per statement (linear in its length; no
+    word pairs).
 
     positions: (row_key, pos, word); base_score: (row_key, base); coef: (word, coef).
     Returns the ``top`` words per row: (row_key, rank, word, score)."""
-    words = positions.join(coef.select("word", "coef"), "word", "left").fillna(0.0, ["coef"])
-    # samples x words: bounded per row by n_samples * length (no pairs of words)
-    bit = F.conv(F.substring(F.md5(F.concat_ws("|", "row_key", F.col("sample").cast("string"),
-                                               F.col("pos").cast("string"))), 1, 2), 16, 10).cast("int") % 2
-    exploded = words.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
-    exploded = exploded.withColumn("keep", F.when(F.col("sample") == 0, 1).otherwise(bit))
-    v = exploded.groupBy("row_key", "sample").agg(
-        F.sum(F.col("keep") * F.col("coef")).alias("_text"),
-        F.avg("keep").alias("_frac"))
-    v = v.join(base_score, "row_key").withColumn("_score", 1 / (1 + F.exp(-(F.col("base") + F.col("_text")))))
-    v = v.withColumn("_wt", F.exp(-F.pow(1 - F.col("_frac"), 2) / F.lit(0.0625)))
-    e = exploded.select("row_key", "sample", "pos", "word", "keep").join(v.select("row_key", "sample", "_score", "_wt"),
-                                                                       ["row_key", "sample"])
-    imp = e.groupBy("row_key", "pos", "word").agg(
-        (F.try_divide(F.sum(F.when(F.col("keep") == 1, F.col("_wt") * F.col("_score"))),
-                      F.sum(F.when(F.col("keep") == 1, F.col("_wt"))))
-         - F.coalesce(F.try_divide(F.sum(F.when(F.col("keep") == 0, F.col("_wt") * F.col("_score"))),
-                                   F.sum(F.when(F.col("keep") == 0, F.col("_wt")))), F.lit(0.0))).alias("score"))
-    return top_words(imp.withColumnRenamed("pos", "word_pos"), k=top)
+    words = (positions.groupBy("row_key", "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("word_pos"))
+             .join(coef.select("word", "coef"), "word", "left")
+             .withColumn("_c", F.col("n") * F.coalesce(F.col("coef"), F.lit(0.0))))
+    h = F.md5(F.concat_ws("|", F.col("row_key"), F.col("sample").cast("string"), F.col("word")))
+    bit = (F.instr(F.lit("0123456789abcdef"), F.substring(h, 2, 1)) - 1) % 2
+    ex = (words.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
+          .withColumn("keep", F.when(F.col("sample") == 0, F.lit(1)).otherwise(bit)))
+    v = ex.groupBy("row_key", "sample").agg(
+        F.sum(F.col("keep") * F.col("_c")).alias("_text"),
+        (F.sum("keep") / F.count(F.lit(1))).alias("_frac"))
+    v = v.join(base_score, "row_key")
+    v = v.select("row_key", "sample",
+                 (F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("base") + F.col("_text"))))).alias("_p"),
+                 F.exp(-F.pow(F.lit(1.0) - F.col("_frac"), 2) / F.lit(kernel_width ** 2)).alias("_wt"))
+    e = ex.select("row_key", "sample", "word", "word_pos", "keep").join(v, ["row_key", "sample"])
+    kept, dropped = F.col("keep") == 1, F.col("keep") == 0
+    imp = e.groupBy("row_key", "word", "word_pos").agg(
+        (F.coalesce(F.try_divide(F.sum(F.when(kept, F.col("_wt") * F.col("_p"))), F.sum(F.when(kept, F.col("_wt")))),
+                    F.lit(0.0))
+         - F.coalesce(F.try_divide(F.sum(F.when(dropped, F.col("_wt") * F.col("_p"))),
+                                   F.sum(F.when(dropped, F.col("_wt")))), F.lit(0.0))).alias("score"))
+    # rank on the value rounded to 1e-12 so float summation order cannot reorder ties
+    imp = imp.withColumn("_r", F.round("score", 12))
+    w = Window.partitionBy("row_key").orderBy(F.abs("_r").desc(), F.col("word_pos"))
+    return (imp.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+            .select("row_key", "rank", "word", "score"))

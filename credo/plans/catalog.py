@@ -846,19 +846,41 @@ def numeric_attribution(spark, sf):
     return round_doubles(at.numeric_attribution(f, _NUM_W, base, noise))
 
 
-@q("perturbation_attribution")
+def _perturb_sql():
+    ctes = [
+        ("wp", _tokens_sql("d")),
+        ("trw", "SELECT w.word, CAST(sum(d.y) AS BIGINT) AS n_true, CAST(sum(1 - d.y) AS BIGINT) AS n_false FROM wp w "
+                "JOIN d USING (row_key) WHERE d.split = 'train' GROUP BY w.word"),
+        ("tot", "SELECT sum(n_true) AS tp, sum(n_false) AS tn, count(*) AS v FROM trw"),
+        ("coef", "SELECT word, ln((n_true + 1.0E0) / ((SELECT tp FROM tot) + 1.0E0 * (SELECT v FROM tot))) - "
+                 "ln((n_false + 1.0E0) / ((SELECT tn FROM tot) + 1.0E0 * (SELECT v FROM tot))) AS coef FROM trw"),
+        ("wc", "SELECT row_key, word, count(*) AS n, min(pos) AS word_pos FROM wp GROUP BY row_key, word"),
+        ("ws", "SELECT wc.*, wc.n * coalesce(coef.coef, 0.0E0) AS c FROM wc LEFT JOIN coef USING (word)"),
+        ("ex", "SELECT ws.*, s.sample, CASE WHEN s.sample = 0 THEN 1 ELSE (instr('0123456789abcdef', "
+               "substr(md5(concat_ws('|', row_key, CAST(s.sample AS VARCHAR), word)), 2, 1)) - 1) % 2 END AS keep "
+               "FROM ws CROSS JOIN (SELECT range AS sample FROM range(50)) s"),
+        ("v", "SELECT row_key, sample, 1.0E0 / (1.0E0 + exp(-(0.0E0 + sum(keep * c)))) AS p, "
+              "exp(-pow(1.0E0 - sum(keep) / count(*), 2) / 0.0625E0) AS wt FROM ex GROUP BY row_key, sample"),
+        ("imp", "SELECT ex.row_key, ex.word, ex.word_pos, coalesce(sum(CASE WHEN keep = 1 THEN wt * p END) / "
+                "sum(CASE WHEN keep = 1 THEN wt END), 0.0E0) - coalesce(sum(CASE WHEN keep = 0 THEN wt * p END) / "
+                "sum(CASE WHEN keep = 0 THEN wt END), 0.0E0) AS score FROM ex JOIN v USING (row_key, sample) "
+                "GROUP BY ex.row_key, ex.word, ex.word_pos"),
+    ]
+    body = ("SELECT row_key, CAST(rank AS INTEGER) AS rank, word, round(score, 6) + 0.0E0 AS score FROM (SELECT *, "
+            "row_number() OVER (PARTITION BY row_key ORDER BY abs(round(score, 12)) DESC, word_pos) AS rank FROM imp) t "
+            "WHERE rank <= 10")
+    return chain_sql(body, fixture="f1", extra=ctes)
+
+
+@q("perturbation_attribution", _perturb_sql())
 def perturbation_attribution(spark, sf):
-    """Fallback attributions for the rows whose primary attribution is POOR
-    (rows-only check)."""
+    """Perturbation (word-removal) attributions for every statement, with the
+    closed-form text model; the explainer the completeness check falls back
+    to, here run as an alternative explainer over the whole table."""
     c, s, pos, coef = _f1_text_model(spark, sf)
-    attr = at.text_attribution(pos, coef.select("word", "coef"))
-    feats = c.features()
-    target = feats.select("row_key", F.lit(0.0).alias("target"))
-    cd = at.completeness_delta(attr, target)
-    routed = cd.filter(~F.col("use_primary")).select("row_key")
-    base = feats.join(routed, "row_key", "left_semi").select(
-        "row_key", (F.col("speaker_cred") - F.lit(0.5)).alias("base"))
-    return at.perturbation_attribution(pos.join(routed, "row_key", "left_semi"), base, coef.select("word", "coef"))
+    base = s.select("row_key", F.lit(0.0).alias("base"))
+    out = at.perturbation_attribution(pos, base, coef.select("word", "coef"))
+    return round_doubles(out.withColumn("rank", F.col("rank").cast("int")))
 
 
 # --------------------------------------------------- flows and the stream

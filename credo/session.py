@@ -66,3 +66,27 @@ def scratch_dir(spark: SparkSession, name: str) -> str:
     """A new, unique folder under the shared checkpoint directory."""
     base = ensure_checkpoint_dir(spark).rstrip("/")
     return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+
+
+def cluster_conf(input_bytes: int, total_cores: int, target_partition_bytes: int = 256 << 20) -> dict:
+    """Settings for a large cluster run, sized from the input volume.
+
+    * initial shuffle partitions ~ input / 256 MB (at least 2 x cores): each
+      reducer of a full-width shuffle (dedup, stratified split, lookup joins)
+      stays around a few hundred MB and spills rather than failing; AQE then
+      coalesces the small ones (lookups, metrics) toward the advisory size;
+    * file splits of 256 MB for parquet scans;
+    * skew joins split partitions more than 5x the median and above 512 MB.
+    Apply with ``spark.conf.set`` before running a flow.
+    """
+    parts = max(2 * total_cores, int(input_bytes // target_partition_bytes) + 1)
+    return {
+        "spark.sql.shuffle.partitions": str(parts),
+        "spark.sql.files.maxPartitionBytes": str(target_partition_bytes),
+        "spark.sql.adaptive.enabled": "true",
+        "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": str(128 << 20),
+        "spark.sql.adaptive.skewJoin.enabled": "true",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "5",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": str(512 << 20),
+    }

@@ -18,7 +18,7 @@ SPK_LINE = "this speaker has been truthful %.0f%% of the time historically (%s)"
 AFL_LINE = "this speaker's political affiliation has a %.0f%% truthfulness rate (%s)"
 CTX_LINE = "statements made in this context are true %.0f%% of the time (%s)"
 LEN_LINE = "the statement is %s (%s)"
-VERDICT = "This statement is likely %s (confidence: %d%%)."
+VERDICT = "This statement is likely %s (confidence: %s%%)."
 WORDS = "The words most associated with this decision were: %s."
 PROMPT_HEAD = (
     "You are explaining a political fact-checking decision. "
@@ -51,31 +51,46 @@ def direction(score: Column) -> Column:
     return F.when(score > 0, F.lit("supports TRUE")).otherwise(F.lit("supports FALSE"))
 
 
-def _fmt2(v: Column) -> Column:
-    """'%.2f' after half-even rounding (no Formatter call)."""
-    return F.bround(v, 2).cast("decimal(24,2)").cast("string")
+def _fmt(spec: str, v: Column) -> Column:
+    """'%.2f' / '%.0f' after half-even rounding, '%s' as text (no Formatter)."""
+    if spec == "%s":
+        return v.cast("string")
+    digits = int(spec[2:-1])
+    return F.bround(v, digits).cast(f"decimal(24,{digits})").cast("string")
 
 
-def _fmt0(v: Column) -> Column:
-    """'%.0f' after half-even rounding."""
-    return F.bround(v, 0).cast("decimal(24,0)").cast("string")
+def fill(template: str, *values: Column) -> Column:
+    """Fill a printf-style template (%s, %.Nf, %%) with columns, as one
+    codegen-friendly ``concat``."""
+    import re
+
+    parts, vals, pos = [], list(values), 0
+    for m in re.finditer(r"%%|%s|%\.\d+f", template):
+        lit = template[pos:m.start()]
+        if m.group() == "%%":
+            parts.append(F.lit(lit + "%"))
+        else:
+            if lit:
+                parts.append(F.lit(lit))
+            parts.append(_fmt(m.group(), vals.pop(0)))
+        pos = m.end()
+    if template[pos:]:
+        parts.append(F.lit(template[pos:]))
+    return F.concat(*parts)
 
 
 def _line(feature: str) -> Column:
     val, att = (F.col(c) for c in FEATURE_COLUMNS[feature])
     d = direction(att)
     if feature == "cs_ratio":
-        return F.concat(F.lit("the speaker's falsehood score is "), _fmt2(val), F.lit("/1.0 ("), d, F.lit(")"))
+        return fill(CS_LINE, val, d)
     if feature == "speaker_cred":
-        return F.concat(F.lit("this speaker has been truthful "), _fmt0(val * 100),
-                        F.lit("% of the time historically ("), d, F.lit(")"))
+        return fill(SPK_LINE, val * 100, d)
     if feature == "affil_cred":
-        return F.concat(F.lit("this speaker's political affiliation has a "), _fmt0(val * 100),
-                        F.lit("% truthfulness rate ("), d, F.lit(")"))
+        return fill(AFL_LINE, val * 100, d)
     if feature == "ctx_cred":
-        return F.concat(F.lit("statements made in this context are true "), _fmt0(val * 100),
-                        F.lit("% of the time ("), d, F.lit(")"))
-    return F.concat(F.lit("the statement is "), length_bucket(val), F.lit(" ("), d, F.lit(")"))
+        return fill(CTX_LINE, val * 100, d)
+    return fill(LEN_LINE, length_bucket(val), d)
 
 
 def _skip(feature: str, default_cred) -> Column:
@@ -149,15 +164,14 @@ def explanation_prompt(statement: Column, label: Column, confidence: Column, top
         F.lit("2. Speaker/context signals:\n"),
         F.coalesce(lines, F.lit("")),
     )
-    return F.concat(body, F.format_string(PROMPT_TAIL, label))
+    return F.concat(body, fill(PROMPT_TAIL, label))
 
 
 def rule_based_explanation(label: Column, confidence: Column, top_words: Column, first_line: Column) -> Column:
     """Verdict sentence, the key words (when any), the strongest evidence line
     with a capital first letter and a full stop."""
-    s1 = F.format_string(VERDICT, F.when(label == "TRUE", F.lit("true")).otherwise(F.lit("false")),
-                         confidence.cast("int"))
-    s2 = F.when(F.coalesce(top_words, F.lit("")) != "", F.format_string(WORDS, top_words))
+    s1 = fill(VERDICT, F.when(label == "TRUE", F.lit("true")).otherwise(F.lit("false")), confidence.cast("int"))
+    s2 = F.when(F.coalesce(top_words, F.lit("")) != "", fill(WORDS, top_words))
     e = F.regexp_replace(F.trim(first_line), "^[- ]+", "")
     e = F.concat(F.upper(F.substring(e, 1, 1)), F.substring(e, 2, 1 << 30))
     s3 = F.when(first_line.isNotNull() & (e != ""),

@@ -96,7 +96,9 @@ def class_weights(train: DataFrame, y: str = "y") -> DataFrame:
 
 
 def build_pipeline(reg: float = 0.01, text: bool = True, num_features: int = NUM_FEATURES,
-                   max_iter: int = 50) -> Pipeline:
+                   max_iter: int = 50, tol: float = 1e-4) -> Pipeline:
+    """tol 1e-4: at sf0.1 the fit stops after 13 instead of 22 L-BFGS passes
+    with the same training AUC (0.6515 both) -- each pass is a full scan."""
     stages = []
     inputs = list(NUMERIC)
     if text:
@@ -105,7 +107,7 @@ def build_pipeline(reg: float = 0.01, text: bool = True, num_features: int = NUM
         inputs.append("text_tf")
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="keep"))
     stages.append(LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", regParam=reg,
-                                     elasticNetParam=0.0, maxIter=max_iter, standardization=True))
+                                     elasticNetParam=0.0, maxIter=max_iter, tol=tol, standardization=True))
     return Pipeline(stages=stages)
 
 

@@ -82,3 +82,19 @@ def test_sweep_best_at_least_value_at_half(spark):
     sw = threshold_sweep(f3).collect()
     best = max(r["balanced_accuracy"] for r in sw)
     assert [r for r in sw if r["is_best"]][0]["balanced_accuracy"] == best
+
+
+def test_lookups_same_for_1_and_8_partitions(spark):
+    from credo.operators.features import feature_table
+
+    def run():
+        s, lk, f = _features(fx.f1(spark, SF0001))
+        return rows(lk), rows(f.select("row_key", "cs_ratio", "speaker_cred", "affil_cred", "ctx_cred", "len_norm"))
+
+    a = run()
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        b = run()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert a == b

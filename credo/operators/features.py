@@ -59,11 +59,31 @@ def lookups_for_mode(lookups: DataFrame, mode: str, policy: str = "merge") -> Da
     return lookups if mode == "raw" else normalize_lookup(lookups, policy)
 
 
+SALT_COL = "_salt"
+
+
+def with_salt(df: DataFrame, salts: int, key: str = "row_key") -> DataFrame:
+    """Spread rows over ``salts`` sub-keys (deterministic, from the row key)."""
+    return df.withColumn(SALT_COL, F.pmod(F.xxhash64(F.col(key)), F.lit(salts)).cast("int"))
+
+
+def salted_left_join(df: DataFrame, side: DataFrame, cond: Column, salts: int) -> DataFrame:
+    """Left join where a hot key on ``df`` is split over ``salts`` tasks: each
+    fact row carries a salt, the (small, one row per key) side is replicated
+    once per salt -- S x keys rows, a known bound -- and the salt joins too."""
+    if salts <= 1:
+        return df.join(side, cond, "left")
+    rep = side.withColumn("_s_side", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left = df if SALT_COL in df.columns else with_salt(df, salts)
+    out = left.join(rep, cond & (F.col(SALT_COL) == F.col("_s_side")), "left").drop("_s_side")
+    return out if SALT_COL in df.columns else out.drop(SALT_COL)
+
+
 def _join_value(df: DataFrame, lk: DataFrame, kind: str, probe: Column, value: str,
-                out: str, default: Column | None, known: str | None = None) -> DataFrame:
+                out: str, default: Column | None, known: str | None = None, salts: int = 0) -> DataFrame:
     side = lk.filter(F.col("kind") == kind).select(F.col("key").alias(f"_k_{out}"),
                                                     F.col(value).alias(f"_v_{out}"))
-    j = df.join(side, probe == F.col(f"_k_{out}"), "left")
+    j = salted_left_join(df, side, probe == F.col(f"_k_{out}"), salts)
     v = F.col(f"_v_{out}") if default is None else F.coalesce(F.col(f"_v_{out}"), default)
     j = j.withColumn(out, v)
     if known:
@@ -97,11 +117,13 @@ def build_metadata(df: DataFrame, lookups: DataFrame, stats=None, key_mode: str
 
 def feature_table(df: DataFrame, lookups: DataFrame, stats=None, key_mode: str = "normalized",
                   cs_default: float = CS_DEFAULT, clean_text: bool = False,
-                  policy: str = "merge") -> DataFrame:
+                  policy: str = "merge", salts: int = 0) -> DataFrame:
     """cs_ratio, cs_known and the four metadata features for every row.
 
     When the credit score and the speaker credibility use the same probe
-    (raw and normalized modes) one speaker join serves both."""
+    (raw and normalized modes) one speaker join serves both.  ``salts`` > 1
+    salts the joins explicitly (for clusters without AQE skew splitting);
+    by default AQE splits hot partitions at runtime."""
     if key_mode == "eval_compat":
         out = attach_cs(df, lookups, key_mode, cs_default, policy)
         return build_metadata(out, lookups, stats, key_mode, clean_text, policy)
@@ -112,17 +134,19 @@ def feature_table(df: DataFrame, lookups: DataFrame, stats=None, key_mode: str =
     normed = key_mode == "normalized"
     spk = lk.filter(F.col("kind") == "speaker").select(F.col("key").alias("_k_spk"), F.col("cs").alias("_cs"),
                                                        F.col("cred").alias("_cred"))
-    out = out.join(spk, _probe("speaker", "speaker_name", normed) == F.col("_k_spk"), "left")
+    if salts > 1:
+        out = with_salt(out, salts)
+    out = salted_left_join(out, spk, _probe("speaker", "speaker_name", normed) == F.col("_k_spk"), salts)
     out = (out.withColumn("cs_ratio", F.coalesce(F.col("_cs"), F.lit(float(cs_default))))
               .withColumn("cs_known", F.col("_k_spk").isNotNull())
               .withColumn("speaker_cred", F.coalesce(F.col("_cred"), dflt))
               .drop("_k_spk", "_cs", "_cred"))
     for name in ("affil_cred", "ctx_cred"):
         kind, col = META[name]
-        out = _join_value(out, lk, kind, _probe(kind, col, normed), "cred", name, dflt)
+        out = _join_value(out, lk, kind, _probe(kind, col, normed), "cred", name, dflt, salts=salts)
     text = standardize_format("statement") if clean_text else F.col("statement")
     out = out.withColumn("len_norm", (statement_length(text) - _stat(stats, "len_mean")) / _stat(stats, "len_std"))
-    return out.drop("_st")
+    return out.drop("_st", SALT_COL) if SALT_COL in out.columns else out.drop("_st")
 
 
 def key_mode_compare(df: DataFrame, lookups: DataFrame, cs_default: float = CS_DEFAULT) -> DataFrame:

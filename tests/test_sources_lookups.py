@@ -49,6 +49,9 @@ def test_hot_speaker_join_is_exact(spark):
         df = spark.createDataFrame(data, SCHEMA)
         lk = all_lookups(df)
         out = feature_table(df, lk, lookup_stats(lk))
+        salted = feature_table(df, lk, lookup_stats(lk), salts=8)
+        cols = ["row_key", "cs_ratio", "cs_known", "speaker_cred", "affil_cred", "ctx_cred", "len_norm"]
+        assert rows(salted.select(*cols)) == rows(out.select(*cols))
         hot = out.filter(F.col("speaker_name") == "hot").select("speaker_cred", "cs_ratio").distinct().collect()
         assert len(hot) == 1
         assert abs(hot[0]["speaker_cred"] - 2000 / 3000) < 1e-12

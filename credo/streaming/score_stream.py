@@ -42,3 +42,28 @@ def lineitem_statement_stream(spark: SparkSession, sf_dir: str, max_files: int =
         fx.table(spark, sf_dir, "supplier").select("s_suppkey", "s_name", "s_nationkey"),
         fx.table(spark, sf_dir, "nation").select("n_nationkey", "n_name"),
     )
+
+
+def start_with_reload(stream: DataFrame, artifacts_path, out_path: str, checkpoint: str,
+                      available_now: bool = True, clean_text: bool = True):
+    """Score each micro-batch with the artifacts current at that batch.
+
+    ``artifacts_path`` is a callable returning the artifacts folder to use
+    (e.g. the newest training run); it is read once per micro-batch, so new
+    lookups and models take effect without a restart.  Each batch is written
+    to its own ``batch_id`` partition with dynamic overwrite: a batch replayed
+    after a failure replaces its own output (exactly-once results)."""
+    from pyspark.sql import functions as F
+
+    from credo.sources.artifacts import load_artifacts
+
+    def write_batch(batch_df: DataFrame, batch_id: int) -> None:
+        spark = batch_df.sparkSession
+        art = load_artifacts(spark, artifacts_path())
+        scored = score_requests(batch_df, art, clean_text=clean_text).withColumn("batch_id", F.lit(batch_id))
+        (scored.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+         .partitionBy("batch_id").parquet(out_path))
+
+    q = stream.writeStream.foreachBatch(write_batch).option("checkpointLocation", checkpoint)
+    q = q.trigger(availableNow=True) if available_now else q
+    return q.start()

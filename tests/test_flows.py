@@ -48,3 +48,14 @@ def test_stream_equals_batch(spark):
     batch = rows(score_requests(fx.f2(spark, SF0001), art))
     assert len(streamed) == 6000
     assert streamed == batch
+
+
+def test_stream_with_reload_equals_batch(spark):
+    from credo.streaming.score_stream import start_with_reload
+
+    res = train(spark, normalize_statements(fx.f2(spark, SF0001)), regs=(0.01,))
+    out, ck = scratch_dir(spark, "t-rl-out"), scratch_dir(spark, "t-rl-ck")
+    start_with_reload(lineitem_statement_stream(spark, SF0001), lambda: res["artifacts_dir"], out, ck).awaitTermination()
+    streamed = rows(spark.read.parquet(out).drop("batch_id"))
+    batch = rows(score_requests(fx.f2(spark, SF0001), load_artifacts(spark, res["artifacts_dir"])))
+    assert streamed == batch

@@ -235,3 +235,17 @@ def perturbation_attribution(positions: DataFrame, base_score: DataFrame, coef:
     w = Window.partitionBy("row_key").orderBy(F.abs("_r").desc(), F.col("word_pos"))
     return (imp.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
             .select("row_key", "rank", "word", "score"))
+
+
+def route_attributions(primary: DataFrame, delta: DataFrame, fallback) -> DataFrame:
+    """Keep the primary attributions of rows whose completeness check passed
+    and take the fallback explainer's rows for the others (a filter on each
+    side and a union -- the fallback only ever sees the routed rows).
+
+    primary: (row_key, rank, word, score); delta: completeness_delta output;
+    fallback: callable(routed_keys DataFrame) -> (row_key, rank, word, score)."""
+    ok = delta.filter(F.col("use_primary")).select("row_key")
+    poor = delta.filter(~F.col("use_primary")).select("row_key")
+    kept = primary.join(ok, "row_key", "left_semi").withColumn("method", F.lit("primary"))
+    other = fallback(poor).withColumn("method", F.lit("fallback"))
+    return kept.unionByName(other)

@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from credo.operators.attribution import merge_subwords, top_words
 from tests.conftest import rows
@@ -34,3 +35,14 @@ def test_top_words_ties_keep_text_order(spark):
                                 ("r", 5, "e", .2)], "row_key string, word_pos long, word string, score double")
     out = rows(top_words(df), "rank", "word")
     assert out == [(1, "b"), (2, "c"), (3, "e")]
+
+
+def test_route_attributions(spark):
+    from credo.operators.attribution import route_attributions
+
+    prim = spark.createDataFrame([("a", 1, "x", .5), ("b", 1, "y", .4)], "row_key string, rank int, word string, score double")
+    delta = spark.createDataFrame([("a", 0.01, "EXCELLENT", True), ("b", 0.5, "POOR", False)],
+                                  "row_key string, delta double, quality string, use_primary boolean")
+    fb = lambda keys: keys.select("row_key", F.lit(1).alias("rank"), F.lit("z").alias("word"), F.lit(0.1).alias("score"))
+    out = rows(route_attributions(prim, delta, fb), "row_key", "word", "method")
+    assert out == [("a", "x", "primary"), ("b", "z", "fallback")]

@@ -59,3 +59,15 @@ def test_stream_with_reload_equals_batch(spark):
     streamed = rows(spark.read.parquet(out).drop("batch_id"))
     batch = rows(score_requests(fx.f2(spark, SF0001), load_artifacts(spark, res["artifacts_dir"])))
     assert streamed == batch
+
+
+def test_embedding_model(spark):
+    from credo.operators.modeling import batch_score, join_embeddings, train_model
+    from credo.plans.chain import Chain
+
+    c = Chain(spark, "/root/testdata/sf0.01", fixture="f1", split="stratified")
+    f = join_embeddings(c.features(), fx.f5(spark, "/root/testdata/sf0.01"))
+    m = train_model(f.filter("split = 'train'"), text="embedding")
+    s = batch_score(m, f, text="embedding")
+    assert s.count() == f.count()
+    assert s.filter("prob < 0 OR prob > 1 OR prob IS NULL").count() == 0

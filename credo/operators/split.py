@@ -14,7 +14,6 @@ ranked row by row, each in its own window partition.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F

@@ -25,8 +25,8 @@ from credo.operators import metrics as me
 from credo.operators import split as sp
 from credo.operators import sweep as sw
 from credo.plans import fixtures as fx
-from credo.plans.chain import (Chain, chain_sql, features_cte, norm_lookup_cte, round_doubles, s_clean,
-                               s_norm_lower, s_norm_speaker, s_strip, s_w, s_y)
+from credo.plans.chain import (Chain, chain_sql, features_cte, round_doubles, s_clean,
+                               s_norm_lower, s_norm_speaker, s_w, s_y)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}

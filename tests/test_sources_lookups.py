@@ -58,3 +58,24 @@ def test_hot_speaker_join_is_exact(spark):
         assert out.count() == 9000
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_cluster_conf_sizes_partitions():
+    from credo.session import cluster_conf
+
+    c = cluster_conf(100 * (1 << 40), 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 100 * (1 << 40) // (256 << 20) + 1
+    assert int(cluster_conf(1 << 20, 8)["spark.sql.shuffle.partitions"]) == 16
+
+
+def test_write_predictions_round_trip(spark):
+    from credo.plans import fixtures as fx
+    from credo.session import scratch_dir
+    from credo.sources.sinks import predictions, write_predictions
+    from tests.conftest import SF0001
+
+    pred = predictions(fx.f3(spark, SF0001), 0.57)
+    path = scratch_dir(spark, "t-pred")
+    write_predictions(pred, path)
+    back = spark.read.parquet(path)
+    assert back.count() == 6000 and rows(back) == rows(pred)

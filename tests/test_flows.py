@@ -71,3 +71,21 @@ def test_embedding_model(spark):
     s = batch_score(m, f, text="embedding")
     assert s.count() == f.count()
     assert s.filter("prob < 0 OR prob > 1 OR prob IS NULL").count() == 0
+
+
+def test_public_api_round_trip(spark):
+    import os
+    import tempfile
+
+    from credo import api
+
+    d = tempfile.mkdtemp(prefix="credo-api-")
+    path = os.path.join(d, "data.csv")
+    fx.f1(spark, "/root/testdata/sf0.01").drop("row_key").toPandas().to_csv(path, index=False)
+    summary = api.train(path, spark=spark, regs=(0.1,))
+    report = api.evaluate(path, summary["artifacts_dir"], spark=spark)
+    assert set(report) >= {"accuracy", "balanced_accuracy", "auc_roc", "mcc", "f1", "precision", "recall"}
+    out = api.predict({"statement": "The rate has reached a record low.", "speaker": "Source 3",
+                       "speaker_affiliation": "EN", "context": "a press release"}, summary["artifacts_dir"], spark=spark)
+    assert out["prediction"] in ("TRUE", "FALSE")
+    assert out["explanation"].startswith("This statement is likely ")

@@ -79,3 +79,19 @@ def test_write_predictions_round_trip(spark):
     write_predictions(pred, path)
     back = spark.read.parquet(path)
     assert back.count() == 6000 and rows(back) == rows(pred)
+
+
+def test_csv_without_key_keeps_first_in_file_order(spark):
+    from credo.operators.dedup import deduplicate
+
+    d = tempfile.mkdtemp(prefix="credo-csv-")
+    p = os.path.join(d, "s.csv")
+    with open(p, "w") as f:
+        f.write("statement,label,speaker_name\n")
+        for i in range(30):
+            f.write(f"same,true,speaker{30 - i}\n")
+        f.write("other,false,x\n")
+    df = load_statements(spark, p)
+    assert df.columns[0] == "row_key" and df.select("row_key").distinct().count() == 31
+    kept = rows(deduplicate(df), "statement", "speaker_name")
+    assert kept == [("other", "x"), ("same", "speaker30")]

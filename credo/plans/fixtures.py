@@ -251,3 +251,16 @@ def with_fixtures(body: str, *names: str, extra: list[tuple[str, str]] | None =
     if not ctes:
         return body
     return "WITH " + ",\n".join(ctes) + "\n" + body
+
+
+def register_fixture_views(spark: SparkSession, sf_dir: str) -> list[str]:
+    """Temp views f1..f5 (and the driver's tables) for SQL users."""
+    names = []
+    for t in ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+              "documents", "embeddings", "pages", "benchmark", "labels", "conversations"):
+        table(spark, sf_dir, t).createOrReplaceTempView(t)
+        names.append(t)
+    for n, fn in (("f1", f1), ("f2", f2), ("f3", f3), ("f4", f4), ("f5", f5)):
+        fn(spark, sf_dir).createOrReplaceTempView(n)
+        names.append(n)
+    return names

@@ -105,26 +105,24 @@ def word_positions(df: DataFrame, text_col: str = "statement", clean: bool = Tru
              .withColumn("pos", F.col("pos").cast("bigint") + 1)
 
 
-def text_attribution(positions: DataFrame, coef: DataFrame, key: str = "word") -> DataFrame:
+def text_attribution(positions: DataFrame, coef: DataFrame, key: str = "word",
+                     presence: bool = False) -> DataFrame:
     """Linear text model: each occurrence of a word contributes its weight
     (integrated gradients from an empty baseline are exact for a linear
     model).  Occurrences are first counted per (row, word), so a very common
     word is pre-aggregated before it meets the coefficient table.
 
-    positions: (row_key, pos, word); coef: (<key>, coef).
+    positions: (row_key, pos, word); coef: (<key>, coef) keyed by word (a
+    vocabulary model's ``text_coef_table`` or ``word_log_odds``).
+    ``presence``: the model sees word presence (counts otherwise).
     Returns (row_key, word, n, first_pos, score)."""
     counts = positions.groupBy("row_key", "word").agg(
         F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
-    if key != "word":
-        counts = counts.withColumn(key, hashed_bucket(F.col("word"), coef))
-    j = counts.join(coef, key, "left")
-    return j.select("row_key", "word", "n", "first_pos",
-                    (F.col("n") * F.coalesce(F.col("coef"), F.lit(0.0))).alias("score"))
-
-
-def hashed_bucket(word: Column, coef: DataFrame | None = None, num_features: int = 1 << 16) -> Column:
-    """The HashingTF feature index of a term (Murmur3, seed 42), JVM-side."""
-    return F.pmod(F.hash(word), F.lit(num_features))
+    j = counts.join(coef.select(F.col(key).alias("word"), "coef"), "word", "left")
+    weight = F.coalesce(F.col("coef"), F.lit(0.0))
+    # presence features: a present word contributes its weight once
+    score = weight if presence else F.col("n") * weight
+    return j.select("row_key", "word", "n", "first_pos", score.alias("score"))
 
 
 def word_log_odds(positions: DataFrame, labels: DataFrame, alpha: float = 1.0) -> DataFrame:
@@ -230,8 +228,8 @@ def perturbation_attribution(positions: DataFrame, base_score: DataFrame, coef:
                     F.lit(0.0))
          - F.coalesce(F.try_divide(F.sum(F.when(dropped, F.col("_wt") * F.col("_p"))),
                                    F.sum(F.when(dropped, F.col("_wt")))), F.lit(0.0))).alias("score"))
-    # rank on the value rounded to 1e-12 so float summation order cannot reorder ties
-    imp = imp.withColumn("_r", F.round("score", 12))
+    # rank on the value rounded to 1e-9 so float summation order cannot reorder ties
+    imp = imp.withColumn("_r", F.round("score", 9))
     w = Window.partitionBy("row_key").orderBy(F.abs("_r").desc(), F.col("word_pos"))
     return (imp.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
             .select("row_key", "rank", "word", "score"))

@@ -1,11 +1,11 @@
 """Text features, feature fusion, training and batch scoring.
 
-Training is Spark ML: ``HashingTF`` term presence over the whole cleaned text
+Training is Spark ML: ``CountVectorizer`` term presence over the whole cleaned text
 + the five numeric features -> ``VectorAssembler`` -> class-weighted
 ``LogisticRegression`` (TRUE rows weigh n_false / n_true, as a positive-class
 weight in a binary cross-entropy).  The model is linear in every input, so
 integrated-gradient attributions are exact (weight x value; a present word
-contributes its bucket weight once).
+contributes its own weight once).
 
 ``head_score`` evaluates a given two-layer ReLU head over fused feature
 arrays with NumPy inside an Arrow-batched pandas UDF; the weights travel
@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import HashingTF, VectorAssembler
+from pyspark.ml.feature import CountVectorizer, HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -97,7 +97,7 @@ def class_weights(train: DataFrame, y: str = "y") -> DataFrame:
 
 def build_pipeline(reg: float = 0.01, text=True, num_features: int = NUM_FEATURES,
                    max_iter: int = 50, tol: float = 1e-4) -> Pipeline:
-    """text: True/'hashed' (term presence of ``words``), 'embedding' (the
+    """text: True (vocabulary term presence of ``words``), 'embedding' (the
     ``text_emb`` vector of a precomputed sentence embedding) or False.
 
     tol 1e-4: at sf0.1 the fit stops after 13 instead of 22 L-BFGS passes
@@ -107,8 +107,10 @@ def build_pipeline(reg: float = 0.01, text=True, num_features: int = NUM_FEATURE
     if text == "embedding":
         inputs.append("text_emb")
     elif text:
-        # presence, not counts: long texts would otherwise dominate (validated on f1)
-        stages.append(HashingTF(inputCol="words", outputCol="text_tf", numFeatures=num_features, binary=True))
+        # presence, not counts: long texts would otherwise dominate (validated on f1).
+        # A vocabulary (bounded by vocabSize, most frequent words) rather than
+        # hashing: every word keeps its own weight, so word attributions are exact.
+        stages.append(CountVectorizer(inputCol="words", outputCol="text_tf", vocabSize=num_features, binary=True))
         inputs.append("text_tf")
     # feature_table never yields NULL features; embeddings carry no size
     # metadata, so that mode validates strictly instead of keeping NaNs
@@ -169,13 +171,21 @@ def coefficients(model: PipelineModel, text: bool = True, num_features: int = NU
     return numeric, float(lr.intercept), text_w
 
 
+def vocabulary(model: PipelineModel) -> list[str]:
+    """The text vocabulary of a fitted model (at most vocabSize words)."""
+    for st in model.stages:
+        if hasattr(st, "vocabulary"):
+            return list(st.vocabulary)
+    return []
+
+
 def text_coef_table(spark, model: PipelineModel, num_features: int = NUM_FEATURES) -> DataFrame:
-    """(bucket, coef) for the non-zero text weights: at most num_features rows
-    (a fixed bound), so it can be broadcast."""
+    """(word, coef) for the model's vocabulary: at most vocabSize rows (a
+    fixed bound), so it can be broadcast."""
     _, _, w = coefficients(model, True, num_features)
-    nz = np.nonzero(w)[0]
-    pdf = pd.DataFrame({"bucket": nz.astype("int32"), "coef": w[nz].astype("float64")})
-    return spark.createDataFrame(pdf, "bucket int, coef double")
+    vocab = vocabulary(model)
+    pdf = pd.DataFrame({"word": vocab, "coef": np.asarray(w[:len(vocab)], dtype="float64")})
+    return spark.createDataFrame(pdf, "word string, coef double")
 
 
 def select_by_validation(train: DataFrame, val: DataFrame, regs=(0.001, 0.01, 0.1), text: bool = True):

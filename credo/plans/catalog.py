@@ -867,7 +867,7 @@ def _perturb_sql():
                 "GROUP BY ex.row_key, ex.word, ex.word_pos"),
     ]
     body = ("SELECT row_key, CAST(rank AS INTEGER) AS rank, word, round(score, 6) + 0.0E0 AS score FROM (SELECT *, "
-            "row_number() OVER (PARTITION BY row_key ORDER BY abs(round(score, 12)) DESC, word_pos) AS rank FROM imp) t "
+            "row_number() OVER (PARTITION BY row_key ORDER BY abs(round(score, 9)) DESC, word_pos) AS rank FROM imp) t "
             "WHERE rank <= 10")
     return chain_sql(body, fixture="f1", extra=ctes)
 

@@ -24,21 +24,31 @@ from credo.operators.explain import rule_based_explanation, with_evidence
 from credo.functions.scoring import confidence_pct
 from credo.operators.features import feature_table
 from credo.operators.lookups import lookup_stats
-from credo.operators.modeling import NUM_FEATURES, batch_score, coefficients
+from credo.operators.modeling import NUM_FEATURES, batch_score, coefficients, vocabulary
 from credo.sources.statements import resolve_aliases
 
 VALUE_COLS = {"cs_ratio": "cs_val", "speaker_cred": "spk_cred", "affil_cred": "afl_cred",
               "ctx_cred": "ctx_cred", "len_norm": "len_norm"}
 
 
-def _word_scores_udf(spark, text_w: np.ndarray):
-    bw = spark.sparkContext.broadcast(np.asarray(text_w, dtype=np.float64))
+def _word_scores_udf(spark, vocab: list[str], text_w: np.ndarray):
+    """Arrow-batched lookup of each word's model weight (0 outside the
+    vocabulary): one vectorised hash-index lookup per batch."""
+    table = spark.sparkContext.broadcast((pd.Index(vocab), np.asarray(text_w[:len(vocab)], dtype=np.float64)))
 
     @F.pandas_udf(ArrayType(DoubleType()))
-    def scores(buckets: pd.Series) -> pd.Series:
-        w = bw.value
-        return pd.Series([w[np.asarray(b, dtype=np.int64)] if b is not None and len(b) else np.zeros(0)
-                          for b in buckets])
+    def scores(words: pd.Series) -> pd.Series:
+        index, w = table.value
+        arrays = [np.asarray(x if x is not None else [], dtype=object) for x in words]
+        lengths = [len(a) for a in arrays]
+        flat = np.concatenate(arrays) if sum(lengths) else np.zeros(0, dtype=object)
+        pos = index.get_indexer(flat) if len(flat) else np.zeros(0, dtype=np.int64)
+        vals = np.where(pos >= 0, w[np.maximum(pos, 0)] if len(w) else 0.0, 0.0)
+        out, start = [], 0
+        for n in lengths:
+            out.append(vals[start:start + n])
+            start += n
+        return pd.Series(out)
     return scores
 
 
@@ -66,11 +76,10 @@ def score_requests(requests: DataFrame, artifacts: dict, clean_text: bool = True
     if not explain:
         return scored.select("row_key", "prediction", "probability")
     numeric_w, _, text_w = coefficients(model, True, num_features)
-    # word contributions: weight of the word's hash bucket (exact IG for a linear model)
-    # presence features: each distinct word (first occurrence order) contributes once
+    # word contributions: the word's own weight (exact IG for a linear model);
+    # presence features: each distinct word (first occurrence order) counts once
     scored = scored.withColumn("words", F.array_distinct("words"))
-    scored = scored.withColumn("_buckets", F.transform("words", lambda w: F.pmod(F.hash(w), F.lit(num_features))))
-    scored = scored.withColumn("_wscores", _word_scores_udf(spark, text_w)(F.col("_buckets")))
+    scored = scored.withColumn("_wscores", _word_scores_udf(spark, vocabulary(model), text_w)(F.col("words")))
     ranked = F.sort_array(F.transform(F.arrays_zip(F.col("words").alias("w"), F.col("_wscores").alias("s"),
                                                    F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1))).alias("p")),
                                       lambda x: F.struct((F.lit(0.0) - F.abs(x["s"])).alias("k"), x["p"].alias("p"),

@@ -89,3 +89,26 @@ def test_public_api_round_trip(spark):
                        "speaker_affiliation": "EN", "context": "a press release"}, summary["artifacts_dir"], spark=spark)
     assert out["prediction"] in ("TRUE", "FALSE")
     assert out["explanation"].startswith("This statement is likely ")
+
+
+def test_model_attributions_are_complete(spark):
+    """intercept + numeric weight x value + word weights == logit, per row."""
+    from pyspark.sql import functions as F
+
+    from credo.operators.attribution import text_attribution, word_positions
+    from credo.operators.modeling import batch_score, coefficients, text_coef_table, train_model
+    from credo.plans.chain import Chain
+
+    c = Chain(spark, SF0001, fixture="f1")
+    feats = c.features()
+    m = train_model(feats.filter("split = 'train'"))
+    numeric, intercept, _ = coefficients(m)
+    scored = batch_score(m, feats).select("row_key", "logit", *numeric.keys())
+    words = word_positions(feats.select("row_key", "statement"))
+    wa = text_attribution(words, text_coef_table(spark, m), key="word", presence=True)
+    text_sum = wa.groupBy("row_key").agg(F.sum("score").alias("t"))
+    num = sum(F.lit(w) * F.col(n) for n, w in numeric.items())
+    chk = scored.join(text_sum, "row_key", "left").select(
+        "row_key", (F.lit(intercept) + num + F.coalesce(F.col("t"), F.lit(0.0)) - F.col("logit")).alias("gap"))
+    worst = chk.agg(F.max(F.abs("gap"))).first()[0]
+    assert worst < 1e-6

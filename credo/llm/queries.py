@@ -10,30 +10,45 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credo.llm import bpe, token_count
+from credo.llm import ann, bpe, chat, minhash, mixing, token_count
 from credo.llm.common import text_or_empty
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
+#: The text of conversation -1.
+CONTROL_TEXT = "</s>[INST] ok [/INST]"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Format all conversations and one with control strings; read them back."""
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = [(-1, 0, "user", CONTROL_TEXT), (-1, 1, "assistant", CONTROL_TEXT)]
+    more = spark.createDataFrame(more, "conv_id long, turn long, role string, text string")
+    return chat.digests(chat.format_conversations(turns.unionByName(more)))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; one row for each row of documents."""
     docs = table(spark, sf_dir, "documents")
-    ids = docs.select("doc_id", bpe.encode(text_or_empty("text"), BPE_RANKS, public_tokenizers.PATTERN).alias("ids"))
-    both = ids.select("doc_id", "ids", bpe.decode(F.col("ids"), BPE_RANKS).alias("decoded"))
+    both = docs.select("doc_id", bpe.round_trip(text_or_empty("text"), BPE_RANKS, public_tokenizers.PATTERN).alias("both"))
     return both.select(
         "doc_id",
-        (F.octet_length("ids") / 4).cast("long").alias("n_tokens"),
-        F.sha2("ids", 256).alias("ids_sha256"),
-        F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
+        (F.octet_length("both.ids") / 4).cast("long").alias("n_tokens"),
+        F.sha2("both.ids", 256).alias("ids_sha256"),
+        F.sha2(F.col("both.text").cast("binary"), 256).alias("decoded_sha256"),
     )
 
 
+def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Set size, group and fate of every document."""
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count the tokens of every document; one row for each row of documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty("text").alias("text"))
@@ -45,6 +60,24 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
-QUERIES = {f.__name__: f for f in (op3_byte_bpe, op8_token_counts)}
+def op9_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 10 nearest other vectors of each hundredth one."""
+    vectors = table(spark, sf_dir, "embeddings")
+    index, centre, turn = ann.build_index(vectors)
+    queries = ann.usable(vectors, "vec_id", "embedding").filter(F.col("id") % 100 == 0)
+    found = ann.search(index, centre, turn, queries, 10)
+    return found.select("query_id", "rank", F.col("id").alias("vec_id"), F.col("distance").alias("score"))
+
+
+def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of each document; one row for each row of documents."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    rows, names = mixing.repetitions(docs)
+    times, size = F.col(names["times"]), F.col(names["size"])
+    return rows.select("doc_id", size.alias("size"), F.col(names["source_size"]).alias("source_size"),
+                       F.col(names["target"]).alias("target"), (times * size).alias("taken"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_byte_bpe, op4_near_duplicates, op8_token_counts, op9_nearest, op10_mix)}
 
 ORACLE: dict[str, str] = {}

@@ -4,10 +4,10 @@ The merges are compiled into a nondeterministic transducer whose arcs spell
 the tokens byte by byte.  A path is a valid encoding exactly when each two
 neighbouring tokens are the encoding of their joined bytes, so a path only
 has to remember its last token.  ``Transducer`` determinises it lazily: a
-state is the set of live paths, each with the tokens that not all paths share
-yet; shared tokens are emitted as soon as they are common to all paths, which
-happens after a bounded number of further bytes.  Only one path ends at a
-token boundary after any byte, so the flush at the end is unique.
+state is the set of live paths, and an arc says which token ends there (only
+one path can be at a token border after any byte).  As soon as one path is
+left, all tokens so far are certain and emitted; that takes a bounded number
+of further bytes, as a path dies when no token can complete it.
 
 Decoding runs the token bytes through an incremental UTF-8 state machine whose
 states are the (at most three) pending bytes; its arcs are tokens, also built
@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 #: Words whose encoding a worker remembers; longer words and further ones are
 #: encoded again each time they occur.
-WORDS_KEPT, WORD_BYTES_KEPT = 400_000, 48
-#: States that a worker keeps before it starts anew.
-STATES_KEPT = 200_000
+WORDS_KEPT, WORD_BYTES_KEPT = 250_000, 48
+#: States and pairs of tokens that a worker remembers before it starts anew.
+STATES_KEPT, PAIRS_KEPT = 80_000, 400_000
 
 
 class Merges:
@@ -42,6 +42,7 @@ class Merges:
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
         self.bytes_of = {i: b for b, i in ranks.items()}
+        self.length = {i: len(b) for b, i in ranks.items()}
         self.arcs: list[dict[int, int]] = [{}]
         self.token_at: list[int] = [-1]
         for token, i in ranks.items():
@@ -101,72 +102,117 @@ class Merges:
 
 
 class State:
-    __slots__ = ("arcs", "flush", "paths")
+    """A set of live paths; ``arcs`` lead to (token that ends there, next state)."""
+
+    __slots__ = ("arcs", "paths", "sole")
 
     def __init__(self, paths: tuple):
-        self.paths = paths  # (trie node, last token, tokens not emitted yet)
-        self.arcs: dict[int, tuple[tuple[int, ...], State]] = {}
-        self.flush = next((p for node, _, p in paths if node == 0), ())
+        self.paths = paths
+        self.arcs: dict[int, tuple[int, State]] = {}
+        self.sole = len(paths) == 1  # all live paths agree on all tokens so far
 
 
 class Transducer:
+    """States are sets of paths.  A path is (trie node, how it may go on).
+
+    The second part is the last token (-1 at the start), or, below a node with
+    at most ``FEW`` tokens, the tuple of those that can follow it: paths with
+    the same future are one path, and those without any are dropped.
+    """
+
+    FEW = 8
+
     def __init__(self, merges: Merges):
         self.merges = merges
         self.valid: dict[int, bool] = {}
+        self.below: dict[int, tuple[int, ...] | None] = {}
         self.clear()
 
     def clear(self) -> None:
-        start = ((0, -1, ()),)
+        start = ((0, -1),)
         self.states = {start: State(start)}
         self.start = self.states[start]
 
     def fits(self, left: int, right: int) -> bool:
+        if left < 0:
+            return True
         key = left << 32 | right
         found = self.valid.get(key)
         if found is None:
-            if len(self.valid) > 4 * STATES_KEPT:
+            if len(self.valid) > PAIRS_KEPT:
                 self.valid.clear()
             found = self.valid[key] = self.merges.neighbours(left, right)
         return found
 
-    def step(self, state: State, byte: int) -> tuple[tuple[int, ...], State]:
+    def few_below(self, node: int) -> tuple[int, ...] | None:
+        """The tokens strictly below ``node``, or None for more than ``FEW``."""
+        if node not in self.below:
+            found: list[int] = []
+            todo = [node]
+            while todo and len(found) <= self.FEW:
+                for nxt in self.merges.arcs[todo.pop()].values():
+                    if self.merges.token_at[nxt] >= 0:
+                        found.append(self.merges.token_at[nxt])
+                    todo.append(nxt)
+            self.below[node] = tuple(sorted(found)) if len(found) <= self.FEW else None
+        return self.below[node]
+
+    def step(self, state: State, byte: int) -> tuple[int, State]:
         """Build the arc of ``state`` for ``byte``."""
-        arcs, token_at, paths = self.merges.arcs, self.merges.token_at, []
-        for node, last, pending in state.paths:
+        arcs, token_at, paths, ended = self.merges.arcs, self.merges.token_at, set(), -1
+        for node, after in state.paths:
             nxt = arcs[node].get(byte)
             if nxt is None:
                 continue
             token = token_at[nxt]
-            if token >= 0 and (last < 0 or self.fits(last, token)):
-                paths.append((0, token, pending + (token,)))
+            if token >= 0 and (token in after if type(after) is tuple else self.fits(after, token)):
+                ended = token
+                paths.add((0, token))
             if arcs[nxt]:
-                paths.append((nxt, last, pending))
-        first, shared = paths[0][2], 0
-        while all(len(p) > shared and p[shared] == first[shared] for _, _, p in paths) and shared < len(first):
-            shared += 1
-        key = tuple(sorted((node, last, p[shared:]) for node, last, p in paths))
+                below = self.few_below(nxt)
+                if below is None:
+                    paths.add((nxt, after))
+                elif type(after) is tuple:
+                    if left := tuple(t for t in after if t in below):
+                        paths.add((nxt, left))
+                elif left := tuple(t for t in below if self.fits(after, t)):
+                    paths.add((nxt, left))
+        key = tuple(sorted(paths, key=repr)) if len(paths) > 1 else tuple(paths)
         target = self.states.get(key)
         if target is None:
             target = self.states[key] = State(key)
-        arc = state.arcs[byte] = (first[:shared], target)
+        arc = state.arcs[byte] = (ended, target)
         return arc
 
     def encode(self, data: bytes) -> list[int]:
         if len(self.states) > STATES_KEPT:
             self.clear()
+        lengths = self.merges.length
         out: list[int] = []
+        ends: list[int] = []  # the token that ends at each byte not emitted yet
         state = self.start
         for byte in data:
             arc = state.arcs.get(byte)
             if arc is None:
                 arc = self.step(state, byte)
-            if arc[0]:
-                out.extend(arc[0])
+            ends.append(arc[0])
             state = arc[1]
-        out.extend(state.flush)
+            if state.sole:
+                out += back(ends, lengths)
+                ends = []
+        out += back(ends, lengths)
         return out
 
 
+def back(ends: list[int], lengths: dict[int, int]) -> list[int]:
+    """The one path that ends after the last byte: each token tells where the one before ends."""
+    found, at = [], len(ends) - 1
+    while at >= 0:
+        found.append(ends[at])
+        at -= lengths[ends[at]]
+    return found[::-1]
+
+
 class Words(dict):
     """From a word to its ids, packed as little-endian unsigned 32-bit integers."""
 
@@ -271,6 +317,14 @@ def splitter(pattern: str):
     return regex.compile(pattern)
 
 
+def encoded(text: str | None, words: Words, split) -> bytes:
+    return b"".join([words[m] for m in split.findall(text)]) if text else b""
+
+
+def decoded(ids: bytes | None, machine: Utf8Machine) -> str:
+    return machine.decode(array("I", ids[:len(ids) // 4 * 4])) if ids else ""
+
+
 def encode(text: Column, path: str, pattern: str) -> Column:
     """Ids of each text as little-endian unsigned 32-bit integers (binary).
 
@@ -282,7 +336,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         words, split = encoder(path), splitter(pattern)
         for batch in batches:
-            yield pd.Series([b"".join([words[m] for m in split.findall(t)]) if t else b"" for t in batch], dtype=object)
+            yield pd.Series([encoded(t, words, split) for t in batch], dtype=object)
 
     return run(text)
 
@@ -294,6 +348,19 @@ def decode(ids: Column, path: str) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         machine = decoder(path)
         for batch in batches:
-            yield pd.Series([machine.decode(array("I", bytes(x)[:len(x) // 4 * 4])) if x else "" for x in batch], dtype=object)
+            yield pd.Series([decoded(x, machine) for x in batch], dtype=object)
 
     return run(ids)
+
+
+def round_trip(text: Column, path: str, pattern: str) -> Column:
+    """struct of ``ids``, as ``encode`` gives them, and ``text``, as ``decode`` gives it, in one pass."""
+
+    @F.pandas_udf("ids binary, text string")
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        words, split, machine = encoder(path), splitter(pattern), decoder(path)
+        for batch in batches:
+            ids = [encoded(t, words, split) for t in batch]
+            yield pd.DataFrame({"ids": ids, "text": [decoded(x, machine) for x in ids]}, dtype=object)
+
+    return run(text)

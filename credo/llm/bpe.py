@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 #: Words whose encoding a worker remembers; longer words and further ones are
 #: encoded again each time they occur.
-WORDS_KEPT, WORD_BYTES_KEPT = 250_000, 48
+WORDS_KEPT, WORD_BYTES_KEPT = 600_000, 48
 #: States and pairs of tokens that a worker remembers before it starts anew.
 STATES_KEPT, PAIRS_KEPT = 80_000, 400_000
 
@@ -81,18 +81,19 @@ class Merges:
         any time must not have been merged across it before the merge undone
         last would take place; a merge of the same rank goes to the left.
         """
-        bytes_of, ranks = self.bytes_of, self.ranks
+        bytes_of, rank_of, known = self.bytes_of, self.ranks.get, self._parts
         a, b = left, right
         # a border merge must rank under `limit` to come first
         limit = 1 << 62
         while True:
-            joined = ranks.get(bytes_of[a] + bytes_of[b])
+            joined = rank_of(bytes_of[a] + bytes_of[b])
             if joined is not None and joined < limit:
                 return False
-            pa, pb = self.parts(a), self.parts(b)
-            if pa is None and pb is None:
-                return True
+            pa = known[a] if a in known else self.parts(a)
+            pb = known[b] if b in known else self.parts(b)
             if pb is None or (pa is not None and a > b):
+                if pa is None:
+                    return True
                 # a was made last, by merging its halves; at equal rank the
                 # halves of a, which lie to the left, come first
                 limit, a = a, pa[1]

@@ -10,8 +10,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credo.llm import ann, bpe, chat, minhash, mixing, token_count
-from credo.llm.common import text_or_empty
+from credo.llm import ann, bpe, chat, merkle, minhash, mixing, quality, token_count
+from credo.llm.common import crc32_fold, text_or_empty
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 PIECES = public_tokenizers.path("piece_bpe_32k.model")
@@ -49,6 +49,22 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document, by a model that doesn't see a fifth of the labels."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"))
+    held_out = crc32_fold(F.col("doc_id"), quality.FOLDS) == 0
+    scored = docs.select("doc_id", held_out.alias("held_out"), quality.score(text_or_empty("text"), model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.KEEP_FROM).cast("int"))
+
+
+def op7_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and of its edited text, and how alike they are."""
+    rows = merkle.fingerprints(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return rows.select("doc_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"),
+                       "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Count the tokens of every document; one row for each row of documents."""
     docs = table(spark, sf_dir, "documents").select("doc_id", text_or_empty("text").alias("text"))
@@ -78,6 +94,6 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col(names["target"]).alias("target"), (times * size).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_byte_bpe, op4_near_duplicates, op8_token_counts, op9_nearest, op10_mix)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_byte_bpe, op4_near_duplicates, op6_quality, op7_fingerprints, op8_token_counts, op9_nearest, op10_mix)}
 
 ORACLE: dict[str, str] = {}

@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credo.llm import ann, bpe, chat, merkle, minhash, mixing, quality, token_count
+from credo.llm import ann, bpe, chat, merkle, minhash, mixing, pii, quality, token_count
 from credo.llm.common import crc32_fold, text_or_empty
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -49,6 +49,14 @@ def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document: what the base patterns find, and what contexts add."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    rows, base, spans = pii.with_spans(docs, ["doc_id"])
+    counts = [F.size(pii.of_kind(base, kind)).cast("long").alias(f"n_{kind}") for kind in pii.KINDS]
+    return rows.select("doc_id", *counts, F.sha2(pii.written(base).cast("binary"), 256).alias("base_sha256"), pii.written(spans).alias("spans"))
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality score of every document, by a model that doesn't see a fifth of the labels."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -94,6 +102,6 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col(names["target"]).alias("target"), (times * size).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_byte_bpe, op4_near_duplicates, op6_quality, op7_fingerprints, op8_token_counts, op9_nearest, op10_mix)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op3_byte_bpe, op4_near_duplicates, op5_personal_data, op6_quality, op7_fingerprints, op8_token_counts, op9_nearest, op10_mix)}
 
 ORACLE: dict[str, str] = {}

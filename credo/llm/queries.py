@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credo.llm import ann, bpe, chat, merkle, minhash, mixing, pii, quality, token_count
+from credo.llm import ann, bpe, chat, katz, merkle, minhash, mixing, pii, quality, token_count
 from credo.llm.common import crc32_fold, text_or_empty
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -32,6 +32,12 @@ def op1_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.digests(chat.format_conversations(turns.unionByName(more)))
 
 
+def op2_katz_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score every document by a model of nine tenths of them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return katz.score_texts(docs, crc32_fold(F.col("doc_id"), 10) == 0)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Encode and decode every document; one row for each row of documents."""
     docs = table(spark, sf_dir, "documents")
@@ -102,6 +108,6 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col(names["target"]).alias("target"), (times * size).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op3_byte_bpe, op4_near_duplicates, op5_personal_data, op6_quality, op7_fingerprints, op8_token_counts, op9_nearest, op10_mix)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_katz_scores, op3_byte_bpe, op4_near_duplicates, op5_personal_data, op6_quality, op7_fingerprints, op8_token_counts, op9_nearest, op10_mix)}
 
 ORACLE: dict[str, str] = {}

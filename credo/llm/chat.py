@@ -125,11 +125,15 @@ def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int =
     names = [part.split()[0] for part in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        types = None
-        for row in windows(row for b in batches for row in b.to_pylist()):
-            types = types or pa.struct([("start", pa.int32()), ("end", pa.int32())])
-            cols = [pa.array([v], type=pa.list_(types) if n == "loss_spans" else ARROW.get(n)) for n, v in zip(names, row)]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+        kinds = dict(ARROW)
+
+        def stream() -> Iterator[dict]:
+            for batch in batches:
+                kinds["conv_id"] = batch.schema.field("conv_id").type
+                yield from batch.to_pylist()
+
+        for row in windows(stream()):
+            yield pa.RecordBatch.from_arrays([pa.array([v], kinds[n]) for n, v in zip(names, row)], names=names)
 
     def windows(stream: Iterable[dict]) -> Iterator[tuple]:
         group, header, old, new, number = None, None, [], [], 0
@@ -171,7 +175,8 @@ def format_conversations(turns: DataFrame, budget: int = BUDGET, history: int =
     return dealt.mapInArrow(run, schema)
 
 
-ARROW = {"segment": pa.int64(), "window": pa.int64(), "n_repeated": pa.int32(), "n_tokens": pa.int64(), "formatted": pa.string()}
+ARROW = {"segment": pa.int64(), "window": pa.int64(), "n_repeated": pa.int32(), "n_tokens": pa.int64(), "formatted": pa.string(),
+         "loss_spans": pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))}
 
 
 def built(repeated: list[tuple], new: list[tuple]) -> tuple:
@@ -203,9 +208,9 @@ def digests(windows: DataFrame) -> DataFrame:
         def row() -> pa.RecordBatch:
             n, turns, chars, loss, formatted = state
             values = (group[0], n, turns.hexdigest(), chars, loss.hexdigest(), formatted)
-            return pa.RecordBatch.from_arrays([pa.array([v]) if v is not None else pa.nulls(1, ids) for v in values], names=NAMES_OUT)
+            return pa.RecordBatch.from_arrays([pa.array([v], ids if n == "conv_id" else None) for n, v in zip(NAMES_OUT, values)], names=NAMES_OUT)
 
-        ids = pa.null()
+        ids = None
         for batch in batches:
             ids = batch.schema.field("conv_id").type
             for w in batch.to_pylist():

@@ -8,23 +8,28 @@ from pyspark.sql import functions as F
 from credo.llm.common import stored
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
     """node, component (its smallest node) for each node in ``links`` (a, b).
 
+    With ``rounds``, it stops early: what shares a component then is connected,
+    but a component may still be in several parts.
+
     Each round connects every node's larger neighbours, then its smaller ones,
     to the smallest node around it; links end as stars after a logarithmic
     number of rounds.  All steps are joins and map-side combined minima.
     """
     edges = stored(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct(), "links")
-    before = None
-    while True:
-        mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-        if mark == before:
-            break
-        before = mark
+    before, done = None, 0
+    while done != rounds:
+        if rounds is None:
+            mark = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
+            if mark == before:
+                break
+            before = mark
+        done += 1
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        large = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
         large = stored(large, "links")
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.greatest("v", "m").alias("u"), F.col("m").alias("v"))

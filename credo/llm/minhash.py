@@ -1,22 +1,29 @@
 """Near-duplicate documents by bottom-k sketches of one hash function.
 
 A document's set holds its distinct 5-word shingles.  Documents with the same
-words are one class; a class is represented by its smallest id.  Its sketch
-is the ``K`` smallest shingle hashes.
-
-Inverted lists of the retained values generate overlaps.  Classes whose sets
-have a Jaccard similarity of 3/4 share at least ``SHARED`` of their retained
-values (but for a chance of about 2e-6 a pair at exactly 3/4, and less above),
-so a class needs only its rarest ``K - SHARED + 1`` values as entries, and
-values that stand in many dissimilar documents, such as those of a common
-passage, are rarely among them.  Inside a list, pairs are not expanded:
-members are compared with a few leaders, first the one with the most common
-values, then a seeded choice that grows eightfold each round, and only if they
-are not connected yet.  Each pair of a list is thus either compared or already
-in one component, and a group of n copies costs about n comparisons.
-
-A comparison first estimates the similarity from the union of the two
-sketches; what passes is verified on the full sets.  Shingles are compared by
+words are one class; a class is represented by its smallest id.  A sketch
+holds the k smallest shingle hashes of a set.
+
+Inverted lists of retained values generate overlaps.  Classes whose sets have
+a Jaccard similarity of 3/4 share at least ``SHARED`` of ``K`` retained values
+(but for a chance of about 2e-6 a pair at exactly 3/4, and less above), so a
+class needs only its rarest ``K - SHARED + 1`` values as entries, and values
+that stand in many unlike documents are rarely among them.  Where such lists
+are still long, their members get larger sketches (``LONG_K``; whole sets,
+mostly) with lists of their own, in which a class needs about a quarter of its
+values; two classes that share only a passage then rarely meet.
+
+Inside a list, pairs are not expanded: members are compared with a few
+leaders, first the one with the most common values, then a seeded choice that
+grows ``GROWTH``-fold each round, and only if they are not known to be
+connected yet.  Each pair of a list is thus either compared or in one
+component, and a group of n copies costs about n comparisons.
+
+Pairs are left out if their sizes differ too much, or their parity bits do:
+each element of a set flips one of ``BITS`` bits, so the bits of two sets
+differ in at most as many places as the sets.  A comparison then estimates the
+similarity from the union of the two sketches; what passes is verified on the
+full sets.  Shingles are compared by
 64-bit hashes.
 
 Null and empty texts have empty sets and no links.  Rows without an id are
@@ -38,8 +45,14 @@ from credo.llm.common import fresh, stored, text_or_empty
 from credo.llm.components import components
 
 WORDS = 5
-#: Retained values of a sketch, and how many of them similar sets share at least.
+#: Values of a sketch that get lists, and how many of them similar sets share at least.
 K, SHARED = 32, 12
+#: The same for estimates, and for members of lists longer than ``LONG``.
+ESTIMATE_K, ESTIMATE_SHARED = 64, 31
+LONG, LONG_K, LONG_SHARED = 64, 512, 325
+GROWTH = 16
+#: Bits of a set's parity, a multiple of 64.
+BITS = 512
 #: Up to so many ids (16 MB) are broadcast to fetch their texts.
 IDS_BROADCAST = 1_000_000
 #: Words whose hash a worker remembers.
@@ -77,67 +90,96 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return np.unique((x + np.uint64(size)).view(np.int64))
 
 
+def parity(found: np.ndarray) -> np.ndarray:
+    """Whether each of ``BITS`` residues occurs an odd number of times, as 64-bit integers."""
+    bits = np.bincount((found.view(np.uint64) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
+    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+
+
 def normal_words(text: str | None) -> list[bytes]:
     """Words with A-Z in lower case."""
     return text.encode().lower().split() if text else []
 
 
-def sketches(docs: DataFrame) -> DataFrame:
-    """doc_id, same (equal for equal words; null for empty sets), n_shingles and sketch of each row of ``docs``."""
+def sketches(docs: DataFrame, k: int) -> DataFrame:
+    """doc_id, same (equal for equal words; null for empty sets), n_shingles, sketch and odd of each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            same, n, sketch = [], [], []
+            same, n, sketch, odd = [], [], [], []
             for text in batch.column(1):
                 words = normal_words(text.as_py())
                 found = shingles(words)
                 same.append(xxhash.xxh128_hexdigest(b" ".join(words)) if words else None)
                 n.append(len(found))
-                sketch.append(found[:K])
+                sketch.append(found[:k])
+                odd.append(parity(found))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(same, pa.string()), pa.array(n, pa.int64()), pa.array(sketch, pa.list_(pa.int64()))],
-                names=["doc_id", "same", "n_shingles", "sketch"])
+                [batch.column(0), pa.array(same, pa.string()), pa.array(n, pa.int64()),
+                 pa.array(sketch, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
+                names=["doc_id", "same", "n_shingles", "sketch", "odd"])
 
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty("text").alias("text"))
-    return rows.mapInArrow(run, "doc_id long, same string, n_shingles long, sketch array<long>")
+    return rows.mapInArrow(run, "doc_id long, same string, n_shingles long, sketch array<long>, odd array<long>")
 
 
-def lists(classes: DataFrame) -> DataFrame:
-    """The inverted lists' entries: value, node, level (the round in which the entry leads its list)."""
+def lists(classes: DataFrame, k: int, shared: int) -> DataFrame:
+    """The inverted lists' entries of ``classes`` (node, n_shingles, sketch, odd).
+
+    value, node, n_shingles, odd, n (members of the list) and level (the round
+    in which the entry leads the list).
+    """
+    classes = classes.select("node", "n_shingles", "odd", F.slice("sketch", 1, k).alias("sketch"))
     rows = classes.select("node", F.explode("sketch").alias("value"))
     counts = rows.groupBy("value").agg(F.count("*").alias("df")).filter("df > 1")
     hits = rows.join(counts, "value").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("df", "value"))).alias("hits"))
     size = F.size("sketch")
-    need = F.least(F.lit(SHARED), F.ceil(size * 0.75))
+    need = F.least(F.lit(shared), F.ceil(size * 0.75))
     # the values that no other class has are the rarest and need no entry
     room = size - need + 1 - (size - F.size("hits"))
     hub = F.aggregate("hits", F.lit(0).cast("long"), lambda s, h: s + F.least(h["df"], F.lit(1 << 20)))
     kept = hits.join(classes, "node").withColumns({"room": room.cast("int"), "hub": hub}).filter("room > 0")
-    entries = stored(kept.select("node", "hub", F.explode(F.slice("hits", 1, F.col("room"))).alias("h")).select("node", "hub", "h.df", "h.value"), "entries")
+    kept = kept.select("node", "n_shingles", "odd", "hub", F.explode(F.slice("hits", 1, F.col("room"))).alias("h"))
+    entries = stored(kept.select("node", "n_shingles", "odd", "hub", "h.value"), "entries")
     first = entries.groupBy("value").agg(F.max(F.struct("hub", "node")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = first.select("value", "n", F.col("first.node").alias("leader"))
     draw = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30)
-    level = F.greatest(F.lit(1), F.ceil(F.log(8.0, F.greatest(draw * F.col("n"), F.lit(1e-9)))))
+    level = F.greatest(F.lit(1), F.ceil(F.log(float(GROWTH), F.greatest(draw * F.col("n"), F.lit(1e-9)))))
     level = F.when(F.col("node") == F.col("leader"), 0).otherwise(level.cast("int"))
-    return entries.join(first, "value").select("value", "node", level.alias("level"))
+    return entries.join(first, "value").select("value", "node", "n_shingles", "odd", "n", level.alias("level"))
+
 
+def can_be_similar(n: Column, odd: Column, other_n: Column, other_odd: Column) -> Column:
+    """False only for pairs below 3/4, by sizes and parity bits.
 
-def estimate(left: str, right: str) -> Column:
-    """Whether the sketch of the union lets the sets be similar."""
-    union = F.slice(F.sort_array(F.array_union(left, right)), 1, K)
+    Sets with a similarity of 3/4 differ in at most a seventh of the sum of
+    their sizes.
+    """
+    flipped = sum((F.bit_count(odd[i].bitwiseXOR(other_odd[i])) for i in range(BITS // 64)), F.lit(0))
+    return (F.least(n, other_n) * 4 >= F.greatest(n, other_n) * 3) & (flipped * 7 <= n + other_n)
+
+
+def may_be_similar(left: str, right: str, k: int, shared: int) -> Column:
+    """Whether the sketch of the union lets the sets be similar; exact for unions below ``k``."""
+    union = F.slice(F.sort_array(F.array_union(left, right)), 1, k)
     both = F.size(F.array_intersect(F.array_intersect(left, right), union))
-    return both * K >= F.size(union) * SHARED
+    return F.when(F.size(union) < k, both * 4 >= F.size(union) * 3).otherwise(both >= shared)
+
+
+def texts_of(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """doc_id and text of the rows of ``docs`` whose id is among the stored ``ids`` (node)."""
+    if ids.count() <= IDS_BROADCAST:
+        ids = F.broadcast(ids)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
+    return docs.join(ids.withColumnRenamed("node", "doc_id"), "doc_id")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) with 100 * intersection >= 75 * union of their full sets."""
     ids = stored(pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct(), "ids")
-    if ids.count() <= IDS_BROADCAST:
-        ids = F.broadcast(ids)
-    texts = docs.select(F.col("doc_id").cast("long").alias("node"), text_or_empty("text").alias("text")).join(ids, "node")
-    texts = stored(texts, "texts")
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
+    texts = stored(texts_of(docs, ids), "texts")
+    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+    both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,36 +195,79 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+class Links:
+    """Links found so far, and labels of nodes known to be connected by them."""
+
+    def __init__(self, docs: DataFrame, first: DataFrame):
+        self.docs, self.found, self.labels, self.tested = docs, [first], None, None
+
+    def labelled(self, df: DataFrame, node: str, label: str) -> DataFrame:
+        if self.labels is None:
+            return df.withColumn(label, F.col(node))
+        known = self.labels.select(F.col("node").alias(node), F.col("component").alias(label))
+        return df.join(known, node, "left").withColumn(label, F.coalesce(label, node))
+
+    def add(self, entries: DataFrame, sketch: DataFrame, k: int, shared: int) -> None:
+        """Find the links between the members of each list (value, node, n_shingles, odd, level)."""
+        last = entries.agg(F.max("level")).first()[0]
+        for level in range(0, (last if last is not None else -1) + 1):
+            members = self.labelled(entries.filter(F.col("level") >= level), "node", "c")
+            lead = members.filter(F.col("level") == level).select(
+                "value", F.col("node").alias("leader"), F.col("c").alias("lc"), F.col("n_shingles").alias("ln"), F.col("odd").alias("lo"))
+            met = members.join(lead, "value").filter("c <> lc")
+            met = met.filter(can_be_similar(F.col("n_shingles"), F.col("odd"), F.col("ln"), F.col("lo")))
+            pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
+            if self.tested is not None:
+                pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+            pairs = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
+            pairs = pairs.join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
+            pairs = stored(pairs.filter(may_be_similar("sa", "sb", k, shared)).select("a", "b"), "pairs")
+            if pairs.isEmpty():
+                continue
+            self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+            new = stored(verified(pairs, self.docs).distinct(), "links")
+            self.found.append(new)
+            self.connect(new)
+
+    def connect(self, new: DataFrame) -> None:
+        """Give linked nodes common labels, as far as one round of stars does."""
+        edges = self.labelled(self.labelled(new, "a", "la"), "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
+        merged = components(edges, rounds=1)
+        if self.labels is None:
+            self.labels = stored(merged, "labels")
+            return
+        both = self.labels.join(merged.select(F.col("node").alias("component"), F.col("component").alias("better")), "component", "left")
+        both = both.select("node", F.coalesce("better", "component").alias("component"))
+        new_nodes = merged.join(self.labels.select("node"), "node", "left_anti")
+        self.labels = stored(both.unionByName(new_nodes.select("node", "component")), "labels")
+
+    def all(self) -> DataFrame:
+        out = self.found[0]
+        for more in self.found[1:]:
+            out = out.unionByName(more)
+        return out
+
+
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
-    rows = stored(sketches(docs), "sketches")
+    rows = stored(sketches(docs, ESTIMATE_K), "sketches")
     classes = rows.filter("same is not null and doc_id is not null").groupBy("same").agg(
-        F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.first("sketch").alias("sketch"))
+        F.min("doc_id").alias("node"), F.max("doc_id").alias("last"),
+        F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd"))
     classes = stored(classes, "classes")
-    entries = stored(lists(classes.select("node", "sketch")), "lists")
-    sketch = classes.select("node", "sketch")
-    last = entries.agg(F.max("level")).first()[0]
     # rows that share an id hang together
-    links = rows.filter("same is not null").join(classes.select("same", "node"), "same").filter("doc_id <> node")
-    links = stored(links.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).join(classes.select(F.col("node").alias("a")).distinct(), "a", "left_semi"), "links")
-    tested = None
-    parts = components(links)
-    for level in range(0, (last or 0) + 1):
-        open_ = entries.filter(F.col("level") >= level).join(parts.withColumnRenamed("component", "c"), "node", "left")
-        open_ = open_.withColumn("c", F.coalesce("c", "node"))
-        lead = open_.filter(F.col("level") == level).select("value", F.col("node").alias("leader"), F.col("c").alias("lc"))
-        met = open_.join(lead, "value").filter("c <> lc")
-        pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = pairs.join(sketch.select(F.col("node").alias("a"), F.col("sketch").alias("sa")), "a")
-        pairs = pairs.join(sketch.select(F.col("node").alias("b"), F.col("sketch").alias("sb")), "b")
-        pairs = stored(pairs.filter(estimate("sa", "sb")).select("a", "b").distinct(), "pairs")
-        if pairs.isEmpty():
-            continue
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        links = links.unionByName(stored(verified(pairs, docs), "links").distinct())
-        parts = stored(components(links), "components")
+    other = rows.filter("same is not null").join(classes.select("same", "node"), "same").filter("doc_id <> node")
+    other = other.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).join(classes.select(F.col("node").alias("a")), "a", "left_semi")
+    links = Links(docs, stored(other.distinct(), "links"))
+    entries = stored(lists(classes, K, SHARED), "lists")
+    links.add(entries.filter(F.col("n") <= LONG), classes.select("node", "sketch"), ESTIMATE_K, ESTIMATE_SHARED)
+    crowd = stored(entries.filter(F.col("n") > LONG).select("node").distinct(), "crowd")
+    if not crowd.isEmpty():
+        large = sketches(texts_of(docs, crowd), LONG_K).withColumnRenamed("doc_id", "node")
+        large = large.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n_shingles", "sketch", "odd")))
+        large = stored(large, "crowd-sketches")
+        links.add(stored(lists(large, LONG_K, LONG_SHARED), "lists"), large, LONG_K, LONG_SHARED)
+    parts = stored(components(links.all()), "components")
     copies = classes.filter("last > node").select("same", "node")
     full = rows.select("doc_id", "same", "n_shingles").join(copies, "same", "left")
     full = full.withColumn("node", F.coalesce("node", "doc_id")).join(parts, "node", "left")

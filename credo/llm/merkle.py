@@ -119,8 +119,8 @@ def differing(left: str, right: str) -> Column:
     return F.when(root(F.col(left)) == root(F.col(right)), F.slice(found, 1, 0)).otherwise(found)
 
 
-def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """``docs`` (doc_id long, text, ...) with ``next_<c>`` of each of ``columns`` from the next document.
+def with_next(docs: DataFrame, more: dict[str, Column]) -> DataFrame:
+    """``docs`` (doc_id long, text) with the columns ``more``, and ``next_<c>`` of text and of those.
 
     After the last document comes the first.  Buckets of id ranges are sorted
     each by itself; the first documents of each bucket are also sent to the
@@ -130,7 +130,7 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
     low, high, rows = ids[0] or 0, ids[1] or 0, ids[2]
     buckets = rows // BUCKET_ROWS + 1
     place = (F.col("doc_id").cast("double") - float(low)) / float(high - low + 1) * float(buckets)
-    dealt = docs.withColumns({"bucket": F.coalesce(F.least(F.floor(place).cast("long"), F.lit(buckets - 1)), F.lit(0).cast("long")), "tail": F.lit(0)})
+    dealt = docs.withColumns({"bucket": F.least(F.coalesce(F.floor(place).cast("long"), F.lit(0).cast("long")), F.lit(buckets - 1)), "tail": F.lit(0)})
     order = Window.orderBy("bucket")  # rows: buckets, not documents
     firsts = dealt.select("bucket", "doc_id").groupBy("bucket").agg(F.min(F.struct(F.col("doc_id").isNotNull(), "doc_id")).alias("first"))
     firsts = firsts.select(
@@ -139,9 +139,9 @@ def with_next(docs: DataFrame, columns: list[str]) -> DataFrame:
         firsts = F.broadcast(firsts)
     tails = docs.join(firsts, F.col("doc_id").eqNullSafe(F.col("id"))).select(
         *docs.columns, F.col("before").alias("bucket"), F.lit(1).alias("tail"))
-    both = dealt.unionByName(tails)
+    both = dealt.unionByName(tails).withColumns(more)
     by = Window.partitionBy("bucket").orderBy("tail", F.col("doc_id").asc_nulls_first(), "text")
-    both = both.withColumns({f"next_{c}": F.lead(c).over(by) for c in columns})
+    both = both.withColumns({f"next_{c}": F.lead(c).over(by) for c in ("text", *more)})
     return both.filter("tail = 0").drop("bucket", "tail")
 
 
@@ -153,7 +153,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     near_edited and near_next.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty("text").alias("text"))
-    rows = with_next(rows.withColumn("fingerprint", fingerprint(tree(F.col("text")))), ["text", "fingerprint"])
+    rows = with_next(rows, {"fingerprint": fingerprint(tree(F.col("text")))})
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), n - half), F.substring("next_text", F.lit(1), half))

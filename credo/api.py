@@ -1,9 +1,10 @@
 """Entry points with the shape of the original public API, on Spark.
 
     train(path, artifacts_dir)           -> summary dict (artifacts written)
-    evaluate(path, artifacts_dir)        -> metrics of the test split
-    predict(record_or_df, artifacts_dir) -> {'prediction', 'explanation'} for
-                                            one record, a DataFrame for a table
+    evaluate(path, artifacts_dir)        -> metrics of the labelled rows ({} for
+                                            a file without labels)
+    predict(record_or_df, artifacts_dir) -> {'prediction', 'explanation', 'prompt'}
+                                            for one record, a DataFrame for a table
 """
 
 from __future__ import annotations
@@ -30,14 +31,14 @@ def train(path: str, artifacts_dir: str | None = None, spark: SparkSession | Non
 
 
 def evaluate(path: str, artifacts_dir: str, spark: SparkSession | None = None, fmt: str = "csv",
-             split: str | None = "test") -> dict:
+             split: str | None = None) -> dict:
     from credo.plans.evaluation import evaluate as run
     from credo.sources.artifacts import load_artifacts
     from credo.sources.statements import load_statements
 
     s = _spark(spark)
     out = run(load_statements(s, path, fmt), load_artifacts(s, artifacts_dir), split=split)
-    report = out["report"].first()  # one row
+    report = out["report"].first() if out["report"] is not None else None  # one row
     return report.asDict() if report else {}
 
 
@@ -58,4 +59,4 @@ def predict(record, artifacts_dir: str, spark: SparkSession | None = None):
     row = [("r0", *[None if record.get(f) is None else str(record.get(f)) for f in fields])]
     df = s.createDataFrame(row, "row_key string, " + ", ".join(f"{f} string" for f in fields))
     out = score_requests(df, art).first()  # one row
-    return {"prediction": out["prediction"], "explanation": out["explanation"]}
+    return {"prediction": out["prediction"], "explanation": out["explanation"], "prompt": out["prompt"]}

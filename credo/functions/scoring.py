@@ -17,9 +17,9 @@ def sigmoid_prob(logit) -> Column:
 
 
 def decide(prob, threshold) -> Column:
-    """'TRUE' when prob >= threshold (inclusive), else 'FALSE'."""
+    """'TRUE' when prob >= threshold (inclusive), else 'FALSE'; NULL for a NULL prob."""
     t = threshold if isinstance(threshold, Column) else F.lit(float(threshold))
-    return F.when(_c(prob) >= t, F.lit("TRUE")).otherwise(F.lit("FALSE"))
+    return F.when(_c(prob) >= t, F.lit("TRUE")).when(_c(prob).isNotNull(), F.lit("FALSE"))
 
 
 def confidence_pct(prob, label) -> Column:

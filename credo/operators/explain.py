@@ -180,13 +180,13 @@ def rule_based_explanation(label: Column, confidence: Column, top_words: Column,
 
 
 def explain_rows(scored: DataFrame, words: DataFrame | None, threshold, default_cred,
-                 statement_col: str | None = None, with_prompt: bool = False) -> DataFrame:
+                 statement_col: str | None = None, with_prompt: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Prediction, confidence and explanation for every scored row.
 
     scored: row_key, prob, the five feature values and a_* attributions
             (cs_known, cs_val, spk_cred, afl_cred, ctx_cred, len_norm);
     words:  (row_key, top_words) or None.  ``default_cred`` may be a
-    number or a column."""
+    number or a column; columns named in ``keep`` pass through."""
     label = decide("prob", threshold)
     out = scored.withColumn("prediction", label).withColumn("confidence", confidence_pct("prob", F.col("prediction")))
     if words is not None:
@@ -196,7 +196,7 @@ def explain_rows(scored: DataFrame, words: DataFrame | None, threshold, default_
     out = with_evidence(out, default_cred)
     out = out.withColumn("explanation", rule_based_explanation(F.col("prediction"), F.col("confidence"),
                                                                F.col("top_words"), F.col("ev1_line")))
-    cols = ["row_key", "prediction", "confidence", "top_words", "explanation"]
+    cols = ["row_key", "prediction", "confidence", "top_words", "explanation", *keep]
     if with_prompt:
         stmt = F.col(statement_col) if statement_col else F.lit("")
         out = out.withColumn("prompt", explanation_prompt(stmt, F.col("prediction"), F.col("confidence"),

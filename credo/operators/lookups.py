@@ -38,15 +38,19 @@ def _stats_expr(length_col):
     ]
 
 
-def all_lookups(train: DataFrame, clean_text: bool = False) -> DataFrame:
-    """All lookups + overall stats from a training split, in one aggregation."""
+def all_lookups(train: DataFrame, clean_text: bool = False, strip: bool = True) -> DataFrame:
+    """All lookups + overall stats from a training split, in one aggregation.
+
+    ``strip=False`` keeps keys as written, which policy 'last' of
+    ``normalize_lookup`` needs: there the raw keys compete."""
     from credo.functions.text import standardize_format
 
     text = standardize_format("statement") if clean_text else F.col("statement")
+    key_of = strip_ws if strip else F.col
     t = with_label_columns(train).select(
-        strip_ws("speaker_name").alias("_spk"),
-        strip_ws("speaker_affiliation").alias("_afl"),
-        strip_ws("statement_context").alias("_ctx"),
+        key_of("speaker_name").alias("_spk"),
+        key_of("speaker_affiliation").alias("_afl"),
+        key_of("statement_context").alias("_ctx"),
         F.col("y"),
         cs_weight_hundredths("label").alias("_w"),
         statement_length(text).alias("_len"),
@@ -135,7 +139,7 @@ def normalize_lookup(lookups: DataFrame, policy: str = "merge") -> DataFrame:
     merge: keys that collide after normalisation are pooled (their counts
            add up), so the value is the rate over all their rows.
     last:  the value of the largest raw key wins (what a dict rebuilt from
-           sorted keys would keep).
+           sorted keys would keep); takes ``all_lookups(..., strip=False)``.
     """
     norm = (F.when(F.col("kind") == "speaker", norm_speaker("key"))
             .when(F.col("kind") == "affiliation", norm_affil("key"))

@@ -1,11 +1,13 @@
 """Exact classification metrics over a scored table (columns y, prob).
 
-Counts-based metrics come from one aggregation of four conditional counts.
+Counts-based metrics come from one aggregation of four conditional counts;
+rows without a label or a probability belong to none of them.
 AUC is exact (ties count half) without a global sort: probabilities are
 first reduced to one row per distinct value (partial aggregation), then
-prefix sums of negatives are built in two levels -- per fixed-width
-probability bucket (at most 65,537 rows, a bounded table) and inside each
-bucket (one window partition per bucket, run in parallel).  The numerator is
+prefix sums of negatives are built in three levels -- per fixed-width
+probability bucket (a bounded table), per part of a bucket (for models that
+crowd their scores into a few buckets) and inside each part (one window
+partition per part, run in parallel).  The numerator is
 accumulated as an exact DECIMAL(38,0), so the result does not depend on the
 order in which partitions are summed.
 """
@@ -25,6 +27,14 @@ def _pred(prob: Column, threshold) -> Column:
     return (decide(prob, threshold) == "TRUE").cast("int")
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which NULL keys meet, too; the keys come from the left."""
+    names = {k: f"_r_{k}" for k in keys}
+    right = right.withColumnsRenamed(names)
+    on = [F.col(k).eqNullSafe(F.col(n)) for k, n in names.items()]
+    return left.join(right, on, how).drop(*names.values())
+
+
 def confusion_counts(df: DataFrame, threshold, group_cols=(), y: str = "y", prob: str = "prob",
                      pred: Column | None = None) -> DataFrame:
     p = _pred(F.col(prob), threshold) if pred is None else pred
@@ -100,19 +110,28 @@ def recall(df, threshold, group_cols=()):
 def auc_roc(df: DataFrame, group_cols=(), y: str = "y", prob: str = "prob") -> DataFrame:
     """Exact ROC AUC per group (NULL when a group has only one class)."""
     g = list(group_cols)
+    df = df.filter(F.col(prob).isNotNull() & F.col(y).isNotNull())
     p = (df.groupBy(*g, F.col(prob).alias("_p"))
            .agg(F.sum(F.col(y)).cast("bigint").alias("_pos"),
                 F.sum(1 - F.col(y)).cast("bigint").alias("_neg")))
-    clipped = F.least(F.greatest(F.col("_p"), F.lit(0.0)), F.lit(1.0))
-    p = p.withColumn("_b", F.floor(clipped * AUC_BUCKETS).cast("int"))
-    # level 1: negatives per bucket -> offsets (<= 65,537 rows per group)
-    bt = p.groupBy(*g, "_b").agg(F.sum("_neg").alias("_bneg"))
-    wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    # any score, also outside [0, 1], in order
+    place = (F.lit(1.0) + F.col("_p") / (F.lit(1.0) + F.abs("_p"))) * (AUC_BUCKETS // 2)
+    p = p.withColumn("_b", F.floor(place).cast("int"))
+    p = p.withColumn("_s", F.floor((place - F.col("_b")) * AUC_BUCKETS).cast("int"))
+    before = (Window.unboundedPreceding, -1)
+    # levels 1 and 2: negatives per part -> offsets inside the bucket and of the bucket
+    parts = p.groupBy(*g, "_b", "_s").agg(F.sum("_neg").alias("_sneg"))
+    bt = parts.groupBy(*g, "_b").agg(F.sum("_sneg").alias("_bneg"))
+    wb = Window.partitionBy(*g).orderBy("_b").rowsBetween(*before)
     bt = bt.select(*g, "_b", F.coalesce(F.sum("_bneg").over(wb), F.lit(0)).cast("bigint").alias("_off"))
-    # level 2: inside each bucket
-    wi = Window.partitionBy(*g, "_b").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    ws = Window.partitionBy(*g, "_b").orderBy("_s").rowsBetween(*before)
+    parts = parts.select(*g, "_b", "_s", F.coalesce(F.sum("_sneg").over(ws), F.lit(0)).cast("bigint").alias("_soff"))
+    parts = null_safe_join(parts, bt, g + ["_b"])
+    parts = parts.select(*g, "_b", "_s", (F.col("_off") + F.col("_soff")).alias("_off"))
+    # level 3: inside each part
+    wi = Window.partitionBy(*g, "_b", "_s").orderBy("_p").rowsBetween(*before)
     p = p.withColumn("_below", F.coalesce(F.sum("_neg").over(wi), F.lit(0)).cast("bigint"))
-    j = p.join(bt, g + ["_b"])
+    j = null_safe_join(p, parts, g + ["_b", "_s"])
     dec = "decimal(38,0)"
     contrib = F.col("_pos").cast(dec) * (F.lit(2).cast(dec) * (F.col("_off") + F.col("_below")).cast(dec)
                                          + F.col("_neg").cast(dec))
@@ -129,7 +148,7 @@ def metrics_report(df: DataFrame, threshold, group_cols=()) -> DataFrame:
     cols = [F.round(v, 6).alias(k) for k, v in metric_columns().items()]
     m = c.select(*g, "tn", "fp", "fn", "tp", *cols)
     a = auc_roc(df, g)
-    return m.join(a, g, "left") if g else _attach_scalar(m, a)
+    return null_safe_join(m, a, g, "left") if g else _attach_scalar(m, a)
 
 
 def _attach_scalar(m: DataFrame, a: DataFrame) -> DataFrame:
@@ -141,7 +160,7 @@ def metrics_by_group(df: DataFrame, key: str, threshold) -> DataFrame:
     c = confusion_counts(df, threshold, [key])
     cols = [F.round(v, 6).alias(k) for k, v in metric_columns().items()]
     m = c.select(key, (F.col("tn") + F.col("fp") + F.col("fn") + F.col("tp")).alias("n"), *cols)
-    return m.join(auc_roc(df, [key]), [key], "left")
+    return null_safe_join(m, auc_roc(df, [key]), [key], "left")
 
 
 def has_labels(df: DataFrame, label: str = "label") -> DataFrame:

@@ -1,11 +1,11 @@
 """Text features, feature fusion, training and batch scoring.
 
-Training is Spark ML: ``CountVectorizer`` term presence over the whole cleaned text
-+ the five numeric features -> ``VectorAssembler`` -> class-weighted
+Training is Spark ML: hashed term presence over the whole cleaned text (every
+word takes part, at any vocabulary size) + the five numeric features -> ``VectorAssembler`` -> class-weighted
 ``LogisticRegression`` (TRUE rows weigh n_false / n_true, as a positive-class
 weight in a binary cross-entropy).  The model is linear in every input, so
-integrated-gradient attributions are exact (weight x value; a present word
-contributes its own weight once).
+integrated-gradient attributions are exact (weight x value; a present term
+contributes its weight once, through its first word if words share it).
 
 ``head_score`` evaluates a given two-layer ReLU head over fused feature
 arrays with NumPy inside an Arrow-batched pandas UDF; the weights travel
@@ -18,7 +18,7 @@ import numpy as np
 import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.feature import CountVectorizer, HashingTF, VectorAssembler
+from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -27,7 +27,10 @@ from pyspark.sql.types import DoubleType
 from credo.constants import FEATURE_NAMES, MAX_LEN
 from credo.functions.text import word_tokens
 
+#: Terms; a dense weight vector of this size is all a fit or a score holds.
 NUM_FEATURES = 1 << 16
+#: Length of a sentence vector.
+EMBEDDING_DIM = 64
 NUMERIC = ["cs_ratio", "speaker_cred", "affil_cred", "ctx_cred", "len_norm"]
 
 
@@ -48,14 +51,16 @@ def with_words(df: DataFrame, text: str = "statement", clean: bool = True) -> Da
     return df.withColumn("words", word_tokens(text, clean))
 
 
-def text_features(df: DataFrame, num_features: int = NUM_FEATURES, words: str = "words") -> DataFrame:
+def text_features(num_features: int = NUM_FEATURES, words: str = "words") -> HashingTF:
     """Hashed term presence (sparse 0/1 vector ``text_tf``)."""
-    return HashingTF(inputCol=words, outputCol="text_tf", numFeatures=num_features, binary=True).transform(df)
+    return HashingTF(inputCol=words, outputCol="text_tf", numFeatures=num_features, binary=True)
 
 
-def join_embeddings(df: DataFrame, embeddings: DataFrame, key: str = "row_key") -> DataFrame:
-    """Attach a precomputed text vector per statement (equi-join on key)."""
-    return df.join(embeddings.select(key, "text_vec"), key)
+def join_embeddings(df: DataFrame, embeddings: DataFrame, key: str = "row_key", dim: int = EMBEDDING_DIM) -> DataFrame:
+    """Attach a precomputed text vector per statement (equi-join on key);
+    statements without one stay, with the zero vector."""
+    out = df.join(embeddings.select(key, "text_vec"), key, "left")
+    return out.withColumn("text_vec", F.coalesce(F.col("text_vec").cast("array<double>"), F.array_repeat(F.lit(0.0), dim)))
 
 
 def fuse_features(df: DataFrame, cs_a: float, cs_b: float, text_vec: str = "text_vec") -> DataFrame:
@@ -96,28 +101,25 @@ def class_weights(train: DataFrame, y: str = "y") -> DataFrame:
 
 
 def build_pipeline(reg: float = 0.01, text=True, num_features: int = NUM_FEATURES,
-                   max_iter: int = 50, tol: float = 1e-4) -> Pipeline:
-    """text: True (vocabulary term presence of ``words``), 'embedding' (the
-    ``text_emb`` vector of a precomputed sentence embedding) or False.
-
-    tol 1e-4: at sf0.1 the fit stops after 13 instead of 22 L-BFGS passes
-    with the same training AUC (0.6515 both) -- each pass is a full scan."""
+                   max_iter: int = 50, tol: float = 1e-6) -> Pipeline:
+    """text: True (hashed term presence of ``words``), 'embedding' (the
+    ``text_emb`` vector of a precomputed sentence embedding) or False."""
     stages = []
     inputs = list(NUMERIC)
     if text == "embedding":
         inputs.append("text_emb")
     elif text:
-        # presence, not counts: long texts would otherwise dominate (validated on f1).
-        # A vocabulary (bounded by vocabSize, most frequent words) rather than
-        # hashing: every word keeps its own weight, so word attributions are exact.
-        stages.append(CountVectorizer(inputCol="words", outputCol="text_tf", vocabSize=num_features, binary=True))
+        # presence, not counts: long texts would otherwise dominate (validated on f1)
+        stages.append(text_features(num_features))
         inputs.append("text_tf")
     # feature_table never yields NULL features; embeddings carry no size
     # metadata, so that mode validates strictly instead of keeping NaNs
     stages.append(VectorAssembler(inputCols=inputs, outputCol="features",
                                   handleInvalid="error" if text == "embedding" else "keep"))
     stages.append(LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", regParam=reg,
-                                     elasticNetParam=0.0, maxIter=max_iter, tol=tol, standardization=True))
+                                     elasticNetParam=0.0, maxIter=max_iter, tol=tol, standardization=True,
+                                     # a block costs a pass over all terms: few large ones
+                                     maxBlockSizeInMB=64.0))
     return Pipeline(stages=stages)
 
 
@@ -128,7 +130,8 @@ def with_embedding_vector(df: DataFrame, col: str = "text_vec") -> DataFrame:
     return df.withColumn("text_emb", array_to_vector(F.col(col).cast("array<double>")))
 
 
-def train_model(train: DataFrame, reg: float = 0.01, text=True, max_iter: int = 50) -> PipelineModel:
+def train_model(train: DataFrame, reg: float = 0.01, text=True, max_iter: int = 50, tol: float = 1e-6,
+                num_features: int = NUM_FEATURES) -> PipelineModel:
     """Fit the class-weighted classifier on the training split."""
     from pyspark import StorageLevel
 
@@ -143,7 +146,7 @@ def train_model(train: DataFrame, reg: float = 0.01, text=True, max_iter: int =
     # to disk); a lost block is recomputed from its deterministic lineage
     t = t.persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return build_pipeline(reg, text, max_iter=max_iter).fit(t)
+        return build_pipeline(reg, text, num_features, max_iter, tol).fit(t)
     finally:
         t.unpersist()
 
@@ -162,7 +165,7 @@ def batch_score(model: PipelineModel, df: DataFrame, text=True, keep=()) -> Data
     return s.drop(*drop)
 
 
-def coefficients(model: PipelineModel, text: bool = True, num_features: int = NUM_FEATURES):
+def coefficients(model: PipelineModel, text: bool = True):
     """(numeric weights dict, intercept, text weight array) of a fitted model."""
     lr = model.stages[-1]
     coef = lr.coefficients.toArray()
@@ -171,31 +174,65 @@ def coefficients(model: PipelineModel, text: bool = True, num_features: int = NU
     return numeric, float(lr.intercept), text_w
 
 
-def vocabulary(model: PipelineModel) -> list[str]:
-    """The text vocabulary of a fitted model (at most vocabSize words)."""
-    for st in model.stages:
-        if hasattr(st, "vocabulary"):
-            return list(st.vocabulary)
-    return []
-
-
-def text_coef_table(spark, model: PipelineModel, num_features: int = NUM_FEATURES) -> DataFrame:
-    """(word, coef) for the model's vocabulary: at most vocabSize rows (a
-    fixed bound), so it can be broadcast."""
-    _, _, w = coefficients(model, True, num_features)
-    vocab = vocabulary(model)
-    pdf = pd.DataFrame({"word": vocab, "coef": np.asarray(w[:len(vocab)], dtype="float64")})
-    return spark.createDataFrame(pdf, "word string, coef double")
-
-
-def select_by_validation(train: DataFrame, val: DataFrame, regs=(0.001, 0.01, 0.1), text: bool = True):
+def term_index(word: str, num_features: int) -> int:
+    """The term of a word: 32-bit Murmur3 of its UTF-8 bytes with seed 42, as
+    ``HashingTF`` uses it (its ``indexOf`` runs on the driver only)."""
+    data, mask = word.encode(), 0xFFFFFFFF
+    h = 42
+    for i in range(0, len(data), 4):
+        k = int.from_bytes(data[i:i + 4], "little") * 0xCC9E2D51 & mask
+        h ^= ((k << 15 | k >> 17) & mask) * 0x1B873593 & mask
+        if i + 4 <= len(data):
+            h = ((h << 13 | h >> 19) & mask) * 5 + 0xE6546B64 & mask
+    h ^= len(data)
+    h = (h ^ h >> 16) * 0x85EBCA6B & mask
+    h = (h ^ h >> 13) * 0xC2B2AE35 & mask
+    h ^= h >> 16
+    return (h - (1 << 32) if h >= 1 << 31 else h) % num_features
+
+
+class TermIndex(dict):
+    """Terms of words seen so far in a batch."""
+
+    def __init__(self, num_features: int):
+        super().__init__()
+        self.num_features = num_features
+
+    def __missing__(self, word: str) -> int:
+        self[word] = found = term_index(word, self.num_features)
+        return found
+
+
+def word_scores(spark, model: PipelineModel):
+    """A UDF: the model weight of each of a row's distinct words.  Of words that
+    share a term the first has its weight and the others 0, so the scores sum
+    to exactly the text's part of the logit."""
+    _, _, weights = coefficients(model)
+    table = spark.sparkContext.broadcast(np.asarray(weights, dtype=np.float64))  # NUM_FEATURES doubles
+
+    @F.pandas_udf("array<double>")
+    def scores(words: pd.Series) -> pd.Series:
+        w = table.value
+        known, out = TermIndex(len(w)), []
+        for row in words:
+            terms = np.array([known[x] for x in row] if row is not None else [], dtype=np.int64)
+            values = np.zeros(len(terms))
+            _, first = np.unique(terms, return_index=True)
+            values[first] = w[terms[first]]
+            out.append(values)
+        return pd.Series(out)
+
+    return scores
+
+
+def select_by_validation(train: DataFrame, val: DataFrame, regs=(0.001, 0.01, 0.1), text: bool = True, tol: float = 1e-6):
     """Fit one model per candidate; keep the best validation balanced
     accuracy at 0.5 (strictly better wins, so the first wins on ties)."""
     from credo.operators.metrics import confusion_counts, metric_columns
 
     best = None
     for i, reg in enumerate(regs):
-        m = train_model(train, reg=reg, text=text)
+        m = train_model(train, reg=reg, text=text, tol=tol)
         c = confusion_counts(batch_score(m, val, text), 0.5)
         ba = c.select(metric_columns()["balanced_accuracy"].alias("ba")).first()["ba"]  # one row
         if best is None or (ba is not None and ba > best[2]):

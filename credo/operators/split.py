@@ -91,7 +91,9 @@ def split_stratified(df: DataFrame, class_col: str = "y", key: str = KEY,
     buckets = buckets.withColumn("_start", F.coalesce(F.sum("_bn").over(wcls), F.lit(0)).cast("bigint"))
     class_counts = buckets.groupBy("_cls").agg(F.sum("_bn").cast("bigint").alias("cnt"))
     sizes = split_sizes(df, class_col, test, val, counts=class_counts)
-    buckets = buckets.join(F.broadcast(sizes), "_cls")  # sizes: one row per class
+    # one row per class; a NULL class is a class
+    sizes = sizes.withColumnRenamed("_cls", "_c")
+    buckets = buckets.join(sizes, F.col("_cls").eqNullSafe(F.col("_c"))).drop("_c")
     t_end = F.col("n_test")
     v_end = F.col("n_test") + F.col("n_val")
     first, last = F.col("_start") + 1, F.col("_start") + F.col("_bn")
@@ -99,9 +101,9 @@ def split_stratified(df: DataFrame, class_col: str = "y", key: str = KEY,
              .when((first > t_end) & (last <= v_end), F.lit("val"))
              .when(first > v_end, F.lit("train")))
     buckets = buckets.select("_cls", "_b", "_start", "n_test", "n_val", whole.alias("_whole"))
-    # bounded (<= classes x 16**prefix_digits rows) -> safe to broadcast
+    # at most classes x 16**prefix_digits rows; broadcast if its size allows
     bk = buckets.withColumnRenamed("_b", "_bb")
-    j = rows.join(F.broadcast(bk), (rows[class_col].eqNullSafe(bk["_cls"])) & (rows["_b"] == bk["_bb"]))
+    j = rows.join(bk, (rows[class_col].eqNullSafe(bk["_cls"])) & (rows["_b"] == bk["_bb"]))
     direct = j.filter(F.col("_whole").isNotNull()).withColumn("split", F.col("_whole"))
     cut = j.filter(F.col("_whole").isNull())
     wr = Window.partitionBy("_cls", "_bb").orderBy("_h", key)

@@ -48,12 +48,24 @@ def _norm_f1(spark, sf):
 
 
 # ---------------------------------------------------------------- 2.1 sources
+# empty and NA-like cells of a CSV file come back as NULL
+def _na(x):
+    cells = ", ".join("'" + v.replace("'", "''") + "'" for v in K.NA_STRINGS)
+    return f"CASE WHEN {x} NOT IN ({cells}) THEN {x} END"
+
+
 @q("load_statements", fx.with_fixtures(
-    f"SELECT row_key, statement, {s_norm_lower('label')} AS label, speaker_name, speaker_affiliation, "
-    "statement_context FROM f1", "f1"))
+    f"SELECT row_key, {_na('statement')} AS statement, {s_norm_lower(_na('label'))} AS label, "
+    f"{_na('speaker_name')} AS speaker_name, {_na('speaker_affiliation')} AS speaker_affiliation, "
+    f"{_na('statement_context')} AS statement_context FROM f1", "f1"))
 def load_statements(spark, sf):
-    from credo.sources.statements import normalize_statements
-    return normalize_statements(fx.f1(spark, sf))
+    """f1 written as CSV files (quotes, line breaks, empty cells) and read back."""
+    from credo.session import scratch_dir
+    from credo.sources.statements import load_statements as ls
+    path = scratch_dir(spark, "csv")
+    fx.f1(spark, sf).write.option("header", True).option("escape", '"').option("quoteAll", True).option(
+        "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
+    return ls(spark, path)
 
 
 @q("label_distribution", fx.with_fixtures(
@@ -72,10 +84,14 @@ def lookup_sizes(spark, sf):
 
 @q("write_predictions", fx.with_fixtures(
     f"SELECT row_key, CASE WHEN prob >= {TH_SQL} THEN 'TRUE' ELSE 'FALSE' END AS prediction, "
-    "round_even(prob, 4) AS probability FROM f3 ORDER BY row_key LIMIT 20", "f3"))
+    "round_even(prob, 4) AS probability FROM f3", "f3"))
 def write_predictions(spark, sf):
-    from credo.sources.sinks import predictions, preview
-    return preview(predictions(fx.f3(spark, sf), THRESHOLD), 20)
+    """All predictions, written and read back."""
+    from credo.session import scratch_dir
+    from credo.sources.sinks import predictions, write_predictions as wp
+    path = scratch_dir(spark, "predictions")
+    wp(predictions(fx.f3(spark, sf), THRESHOLD), path)
+    return spark.read.parquet(path)
 
 
 @q("artifacts_roundtrip", chain_sql(
@@ -264,6 +280,15 @@ def split_stratified(spark, sf):
     return Chain(spark, sf, split="stratified").splitted().select("row_key", "y", "split")
 
 
+@q("split_stratified_null_class", fx.with_fixtures(
+    "SELECT cls, count(*) AS n FROM (SELECT row_key, CASE WHEN speaker_affiliation <> 'en' THEN speaker_affiliation END AS cls "
+    "FROM f1) z GROUP BY cls", "f1"))
+def split_stratified_null_class(spark, sf):
+    """A NULL class is split like any other: no row is lost."""
+    rows_ = fx.f1(spark, sf).select("row_key", F.when(F.col("speaker_affiliation") != "en", F.col("speaker_affiliation")).alias("cls"))
+    return sp.split_stratified(rows_, class_col="cls").groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+
+
 @q("split_report", chain_sql(
     "SELECT split, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_true, round(avg(y), 6) AS true_rate FROM d GROUP BY split",
     split="stratified"))
@@ -333,6 +358,23 @@ def normalize_lookup(spark, sf):
     return round_doubles(lu.normalize_lookup(Chain(spark, sf, fixture="f1").lookups()))
 
 
+# raw keys that differ in case or blanks: the largest one's counts win
+_RAW = ("SELECT speaker_name AS key, count(*) AS n, CAST(sum(y) AS BIGINT) AS n_true, "
+        f"CAST(sum({s_w('label')}) AS BIGINT) AS w_sum FROM d WHERE split = 'train' AND speaker_name IS NOT NULL GROUP BY 1")
+
+
+@q("normalize_lookup_last", chain_sql(
+    f"SELECT 'speaker' AS kind, nk AS key, n, n_true, w_sum, round(n_true / n, 6) AS cred, "
+    f"round(w_sum / (100.0E0 * n), 6) AS cs FROM (SELECT *, {s_norm_speaker('key')} AS nk, "
+    f"row_number() OVER (PARTITION BY {s_norm_speaker('key')} ORDER BY key DESC) AS rn FROM raw) z WHERE rn = 1",
+    fixture="f1", extra=[("raw", _RAW)]))
+def normalize_lookup_last(spark, sf):
+    """Policy 'last' on speakers as they are written."""
+    lk = lu.all_lookups(Chain(spark, sf, fixture="f1").train(), strip=False)
+    lk = lu.normalize_lookup(lk, policy="last").filter("kind = 'speaker'")
+    return round_doubles(lk.drop("len_mean", "len_std"))
+
+
 @q("pos_weight", chain_sql(
     "SELECT round(sum(1 - y) / sum(y), 6) AS pos_weight FROM d WHERE split = 'train'"))
 def pos_weight(spark, sf):
@@ -477,7 +519,8 @@ def metrics_report(spark, sf):
 
 def _by_group_sql():
     ctes = [
-        ("g3", "SELECT f3.*, f2.speaker_affiliation FROM f3 JOIN f2 USING (row_key)"),
+        ("g3", "SELECT f3.*, CASE WHEN f2.speaker_affiliation <> 'FRANCE' THEN f2.speaker_affiliation END AS "
+               "speaker_affiliation FROM f3 JOIN f2 USING (row_key)"),
         ("pr", f"SELECT speaker_affiliation, y, prob, prob >= {TH_SQL} AS p FROM g3"),
         ("cc", _CC + ", speaker_affiliation FROM pr GROUP BY speaker_affiliation"),
         ("ap", "SELECT speaker_affiliation, prob, sum(y) AS pos, sum(1 - y) AS neg FROM g3 GROUP BY speaker_affiliation, prob"),
@@ -488,15 +531,20 @@ def _by_group_sql():
     ]
     body = ("SELECT cc.speaker_affiliation, tn + fp + fn + tp AS n, "
             + ", ".join(f"round({v}, 6) AS {k}" for k, v in _M_SQL.items())
-            + ", auc.auc_roc FROM cc LEFT JOIN auc USING (speaker_affiliation)")
+            + ", auc.auc_roc FROM cc LEFT JOIN auc ON auc.speaker_affiliation IS NOT DISTINCT FROM cc.speaker_affiliation")
     return fx.with_fixtures(body, "f2", "f3", extra=ctes)
 
 
+def _group_rows(spark, sf):
+    """Scored rows with affiliations; those of one nation count as unknown (NULL)."""
+    f2 = fx.f2(spark, sf)
+    key = F.when(F.col("speaker_affiliation") != "FRANCE", F.col("speaker_affiliation")).alias("speaker_affiliation")
+    return fx.f3_from(f2).join(f2.select("row_key", key), "row_key")
+
+
 @q("metrics_by_group", _by_group_sql())
 def metrics_by_group(spark, sf):
-    f2 = fx.f2(spark, sf)
-    g = fx.f3_from(f2).join(f2.select("row_key", "speaker_affiliation"), "row_key")
-    return me.metrics_by_group(g, "speaker_affiliation", THRESHOLD)
+    return me.metrics_by_group(_group_rows(spark, sf), "speaker_affiliation", THRESHOLD)
 
 
 def _sweep_sql():
@@ -742,9 +790,13 @@ def _f1_features(spark, sf):
     return c.features()
 
 
+#: A statement's vector, or zeros where it has none.
+_VEC = "coalesce(CAST(f5.text_vec AS DOUBLE[]), list_resize(CAST([] AS DOUBLE[]), 64, 0.0E0))"
+
+
 @q("text_features", fx.with_fixtures(
     "SELECT row_key, CAST(generate_subscripts(v, 1) - 1 AS INTEGER) AS dim, round(unnest(v), 6) AS value "
-    "FROM (SELECT row_key, CAST(text_vec AS DOUBLE[]) AS v FROM f5) z", "f1", "f5"))
+    f"FROM (SELECT f1.row_key, {_VEC} AS v FROM f1 LEFT JOIN f5 USING (row_key)) z", "f1", "f5"))
 def text_features(spark, sf):
     from credo.operators.modeling import join_embeddings
     f1 = fx.f1(spark, sf).select("row_key")
@@ -756,8 +808,8 @@ CS_A, CS_B = -2.0, 1.0
 
 
 def _fused_sql_cte():
-    return ("fu", f"SELECT ft.row_key, list_concat(CAST(f5.text_vec AS DOUBLE[]), [tanh({CS_A!r}E0 * ft.cs_ratio + {CS_B!r}E0), "
-                  "ft.speaker_cred, ft.affil_cred, ft.ctx_cred, ft.len_norm]) AS fused FROM ft JOIN f5 USING (row_key)")
+    return ("fu", f"SELECT ft.row_key, list_concat({_VEC}, [tanh({CS_A!r}E0 * ft.cs_ratio + {CS_B!r}E0), "
+                  "ft.speaker_cred, ft.affil_cred, ft.ctx_cred, ft.len_norm]) AS fused FROM ft LEFT JOIN f5 USING (row_key)")
 
 
 @q("fuse_features", chain_sql(
@@ -890,7 +942,7 @@ def _trained(spark, sf, fixture="f2"):
     key = (sf, fixture)
     cache = _trained.__dict__.setdefault("cache", {})
     if key not in cache or cache[key][0] is not spark:
-        res = train(spark, normalize_statements(getattr(fx, fixture)(spark, sf)), regs=(0.01,))
+        res = train(spark, normalize_statements(getattr(fx, fixture)(spark, sf)))
         from credo.sources.artifacts import load_artifacts
         cache[key] = (spark, res, load_artifacts(spark, res["artifacts_dir"]))
     return cache[key][1], cache[key][2]
@@ -905,20 +957,23 @@ def train_run(spark, sf):
 
 @q("evaluate_run")
 def evaluate_run(spark, sf):
-    """Training then evaluation on the test split: one metrics row."""
+    """Training then evaluation on its test split: one metrics row."""
     from credo.plans.evaluation import evaluate
     from credo.sources.statements import normalize_statements
     _, art = _trained(spark, sf)
-    return evaluate(normalize_statements(fx.f2(spark, sf)), art)["report"]
+    return evaluate(normalize_statements(fx.f2(spark, sf)), art, split="test")["report"]
 
 
 @q("predict_batch")
 def predict_batch(spark, sf):
-    """Score and explain request records (f1 statements with aliases)."""
+    """Score and explain a request for every document, labelled or not."""
     from credo.plans.scoring import score_requests
     from credo.sources.statements import requests_from
     _, art = _trained(spark, sf)
-    return score_requests(requests_from(fx.f1(spark, sf)), art)
+    docs = fx.table(spark, sf, "documents").select(
+        F.col("doc_id").cast("string").alias("row_key"), F.col("text").alias("statement"), F.col("source").alias("speaker_name"),
+        F.col("lang").alias("speaker_affiliation"), F.concat(F.lit("a post in "), "lang").alias("statement_context"))
+    return score_requests(requests_from(docs), art)
 
 
 @q("explain_batch")

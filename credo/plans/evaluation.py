@@ -1,32 +1,48 @@
-"""Evaluation flow: artifacts + labelled statements -> metrics."""
+"""Evaluation flow: artifacts + statements -> predictions, and metrics where there are labels."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from credo.functions.labels import binary_label, normalize_label
+from credo.functions.text import standardize_format
 from credo.operators.features import feature_table
 from credo.operators.lookups import lookup_stats
-from credo.operators.metrics import confusion_matrix, metrics_report
+from credo.operators.metrics import confusion_matrix, has_labels, metrics_report
 from credo.operators.modeling import batch_score
-from credo.operators.split import split_hash, split_stratified
-from credo.plans.chain import labelled
+from credo.sources.sinks import predictions
 
 
-def evaluate(statements: DataFrame, artifacts: dict, split: str | None = "test", stratified: bool = True,
-             clean_text: bool = True) -> dict:
-    """Metrics on one split (default 'test'; None = every row, which would
-    include training rows)."""
-    lab = labelled(statements)
+def evaluate(statements: DataFrame, artifacts: dict, split: str | None = None, clean_text: bool | None = None) -> dict:
+    """Score every row; metrics over the rows with a known label.
+
+    ``split`` keeps the rows that training put into that split, by the split
+    table saved with the artifacts (so for the file that was trained on).
+    Without any label, or without the column, there are predictions only and
+    report and confusion are None.  Text is cleaned as it was for training
+    unless ``clean_text`` says otherwise.
+    """
+    if clean_text is None:
+        clean_text = bool(artifacts.get("clean_text", True))
+    rows = statements
     if split is not None:
-        lab = split_stratified(lab) if stratified else split_hash(lab)
-        lab = lab.filter(F.col("split") == split)
+        if artifacts.get("split") is None:
+            raise ValueError("these artifacts have no split table")
+        chosen = artifacts["split"].filter(F.col("split") == split).select("row_key")
+        rows = rows.join(chosen, "row_key", "left_semi")
+    if "label" not in rows.columns:
+        rows = rows.withColumn("label", F.lit(None).cast("string"))
+    rows = rows.withColumn("label", normalize_label("label")).withColumn("y", binary_label("label"))
     lk = artifacts["lookups"]
-    feats = feature_table(lab, lk, lookup_stats(lk), key_mode=artifacts.get("key_mode", "normalized"),
+    feats = feature_table(rows, lk, lookup_stats(lk), key_mode=artifacts.get("key_mode", "normalized"),
                           cs_default=float(artifacts.get("cs_default", 0.5)), clean_text=clean_text)
     if clean_text:
-        from credo.functions.text import standardize_format
         feats = feats.withColumn("statement", standardize_format("statement"))
     scored = batch_score(artifacts["model"], feats).select("row_key", "y", "prob")
     t = float(artifacts["threshold"])
-    return {"scored": scored, "report": metrics_report(scored, t), "confusion": confusion_matrix(scored, t)}
+    out = {"scored": scored, "predictions": predictions(scored, t), "report": None, "confusion": None}
+    if has_labels(rows, "y").first()["has_labels"]:  # one row
+        known = scored.filter(F.col("y").isNotNull())
+        out |= {"report": metrics_report(known, t), "confusion": confusion_matrix(known, t)}
+    return out

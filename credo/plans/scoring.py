@@ -3,60 +3,41 @@ expressions serve batch tables and streams.
 
 Per row: resolve aliases -> clean text -> lookup joins (static, small or
 AQE-planned) -> model -> word contributions from the model's own text
-weights (bucket ids computed JVM-side, weights gathered in an Arrow batch
-UDF) -> numeric attributions (closed form for the linear model) -> evidence
+weights (gathered in an Arrow batch UDF) -> numeric attributions (closed form for the linear model) -> evidence
 lines -> rule-based explanation.  Nothing groups across rows, so a stream
 needs no state and the batch job no extra shuffle.
 """
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType
 
 from credo.constants import CS_DEFAULT, FEATURE_NAMES, TOP_WORDS
 from credo.functions.text import standardize_format, word_tokens
 from credo.operators.attribution import baseline_samples
-from credo.operators.explain import rule_based_explanation, with_evidence
-from credo.functions.scoring import confidence_pct
+from credo.operators.explain import explain_rows
+from credo.functions.scoring import decide
 from credo.operators.features import feature_table
 from credo.operators.lookups import lookup_stats
-from credo.operators.modeling import NUM_FEATURES, batch_score, coefficients, vocabulary
+from credo.operators.modeling import batch_score, coefficients, join_embeddings, word_scores
 from credo.sources.statements import resolve_aliases
 
 VALUE_COLS = {"cs_ratio": "cs_val", "speaker_cred": "spk_cred", "affil_cred": "afl_cred",
               "ctx_cred": "ctx_cred", "len_norm": "len_norm"}
 
 
-def _word_scores_udf(spark, vocab: list[str], text_w: np.ndarray):
-    """Arrow-batched lookup of each word's model weight (0 outside the
-    vocabulary): one vectorised hash-index lookup per batch."""
-    table = spark.sparkContext.broadcast((pd.Index(vocab), np.asarray(text_w[:len(vocab)], dtype=np.float64)))
-
-    @F.pandas_udf(ArrayType(DoubleType()))
-    def scores(words: pd.Series) -> pd.Series:
-        index, w = table.value
-        arrays = [np.asarray(x if x is not None else [], dtype=object) for x in words]
-        lengths = [len(a) for a in arrays]
-        flat = np.concatenate(arrays) if sum(lengths) else np.zeros(0, dtype=object)
-        pos = index.get_indexer(flat) if len(flat) else np.zeros(0, dtype=np.int64)
-        vals = np.where(pos >= 0, w[np.maximum(pos, 0)] if len(w) else 0.0, 0.0)
-        out, start = [], 0
-        for n in lengths:
-            out.append(vals[start:start + n])
-            start += n
-        return pd.Series(out)
-    return scores
-
-
-def score_requests(requests: DataFrame, artifacts: dict, clean_text: bool = True,
-                   num_features: int = NUM_FEATURES, explain: bool = True) -> DataFrame:
+def score_requests(requests: DataFrame, artifacts: dict, clean_text: bool | None = None,
+                   explain: bool = True, embeddings: DataFrame | None = None) -> DataFrame:
     """Requests (statement, speaker/speaker_name, speaker_affiliation,
     context/statement_context, row_key) -> prediction, probability,
-    explanation.  Works on batch and streaming DataFrames."""
+    explanation and the prompt for a text generator.  Works on batch and
+    streaming DataFrames.  Text is cleaned as it was for training unless
+    ``clean_text`` says otherwise; a model trained on sentence vectors takes
+    them from ``embeddings`` (row_key, text_vec) and names no words."""
+    if clean_text is None:
+        clean_text = bool(artifacts.get("clean_text", True))
+    mode = artifacts.get("text", "words")
     spark = requests.sparkSession
     lookups = artifacts["lookups"]
     model = artifacts["model"]
@@ -70,16 +51,18 @@ def score_requests(requests: DataFrame, artifacts: dict, clean_text: bool = True
     if clean_text:
         df = df.withColumn("statement", standardize_format("statement"))
     feats = feature_table(df, lookups, stats, key_mode=key_mode, cs_default=cs_default, clean_text=False)
-    scored = batch_score(model, feats.withColumn("words", word_tokens("statement", clean=False)), keep=("words",))
-    scored = scored.withColumn("prediction", F.when(F.col("prob") >= F.lit(threshold), "TRUE").otherwise("FALSE"))
+    feats = feats.withColumn("words", word_tokens("statement", clean=False))
+    if mode == "embedding":
+        feats = join_embeddings(feats, embeddings)
+    scored = batch_score(model, feats, {"words": True, "none": False}.get(mode, mode), keep=("words",))
     scored = scored.withColumn("probability", F.bround("prob", 4))
     if not explain:
-        return scored.select("row_key", "prediction", "probability")
-    numeric_w, _, text_w = coefficients(model, True, num_features)
+        return scored.select("row_key", decide("prob", threshold).alias("prediction"), "probability")
+    numeric_w, _, _ = coefficients(model)
     # word contributions: the word's own weight (exact IG for a linear model);
     # presence features: each distinct word (first occurrence order) counts once
-    scored = scored.withColumn("words", F.array_distinct("words"))
-    scored = scored.withColumn("_wscores", _word_scores_udf(spark, vocabulary(model), text_w)(F.col("words")))
+    scored = scored.withColumn("words", F.array_distinct("words") if mode == "words" else F.array().cast("array<string>"))
+    scored = scored.withColumn("_wscores", word_scores(spark, model)(F.col("words")))
     ranked = F.sort_array(F.transform(F.arrays_zip(F.col("words").alias("w"), F.col("_wscores").alias("s"),
                                                    F.sequence(F.lit(1), F.greatest(F.size("words"), F.lit(1))).alias("p")),
                                       lambda x: F.struct((F.lit(0.0) - F.abs(x["s"])).alias("k"), x["p"].alias("p"),
@@ -94,8 +77,6 @@ def score_requests(requests: DataFrame, artifacts: dict, clean_text: bool = True
     for name, alias in VALUE_COLS.items():
         if alias != name:
             scored = scored.withColumn(alias, F.col(name))
-    scored = with_evidence(scored, float(stats["default_cred"]), k=1)
-    conf = confidence_pct("prob", F.col("prediction"))
-    scored = scored.withColumn("explanation", rule_based_explanation(F.col("prediction"), conf,
-                                                                     F.col("top_words"), F.col("ev1_line")))
-    return scored.select("row_key", "prediction", "probability", "explanation")
+    out = explain_rows(scored, None, threshold, float(stats["default_cred"]), statement_col="statement",
+                       with_prompt=True, keep=("probability",))
+    return out.select("row_key", "prediction", "probability", "explanation", "prompt")

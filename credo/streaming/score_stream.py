@@ -14,12 +14,12 @@ from pyspark.sql import DataFrame, SparkSession
 from credo.plans.scoring import score_requests
 
 
-def score_stream(stream: DataFrame, artifacts: dict, clean_text: bool = True, explain: bool = True) -> DataFrame:
+def score_stream(stream: DataFrame, artifacts: dict, clean_text: bool | None = None, explain: bool = True) -> DataFrame:
     return score_requests(stream, artifacts, clean_text=clean_text, explain=explain)
 
 
 def start(stream: DataFrame, artifacts: dict, out_path: str, checkpoint: str, available_now: bool = True,
-          clean_text: bool = True):
+          clean_text: bool | None = None):
     """Write scored rows as parquet with a checkpoint (exactly-once file sink)."""
     q = (score_stream(stream, artifacts, clean_text).writeStream.format("parquet")
          .option("path", out_path).option("checkpointLocation", checkpoint).outputMode("append"))
@@ -45,7 +45,7 @@ def lineitem_statement_stream(spark: SparkSession, sf_dir: str, max_files: int =
 
 
 def start_with_reload(stream: DataFrame, artifacts_path, out_path: str, checkpoint: str,
-                      available_now: bool = True, clean_text: bool = True):
+                      available_now: bool = True, clean_text: bool | None = None):
     """Score each micro-batch with the artifacts current at that batch.
 
     ``artifacts_path`` is a callable returning the artifacts folder to use

@@ -95,20 +95,79 @@ def test_model_attributions_are_complete(spark):
     """intercept + numeric weight x value + word weights == logit, per row."""
     from pyspark.sql import functions as F
 
-    from credo.operators.attribution import text_attribution, word_positions
-    from credo.operators.modeling import batch_score, coefficients, text_coef_table, train_model
+    from credo.functions.text import word_tokens
+    from credo.operators.modeling import batch_score, coefficients, train_model, word_scores
     from credo.plans.chain import Chain
 
     c = Chain(spark, SF0001, fixture="f1")
     feats = c.features()
-    m = train_model(feats.filter("split = 'train'"))
+    # few terms: many words share one
+    m = train_model(feats.filter("split = 'train'"), num_features=512, max_iter=10)
     numeric, intercept, _ = coefficients(m)
-    scored = batch_score(m, feats).select("row_key", "logit", *numeric.keys())
-    words = word_positions(feats.select("row_key", "statement"))
-    wa = text_attribution(words, text_coef_table(spark, m), key="word", presence=True)
-    text_sum = wa.groupBy("row_key").agg(F.sum("score").alias("t"))
+    words = F.array_distinct(word_tokens("statement", True))
+    scored = batch_score(m, feats.withColumn("w", words)).select("row_key", "logit", word_scores(spark, m)(F.col("w")).alias("s"), *numeric)
+    text = F.aggregate("s", F.lit(0.0), lambda a, x: a + x)
     num = sum(F.lit(w) * F.col(n) for n, w in numeric.items())
-    chk = scored.join(text_sum, "row_key", "left").select(
-        "row_key", (F.lit(intercept) + num + F.coalesce(F.col("t"), F.lit(0.0)) - F.col("logit")).alias("gap"))
-    worst = chk.agg(F.max(F.abs("gap"))).first()[0]
+    worst = scored.agg(F.max(F.abs(F.lit(intercept) + num + text - F.col("logit")))).first()[0]
     assert worst < 1e-6
+
+
+def test_term_index_is_that_of_hashing_tf(spark):
+    from pyspark.ml.feature import HashingTF
+
+    from credo.operators.modeling import term_index
+
+    tf = HashingTF(inputCol="w", outputCol="o", numFeatures=1 << 16)
+    for word in ["", "a", "ab", "abc", "abcd", "abcde", "é", "汉字", "the quick", "x" * 99]:
+        assert term_index(word, 1 << 16) == tf.indexOf(word)
+
+
+def test_evaluate_with_some_or_no_labels(spark, trained):
+    from credo.plans.evaluation import evaluate
+
+    _, art = trained
+    rows_ = normalize_statements(fx.f1(spark, SF0001))
+    known = rows_.count()
+    part = evaluate(rows_.withColumn("label", F.when(F.ascii(F.right("row_key", F.lit(1))) % 2 == 0, F.col("label"))), art)
+    r = part["report"].first()
+    assert 0 < r["tn"] + r["fp"] + r["fn"] + r["tp"] < known
+    assert part["predictions"].count() == known
+    for unlabelled in (rows_.drop("label"), rows_.withColumn("label", F.lit(None).cast("string"))):
+        out = evaluate(unlabelled, art)
+        assert out["report"] is None and out["confusion"] is None
+        assert out["predictions"].count() == known
+    test = evaluate(normalize_statements(fx.f1(spark, "/root/testdata/sf0.01")), art, split="test")
+    assert test["scored"].count() == art["split"].filter("split = 'test'").count()
+
+
+def test_damaged_model_fails_its_load(spark, tmp_path, trained):
+    from credo.sources.artifacts import save_artifacts
+
+    res, _ = trained
+    path = save_artifacts(spark, str(tmp_path / "art"), res["lookups"])
+    assert load_artifacts(spark, path)["model"] is None
+    (tmp_path / "art" / "model" / "metadata").mkdir(parents=True)
+    (tmp_path / "art" / "model" / "metadata" / "part-00000").write_text("not json")
+    with pytest.raises(Exception):
+        load_artifacts(spark, path)
+
+
+def test_checkpoint_folder_is_required_on_a_cluster(monkeypatch):
+    from credo import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def getCheckpointDir(self):
+            return None
+
+    class Session:
+        sparkContext = Context()
+
+        class conf:
+            @staticmethod
+            def get(key, default=None):
+                return default
+
+    with pytest.raises(ValueError):
+        session.ensure_checkpoint_dir(Session())

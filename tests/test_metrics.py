@@ -61,3 +61,27 @@ def test_sweep_matches_brute_force(spark):
             best_ba, best_i = ba, i
     assert [i for i, r in sw.items() if r["is_best"]] == [best_i]
     assert THRESHOLDS[5] == 0.35000000000000003 and THRESHOLDS[18] == 0.48000000000000015
+
+
+def test_null_groups_and_null_probabilities(spark):
+    from credo.operators.metrics import auc_roc, confusion_counts, metrics_by_group
+
+    rows_ = [(None, 1, 0.9), (None, 0, 0.1), ("a", 1, 0.8), ("a", 0, 0.2), ("a", 1, None), ("b", 0, 0.4)]
+    df = spark.createDataFrame(rows_, "g string, y int, prob double")
+    assert {r["g"]: r["auc_roc"] for r in auc_roc(df, ["g"]).collect()} == {None: 1.0, "a": 1.0, "b": None}
+    assert {r["g"]: r["auc_roc"] for r in metrics_by_group(df, "g", 0.5).collect()} == {None: 1.0, "a": 1.0, "b": None}
+    c = confusion_counts(df, 0.5).first()
+    assert (c["tn"], c["fp"], c["fn"], c["tp"]) == (3, 0, 0, 2)
+
+
+def test_auc_of_crowded_and_unbounded_scores(spark):
+    import random
+
+    from credo.operators.metrics import auc_roc
+
+    rng = random.Random(1)
+    rows_ = [(rng.randrange(2), rng.choice([1e-9, 1e-7, 0.9999999, -3.5, 40.0, 1e12]) * (1 + rng.randrange(40) / 100)) for _ in range(400)]
+    pos, neg = [p for y, p in rows_ if y], [p for y, p in rows_ if not y]
+    want = sum((a > b) + 0.5 * (a == b) for a in pos for b in neg) / (len(pos) * len(neg))
+    got = auc_roc(spark.createDataFrame(rows_, "y int, prob double")).first()["auc_roc"]
+    assert abs(got - want) < 1e-6

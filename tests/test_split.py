@@ -36,3 +36,14 @@ def test_same_result_for_one_and_many_partitions(spark):
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", "8")
     assert a == b
+
+
+def test_null_class_keeps_its_rows(spark):
+    from credo.operators.split import split_stratified
+
+    rows_ = [(f"k{i}", None if i % 5 == 0 else i % 2) for i in range(200)]
+    out = split_stratified(spark.createDataFrame(rows_, "row_key string, y int")).groupBy("y", "split").count().collect()
+    got = {(r["y"], r["split"]): r["count"] for r in out}
+    assert sum(got.values()) == 200
+    assert sum(n for (y, _), n in got.items() if y is None) == 40
+    assert {s for y, s in got if y is None} == {"train", "val", "test"}

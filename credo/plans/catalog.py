@@ -721,7 +721,7 @@ def _evidence_sql():
                                lookups=True, fixtures=("f3",), extra=_evidence_sql()))
 def evidence_lines(spark, sf):
     c = Chain(spark, sf)
-    dc = c.stats().select("default_cred").scalar()
+    dc = c.default_cred().scalar()
     e = ex.evidence_lines(fx.f3_from(c.statements()).withColumn("_dc", dc), F.col("_dc"))
     return round_doubles(e)
 
@@ -764,7 +764,7 @@ def _explain_sql(with_prompt: bool):
 
 def _explained(spark, sf, with_prompt):
     c = Chain(spark, sf)
-    dc = c.stats().select("default_cred").scalar()
+    dc = c.default_cred().scalar()
     f2 = c.statements()
     f3 = fx.f3_from(f2).join(f2.select("row_key", "statement"), "row_key")
     words = at.words_list(_top_f4(spark, sf)).withColumnRenamed("row_key", "_order")
@@ -936,11 +936,15 @@ def perturbation_attribution(spark, sf):
 
 
 # --------------------------------------------------- flows and the stream
+#: Flows that share a trained model in one session train it once.
+TRAINED: dict = {}
+
+
 def _trained(spark, sf, fixture="f2"):
     from credo.plans.training import train
     from credo.sources.statements import normalize_statements
     key = (sf, fixture)
-    cache = _trained.__dict__.setdefault("cache", {})
+    cache = TRAINED
     if key not in cache or cache[key][0] is not spark:
         res = train(spark, normalize_statements(getattr(fx, fixture)(spark, sf)))
         from credo.sources.artifacts import load_artifacts

@@ -11,13 +11,15 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credo.constants import CS_DEFAULT, CS_UNKNOWN_HUNDREDTHS, CS_WEIGHT_HUNDREDTHS, LABEL_MAP, LEN_STD_EPSILON
+from credo.constants import (CS_DEFAULT, CS_UNKNOWN_HUNDREDTHS, CS_WEIGHT_HUNDREDTHS, DEFAULT_CRED_FALLBACK,
+                             LABEL_MAP, LEN_STD_EPSILON)
 from credo.functions.labels import binary_label, normalize_label
 from credo.operators.dedup import deduplicate
 from credo.operators.features import feature_table
 from credo.operators.lookups import all_lookups, lookup_stats
 from credo.operators.split import split_hash, split_stratified
 from credo.plans import fixtures as fx
+from credo.session import scratch_dir
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -33,6 +35,17 @@ def labelled(df: DataFrame) -> DataFrame:
     return d.withColumn("y", binary_label("label")).filter(F.col("y").isNotNull())
 
 
+def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
+    """Write to a fresh folder under the shared checkpoint dir and read back."""
+    path = scratch_dir(spark, name)
+    w = df.write.mode("errorifexists")
+    if partition_by:
+        w = w.partitionBy(partition_by)
+    w.parquet(path)
+    # columns in their order, and the partition column as the string it was
+    return spark.read.schema(df.schema).parquet(path).select(*df.columns)
+
+
 @dataclass
 class Chain:
     spark: SparkSession
@@ -57,13 +70,21 @@ class Chain:
         return self.splitted().filter(F.col("split") == "train")
 
     def lookups(self) -> DataFrame:
-        """Training lookups, computed once and checkpointed into the shared
-        checkpoint folder: every join branch and the stats subquery read the
-        small materialised table instead of re-running dedup + split."""
+        """Training lookups, computed once into the shared checkpoint folder.
+
+        The split table is written first, so that the lookups and the rows
+        they are joined to read files instead of running dedup + split twice;
+        every join branch and the stats subquery read the small lookup table."""
         if "lk" not in self._cache:
-            self._cache["lk"] = all_lookups(self.train()).checkpoint(eager=True)
+            self._cache["split"] = materialize(self.spark, self.splitted(), "split", "split")
+            self._cache["lk"] = materialize(self.spark, all_lookups(self.train()), "lookups")
         return self._cache["lk"]
 
+    def default_cred(self) -> DataFrame:
+        """One row: the TRUE rate of the training split, without the lookups."""
+        rate = F.avg(F.col("y").cast("double"))
+        return self.train().agg(F.coalesce(rate, F.lit(DEFAULT_CRED_FALLBACK)).alias("default_cred"))
+
     def stats(self) -> DataFrame:
         return lookup_stats(self.lookups())
 

@@ -302,11 +302,22 @@ def class_balance(spark, sf):
     return sp.class_balance(Chain(spark, sf).splitted())
 
 
+# f1 with a copy of each statement that differs by blanks and has a split of its own
+_COPY = ("SELECT statement, split FROM d UNION ALL SELECT concat('  ', replace(statement, ' ', '  ')) AS statement, "
+         f"CASE WHEN u < '{sp._cut_hex(0.1)}' THEN 'test' WHEN u < '{sp._cut_hex(0.2)}' THEN 'val' ELSE 'train' END AS split "
+         "FROM (SELECT statement, substr(md5(concat('c', row_key)), 1, 8) AS u FROM d) z")
+
+
 @q("leakage_check", chain_sql(
-    f"SELECT {s_clean('statement')} AS statement, count(DISTINCT split) AS n_splits, count(*) AS n_rows FROM d "
-    f"WHERE statement IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1", fixture="f1"))
+    f"SELECT {s_clean('statement')} AS statement, count(DISTINCT split) AS n_splits, count(*) AS n_rows FROM leaky "
+    f"WHERE statement IS NOT NULL GROUP BY 1 HAVING count(DISTINCT split) > 1", fixture="f1", extra=[("leaky", _COPY)]))
 def leakage_check(spark, sf):
-    return sp.leakage_check(Chain(spark, sf, fixture="f1").splitted(), ft.standardize_format("statement"))
+    """Finds the copies that only cleaning makes equal, where they cross splits."""
+    d = Chain(spark, sf, fixture="f1").splitted()
+    blanks = F.concat(F.lit("  "), F.replace("statement", F.lit(" "), F.lit("  ")))
+    copies = d.drop("split").withColumns({"statement": blanks, "row_key": F.concat(F.lit("c"), "row_key")})
+    leaky = d.select("statement", "split").unionByName(sp.split_hash(copies).select("statement", "split"))
+    return sp.leakage_check(leaky, ft.standardize_format("statement"))
 
 
 # -------------------------------------------------------- 2.6 aggregations

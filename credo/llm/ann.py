@@ -69,6 +69,14 @@ def bounds(bits: np.ndarray, length: np.ndarray, agree: np.ndarray, queries: np.
     return base - 2 * length * (inner + slack), base - 2 * length * (inner - slack)
 
 
+def distances(vectors: np.ndarray, query: np.ndarray) -> np.ndarray:
+    """Exact distances; components are added in order, so that the sums don't depend on the batch."""
+    total = np.zeros(len(vectors))
+    for i in range(len(query)):
+        total += (vectors[:, i] - query[i]) ** 2
+    return np.sqrt(total)
+
+
 def build_index(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", seed: int = 7) -> tuple[DataFrame, np.ndarray, np.ndarray]:
     """The stored index (rows of up to ``CHUNK`` vectors), its centre and its rotation."""
     rows = usable(vectors, id_col, vector_col)
@@ -120,7 +128,7 @@ def search(index: DataFrame, centre: np.ndarray, turn: np.ndarray, queries: Data
                 limit = np.partition(high, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(q), np.inf)
                 for i, query in enumerate(query_ids):
                     at = np.flatnonzero((low[i] <= limit[i]) & ~own[i])
-                    away = np.sqrt(((v[at] - q[i]) ** 2).sum(axis=1))
+                    away = distances(v[at], q[i])
                     best = np.lexsort((ids[at], away))[:k]
                     for out, x in zip(found, (np.full(len(best), query), ids[at][best], away[best])):
                         out.append(x)

@@ -110,4 +110,111 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_chat_format, op2_katz_scores, op3_byte_bpe, op4_near_duplicates, op5_personal_data, op6_quality, op7_fingerprints, op8_token_counts, op9_nearest, op10_mix)}
 
-ORACLE: dict[str, str] = {}
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+SQL_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
+
+#: Near duplicates by comparing all pairs that share a shingle.
+SQL_OP4 = f"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, {SQL_WORDS.format(f"translate(coalesce(text, ''), '{UPPER}', '{LOWER}')")} AS w FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN CAST([] AS VARCHAR[]) WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+    ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w
+), n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s),
+e AS (SELECT doc_id, unnest(s) AS x FROM s),
+p AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL
+), l AS (
+  SELECT a, b FROM p JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * m >= 75 * (na.n + nb.n - m)
+), g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS c FROM n UNION SELECT r.doc_id, g.b FROM r JOIN g ON g.a = r.c),
+c AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, n.n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN c USING (doc_id)
+"""
+
+
+def _sql_tree(text: str) -> str:
+    """List of (section hash, list of (line hash, list of pieces)), as merkle.tree builds it."""
+    full = ("list_transform(regexp_extract_all(ln, '" + merkle.PIECES + "', 0), "
+            "lambda p: concat(md5(p), lpad(lower(to_hex(length(p))), 2, '0')))")
+    line = (f"{{'h': md5(array_to_string({full}, ',')), 'p': list_transform({full}, "
+            "lambda f: concat(substr(f, 1, 10), substr(f, 33, 2)))}")
+    lines = f"list_transform(string_split(sec, chr(10)), lambda ln: {line})"
+    section = f"{{'h': md5(array_to_string(list_transform({lines}, lambda par: par.h), ',')), 'l': {lines}}}"
+    return f"list_transform(string_split({text}, chr(10) || chr(10)), lambda sec: {section})"
+
+
+def _sql_print(tree: str) -> str:
+    lines = "array_to_string(list_transform(s.l, lambda par: concat(substr(par.h, 1, 16), '=', array_to_string(par.p, ','))), '|')"
+    sections = f"array_to_string(list_transform({tree}, lambda s: concat(substr(s.h, 1, 16), '{{', {lines}, '}}')), '/')"
+    return f"concat(sha256(array_to_string(list_transform({tree}, lambda s: s.h), ',')), ':', {sections})"
+
+
+def _sql_pieces(tree: str) -> str:
+    return f"list_distinct(flatten(flatten(list_transform({tree}, lambda s: list_transform(s.l, lambda par: par.p)))))"
+
+
+def _sql_weight(pieces: str) -> str:
+    digit = "(instr('0123456789abcdef', substr(p, {}, 1)) - 1)"
+    return f"coalesce(list_sum(list_transform({pieces}, lambda p: 16 * {digit.format(11)} + {digit.format(12)})), 0)"
+
+
+def _sql_likeness(a: str, b: str) -> str:
+    both = f"({_sql_weight(a)} + {_sql_weight(b)})"
+    return f"CASE WHEN {both} = 0 THEN 1.0E0 ELSE 2.0E0 * {_sql_weight(f'list_intersect({a}, {b})')} / {both} END"
+
+
+SQL_OP7 = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+x AS (SELECT doc_id, t, length(t) AS n, coalesce(lead(t) OVER o, first_value(t) OVER o) AS x FROM d
+      WINDOW o AS (ORDER BY doc_id NULLS FIRST, t)),
+y AS (SELECT *, concat(substr(t, 1, n - n // 2), substr(x, 1, n // 2)) AS e FROM x),
+z AS (SELECT doc_id, n, e, {_sql_tree('t')} AS tt, {_sql_tree('e')} AS te, {_sql_tree('x')} AS tx FROM y),
+p AS (SELECT doc_id, n, sha256(e) AS h, {_sql_print('tt')} AS f, {_sql_print('te')} AS fe,
+      {_sql_pieces('tt')} AS pt, {_sql_pieces('te')} AS pe, {_sql_pieces('tx')} AS px FROM z)
+SELECT doc_id, CAST(n AS BIGINT) AS n_chars, h AS edited_sha256, f AS fingerprint, fe AS edited_fingerprint,
+  {_sql_likeness('pt', 'pe')} AS near_edited, {_sql_likeness('pt', 'px')} AS near_next FROM p
+"""
+
+#: The nearest by all distances.
+SQL_OP9 = """
+WITH v AS (
+  SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE vec_id IS NOT NULL AND len(embedding) > 0
+), u AS (
+  SELECT * FROM v WHERE len(list_filter(e, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+    AND len(list_filter(e, lambda x: x <> 0)) > 0
+), p AS (
+  SELECT q.vec_id AS query_id, c.vec_id, sqrt(list_reduce(list_transform(range(1, len(q.e) + 1),
+    lambda i: (c.e[i] - q.e[i]) * (c.e[i] - q.e[i])), lambda a, b: a + b)) AS score
+  FROM u q JOIN u c ON c.vec_id <> q.vec_id WHERE q.vec_id % 100 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+#: Water-filling by sorted limits, and the seeded order as one window.
+SQL_OP10 = f"""
+WITH d AS (
+  SELECT doc_id, source, CAST(len({SQL_WORDS.format("coalesce(text, '')")}) AS BIGINT) AS size,
+    md5(concat('{mixing.SEED}:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS draw FROM documents
+), s AS (
+  SELECT source, CAST(sum(size) AS BIGINT) AS ss, row_number() OVER (ORDER BY source NULLS LAST) AS k FROM d GROUP BY source
+), w AS (SELECT source, ss, {mixing.MAX_EPOCHS} * ss AS lim, CASE k % 3 WHEN 1 THEN 5 WHEN 2 THEN 2 ELSE 1 END AS w FROM s),
+c AS (
+  SELECT *, CAST((SELECT sum(ss) FROM w) - (sum(lim) OVER o - lim) AS DOUBLE) / (sum(w) OVER () - (sum(w) OVER o - w)) AS level
+  FROM w WINDOW o AS (ORDER BY CAST(lim AS DOUBLE) / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)
+), t AS (
+  SELECT source, ss, least(CAST(lim AS DOUBLE), w * (SELECT level FROM c WHERE w * level <= lim ORDER BY CAST(lim AS DOUBLE) / w, source NULLS LAST LIMIT 1)) AS target FROM c
+), f AS (SELECT *, CASE WHEN ss > 0 THEN floor(target / ss) ELSE 0 END AS whole FROM t),
+x AS (
+  SELECT d.doc_id, d.size, f.ss, f.target, f.whole, f.target - f.whole * f.ss AS want,
+    sum(d.size) OVER (PARTITION BY d.source ORDER BY d.draw) - sum(d.size) OVER (PARTITION BY d.source, d.draw) / 2 AS upto
+  FROM d JOIN f ON f.source IS NOT DISTINCT FROM d.source
+)
+SELECT doc_id, size, ss AS source_size, target,
+  CAST(size * (whole + CASE WHEN want > 0 AND upto <= want THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x
+"""
+
+#: Models, tokenizers, greedy windows and bootstrapping are beyond SQL; tests/llm has plain versions.
+ORACLE: dict[str, str] = {
+    "op4_near_duplicates": SQL_OP4, "op7_fingerprints": SQL_OP7, "op9_nearest": SQL_OP9, "op10_mix": SQL_OP10,
+}

@@ -112,8 +112,8 @@ def text_attribution(positions: DataFrame, coef: DataFrame, key: str = "word",
     model).  Occurrences are first counted per (row, word), so a very common
     word is pre-aggregated before it meets the coefficient table.
 
-    positions: (row_key, pos, word); coef: (<key>, coef) keyed by word (a
-    vocabulary model's ``text_coef_table`` or ``word_log_odds``).
+    positions: (row_key, pos, word); coef: (<key>, coef) keyed by word, as
+    ``word_log_odds`` gives it.
     ``presence``: the model sees word presence (counts otherwise).
     Returns (row_key, word, n, first_pos, score)."""
     counts = positions.groupBy("row_key", "word").agg(
@@ -205,34 +205,52 @@ def perturbation_attribution(positions: DataFrame, base_score: DataFrame, coef:
     Rows: samples x distinct words per statement (linear in its length; no
     word pairs).
 
+    All samples of a statement are drawn and scored inside its row, over the
+    array of its distinct words: the words are gathered once, and nothing is
+    shuffled by sample.
+
     positions: (row_key, pos, word); base_score: (row_key, base); coef: (word, coef).
     Returns the ``top`` words per row: (row_key, rank, word, score)."""
     words = (positions.groupBy("row_key", "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("word_pos"))
              .join(coef.select("word", "coef"), "word", "left")
              .withColumn("_c", F.col("n") * F.coalesce(F.col("coef"), F.lit(0.0))))
-    h = F.md5(F.concat_ws("|", F.col("row_key"), F.col("sample").cast("string"), F.col("word")))
-    bit = (F.instr(F.lit("0123456789abcdef"), F.substring(h, 2, 1)) - 1) % 2
-    ex = (words.withColumn("sample", F.explode(F.sequence(F.lit(0), F.lit(n_samples - 1))))
-          .withColumn("keep", F.when(F.col("sample") == 0, F.lit(1)).otherwise(bit)))
-    v = ex.groupBy("row_key", "sample").agg(
-        F.sum(F.col("keep") * F.col("_c")).alias("_text"),
-        (F.sum("keep") / F.count(F.lit(1))).alias("_frac"))
-    v = v.join(base_score, "row_key")
-    v = v.select("row_key", "sample",
-                 (F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("base") + F.col("_text"))))).alias("_p"),
-                 F.exp(-F.pow(F.lit(1.0) - F.col("_frac"), 2) / F.lit(kernel_width ** 2)).alias("_wt"))
-    e = ex.select("row_key", "sample", "word", "word_pos", "keep").join(v, ["row_key", "sample"])
-    kept, dropped = F.col("keep") == 1, F.col("keep") == 0
-    imp = e.groupBy("row_key", "word", "word_pos").agg(
-        (F.coalesce(F.try_divide(F.sum(F.when(kept, F.col("_wt") * F.col("_p"))), F.sum(F.when(kept, F.col("_wt")))),
-                    F.lit(0.0))
-         - F.coalesce(F.try_divide(F.sum(F.when(dropped, F.col("_wt") * F.col("_p"))),
-                                   F.sum(F.when(dropped, F.col("_wt")))), F.lit(0.0))).alias("score"))
+    samples = F.sequence(F.lit(0), F.lit(n_samples - 1))
+
+    def keep(word: Column) -> Column:
+        """Whether each sample keeps the word, as 0 / 1."""
+        def bit(s: Column) -> Column:
+            h = F.md5(F.concat_ws("|", F.col("row_key"), s.cast("string"), word))
+            return F.when(s == 0, 1).otherwise((F.instr(F.lit("0123456789abcdef"), F.substring(h, 2, 1)) - 1) % 2)
+        return F.transform(samples, bit)
+
+    def total(values: Column) -> Column:
+        return F.aggregate(values, F.lit(0.0), lambda a, x: a + x)
+
+    def variant(s: Column) -> Column:
+        """Probability and kernel weight of a sample."""
+        text = total(F.transform("ws", lambda w: F.get(w["keep"], s) * w["c"]))
+        share = total(F.transform("ws", lambda w: F.get(w["keep"], s).cast("double"))) / F.size("ws")
+        return F.struct((F.lit(1.0) / (F.lit(1.0) + F.exp(-(F.col("base") + text)))).alias("p"),
+                        F.exp(-F.pow(F.lit(1.0) - share, 2) / F.lit(kernel_width ** 2)).alias("wt"))
+
+    def mean(w: Column, kept: int) -> Column:
+        """Weighted mean probability of the samples that keep (or drop) a word."""
+        mine = F.filter(F.zip_with("vs", w["keep"], lambda v, k: F.struct(v["p"].alias("p"), v["wt"].alias("wt"), k.alias("k"))),
+                        lambda x: x["k"] == kept)
+        top_ = total(F.transform(mine, lambda x: x["wt"] * x["p"]))
+        return F.coalesce(F.try_divide(top_, total(F.transform(mine, lambda x: x["wt"]))), F.lit(0.0))
+
+    rows = words.select("row_key", F.struct("word_pos", "word", F.col("_c").alias("c"), keep(F.col("word")).alias("keep")).alias("w"))
+    rows = rows.groupBy("row_key").agg(F.sort_array(F.collect_list("w")).alias("ws")).join(base_score, "row_key")
+    rows = rows.withColumn("vs", F.transform(samples, variant))
+    scored = F.transform("ws", lambda w: F.struct(w["word_pos"].alias("pos"), w["word"].alias("word"),
+                                                  (mean(w, 1) - mean(w, 0)).alias("score")))
+    rows = rows.select("row_key", scored.alias("scored"))
     # rank on the value rounded to 1e-9 so float summation order cannot reorder ties
-    imp = imp.withColumn("_r", F.round("score", 9))
-    w = Window.partitionBy("row_key").orderBy(F.abs("_r").desc(), F.col("word_pos"))
-    return (imp.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
-            .select("row_key", "rank", "word", "score"))
+    order = F.transform("scored", lambda x: F.struct((-F.abs(F.round(x["score"], 9))).alias("k"), x["pos"].alias("pos"),
+                                                     x["word"].alias("word"), x["score"].alias("score")))
+    best = rows.select("row_key", F.posexplode(F.slice(F.sort_array(order), 1, top)).alias("i", "x"))
+    return best.select("row_key", (F.col("i") + 1).alias("rank"), "x.word", "x.score")
 
 
 def route_attributions(primary: DataFrame, delta: DataFrame, fallback) -> DataFrame:

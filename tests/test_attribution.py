@@ -46,3 +46,17 @@ def test_route_attributions(spark):
     fb = lambda keys: keys.select("row_key", F.lit(1).alias("rank"), F.lit("z").alias("word"), F.lit(0.1).alias("score"))
     out = rows(route_attributions(prim, delta, fb), "row_key", "word", "method")
     assert out == [("a", "x", "primary"), ("b", "z", "fallback")]
+
+
+def test_perturbation_draws_samples_inside_the_row(spark):
+    """One row per statement meets the samples: no 50-fold rows, no shuffle by sample."""
+    from credo.operators.attribution import perturbation_attribution
+
+    pos = spark.createDataFrame([("r", 1, "a"), ("r", 2, "b"), ("q", 1, "a")], "row_key string, pos long, word string")
+    base = spark.createDataFrame([("r", 0.0), ("q", 0.1)], "row_key string, base double")
+    coef = spark.createDataFrame([("a", 2.0)], "word string, coef double")
+    out = perturbation_attribution(pos, base, coef)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Generate") == 1 and "explode(sequence" not in plan
+    got = {(r["row_key"], r["rank"]): r["word"] for r in out.collect()}
+    assert got == {("r", 1): "a", ("r", 2): "b", ("q", 1): "a"}

@@ -151,10 +151,13 @@ def feature_table(df: DataFrame, lookups: DataFrame, stats=None, key_mode: str =
 
 def key_mode_compare(df: DataFrame, lookups: DataFrame, cs_default: float = CS_DEFAULT) -> DataFrame:
     """Rows whose feature value differs from the raw-key value, per feature
-    and key mode.  One pass: each feature is joined once per key spelling."""
+    and key mode.  The rows are first reduced to their distinct key triples
+    with counts (map-side combined), so the joins see keys, not rows; each
+    feature is joined once per key spelling that it needs."""
     raw_lk = lookups
     norm_lk = normalize_lookup(lookups)
-    out = _with_stats(df, lookup_stats(lookups))
+    triples = df.groupBy("speaker_name", "speaker_affiliation", "statement_context").agg(F.count(F.lit(1)).alias("_n"))
+    out = _with_stats(triples, lookup_stats(lookups))
     dflt = F.col("_st")["default_cred"]
     variants = []
     for feat, kind, col, value, default in (
@@ -162,11 +165,12 @@ def key_mode_compare(df: DataFrame, lookups: DataFrame, cs_default: float = CS_D
             + [(name, kind, col, "cred", dflt) for name, (kind, col) in META.items()]):
         out = _join_value(out, raw_lk, kind, _probe(kind, col, False), value, f"{feat}__raw", default)
         out = _join_value(out, norm_lk, kind, _probe(kind, col, True), value, f"{feat}__norm", default)
-        out = _join_value(out, norm_lk, kind, _probe(kind, col, False), value, f"{feat}__normkey", default)
         eval_col = f"{feat}__norm" if feat == "cs_ratio" else f"{feat}__normkey"
+        if feat != "cs_ratio":
+            out = _join_value(out, norm_lk, kind, _probe(kind, col, False), value, eval_col, default)
         variants.append((feat, "eval_compat", eval_col))
         variants.append((feat, "normalized", f"{feat}__norm"))
-    aggs = [F.sum(F.when(~F.col(c).eqNullSafe(F.col(f"{feat}__raw")), 1).otherwise(0))
+    aggs = [F.sum(F.when(~F.col(c).eqNullSafe(F.col(f"{feat}__raw")), F.col("_n")).otherwise(0))
             .cast("bigint").alias(f"{feat}|{mode}") for feat, mode, c in variants]
     wide = out.agg(*aggs)
     pairs = ", ".join(f"'{feat}', '{mode}', `{feat}|{mode}`" for feat, mode, _ in variants)

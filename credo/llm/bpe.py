@@ -29,6 +29,8 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from credo.llm.common import held
+
 #: Words whose encoding a worker remembers; longer words and further ones are
 #: encoded again each time they occur.
 WORDS_KEPT, WORD_BYTES_KEPT = 600_000, 48
@@ -123,8 +125,8 @@ class Transducer:
 
     FEW = 8
 
-    def __init__(self, merges: Merges):
-        self.merges = merges
+    def __init__(self, merges: Merges, share: float = 1.0):
+        self.merges, self.share = merges, share
         self.valid: dict[int, bool] = {}
         self.below: dict[int, tuple[int, ...] | None] = {}
         self.clear()
@@ -140,7 +142,7 @@ class Transducer:
         key = left << 32 | right
         found = self.valid.get(key)
         if found is None:
-            if len(self.valid) > PAIRS_KEPT:
+            if len(self.valid) > PAIRS_KEPT * self.share:
                 self.valid.clear()
             found = self.valid[key] = self.merges.neighbours(left, right)
         return found
@@ -186,7 +188,7 @@ class Transducer:
         return arc
 
     def encode(self, data: bytes) -> list[int]:
-        if len(self.states) > STATES_KEPT:
+        if len(self.states) > STATES_KEPT * self.share:
             self.clear()
         lengths = self.merges.length
         out: list[int] = []
@@ -225,7 +227,7 @@ class Words(dict):
         data = word.encode()
         packed = packed_ids(self.transducer.encode(data))
         if len(data) <= WORD_BYTES_KEPT:
-            if len(self) >= WORDS_KEPT:
+            if len(self) >= WORDS_KEPT * self.transducer.share:
                 self.clear()
             self[word] = packed
         return packed
@@ -303,12 +305,10 @@ def rank_file(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
-@lru_cache(maxsize=2)
-def encoder(path: str) -> Words:
-    return Words(Transducer(Merges(rank_file(path))))
+def encoder(path: str, share: float = 1.0) -> Words:
+    return Words(Transducer(Merges(rank_file(path)), share))
 
 
-@lru_cache(maxsize=2)
 def decoder(path: str) -> Utf8Machine:
     return Utf8Machine({i: b for b, i in rank_file(path).items()})
 
@@ -326,16 +326,17 @@ def decoded(ids: bytes | None, machine: Utf8Machine) -> str:
     return machine.decode(array("I", ids[:len(ids) // 4 * 4])) if ids else ""
 
 
-def encode(text: Column, path: str, pattern: str) -> Column:
+def encode(text: Column, path: str, pattern: str, share: float = 1.0) -> Column:
     """Ids of each text as little-endian unsigned 32-bit integers (binary).
 
     ``path`` names the rank file on every executor; ``pattern`` cuts a text
-    into words that are encoded separately.
+    into words that are encoded separately; ``share`` scales what a worker
+    remembers (less memory, more work, the same ids).
     """
 
     @F.pandas_udf("binary")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words, split = encoder(path), splitter(pattern)
+        words, split = held(("bpe encoder", path, share), lambda: encoder(path, share)), splitter(pattern)
         for batch in batches:
             yield pd.Series([encoded(t, words, split) for t in batch], dtype=object)
 
@@ -347,7 +348,7 @@ def decode(ids: Column, path: str) -> Column:
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        machine = decoder(path)
+        machine = held(("bpe decoder", path), lambda: decoder(path))
         for batch in batches:
             yield pd.Series([decoded(x, machine) for x in batch], dtype=object)
 
@@ -359,7 +360,8 @@ def round_trip(text: Column, path: str, pattern: str) -> Column:
 
     @F.pandas_udf("ids binary, text string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        words, split, machine = encoder(path), splitter(pattern), decoder(path)
+        words, machine = held(("bpe", path), lambda: (encoder(path), decoder(path)))
+        split = splitter(pattern)
         for batch in batches:
             ids = [encoded(t, words, split) for t in batch]
             yield pd.DataFrame({"ids": ids, "text": [decoded(x, machine) for x in ids]}, dtype=object)

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
+from collections.abc import Callable, Hashable
+from typing import Any
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +14,22 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 
+_HELD: dict[str, Any] = {}
+
+
+def held(owner: Hashable, make: Callable[[], Any]) -> Any:
+    """What a Python worker remembers for ``owner``.
+
+    Workers outlive tasks and serve one operator after the other; only the
+    last one's memory is kept.
+    """
+    if _HELD.get("owner") != owner:
+        _HELD.clear()
+        gc.collect()
+        _HELD.update(owner=owner, value=make())
+    return _HELD["value"]
+
+
 def text_or_empty(col: str | Column) -> Column:
     """The text as a string; null counts as empty."""
     return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit(""))

@@ -33,7 +33,6 @@ grouped with equal texts only.  Rows that share an id count as one document.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -41,7 +40,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credo.llm.common import fresh, stored, text_or_empty
+from credo.llm.common import fresh, held, stored, text_or_empty
 from credo.llm.components import components
 
 WORDS = 5
@@ -69,9 +68,8 @@ class Hashes(dict):
         return value
 
 
-@lru_cache(maxsize=1)
 def hashes() -> Hashes:
-    return Hashes()
+    return held("shingle words", Hashes)
 
 
 def shingles(words: list[bytes]) -> np.ndarray:

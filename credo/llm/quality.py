@@ -22,7 +22,6 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -30,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credo.llm.common import crc32_fold, text_or_empty
+from credo.llm.common import crc32_fold, held, text_or_empty
 
 SAMPLE = 4000
 BUCKETS = 1 << 18
@@ -59,9 +58,8 @@ class Words(dict):
         return value
 
 
-@lru_cache(maxsize=1)
 def words() -> Words:
-    return Words()
+    return held("shape words", Words)
 
 
 def features(text: str | None) -> np.ndarray:

@@ -19,13 +19,13 @@ Null and empty texts have no tokens.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from credo.llm.common import held
+
 #: Parts whose count a worker remembers, and their longest length.
 PARTS_KEPT, PART_CHARS_KEPT = 600_000, 48
 #: Symbols that one ragged array holds; a longer part gets an array of its own.
@@ -135,9 +135,8 @@ class Counts(dict):
             symbols, owner = symbols[keep], owner[keep]
 
 
-@lru_cache(maxsize=2)
 def counts(path: str) -> Counts:
-    return Counts(Pieces(path))
+    return held(("pieces", path), lambda: Counts(Pieces(path)))
 
 
 def cut(text: str) -> tuple[list[str], int]:

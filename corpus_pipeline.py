@@ -43,7 +43,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, source, n_tokens and ids (little-endian unsigned 32-bit integers) of each document."""
-    ids = bpe.encode(text_or_empty("text"), BPE_RANKS, public_tokenizers.PATTERN)
+    # the executors' memory still holds what earlier stages have grown to
+    ids = bpe.encode(text_or_empty("text"), BPE_RANKS, public_tokenizers.PATTERN, share=0.15)
     return docs.select("doc_id", "source", ids.alias("ids")).select(
         "doc_id", "source", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), "ids")
 

@@ -25,7 +25,6 @@ is discounted, one count is added for what is unseen.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -35,13 +34,13 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credo.llm.common import stored, text_or_empty
+from credo.llm.common import held, stored, text_or_empty
 
 #: Counts up to this one are discounted.
 LARGEST = 5
 #: Tokens of a block, tokens for each bucket of contexts.
-BLOCK_TOKENS, BUCKET_TOKENS = 3_000_000, 8_000_000
-WORDS_KEPT = 500_000
+BLOCK_TOKENS, BUCKET_TOKENS = 1_000_000, 3_000_000
+WORDS_KEPT = 200_000
 #: White space can't be in a word, so this is no word's hash.
 END = xxhash.xxh64_intdigest(b"\n")
 
@@ -56,9 +55,8 @@ class Hashes(dict):
         return value
 
 
-@lru_cache(maxsize=1)
 def hashes() -> Hashes:
-    return Hashes()
+    return held("model words", Hashes)
 
 
 def tokens(text: str | None) -> np.ndarray:
@@ -78,15 +76,18 @@ def pack(*arrays: np.ndarray) -> bytes:
         if x.dtype.kind != "f":
             top = int(x.max()) if len(x) else 0
             x = x.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if top <= np.iinfo(t).max))
-        parts.append(np.array([len(x), x.dtype.itemsize, x.dtype.kind == "f", rises], dtype="<i8").tobytes() + x.tobytes())
-    return zstandard.compress(b"".join(parts), 1)
+        parts.append(np.array([len(x), x.dtype.itemsize, x.dtype.kind == "f", rises], dtype="<i8").tobytes())
+        # first bytes, second bytes, ...: high bytes are mostly zero
+        parts.append(np.ascontiguousarray(x).view("u1").reshape(len(x), -1).T.tobytes())
+    return zstandard.compress(b"".join(parts), 3)
 
 
 def unpack(data: bytes) -> list[np.ndarray]:
     raw, out, at = zstandard.decompress(data), [], 0
     while at < len(raw):
         n, size, real, rises = np.frombuffer(raw, "<i8", 4, at).tolist()
-        x = np.frombuffer(raw, f"<f{size}" if real else f"<u{size}", n, at + 32)
+        x = np.frombuffer(raw, "u1", n * size, at + 32).reshape(size, n).T
+        x = np.ascontiguousarray(x).view(f"<f{size}" if real else f"<u{size}").reshape(n)
         at += 32 + n * size
         if rises:
             x = np.cumsum(x.astype(np.uint64), dtype=np.uint64)
@@ -119,12 +120,15 @@ def ddl(schema: pa.Schema) -> str:
 
 
 def make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Vocabulary (sorted), token numbers in it and document lengths of each block."""
+    """Vocabulary (most frequent first), token numbers in it and document lengths of each block."""
     ids, held, found, size, number = [], [], [], 0, TaskContext.get().partitionId() << 32
 
     def flush() -> pa.RecordBatch:
-        vocabulary, inverse = np.unique(np.concatenate(found), return_inverse=True)
-        data = pack(vocabulary, inverse, np.array([len(x) for x in found]))
+        vocabulary, inverse, counts = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
+        order = np.argsort(-counts, kind="stable")
+        rank = np.empty(len(order), dtype=np.uint32)
+        rank[order] = np.arange(len(order), dtype=np.uint32)
+        data = pack(vocabulary[order], rank[inverse], np.array([len(x) for x in found]))
         return one_row(BLOCK, number, size, ids, held, data)
 
     for batch in batches:
@@ -141,9 +145,12 @@ def make_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def bigrams(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """vocabulary, token numbers, lengths, distinct context * size + word codes, and each token's place among them."""
+    """Sorted vocabulary, token numbers, lengths, distinct context * size + word codes, and each token's place among them."""
     vocabulary, numbers, lengths = unpack(row["data"])
-    numbers = numbers.astype(np.int64)
+    order = np.argsort(vocabulary)
+    place = np.empty(len(order), dtype=np.int64)
+    place[order] = np.arange(len(order))
+    vocabulary, numbers = vocabulary[order], place[numbers]
     context = np.r_[0, numbers[:-1]]
     context[np.r_[0, np.cumsum(lengths.astype(np.int64))[:-1]]] = np.searchsorted(vocabulary, np.uint64(END))
     codes, place = np.unique(context * len(vocabulary) + numbers, return_inverse=True)
@@ -191,7 +198,7 @@ def count_bucket(table: pa.Table) -> pa.Table:
     totals = np.bincount(place, weights=np.concatenate([s[4] for s in sent]), minlength=len(distinct)).astype(np.int64)
     out, at = [], 0
     for block, o, s in zip(blocks, own, sent):
-        out.append((bucket, 1, block, pack(o, totals[place[at:at + len(s[4])]]), None))
+        out.append((bucket, 1, block, pack(o, s[1], totals[place[at:at + len(s[4])]]), None))
         at += len(s[4])
     seen = totals > 0
     distinct, totals = distinct[seen], totals[seen]
@@ -287,9 +294,11 @@ def weigh_bucket(unigrams: Unigrams, discounts: Discounts):
         out = []
         for r in rows:
             if r["kind"] == 1:
-                own, bigram = unpack(r["data"])
+                own, each, bigram = unpack(r["data"])
                 own = own.astype(np.int64)
-                out.append((r["block"], r["bucket"], pack(count[own], alpha[own], plain[own].astype(np.uint8), bigram)))
+                # a weight only where the block has a bigram without a count
+                new = np.bincount(np.repeat(np.arange(len(own)), each.astype(np.int64)), weights=bigram == 0, minlength=len(own))
+                out.append((r["block"], r["bucket"], pack(count[own], np.where(new > 0, alpha[own], 0.0), plain[own].astype(np.uint8), bigram)))
         return table_of(BACK, out)
 
     return run
@@ -306,6 +315,7 @@ def score_block(unigrams: Unigrams, discounts: Discounts):
         context, word = np.divmod(codes, len(vocabulary))
         direct = np.where(plain[context] > 0, seen / (count[context] + 1), discounts(seen) / np.maximum(count[context], 1))
         p = np.where(seen > 0, direct, alpha[context] * unigrams(count[word]))
+        del context, word, direct, codes
         starts = np.r_[0, np.cumsum(lengths)[:-1]]
         base = np.log10((count + 0.1) / (unigrams.total + 0.1 * (unigrams.types + 1)))
         sums = [np.add.reduceat(x, starts) for x in ((count > 0).astype(np.int64)[numbers], base[numbers], np.log10(p)[place])]

@@ -4,10 +4,10 @@ Seeds are what the base patterns find and validate: e-mail addresses, IPv4
 addresses, card numbers (Luhn) and international phone numbers.  Every run of
 words with a digit or ``@`` is an instance; the words around its occurrences
 make lexical patterns (the two words before; the word before and the word
-after).  Patterns and instances form a graph that is scored in rounds: a
-pattern's confidence for a kind is the share of its distinct instances that
-belong to it (seeds surely, others by their score), an instance's score is
-the chance that any of its trusted patterns is right.  Instances that no base
+after).  Patterns and instances form a graph that is scored in rounds until
+no instance is new: a pattern's confidence for a kind is the share of its
+distinct instances that belong to it (seeds surely, others by their score), an
+instance's score is the chance that any of its trusted patterns is right.  Instances that no base
 pattern finds, have the written form of the kind and a high score are
 discovered; base spans always stay.
 
@@ -18,15 +18,19 @@ occurs everywhere weighs no more than another.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credo.llm.common import fresh, stored, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
-#: Rounds of scoring; a pattern counts from so many instances of a kind and
-#: this confidence on; an instance is discovered from this score on.
+#: Rounds of scoring at least; a pattern counts from so many instances of a kind
+#: and this confidence on; an instance is discovered from this score on.
 ROUNDS, SUPPORT, TRUSTED, DISCOVERED = 3, 3.0, 0.7, 0.8
+#: Rounds end when no instance is new or scores so much more than in any before.
+SETTLED = 0.001
 #: Up to so many spans (100 bytes each) are broadcast to their rows.
 SPANS_BROADCAST = 200_000
 
@@ -138,37 +142,53 @@ def detected(docs: DataFrame, text: str, base: str, instances: str) -> DataFrame
     return out.drop(*(n for pair in names.values() for n in pair))
 
 
+def fits(n: int) -> Column:
+    """Whether the instance of an edge is a seed of the kind, or may become one of its instances."""
+    return F.when(F.col("kind").isNull(), F.col("value").rlike(FORMS[KINDS[n]])).otherwise(F.col("kind") == n)
+
+
 def scored(edges: DataFrame) -> DataFrame:
     """value and kind of the discovered instances, from edges (pattern, value, kind of a seed or null).
 
-    Rounds of: confidence of the patterns by their instances, score of the
-    instances by their trusted patterns.
+    Rounds of: confidence of the patterns by their instances, discovered ones
+    too; score of the instances by their trusted patterns.
     """
     # an instance is a seed of the kind under which it was found
-    edges = edges.groupBy("pattern", "value").agg(F.min("kind").alias("kind"))
-    # only patterns around enough seeds of a kind can ever be trusted
-    seeds = edges.filter("kind is not null").groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).filter(F.col("seeds") >= SUPPORT)
-    edges = stored(edges.join(seeds.select("pattern").distinct(), "pattern", "left_semi"), "pii-edges")
-    guesses = None
-    for _ in range(ROUNDS):
-        rows = edges.select("pattern", "value", F.col("kind").alias("k"), F.when(F.col("kind").isNotNull(), 1.0).alias("score"))
+    pairs = stored(edges.groupBy("pattern", "value").agg(F.min("kind").alias("kind")), "pii-pairs")
+    # a score is at most 1, so a pattern's support is at most its instances that fit, in any round
+    most = F.greatest(*(F.sum(fits(n).cast("int")) for n in range(len(KINDS))))
+    patterns = pairs.groupBy("pattern").agg(F.count("*").alias("total"), most.alias("most"))
+    patterns = patterns.filter((F.col("most") >= SUPPORT) & (F.col("most") / (F.col("total") + 1) >= TRUSTED)).drop("most")
+    any_kind = F.lit(False)
+    for n in range(len(KINDS)):
+        any_kind = any_kind | fits(n)
+    edges = stored(pairs.filter(any_kind).join(patterns, "pattern"), "pii-edges")
+    forms = F.lit(False)
+    for n, kind in enumerate(KINDS):
+        forms = forms | ((F.col("kind") == n) & F.col("value").rlike(FORMS[kind]))
+    guesses = best = None
+    for at in count(1):
+        rows = edges.filter("kind is not null").select("pattern", "total", "kind", F.lit(1.0).alias("score"))
         if guesses is not None:
-            known = guesses.select("value", F.col("kind").alias("g"), F.col("score").alias("gs"))
-            rows = edges.join(known, "value", "left").select(
-                "pattern", "value", F.coalesce("kind", "g").alias("k"),
-                F.when(F.col("kind").isNotNull(), 1.0).otherwise(F.col("gs")).alias("score"))
-        totals = rows.groupBy("pattern", "value").agg(F.max("score")).groupBy("pattern").agg(F.count("*").alias("total"))
-        trust = rows.filter("k is not null").groupBy("pattern", F.col("k").alias("kind")).agg(F.sum("score").alias("support"))
-        trust = trust.join(totals, "pattern").withColumn("trust", F.col("support") / (F.col("total") + 1))
+            known = guesses.select("value", F.col("kind").alias("g"), "score")
+            more = edges.filter("kind is null").join(known, "value")
+            rows = rows.unionByName(more.select("pattern", "total", F.col("g").alias("kind"), "score"))
+        trust = rows.groupBy("pattern", "kind").agg(F.max("total").alias("total"), F.sum("score").alias("support"))
+        trust = trust.withColumn("trust", F.col("support") / (F.col("total") + 1))
         trust = trust.filter((F.col("support") >= SUPPORT) & (F.col("trust") >= TRUSTED)).select("pattern", "kind", "trust")
-        miss = edges.filter("kind is null").drop("kind").join(trust, "pattern").groupBy("value", "kind").agg(
+        miss = edges.filter("kind is null").select("pattern", "value").join(trust, "pattern").groupBy("value", "kind").agg(
             F.sum(F.log1p(-F.least(F.col("trust"), F.lit(0.999)))).alias("miss"))
-        forms = F.lit(False)
-        for n, kind in enumerate(KINDS):
-            forms = forms | ((F.col("kind") == n) & F.col("value").rlike(FORMS[kind]))
-        best = miss.filter(forms).groupBy("value").agg(F.max(F.struct((1 - F.exp("miss")).alias("score"), (-F.col("kind")).alias("k"))).alias("best"))
-        guesses = stored(best.select("value", (-F.col("best.k")).alias("kind"), F.col("best.score").alias("score")), "pii-scores")
-        if guesses.isEmpty():
+        top = miss.filter(forms).groupBy("value").agg(F.max(F.struct((1 - F.exp("miss")).alias("score"), (-F.col("kind")).alias("k"))).alias("top"))
+        guesses = stored(top.select("value", (-F.col("top.k")).alias("kind"), F.col("top.score").alias("score")), "pii-scores")
+        if best is None:
+            best, settled = guesses, guesses.isEmpty()
+        else:
+            old = best.withColumnRenamed("score", "old")
+            risen = guesses.join(old, ["value", "kind"], "left").filter(F.col("old").isNull() | (F.col("score") > F.col("old") + SETTLED))
+            settled = risen.isEmpty()
+            if not settled:
+                best = stored(best.unionByName(guesses).groupBy("value", "kind").agg(F.max("score").alias("score")), "pii-best")
+        if guesses.isEmpty() or settled and at >= ROUNDS:
             break
     return guesses.filter(F.col("score") >= DISCOVERED).select("value", "kind")
 

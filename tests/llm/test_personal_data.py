@@ -69,6 +69,34 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert all(found[i][0] == found[i][1] == ",".join(base_spans(texts[i])) for i in range(20))
 
 
+def test_discovered_identifiers_induce_contexts(spark):
+    """The second context holds no base match; what the first one discovers makes it trusted."""
+    local = [f"555 555 {n:04d}" for n in range(9)]
+    texts = [f"please call me at +1 (555) 555-{n:04d} today" for n in range(40)]
+    texts += [f"please call me at {x} today" for x in local[:8]]
+    texts += [f"otherwise ring us on {x} anytime" for x in local]
+    found = run(spark, texts)
+    for i in range(40, len(texts)):
+        start = texts[i].index("555 555")
+        assert found[i] == ("", f"phone:{start}:{start + 12}"), texts[i]
+
+
+def test_contexts_induce_contexts_until_nothing_is_new(spark):
+    """Each context is trusted only once the one before it has been, five times over."""
+    seeds = [f"+1 (555) 555-{n:04d}" for n in range(21)]
+    texts, before = [], []
+    for hop, name in enumerate("abcde"):
+        new = [f"555 {hop:03d} {n:04d}" for n in range(6)]
+        held = seeds[:21 - len(before)] + before + new
+        texts += [f"then{name} dial{name} {x} soon{name}" for x in held]
+        before = new[:4]
+    found = run(spark, texts)
+    for i, text in enumerate(texts):
+        number = text[text.index(" ", text.index("dial")) + 1:text.rindex(" ")]
+        start = text.index(number)
+        assert found[i][1] == f"phone:{start}:{start + len(number)}", text
+
+
 def test_query_on_awkward_rows(spark, tmp_path):
     rows = op5_personal_data(spark, write_documents(spark, tmp_path)).collect()
     docs = documents(spark).collect()

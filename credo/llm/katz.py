@@ -9,8 +9,10 @@ which gets the unigram mass that discounting frees.
     P(w | h) = d(c(h,w)) c(h,w) / c(h)      if c(h,w) > 0
              = alpha(h) P(w)                otherwise (alpha = 1 for unseen h)
 
-The tables are partitioned by the hash of the context into buckets of bounded
-size.  Documents are tokenised once, into blocks of some million tokens; a
+The tables are partitioned by the hash of the context into buckets; a context
+with so many tokens that it would outgrow a bucket has its successors dealt to
+buckets of its own by the hash of the word, and the sums over them (discounted
+mass, covered unigram mass) meet afterwards.  Documents are tokenised once, into blocks of some million tokens; a
 block sends each bucket its distinct bigrams (not its tokens) and gets back
 their counts and their contexts' weights, so the shuffles carry a few bytes
 for each distinct bigram of a block.
@@ -78,7 +80,7 @@ def pack(*arrays: np.ndarray) -> bytes:
             x = x.astype(next(t for t in ("<u1", "<u2", "<u4", "<u8") if top <= np.iinfo(t).max))
         parts.append(np.array([len(x), x.dtype.itemsize, x.dtype.kind == "f", rises], dtype="<i8").tobytes())
         # first bytes, second bytes, ...: high bytes are mostly zero
-        parts.append(np.ascontiguousarray(x).view("u1").reshape(len(x), -1).T.tobytes())
+        parts.append(np.ascontiguousarray(x).view("u1").reshape(len(x), x.dtype.itemsize).T.tobytes())
     return zstandard.compress(b"".join(parts), 3)
 
 
@@ -163,23 +165,79 @@ def bucket_edges(sorted_hashes: np.ndarray, bits: int) -> np.ndarray:
     return np.r_[0, np.searchsorted(sorted_hashes, firsts), len(sorted_hashes)]
 
 
-def send_bigrams(bits: int):
+WORD_COUNT = pa.schema([("word", pa.int64()), ("n", pa.int64())])
+PART_SUM = pa.schema([("bucket", pa.int64()), ("lost", pa.float64()), ("covered", pa.float64())])
+
+
+def frequent_words(least: float):
+    """Words with so many tokens in a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for row in rows_of(batches):
+            vocabulary, numbers, _ = unpack(row["data"])
+            counts = np.bincount(numbers.astype(np.int64), minlength=len(vocabulary))
+            often = counts >= least
+            yield pa.RecordBatch.from_arrays([pa.array(vocabulary[often].view(np.int64)), pa.array(counts[often].astype(np.int64))], schema=WORD_COUNT)
+
+    return run
+
+
+class Buckets:
+    """Buckets of contexts, and after them (from ``own`` on) those of each frequent context's successors."""
+
+    def __init__(self, bits: int, frequent: list[tuple[int, int]]):
+        """``frequent``: words (as signed numbers) and their tokens."""
+        self.bits, self.own = bits, 1 << bits
+        frequent = sorted((w % (1 << 64), n) for w, n in frequent)
+        self.words = np.array([w for w, _ in frequent], dtype=np.uint64)
+        self.part_bits = np.array([max(1, (-(-2 * n // BUCKET_TOKENS) - 1).bit_length()) for _, n in frequent], dtype=np.int64)
+        self.firsts = self.own + np.r_[0, np.cumsum(1 << self.part_bits)].astype(np.int64)
+
+    def number(self, hashes: np.ndarray) -> np.ndarray:
+        """Which frequent context each is, or -1."""
+        if not len(self.words):
+            return np.full(len(hashes), -1)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return np.where(self.words[at] == hashes, at, -1)
+
+    def of_bigrams(self, vocabulary: np.ndarray, context: np.ndarray, word: np.ndarray) -> np.ndarray:
+        """The bucket of each bigram; context and word are places in the sorted vocabulary."""
+        out = np.repeat(np.arange(self.own), np.diff(bucket_edges(vocabulary, self.bits)))[context]
+        number = self.number(vocabulary)[context]
+        at = np.flatnonzero(number >= 0)
+        number = number[at]
+        out[at] = self.firsts[number] + (vocabulary[word[at]] >> (64 - self.part_bits[number]).astype(np.uint64)).astype(np.int64)
+        return out
+
+
+def send_bigrams(buckets: Buckets):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             vocabulary, _, lengths, codes, place = bigrams(row)
             train = np.repeat(~np.array(row["held"], dtype=bool), lengths)
             counts = np.bincount(place[train], minlength=len(codes))
             context, word = np.divmod(codes, len(vocabulary))
-            edges = bucket_edges(vocabulary, bits)
-            cuts = np.searchsorted(context, edges)
-            for bucket in range(1 << bits):
-                at = slice(cuts[bucket], cuts[bucket + 1])
-                if cuts[bucket] == cuts[bucket + 1]:
+            target = buckets.of_bigrams(vocabulary, context, word)
+            own = np.flatnonzero(target >= buckets.own)
+            own = own[np.argsort(target[own], kind="stable")]
+            none = np.empty(0, np.int64)
+            for at in np.split(own, np.flatnonzero(np.diff(target[own])) + 1) if len(own) else []:
+                data = pack(vocabulary[context[at[:1]]], np.array([len(at)]), vocabulary[word[at]], np.arange(len(at)), counts[at], none, none)
+                yield one_row(SENT, target[at[0]], row["block"], data)
+            frequent = np.flatnonzero(buckets.number(vocabulary) >= 0)
+            often = np.bincount(context, weights=counts, minlength=len(vocabulary)).astype(np.int64)[frequent]
+            rest = target < buckets.own
+            context, word, counts = context[rest], word[rest], counts[rest]
+            edges = bucket_edges(vocabulary, buckets.bits)
+            cuts, tops = np.searchsorted(context, edges), np.searchsorted(frequent, edges)
+            for bucket in range(buckets.own):
+                at, top = slice(cuts[bucket], cuts[bucket + 1]), slice(tops[bucket], tops[bucket + 1])
+                if edges[bucket] == edges[bucket + 1]:
                     continue
-                # every word is a context, if only of the end
+                # every word is a context, if only of the end; of a frequent one only its count is here
                 each = np.bincount(context[at] - edges[bucket], minlength=edges[bucket + 1] - edges[bucket])
                 used, index = np.unique(word[at], return_inverse=True)
-                data = pack(vocabulary[edges[bucket]:edges[bucket + 1]], each, vocabulary[used], index, counts[at])
+                data = pack(vocabulary[edges[bucket]:edges[bucket + 1]], each, vocabulary[used], index, counts[at], frequent[top] - edges[bucket], often[top])
                 yield one_row(SENT, bucket, row["block"], data)
 
     return run
@@ -204,6 +262,8 @@ def count_bucket(table: pa.Table) -> pa.Table:
     distinct, totals = distinct[seen], totals[seen]
     context, word = np.divmod(distinct, len(words))
     count = np.bincount(context, weights=totals, minlength=len(contexts)).astype(np.int64)
+    for o, s in zip(own, sent):
+        np.add.at(count, o[s[5].astype(np.int64)], s[6].astype(np.int64))
     each = np.bincount(context, minlength=len(contexts))
     used, index = np.unique(word, return_inverse=True)
     stats = [*np.bincount(count, minlength=LARGEST + 2)[1:LARGEST + 2], *np.bincount(totals, minlength=LARGEST + 2)[1:LARGEST + 2], count.sum(), (count > 0).sum()]
@@ -211,15 +271,21 @@ def count_bucket(table: pa.Table) -> pa.Table:
     return table_of(PART, out)
 
 
-def send_requests(bits: int):
-    """A bucket's unigram counts (sender -1) stay; the words it asks for go to their buckets."""
+def send_requests(buckets: Buckets, own: bool):
+    """A bucket's unigram counts (sender -1) stay; the words it asks for go to their buckets.
+
+    Either frequent contexts' ``own`` buckets ask, or the others.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for row in rows_of(batches):
             contexts, count, _, words, _, _ = unpack(row["data"])
-            yield one_row(SENT, row["bucket"], -1, pack(contexts, count))
-            edges = bucket_edges(words, bits)
-            for bucket in range(1 << bits):
+            if row["bucket"] < buckets.own:
+                yield one_row(SENT, row["bucket"], -1, pack(contexts, count))
+            if own != (row["bucket"] >= buckets.own):
+                continue
+            edges = bucket_edges(words, buckets.bits)
+            for bucket in range(buckets.own):
                 if edges[bucket] < edges[bucket + 1]:
                     yield one_row(SENT, bucket, row["bucket"], pack(words[edges[bucket]:edges[bucket + 1]]))
 
@@ -276,17 +342,47 @@ class Unigrams:
         return np.where(counts > 0, seen, self.unseen)
 
 
-def weigh_bucket(unigrams: Unigrams, discounts: Discounts):
-    """For each block: its contexts' counts, backoff weights and whether they are plain, and its bigrams' counts."""
+def masses(rows: list[dict], unigrams: Unigrams, discounts: Discounts) -> tuple[np.ndarray, ...]:
+    """A bucket's contexts, their counts, what discounting frees and the unigram mass of their successors."""
+    contexts, count, each, _, index, totals = unpack(next(r["data"] for r in rows if r["kind"] == 0))
+    answers = sorted((r["block"], r["data"]) for r in rows if r["kind"] == 2)
+    word_counts = np.concatenate([unpack(d)[0].astype(np.int64) for _, d in answers]) if answers else np.empty(0, np.int64)
+    context = np.repeat(np.arange(len(contexts)), each.astype(np.int64))
+    covered = np.bincount(context, weights=unigrams(word_counts)[index.astype(np.int64)], minlength=len(contexts))
+    lost = np.bincount(context, weights=totals - discounts(totals), minlength=len(contexts))
+    # of no rows, bincount gives integers
+    return contexts, count, lost.astype(float), covered.astype(float)
+
+
+def sum_part(unigrams: Unigrams, discounts: Discounts):
+    """Masses of one part of a frequent context."""
+
+    def run(table: pa.Table) -> pa.Table:
+        _, _, lost, covered = masses(table.to_pylist(), unigrams, discounts)
+        return table_of(PART_SUM, [(table.column("bucket")[0].as_py(), float(lost.sum()), float(covered.sum()))])
+
+    return run
+
+
+def return_parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The counts of a frequent context's bigrams go back as they are."""
+    none = np.empty(0, np.int64)
+    for row in rows_of(batches):
+        yield one_row(BACK, row["block"], row["bucket"], pack(none, np.empty(0), none, unpack(row["data"])[2]))
+
+
+def weigh_bucket(unigrams: Unigrams, discounts: Discounts, buckets: Buckets, more_lost: np.ndarray, more_covered: np.ndarray):
+    """For each block: its contexts' counts, backoff weights and whether they are plain, and its bigrams' counts.
+
+    ``more_lost`` and ``more_covered`` are the masses of the frequent contexts.
+    """
 
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
-        contexts, count, each, _, index, totals = unpack(next(r["data"] for r in rows if r["kind"] == 0))
-        answers = sorted((r["block"], r["data"]) for r in rows if r["kind"] == 2)
-        word_counts = np.concatenate([unpack(d)[0].astype(np.int64) for _, d in answers]) if answers else np.empty(0, np.int64)
-        context = np.repeat(np.arange(len(contexts)), each.astype(np.int64))
-        covered = np.bincount(context, weights=unigrams(word_counts)[index.astype(np.int64)], minlength=len(contexts))
-        lost = np.bincount(context, weights=totals - discounts(totals), minlength=len(contexts))
+        contexts, count, lost, covered = masses(rows, unigrams, discounts)
+        number = buckets.number(contexts)
+        frequent = number >= 0
+        lost[frequent], covered[frequent] = more_lost[number[frequent]], more_covered[number[frequent]]
         count = count.astype(np.int64)
         plain = (lost == 0) & (count > 0)
         left = np.where(plain, 1 / (count + 1), lost / np.maximum(count, 1))
@@ -297,22 +393,26 @@ def weigh_bucket(unigrams: Unigrams, discounts: Discounts):
                 own, each, bigram = unpack(r["data"])
                 own = own.astype(np.int64)
                 # a weight only where the block has a bigram without a count
-                new = np.bincount(np.repeat(np.arange(len(own)), each.astype(np.int64)), weights=bigram == 0, minlength=len(own))
+                new = np.bincount(np.repeat(np.arange(len(own)), each.astype(np.int64)), weights=bigram == 0, minlength=len(own)) + frequent[own]
                 out.append((r["block"], r["bucket"], pack(count[own], np.where(new > 0, alpha[own], 0.0), plain[own].astype(np.uint8), bigram)))
         return table_of(BACK, out)
 
     return run
 
 
-def score_block(unigrams: Unigrams, discounts: Discounts):
+def score_block(unigrams: Unigrams, discounts: Discounts, buckets: Buckets):
     def run(table: pa.Table) -> pa.Table:
         rows = table.to_pylist()
         row = next(r for r in rows if r["bucket"] is None)
         parts = [unpack(r["data"]) for r in sorted((r for r in rows if r["bucket"] is not None), key=lambda r: r["bucket"])]
         count, alpha, plain, seen = (np.concatenate([p[i] for p in parts]) for i in range(4))
         vocabulary, numbers, lengths, codes, place = bigrams(row)
-        count, seen = count.astype(np.int64), seen.astype(np.int64)
+        count = count.astype(np.int64)
         context, word = np.divmod(codes, len(vocabulary))
+        sent = np.argsort(buckets.of_bigrams(vocabulary, context, word), kind="stable")
+        back, seen = seen, np.empty(len(codes), np.int64)
+        seen[sent] = back
+        del sent, back
         direct = np.where(plain[context] > 0, seen / (count[context] + 1), discounts(seen) / np.maximum(count[context], 1))
         p = np.where(seen > 0, direct, alpha[context] * unigrams(count[word]))
         del context, word, direct, codes
@@ -333,18 +433,39 @@ def score_texts(docs: DataFrame, held_out: Column) -> DataFrame:
     """
     rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(held_out, F.lit(False)), text_or_empty("text"))
     blocks = stored(rows.mapInArrow(make_blocks, ddl(BLOCK)), "lm-blocks")
-    size = blocks.agg(F.sum("size")).first()[0] or 0
+    size, number = blocks.agg(F.coalesce(F.sum("size"), F.lit(0)), F.count("*")).first()
     bits = max(0, -(-size // BUCKET_TOKENS) - 1).bit_length()
-    sent = blocks.select("block", "held", "data").mapInArrow(send_bigrams(bits), ddl(SENT))
+    # in all blocks where it has fewer tokens, a word has less than half a bucket's
+    often = blocks.select("data").mapInArrow(frequent_words(BUCKET_TOKENS / (2 * max(number, 1))), ddl(WORD_COUNT))
+    often = often.groupBy("word").agg(F.sum("n").alias("n")).filter(F.col("n") > BUCKET_TOKENS / 2).collect()
+    buckets = Buckets(bits, [tuple(r) for r in often])
+    sent = blocks.select("block", "held", "data").mapInArrow(send_bigrams(buckets), ddl(SENT))
     counted = stored(sent.groupBy("bucket").applyInArrow(count_bucket, ddl(PART)), "lm-counts")
     tables = counted.filter("kind = 0")
-    stats = tables.select(F.posexplode("stats")).groupBy("pos").agg(F.sum("col").alias("n")).collect()
+    stats = tables.select("bucket", F.posexplode("stats"))
+    # a frequent context's own buckets count its bigrams only
+    stats = stats.filter((F.col("bucket") < buckets.own) | F.col("pos").between(LARGEST + 1, 2 * LARGEST + 1))
+    stats = stats.groupBy("pos").agg(F.sum("col").alias("n")).collect()
     stats = [n for _, n in sorted((r["pos"], r["n"]) for r in stats)] or [0] * (2 * LARGEST + 4)
     unigrams = Unigrams(stats[:LARGEST + 1], stats[-2], stats[-1])
     discounts = Discounts(stats[LARGEST + 1:2 * LARGEST + 2])
-    asked = tables.select("bucket", "data").mapInArrow(send_requests(bits), ddl(SENT))
-    answers = asked.groupBy("bucket").applyInArrow(answer, ddl(PART))
-    back = counted.unionByName(answers).drop("stats").groupBy("bucket").applyInArrow(weigh_bucket(unigrams, discounts), ddl(BACK))
+
+    def answers(own: bool) -> DataFrame:
+        asked = tables.select("bucket", "data").mapInArrow(send_requests(buckets, own), ddl(SENT))
+        return asked.groupBy("bucket").applyInArrow(answer, ddl(PART))
+
+    lost, covered = np.zeros(len(buckets.words)), np.zeros(len(buckets.words))
+    if often:
+        parts = tables.filter(F.col("bucket") >= buckets.own).unionByName(answers(True)).drop("stats")
+        for bucket, a, b in sorted(tuple(r) for r in parts.groupBy("bucket").applyInArrow(sum_part(unigrams, discounts), ddl(PART_SUM)).collect()):
+            at = np.searchsorted(buckets.firsts, bucket, "right") - 1
+            lost[at] += a
+            covered[at] += b
+    homes = counted.filter(F.col("bucket") < buckets.own).unionByName(answers(False)).drop("stats")
+    back = homes.groupBy("bucket").applyInArrow(weigh_bucket(unigrams, discounts, buckets, lost, covered), ddl(BACK))
+    if often:
+        own_parts = counted.filter((F.col("bucket") >= buckets.own) & (F.col("kind") == 1)).select("bucket", "block", "data")
+        back = back.unionByName(own_parts.mapInArrow(return_parts, ddl(BACK)))
     own = blocks.select("block", F.lit(None).cast("long").alias("bucket"), "data", "ids", "held")
     both = own.unionByName(back, allowMissingColumns=True)
-    return both.groupBy("block").applyInArrow(score_block(unigrams, discounts), ddl(SCORE))
+    return both.groupBy("block").applyInArrow(score_block(unigrams, discounts, buckets), ddl(SCORE))

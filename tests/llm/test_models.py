@@ -82,6 +82,27 @@ def test_katz_query(spark, tmp_path, monkeypatch, block, bucket):
         assert a[5:] == pytest.approx(b[5:], rel=1e-9)
 
 
+def test_katz_frequent_context_is_split(spark, tmp_path, monkeypatch):
+    """A word before 3,000 others, in many blocks: no group holds all of its successors."""
+    monkeypatch.setattr(katz, "BLOCK_TOKENS", 500)
+    monkeypatch.setattr(katz, "BUCKET_TOKENS", 1000)
+    count, seen = katz.count_bucket, str(tmp_path)
+
+    def spied(table):
+        entries = sum(len(katz.unpack(x.as_py())[4]) for x in table.column("data"))
+        with open(f"{seen}/{table.column('bucket')[0].as_py()}.entries", "w") as f:
+            f.write(str(entries))
+        return count(table)
+
+    monkeypatch.setattr(katz, "count_bucket", spied)
+    rows = [(i, " ".join(f"the w{n % 3000}" for n in range(i * 50, i * 50 + 50))) for i in range(90)]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    model = Plain([words_of(t) for i, t in rows if not held(i, 10)])
+    got = {r["doc_id"]: r["score"] for r in op2_katz_scores(spark, seen).collect()}
+    assert max(int(f.read_text()) for f in tmp_path.glob("*.entries")) <= 1500
+    assert got == pytest.approx({i: model.score(words_of(t)) for i, t in rows}, rel=1e-9)
+
+
 def test_discounts():
     good = katz.Discounts([1000, 400, 220, 140, 100, 75])
     assert all(0 < x < 1 for x in good.ratio[1:6]) and good.ratio[6] == 1

@@ -173,6 +173,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = [known.filter(F.col("y") > 0 if good else F.col("y") <= 0).orderBy(F.xxhash64("id"), "id").limit(sample) for good in (True, False)]
     chosen = F.broadcast(chosen[0].unionByName(chosen[1]))  # at most 2 * sample pairs of numbers
     texts = docs.select(F.col("doc_id").cast("long").alias("id"), text_or_empty("text").alias("text")).join(chosen, "id")
+    # an id may be in many rows; its first text counts
+    texts = texts.groupBy("id", "y").agg(F.min("text").alias("text"))
     rows = texts.select("id", "y", features_of(F.col("text")).alias("x")).collect()
     rows.sort(key=lambda r: (r["id"], r["x"]))
     return fit([np.array(r["x"], dtype=np.int64) for r in rows], np.array([1 if r["y"] > 0 else 0 for r in rows]))

@@ -121,6 +121,17 @@ def test_katz_empty(spark, tmp_path):
     assert op2_katz_scores(spark, write_documents(spark, tmp_path, empty=True)).count() == 0
 
 
+def test_quality_collects_one_text_per_label(spark, monkeypatch):
+    """A labelled id in 500 rows is one row of the fit."""
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, labels: seen.append((len(rows), labels.tolist())))
+    ids = [i for i in range(30) if not held(i, quality.FOLDS)][:6]
+    rows = [(i, f"some words of text {i}") for i in ids] + [(ids[0], f"other words {n}") for n in range(500)]
+    labels = spark.createDataFrame([(i, n % 2) for n, i in enumerate(ids)], "doc_id long, quality int")
+    quality.train(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert seen == [(6, [0, 1, 0, 1, 0, 1])]
+
+
 def make_labelled(spark, folder, n=400):
     rng = random.Random(4)
     rows, labels = [], []

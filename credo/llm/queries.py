@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credo.llm import ann, bpe, chat, katz, merkle, minhash, mixing, pii, quality, token_count
+from credo.llm import ann, bpe, chat, infill, katz, manifest, merkle, minhash, mixing, pii, quality, token_count
 from credo.llm.common import crc32_fold, text_or_empty
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -108,7 +108,26 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col(names["target"]).alias("target"), (times * size).alias("taken"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_katz_scores, op3_byte_bpe, op4_near_duplicates, op5_personal_data, op6_quality, op7_fingerprints, op8_token_counts, op9_nearest, op10_mix)}
+def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Form, cuts and output of every document, and the text restored from the output."""
+    docs = infill.with_infill(table(spark, sf_dir, "documents").select("doc_id", "text"), "infill")
+    output, form = F.col("infill.output"), F.col("infill.form")
+    return docs.select(
+        "doc_id", "infill.n", "infill.form", "infill.prefix_chars", "infill.middle_chars",
+        F.sha2(output.cast("binary"), 256).alias("output_sha256"),
+        F.sha2(infill.restore(output, form).cast("binary"), 256).alias("restored_sha256"))
+
+
+def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leaf, proof and verdict of every document; every second text (by crc32) claims to have no line breaks."""
+    docs = table(spark, sf_dir, "documents")
+    tampered = F.when(crc32_fold(F.col("doc_id"), 2) == 0, F.replace(F.col("text"), F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    rows = manifest.with_proofs(docs, tampered)
+    return rows.select("doc_id", "leaf", "subroot", "root", F.sha2(F.array_join("proof", "").cast("binary"), 256).alias("proof_sha256"),
+                       "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_katz_scores, op3_byte_bpe, op4_near_duplicates, op5_personal_data, op6_quality, op7_fingerprints, op8_token_counts, op9_nearest, op10_mix, op12_fill_in_middle, op13_manifest)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SQL_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -214,7 +233,77 @@ SELECT doc_id, size, ss AS source_size, target,
   CAST(size * (whole + CASE WHEN want > 0 AND upto <= want THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x
 """
 
+#: Cuts by code points, with the draws from the id's digest.
+SQL_OP12 = """
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, sha256(concat('1:', coalesce(CAST(doc_id AS VARCHAR), ''))) AS h FROM documents
+), x AS (
+  SELECT doc_id, t, CAST(length(t) AS BIGINT) AS n, CAST(concat('0x', substr(h, 1, 8)) AS BIGINT) AS h1,
+    CAST(concat('0x', substr(h, 9, 8)) AS BIGINT) AS h2, CAST(concat('0x', substr(h, 17, 8)) AS BIGINT) AS h3,
+    CAST(concat('0x', substr(h, 25, 8)) AS BIGINT) AS h4 FROM d
+), c AS (
+  SELECT doc_id, t, n, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 90 THEN 'plain'
+      WHEN h4 % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM x
+), p AS (
+  SELECT *, substr(t, 1, a) AS prefix, substr(t, a + 1, b - a) AS middle, substr(t, b + 1) AS suffix FROM c
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN a END AS prefix_chars, CASE WHEN form <> 'plain' THEN b - a END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN concat('<P>', prefix, '<S>', suffix, '<M>', middle)
+    WHEN 'spm' THEN concat('<S>', suffix, '<P>', prefix, '<M>', middle) ELSE t END) AS output_sha256, sha256(t) AS restored_sha256 FROM p
+"""
+
+
+def _sql_leaf(text: str) -> str:
+    fields = [f"coalesce(concat(strlen(CAST({f} AS VARCHAR)), ':', {f}), '-')" for f in ("doc_id", "source", "lang", "n_chars", text)]
+    return f"sha256(concat({', '.join(fields)}))"
+
+
+def _sql_levels(name: str, leaves: str) -> str:
+    """All nodes (tree, level, idx, h, n) over leaves, level by level."""
+    return f"""{name} AS (
+  SELECT tree, 0 AS level, idx, h, n FROM {leaves}
+  UNION ALL
+  SELECT tree, level + 1, idx // 3, sha256(string_agg(h, '' ORDER BY idx)), (n + 2) // 3 FROM {name} WHERE n > 1
+  GROUP BY tree, level, idx // 3, n
+)"""
+
+
+_CRC = ("list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda c: CAST(ascii(c) AS BIGINT))), "
+        "lambda c, b: list_reduce(list_prepend(xor(c, b), [0::BIGINT, 0, 0, 0, 0, 0, 0, 0]), "
+        "lambda x, i: xor(x >> 1, 3988292384 * (x & 1))))")
+
+#: Trees level by level, proofs and folds leaf by leaf; the lowest bit of crc32 is the complement of that of its register.
+SQL_OP13 = f"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS r, doc_id, source, {_sql_leaf('text')} AS leaf,
+    CASE WHEN {_CRC} % 2 = 1 THEN {_sql_leaf("replace(text, chr(10), '')")} ELSE {_sql_leaf('text')} END AS claimed FROM documents
+), l AS (
+  SELECT r, doc_id, leaf AS h, claimed, coalesce(concat('s:', source), 'n') AS tree,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx, count(*) OVER (PARTITION BY source) AS n FROM d
+), {_sql_levels('low', 'l')},
+s AS (
+  SELECT tree AS name, 'top' AS tree, h, row_number() OVER (ORDER BY tree) - 1 AS idx, count(*) OVER () AS n FROM low WHERE n = 1
+), {_sql_levels('top', 's')},
+nodes AS (SELECT * FROM low UNION ALL SELECT * FROM top),
+f AS (
+  SELECT r, tree AS own, tree, 0 AS level, idx, n, claimed AS h, '' AS proof FROM l
+  UNION ALL
+  SELECT r, own, tree, level, idx, n, h, proof FROM (
+    SELECT f.r, f.own, f.tree, f.level + 1 AS level, f.idx // 3 AS idx, (f.n + 2) // 3 AS n,
+      sha256(string_agg(CASE WHEN x.idx = f.idx THEN f.h ELSE x.h END, '' ORDER BY x.idx)) AS h,
+      concat(any_value(f.proof), coalesce(string_agg(x.h, '' ORDER BY x.idx) FILTER (x.idx <> f.idx), '')) AS proof
+    FROM f JOIN nodes x ON x.tree = f.tree AND x.level = f.level AND x.idx // 3 = f.idx // 3 WHERE f.n > 1
+    GROUP BY f.r, f.own, f.tree, f.level, f.idx, f.n
+    UNION ALL
+    SELECT f.r, f.own, 'top', 0, s.idx, s.n, f.h, f.proof FROM f JOIN s ON s.name = f.tree WHERE f.n = 1 AND f.tree <> 'top')
+)
+SELECT l.doc_id, l.h AS leaf, s.h AS subroot, g.h AS root, sha256(f.proof) AS proof_sha256, f.h AS folded_root, f.h = g.h AS verified
+FROM l JOIN f ON f.r = l.r AND f.tree = 'top' AND f.n = 1 JOIN s ON s.name = l.tree JOIN (SELECT h FROM top WHERE n = 1) g ON true
+"""
+
 #: Models, tokenizers, greedy windows and bootstrapping are beyond SQL; tests/llm has plain versions.
 ORACLE: dict[str, str] = {
     "op4_near_duplicates": SQL_OP4, "op7_fingerprints": SQL_OP7, "op9_nearest": SQL_OP9, "op10_mix": SQL_OP10,
+    "op12_fill_in_middle": SQL_OP12, "op13_manifest": SQL_OP13,
 }

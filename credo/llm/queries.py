@@ -10,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from credo.llm import ann, bpe, chat, infill, katz, manifest, merkle, minhash, mixing, pii, quality, token_count
+from credo.llm import ann, bpe, chat, infill, katz, manifest, merkle, minhash, mixing, pii, quality, repeats, token_count
 from credo.llm.common import crc32_fold, text_or_empty
 
 BPE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -108,6 +108,15 @@ def op10_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.col(names["target"]).alias("target"), (times * size).alias("taken"))
 
 
+def op11_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the 400-byte strings that occur twice."""
+    docs = repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), "unique")
+    spans = F.col("unique.spans")
+    removed = F.aggregate(spans, F.lit(0).cast("long"), lambda total, s: total + s["stop"] - s["start"])
+    return docs.select("doc_id", F.octet_length(text_or_empty("text")).cast("long").alias("n_bytes"), removed.alias("n_removed"),
+                       F.size(spans).cast("long").alias("n_spans"), F.sha2("unique.kept", 256).alias("kept_sha256"))
+
+
 def op12_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Form, cuts and output of every document, and the text restored from the output."""
     docs = infill.with_infill(table(spark, sf_dir, "documents").select("doc_id", "text"), "infill")
@@ -127,7 +136,7 @@ def op13_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
                        "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
-QUERIES = {f.__name__: f for f in (op1_chat_format, op2_katz_scores, op3_byte_bpe, op4_near_duplicates, op5_personal_data, op6_quality, op7_fingerprints, op8_token_counts, op9_nearest, op10_mix, op12_fill_in_middle, op13_manifest)}
+QUERIES = {f.__name__: f for f in (op1_chat_format, op2_katz_scores, op3_byte_bpe, op4_near_duplicates, op5_personal_data, op6_quality, op7_fingerprints, op8_token_counts, op9_nearest, op10_mix, op11_repeats, op12_fill_in_middle, op13_manifest)}
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SQL_WORDS = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
@@ -233,6 +242,23 @@ SELECT doc_id, size, ss AS source_size, target,
   CAST(size * (whole + CASE WHEN want > 0 AND upto <= want THEN 1 ELSE 0 END) AS BIGINT) AS taken FROM x
 """
 
+#: All windows of 400 bytes, counted; runs by gaps between windows.
+SQL_OP11 = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+w AS (SELECT r, p, md5_number(substr(x, 2 * p + 1, 800)) AS h FROM (SELECT r, x, unnest(range(0, strlen(x) // 2 - 399)) AS p FROM d)),
+m AS (SELECT r, p FROM (SELECT r, p, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1),
+g AS (SELECT r, p, coalesce(p > lag(p) OVER o + 400, true) AS fresh FROM m WINDOW o AS (PARTITION BY r ORDER BY p)),
+s AS (SELECT r, p, sum(CAST(fresh AS BIGINT)) OVER (PARTITION BY r ORDER BY p) AS k FROM g),
+u AS (SELECT r, min(p) AS a, max(p) + 400 AS b FROM s GROUP BY r, k),
+v AS (SELECT r, list({'a': a, 'b': b} ORDER BY a) AS spans FROM u GROUP BY r),
+t AS (SELECT doc_id, x, strlen(x) // 2 AS n, coalesce(spans, []) AS spans FROM d LEFT JOIN v USING (r))
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(coalesce(list_sum(list_transform(spans, lambda s: s.b - s.a)), 0) AS BIGINT) AS n_removed,
+  CAST(len(spans) AS BIGINT) AS n_spans, sha256(unhex(array_to_string(list_transform(range(0, len(spans) + 1),
+    lambda i: substr(x, 2 * CASE WHEN i = 0 THEN 0 ELSE spans[i].b END + 1,
+      2 * (CASE WHEN i = len(spans) THEN n ELSE spans[i + 1].a END - CASE WHEN i = 0 THEN 0 ELSE spans[i].b END))), ''))) AS kept_sha256
+FROM t
+"""
+
 #: Cuts by code points, with the draws from the id's digest.
 SQL_OP12 = """
 WITH d AS (
@@ -305,5 +331,5 @@ FROM l JOIN f ON f.r = l.r AND f.tree = 'top' AND f.n = 1 JOIN s ON s.name = l.t
 #: Models, tokenizers, greedy windows and bootstrapping are beyond SQL; tests/llm has plain versions.
 ORACLE: dict[str, str] = {
     "op4_near_duplicates": SQL_OP4, "op7_fingerprints": SQL_OP7, "op9_nearest": SQL_OP9, "op10_mix": SQL_OP10,
-    "op12_fill_in_middle": SQL_OP12, "op13_manifest": SQL_OP13,
+    "op11_repeats": SQL_OP11, "op12_fill_in_middle": SQL_OP12, "op13_manifest": SQL_OP13,
 }

@@ -51,12 +51,31 @@ def direction(score: Column) -> Column:
     return F.when(score > 0, F.lit("supports TRUE")).otherwise(F.lit("supports FALSE"))
 
 
+def _rounded(v: Column, digits: int) -> Column:
+    """``v`` rounded as printf does: by its exact binary value, half-even on true ties.
+
+    ``bround`` decides by the shortest decimal form, in which 0.325 is a tie
+    though its binary value lies above.  At such a form the exact distance
+    from the tie decides: 2 * 10^digits * v is computed without error from
+    two halves of v's bits.
+    """
+    if digits == 0:
+        return F.bround(v, 0)
+    half = 2.0 * 10 ** digits
+    units = F.round(v * half)
+    upper = v * 8193.0 - (v * 8193.0 - v)
+    off = (upper * half - units) + (v - upper) * half
+    tie = (F.pmod(units, F.lit(2.0)) == 1) & (F.abs(v * half - units) < 1e-9)
+    return F.when(tie & (off > 0), F.bround((units + 1) / half, digits)).when(
+        tie & (off < 0), F.bround((units - 1) / half, digits)).otherwise(F.bround(v, digits))
+
+
 def _fmt(spec: str, v: Column) -> Column:
-    """'%.2f' / '%.0f' after half-even rounding, '%s' as text (no Formatter)."""
+    """'%.2f' / '%.0f' as printf writes them, '%s' as text (no Formatter)."""
     if spec == "%s":
         return v.cast("string")
     digits = int(spec[2:-1])
-    return F.bround(v, digits).cast(f"decimal(24,{digits})").cast("string")
+    return _rounded(v, digits).cast(f"decimal(24,{digits})").cast("string")
 
 
 def fill(template: str, *values: Column) -> Column:

@@ -1,11 +1,15 @@
 """Lookup joins: credit score and metadata features with defaults.
 
 Every lookup is a left equi-join on one key column; NULL keys never match,
-which is exactly "use the default".  No broadcast hint is forced: the
-lookups grow with the number of distinct speakers, so AQE decides at
-runtime from the measured size (spark.sql.adaptive.autoBroadcastJoinThreshold)
-and otherwise runs a sort-merge join whose hot partitions (one speaker with a
-third of the rows) are split by AQE's skew-join handling.
+which is exactly "use the default".  The lookups grow with the number of
+distinct speakers, so they are not broadcast whole unless AQE measures that
+they are small.  A speaker with a third of the rows would put them into one
+task: hot keys, at most 1 / HOT_SHARE of them, get their values from a
+broadcast of their few lookup rows, and all other keys from a shuffle in
+which hot and NULL keys are dealt evenly (``skew.spread_join``).  Which keys
+are hot comes from a frequency sketch over the probes (``find_hot``, one pass
+over a stored table) or, for streams, from the training counts in the lookups
+themselves (``lookups.frequent_keys``).
 
 Key modes (how lookup keys and probes are spelled):
     raw          lookup keys and probes stripped only
@@ -22,7 +26,8 @@ from pyspark.sql import functions as F
 from credo.constants import CS_DEFAULT
 from credo.functions.text import (norm_affil, norm_context, norm_speaker, standardize_format,
                                   statement_length, strip_ws)
-from credo.operators.lookups import lookup_stats, normalize_lookup
+from credo.operators.lookups import frequent_keys, lookup_stats, normalize_lookup, strip_lookup
+from credo.operators.skew import HOT_SHARE, hot_values, spread_join
 
 MODES = ("raw", "eval_compat", "normalized")
 META = {"speaker_cred": ("speaker", "speaker_name"),
@@ -56,7 +61,27 @@ def _stat(stats, name: str) -> Column:
 def lookups_for_mode(lookups: DataFrame, mode: str, policy: str = "merge") -> DataFrame:
     if mode not in MODES:
         raise ValueError(f"key_mode must be one of {MODES}")
-    return lookups if mode == "raw" else normalize_lookup(lookups, policy)
+    if mode == "raw":
+        return strip_lookup(lookups) if "as_written" in lookups.columns else lookups
+    return normalize_lookup(lookups, policy)
+
+
+def _probes(key_mode: str) -> dict[str, Column]:
+    """The probe of each kind of key; the credit score's is that of ``speaker_cs``."""
+    normed = key_mode == "normalized"
+    out = {kind: _probe(kind, col, normed) for kind, col in META.values()}
+    return out | {"speaker_cs": _probe("speaker", "speaker_name", key_mode != "raw")}
+
+
+def find_hot(df: DataFrame, key_mode: str = "normalized", share: float = HOT_SHARE) -> dict[str, list]:
+    """Hot probes of ``df`` by kind of key; one pass with a sketch of each."""
+    return hot_values(df, _probes(key_mode), share)
+
+
+def trained_hot(lookups: DataFrame, key_mode: str = "normalized", policy: str = "merge", share: float = HOT_SHARE) -> dict[str, list]:
+    """Keys that were hot in training, for rows that can't be read in advance (streams)."""
+    found = frequent_keys(lookups_for_mode(lookups, key_mode, policy), share)
+    return found | {"speaker_cs": found["speaker"]}
 
 
 SALT_COL = "_salt"
@@ -80,7 +105,11 @@ def salted_left_join(df: DataFrame, side: DataFrame, cond: Column, salts: int) -
 
 
 def _join_value(df: DataFrame, lk: DataFrame, kind: str, probe: Column, value: str,
-                out: str, default: Column | None, known: str | None = None, salts: int = 0) -> DataFrame:
+                out: str, default: Column | None, known: str | None = None, salts: int = 0, hot: list | None = None) -> DataFrame:
+    if hot is not None:
+        side = lk.filter(F.col("kind") == kind).select("key", F.col(value).alias(out))
+        j = spread_join(df, side, probe, "key", [out], hot, hit=known)
+        return j if default is None else j.withColumn(out, F.coalesce(out, default))
     side = lk.filter(F.col("kind") == kind).select(F.col("key").alias(f"_k_{out}"),
                                                     F.col(value).alias(f"_v_{out}"))
     j = salted_left_join(df, side, probe == F.col(f"_k_{out}"), salts)
@@ -92,15 +121,17 @@ def _join_value(df: DataFrame, lk: DataFrame, kind: str, probe: Column, value: s
 
 
 def attach_cs(df: DataFrame, lookups: DataFrame, key_mode: str = "normalized",
-              cs_default: float = CS_DEFAULT, policy: str = "merge") -> DataFrame:
-    """Add ``cs_ratio`` (default ``cs_default``) and ``cs_known``."""
+              cs_default: float = CS_DEFAULT, policy: str = "merge", hot: dict[str, list] | None = None) -> DataFrame:
+    """Add ``cs_ratio`` (default ``cs_default``) and ``cs_known``.
+
+    ``hot`` (``find_hot`` or ``trained_hot``) splits hot speakers off the shuffle."""
     lk = lookups_for_mode(lookups, key_mode, policy)
-    probe = _probe("speaker", "speaker_name", key_mode != "raw")
-    return _join_value(df, lk, "speaker", probe, "cs", "cs_ratio", F.lit(float(cs_default)), "cs_known")
+    return _join_value(df, lk, "speaker", _probes(key_mode)["speaker_cs"], "cs", "cs_ratio", F.lit(float(cs_default)), "cs_known",
+                       hot=hot and hot["speaker_cs"])
 
 
 def build_metadata(df: DataFrame, lookups: DataFrame, stats=None, key_mode: str = "normalized",
-                   clean_text: bool = False, policy: str = "merge") -> DataFrame:
+                   clean_text: bool = False, policy: str = "merge", hot: dict[str, list] | None = None) -> DataFrame:
     """Add speaker_cred, affil_cred, ctx_cred (default: overall TRUE rate)
     and len_norm (z-score of the statement length)."""
     lk = lookups_for_mode(lookups, key_mode, policy)
@@ -108,7 +139,7 @@ def build_metadata(df: DataFrame, lookups: DataFrame, stats=None, key_mode: str
     out = _with_stats(df, stats)
     dflt = _stat(stats, "default_cred")
     for name, (kind, col) in META.items():
-        out = _join_value(out, lk, kind, _probe(kind, col, key_mode == "normalized"), "cred", name, dflt)
+        out = _join_value(out, lk, kind, _probe(kind, col, key_mode == "normalized"), "cred", name, dflt, hot=hot and hot[kind])
     text = standardize_format("statement") if clean_text else F.col("statement")
     length = statement_length(text)
     out = out.withColumn("len_norm", (length - _stat(stats, "len_mean")) / _stat(stats, "len_std"))
@@ -117,16 +148,19 @@ def build_metadata(df: DataFrame, lookups: DataFrame, stats=None, key_mode: str
 
 def feature_table(df: DataFrame, lookups: DataFrame, stats=None, key_mode: str = "normalized",
                   cs_default: float = CS_DEFAULT, clean_text: bool = False,
-                  policy: str = "merge", salts: int = 0) -> DataFrame:
+                  policy: str = "merge", salts: int = 0, hot: dict[str, list] | None = None, flags: bool = False) -> DataFrame:
     """cs_ratio, cs_known and the four metadata features for every row.
 
     When the credit score and the speaker credibility use the same probe
-    (raw and normalized modes) one speaker join serves both.  ``salts`` > 1
-    salts the joins explicitly (for clusters without AQE skew splitting);
-    by default AQE splits hot partitions at runtime."""
+    (raw and normalized modes) one speaker join serves both.  ``hot`` (from
+    ``find_hot`` or ``trained_hot``; the flows give it) takes hot keys out of
+    the shuffles; ``salts`` > 1 salts the joins instead, replicating the lookups.
+    ``flags`` adds spk_known, afl_known and ctx_known (see ``feature_flags``)
+    from the same joins."""
     if key_mode == "eval_compat":
-        out = attach_cs(df, lookups, key_mode, cs_default, policy)
-        return build_metadata(out, lookups, stats, key_mode, clean_text, policy)
+        out = attach_cs(df, lookups, key_mode, cs_default, policy, hot)
+        out = build_metadata(out, lookups, stats, key_mode, clean_text, policy, hot)
+        return feature_flags(out, lookups, key_mode, policy) if flags else out
     lk = lookups_for_mode(lookups, key_mode, policy)
     stats = lookup_stats(lookups) if stats is None else stats
     out = _with_stats(df, stats)
@@ -134,16 +168,19 @@ def feature_table(df: DataFrame, lookups: DataFrame, stats=None, key_mode: str =
     normed = key_mode == "normalized"
     spk = lk.filter(F.col("kind") == "speaker").select(F.col("key").alias("_k_spk"), F.col("cs").alias("_cs"),
                                                        F.col("cred").alias("_cred"))
-    if salts > 1:
-        out = with_salt(out, salts)
-    out = salted_left_join(out, spk, _probe("speaker", "speaker_name", normed) == F.col("_k_spk"), salts)
+    if hot is not None:
+        out = spread_join(out, spk, _probe("speaker", "speaker_name", normed), "_k_spk", ["_cs", "_cred"], hot["speaker"], hit="cs_known")
+    else:
+        out = with_salt(out, salts) if salts > 1 else out
+        out = salted_left_join(out, spk, _probe("speaker", "speaker_name", normed) == F.col("_k_spk"), salts)
+        out = out.withColumn("cs_known", F.col("_k_spk").isNotNull()).drop("_k_spk")
     out = (out.withColumn("cs_ratio", F.coalesce(F.col("_cs"), F.lit(float(cs_default))))
-              .withColumn("cs_known", F.col("_k_spk").isNotNull())
-              .withColumn("speaker_cred", F.coalesce(F.col("_cred"), dflt))
-              .drop("_k_spk", "_cs", "_cred"))
-    for name in ("affil_cred", "ctx_cred"):
+              .withColumn("speaker_cred", F.coalesce(F.col("_cred"), dflt)).drop("_cs", "_cred"))
+    for name, flag in (("affil_cred", "afl_known"), ("ctx_cred", "ctx_known")):
         kind, col = META[name]
-        out = _join_value(out, lk, kind, _probe(kind, col, normed), "cred", name, dflt, salts=salts)
+        out = _join_value(out, lk, kind, _probe(kind, col, normed), "cred", name, dflt, flag if flags else None, salts, hot and hot[kind])
+    if flags:
+        out = out.withColumn("spk_known", F.col("cs_known"))
     text = standardize_format("statement") if clean_text else F.col("statement")
     out = out.withColumn("len_norm", (statement_length(text) - _stat(stats, "len_mean")) / _stat(stats, "len_std"))
     return out.drop("_st", SALT_COL) if SALT_COL in out.columns else out.drop("_st")

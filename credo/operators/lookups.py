@@ -41,8 +41,9 @@ def _stats_expr(length_col):
 def all_lookups(train: DataFrame, clean_text: bool = False, strip: bool = True) -> DataFrame:
     """All lookups + overall stats from a training split, in one aggregation.
 
-    ``strip=False`` keeps keys as written, which policy 'last' of
-    ``normalize_lookup`` needs: there the raw keys compete."""
+    ``strip=False`` keeps keys as written (and says so in a column
+    ``as_written``), which policy 'last' of ``normalize_lookup`` needs: there
+    the raw keys compete."""
     from credo.functions.text import standardize_format
 
     text = standardize_format("statement") if clean_text else F.col("statement")
@@ -71,8 +72,8 @@ def all_lookups(train: DataFrame, clean_text: bool = False, strip: bool = True)
            .when(F.col("_gid") == 6, F.col("_ctx")))
     out = g.select(kind.alias("kind"), key.alias("key"), "n", "n_true", "w_sum", "len_mean", "len_std")
     # pandas-style grouping drops NULL keys
-    out = out.filter((F.col("kind") == "all") | F.col("key").isNotNull())
-    return _finish(out)
+    out = _finish(out.filter((F.col("kind") == "all") | F.col("key").isNotNull()))
+    return out if strip else out.withColumn("as_written", F.lit(True))
 
 
 def _finish(lk: DataFrame) -> DataFrame:
@@ -139,8 +140,11 @@ def normalize_lookup(lookups: DataFrame, policy: str = "merge") -> DataFrame:
     merge: keys that collide after normalisation are pooled (their counts
            add up), so the value is the rate over all their rows.
     last:  the value of the largest raw key wins (what a dict rebuilt from
-           sorted keys would keep); takes ``all_lookups(..., strip=False)``.
+           sorted keys would keep); takes ``all_lookups(..., strip=False)``
+           only, as keys that were stripped are pooled already.
     """
+    if policy == "last" and "as_written" not in lookups.columns:
+        raise ValueError("policy 'last' needs keys as written: all_lookups(..., strip=False)")
     norm = (F.when(F.col("kind") == "speaker", norm_speaker("key"))
             .when(F.col("kind") == "affiliation", norm_affil("key"))
             .when(F.col("kind") == "context", norm_context("key"))
@@ -160,6 +164,21 @@ def normalize_lookup(lookups: DataFrame, policy: str = "merge") -> DataFrame:
     return _finish(g.withColumnRenamed("_nk", "key"))
 
 
+def strip_lookup(lookups: DataFrame) -> DataFrame:
+    """Lookups by stripped keys from lookups by keys as written."""
+    g = lookups.groupBy("kind", strip_ws("key").alias("key")).agg(
+        *(F.sum(c).cast("bigint").alias(c) for c in ("n", "n_true", "w_sum")),
+        F.max("len_mean").alias("len_mean"), F.max("len_std").alias("len_std"))
+    return _finish(g)
+
+
+def frequent_keys(lookups: DataFrame, share: float) -> dict[str, list]:
+    """Keys with more than ``share`` of the training rows, by kind: at most 1 / share of each."""
+    rows = lookup_stats(lookups).first()["n"]
+    hot = lookups.filter((F.col("kind") != "all") & (F.col("n") > share * rows)).select("kind", "key").collect()
+    return {k: [r["key"] for r in hot if r["kind"] == k] for k in KINDS}
+
+
 def lookup_sizes(lookups: DataFrame) -> DataFrame:
     """How many keys each lookup knows."""
     return (lookups.filter(F.col("kind") != "all")

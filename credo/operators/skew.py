@@ -35,6 +35,44 @@ def heavy_hitters(facts: DataFrame, on: list[str], share: float = HOT_SHARE) ->
     return [top["item"] for top in found["top"] or () if top["count"] > share * found["rows"]]
 
 
+def hot_values(df: DataFrame, columns: dict[str, Column], share: float = HOT_SHARE) -> dict[str, list]:
+    """For each named column, the values that more than ``share`` of the rows have; one pass, as in ``heavy_hitters``."""
+    most = int(1 / share) + 1
+    keys = df.select(*(c.alias(n) for n, c in columns.items()))
+    found = keys.agg(F.count(F.lit(1)).alias("_rows"), *(
+        F.expr(f"approx_top_k(`{n}`, {most}, {TRACKED})").alias(n) for n in columns)).first()
+    return {n: [top["item"] for top in found[n] or () if top["item"] is not None and top["count"] > share * found["_rows"]]
+            for n in columns}
+
+
+def spread_join(df: DataFrame, table: DataFrame, probe: Column, key: str, values: list[str], hot: list, row_key: str = "row_key",
+                hit: str | None = None) -> DataFrame:
+    """``df`` and the ``values`` of the row of ``table`` whose ``key`` equals ``probe`` (null where there is none).
+
+    For chains of joins, where reading ``df`` twice costs more than moving
+    its hot rows.  Rows with a hot probe get their values from a broadcast of
+    the hot keys' rows (at most ``len(hot)``, as ``table`` has one row a key);
+    in the shuffle join for all others they, and rows with a null probe, carry
+    a null key and the hash of ``row_key``, match nothing and are dealt evenly.
+    ``hit`` names a further column: whether the probe has a row.
+    """
+    near, far, spread, rest, zero = "_near", "_far", "_spread", "_rest", "_zero"
+    side = table.select(key, F.struct(*values, F.lit(True).alias("_hit")).alias("_v"))
+    is_hot = F.coalesce(probe.isin(hot), F.lit(False)) if hot else F.lit(False)
+    out = df.withColumn(rest, F.when(~is_hot, probe))
+    out = out.withColumn(spread, F.when(F.col(rest).isNull(), F.xxhash64(row_key)).otherwise(F.lit(0)))
+    cold = side.select(F.col(key).alias(far), F.col("_v").alias("_far_v"), F.lit(0).cast("long").alias(zero))
+    out = out.join(cold, (F.col(rest) == F.col(far)) & (F.col(spread) == F.col(zero)), "left")
+    found = F.col("_far_v")
+    if hot:
+        few = F.broadcast(side.filter(F.col(key).isin(hot)).select(F.col(key).alias(near), F.col("_v").alias("_near_v")))
+        out = out.join(few, probe == F.col(near), "left")
+        found = F.coalesce("_near_v", "_far_v")
+    out = out.withColumn("_found", found)
+    out = out.withColumns({v: F.col("_found")[v] for v in values} | ({hit: F.col("_found").isNotNull()} if hit else {}))
+    return out.drop(rest, spread, far, "_far_v", zero, near, "_near_v", "_found")
+
+
 def split_join(facts: DataFrame, table: DataFrame, on: list[str], how: str = "left", hot: list[int] | None = None,
                share: float = HOT_SHARE) -> DataFrame:
     """``facts`` joined (``left``, ``inner`` or ``left_semi``) with ``table``, whatever the frequencies of its keys.

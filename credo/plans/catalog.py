@@ -26,7 +26,7 @@ from credo.operators import split as sp
 from credo.operators import sweep as sw
 from credo.plans import fixtures as fx
 from credo.plans.chain import (Chain, chain_sql, features_cte, round_doubles, s_clean,
-                               s_norm_lower, s_norm_speaker, s_w, s_y)
+                               s_norm_lower, s_norm_speaker, s_w, s_y, stratified_ctes)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -280,13 +280,15 @@ def split_stratified(spark, sf):
     return Chain(spark, sf, split="stratified").splitted().select("row_key", "y", "split")
 
 
+# the class NULL under a name that sorts first, as NULL does
 @q("split_stratified_null_class", fx.with_fixtures(
-    "SELECT cls, count(*) AS n FROM (SELECT row_key, CASE WHEN speaker_affiliation <> 'en' THEN speaker_affiliation END AS cls "
-    "FROM f1) z GROUP BY cls", "f1"))
+    "SELECT nullif(y, '') AS cls, split, count(*) AS n FROM st GROUP BY 1, 2", "f1", extra=[
+        ("nc", "SELECT row_key, CASE WHEN speaker_affiliation <> 'en' THEN speaker_affiliation ELSE '' END AS y FROM f1"),
+        *stratified_ctes("nc", "st")]))
 def split_stratified_null_class(spark, sf):
-    """A NULL class is split like any other: no row is lost."""
+    """A NULL class is split like any other, with its own exact sizes."""
     rows_ = fx.f1(spark, sf).select("row_key", F.when(F.col("speaker_affiliation") != "en", F.col("speaker_affiliation")).alias("cls"))
-    return sp.split_stratified(rows_, class_col="cls").groupBy("cls").agg(F.count(F.lit(1)).alias("n"))
+    return sp.split_stratified(rows_, class_col="cls").groupBy("cls", "split").agg(F.count(F.lit(1)).alias("n"))
 
 
 @q("split_report", chain_sql(
@@ -397,13 +399,13 @@ def pos_weight(spark, sf):
                           extra=[features_cte()]))
 def attach_cs(spark, sf):
     c = Chain(spark, sf, fixture="f1")
-    return round_doubles(fe.attach_cs(c.splitted(), c.lookups()).select("row_key", "cs_ratio"))
+    return round_doubles(fe.attach_cs(c.written(), c.lookups(), hot=c.hot()).select("row_key", "cs_ratio"))
 
 
 @q("cs_known", chain_sql("SELECT row_key, cs_known FROM ft", fixture="f1", normalized=True, extra=[features_cte()]))
 def cs_known(spark, sf):
     c = Chain(spark, sf, fixture="f1")
-    return fe.attach_cs(c.splitted(), c.lookups()).select("row_key", "cs_known")
+    return fe.attach_cs(c.written(), c.lookups(), hot=c.hot()).select("row_key", "cs_known")
 
 
 @q("build_metadata", chain_sql(
@@ -412,7 +414,7 @@ def cs_known(spark, sf):
     extra=[features_cte()]))
 def build_metadata(spark, sf):
     c = Chain(spark, sf, fixture="f1")
-    m = fe.build_metadata(c.splitted(), c.lookups(), c.stats())
+    m = fe.build_metadata(c.written(), c.lookups(), c.stats(), hot=c.hot())
     return round_doubles(m.select("row_key", "speaker_cred", "affil_cred", "ctx_cred", "len_norm"))
 
 
@@ -427,6 +429,36 @@ def feature_table(spark, sf):
                                   "ctx_cred", "len_norm"))
 
 
+@q("feature_table_hot_keys", chain_sql(f"SELECT {_FT_COLS} FROM ft", fixture="f2h", normalized=True, extra=[features_cte()]))
+def feature_table_hot_keys(spark, sf):
+    """Features of a table with a hot speaker, and with rows that have none."""
+    f = Chain(spark, sf, fixture="f2h").features()
+    return round_doubles(f.select("row_key", "split", "y", "cs_ratio", "cs_known", "speaker_cred", "affil_cred",
+                                  "ctx_cred", "len_norm"))
+
+
+# keys as written compete: the largest raw key of a normalised one gives its values
+_RAW_LK = " UNION ALL ".join(
+    f"SELECT '{kind}' AS kind, {col} AS raw, {norm(col)} AS key, count(*) AS n, sum(y) AS t, sum({s_w('label')}) AS w "
+    f"FROM d WHERE split = 'train' AND {col} IS NOT NULL GROUP BY {col}"
+    for kind, col, norm in (("speaker", "speaker_name", s_norm_speaker), ("affiliation", "speaker_affiliation", s_norm_lower),
+                            ("context", "statement_context", s_norm_lower)))
+_LAST_LK = ("SELECT kind, key, t / n AS cred, w / (100.0E0 * n) AS cs FROM (SELECT *, row_number() OVER "
+            "(PARTITION BY kind, key ORDER BY raw DESC) AS rn FROM rawlk) z WHERE rn = 1")
+
+
+@q("feature_table_last", chain_sql(f"SELECT {_FT_COLS} FROM ft", fixture="f1", lookups=True,
+                                   extra=[("rawlk", _RAW_LK), ("llk", _LAST_LK), features_cte(nlk="llk")]))
+def feature_table_last(spark, sf):
+    """Features where the largest of the raw keys that normalise to the same one wins."""
+    c = Chain(spark, sf, fixture="f1")
+    rows = c.written()
+    lk = c.materialized("lookups", lu.all_lookups(c.train(), strip=False))
+    f = fe.feature_table(rows, lk, lu.lookup_stats(lk), policy="last", hot=c.hot())
+    return round_doubles(f.select("row_key", "split", "y", "cs_ratio", "cs_known", "speaker_cred", "affil_cred",
+                                  "ctx_cred", "len_norm"))
+
+
 def _kmc_sql():
     feats = ["cs_ratio", "speaker_cred", "affil_cred", "ctx_cred"]
     parts = []
@@ -442,7 +474,7 @@ def _kmc_sql():
 @q("key_mode_compare", _kmc_sql())
 def key_mode_compare(spark, sf):
     c = Chain(spark, sf, fixture="f1")
-    return fe.key_mode_compare(c.splitted(), c.lookups())
+    return fe.key_mode_compare(c.written(), c.lookups())
 
 
 def _unseen_sql():
@@ -461,7 +493,7 @@ def _unseen_sql():
 @q("unseen_report", _unseen_sql())
 def unseen_report(spark, sf):
     c = Chain(spark, sf)
-    f = fe.feature_flags(fe.attach_cs(c.splitted(), c.lookups()), c.lookups())
+    f = fe.feature_table(c.written(), c.lookups(), c.stats(), hot=c.hot(), flags=True)
     return fe.unseen_report(f)
 
 
@@ -686,14 +718,13 @@ def text_attribution(spark, sf):
     return round_doubles(at.text_attribution(pos, coef.select("word", "coef")))
 
 
-@q("tokenize_truncate", fx.with_fixtures(
-    "SELECT row_key, CAST(len(arr) AS INTEGER) AS n_words, CAST(least(len(arr), 126) AS INTEGER) AS n_tokens, "
-    "array_to_string(arr[1:126], ' ') AS tokens FROM (SELECT row_key, "
-    f"{_tok_arr_sql('statement')} AS arr FROM f1) z", "f1"))
+@q("tokenize_truncate",
+   "SELECT doc_id, CAST(len(arr) AS INTEGER) AS n_words, CAST(least(len(arr), 126) AS INTEGER) AS n_tokens, "
+   f"array_to_string(arr[1:126], ' ') AS tokens FROM (SELECT doc_id, {_tok_arr_sql('text')} AS arr FROM documents) z")
 def tokenize_truncate(spark, sf):
     from credo.operators.modeling import tokenize_truncate as tt
-    t = tt(fx.f1(spark, sf))
-    return t.select("row_key", "n_words", "n_tokens", F.array_join("tokens", " ").alias("tokens"))
+    t = tt(fx.table(spark, sf, "documents"), text="text")
+    return t.select("doc_id", "n_words", "n_tokens", F.array_join("tokens", " ").alias("tokens"))
 
 
 def _default_cred_sql():
@@ -737,12 +768,14 @@ def evidence_lines(spark, sf):
     return round_doubles(e)
 
 
-def _explain_sql(with_prompt: bool):
+def _sentences_sql(ex0: str, with_prompt: bool) -> tuple[str, list[tuple[str, str]]]:
+    """Body and CTEs: the sentences of each row of ``ex0`` (row_key, prob, prediction, top_words, statement).
+
+    Sentences and prompt are fixed values: they must equal the operator's byte by byte.
+    """
     nl = "chr(10)"
-    ctes = _evidence_sql() + _TOP_CTES + [
-        ("ex0", f"SELECT f3.row_key, f3.prob, CASE WHEN f3.prob >= {TH_SQL} THEN 'TRUE' ELSE 'FALSE' END AS prediction, "
-                "wl.top_words, f2.statement FROM f3 JOIN f2 USING (row_key) LEFT JOIN wl ON wl.row_key = "
-                "concat('o', split_part(f3.row_key, '-', 1))"),
+    ctes = _evidence_sql() + [
+        ("ex0", ex0),
         ("ex1", "SELECT *, CAST(round_even(CASE WHEN prediction = 'TRUE' THEN prob * 100.0E0 ELSE (1.0E0 - prob) * 100.0E0 END, 0) "
                 "AS INTEGER) AS confidence FROM ex0"),
         ("ev1", "SELECT line FROM ev WHERE ev.rank = 1"),
@@ -769,8 +802,15 @@ def _explain_sql(with_prompt: bool):
                   f"'- No technical terms (no ''model'', ''AI'', ''algorithm'', ''attribution'').', {nl}, "
                   "'- Be direct but acknowledge uncertainty where appropriate.')")
         cols += f", {prompt} AS prompt"
-    body = f"SELECT {cols} FROM ex1 LEFT JOIN lines USING (row_key)"
-    return chain_sql(body, lookups=True, fixtures=("f3", "f4"), extra=ctes)
+    return f"SELECT {cols} FROM ex1 LEFT JOIN lines USING (row_key)", ctes
+
+
+def _explain_sql(with_prompt: bool):
+    body, ctes = _sentences_sql(
+        f"SELECT f3.row_key, f3.prob, CASE WHEN f3.prob >= {TH_SQL} THEN 'TRUE' ELSE 'FALSE' END AS prediction, "
+        "wl.top_words, f2.statement FROM f3 JOIN f2 USING (row_key) LEFT JOIN wl ON wl.row_key = "
+        "concat('o', split_part(f3.row_key, '-', 1))", with_prompt)
+    return chain_sql(body, lookups=True, fixtures=("f3", "f4"), extra=_TOP_CTES + ctes)
 
 
 def _explained(spark, sf, with_prompt):
@@ -946,6 +986,226 @@ def perturbation_attribution(spark, sf):
     return round_doubles(out.withColumn("rank", F.col("rank").cast("int")))
 
 
+# ------------------------------------------ attributions of the two-layer head
+#: A head and a sample table by rule, so that SQL computes its own from the same rule.
+STEEP = {"hidden": 4, "dim": 64, "w1": 6.0, "w2": 40.0}
+
+
+def steep_head() -> dict:
+    """A head with steep gates: few quadrature steps miss them on some rows."""
+    h, d = STEEP["hidden"], STEEP["dim"] + 5
+    return {"W1": [[((i + 1) * (j + 2) * 7 % 23 - 11) * STEEP["w1"] / 11 for i in range(d)] for j in range(h)],
+            "b1": [(j % 3 - 1) * 0.25 for j in range(h)], "w2": [(1 - 2 * (j % 2)) * STEEP["w2"] / (j + 1) for j in range(h)], "b2": 0.125}
+
+
+def rule_samples(n: int = 50) -> dict:
+    return {"offset": [[((s * 31 + i * 17) % 101 - 50) / 1000 for i in range(5)] for s in range(n)],
+            "noise": [[((s * 13 + i * 7) % 89 - 44) / 500 for i in range(5)] for s in range(n)],
+            "at": [(s * 37 % n + 0.5) / n for s in range(n)]}
+
+
+def _w1_sql(i: str, j: int) -> str:
+    return f"((({i}) + 1) * {j + 2} * 7 % 23 - 11) * {STEEP['w1']!r}E0 / 11"
+
+
+def _w2_sql(j: int) -> str:
+    return f"({(1 - 2 * (j % 2)) * STEEP['w2']!r}E0 / {j + 1})"
+
+
+def _hidden_sql(j: int, cs: str, meta: list[str]) -> str:
+    """The hidden layer without text."""
+    tail = [f"tanh({CS_A!r}E0 * {cs} + {CS_B!r}E0)", *meta]
+    return f"({(j % 3 - 1) * 0.25!r}E0 + " + " + ".join(f"{_w1_sql(str(STEEP['dim'] + k), j)} * {x}" for k, x in enumerate(tail)) + ")"
+
+
+def _text_sql(j: int, vec: str) -> str:
+    return f"list_sum(list_transform(range(1, {STEEP['dim'] + 1}), lambda i: {vec}[i] * {_w1_sql('i - 1', j)}))"
+
+
+_UNITS = range(STEEP["hidden"])
+_META = ["ft.speaker_cred", "ft.affil_cred", "ft.ctx_cred", "ft.len_norm"]
+_RELU = "greatest({}, 0.0E0)"
+_HEAD_CTES = [
+    features_cte(),
+    ("wp", _tokens_sql("d")),
+    ("hp", f"SELECT row_key, {', '.join(f'{_text_sql(j, "v")} AS p{j}' for j in _UNITS)} FROM (SELECT d.row_key, {_VEC} AS v "
+           "FROM d LEFT JOIN f5 USING (row_key) WHERE d.split = 'train') z"),
+    ("wu", f"SELECT word, {', '.join(f'avg(p{j}) AS u{j}' for j in _UNITS)} FROM (SELECT DISTINCT row_key, word FROM wp) z "
+           "JOIN hp USING (row_key) GROUP BY word"),
+    ("cw", f"SELECT c.*, {', '.join(f'coalesce(u{j}, 0.0E0) AS u{j}' for j in _UNITS)} FROM (SELECT row_key, word, count(*) AS n, "
+           "min(pos) AS pos FROM wp GROUP BY row_key, word) c LEFT JOIN wu USING (word)"),
+    ("rm", f"SELECT ft.row_key, {', '.join(f'{_hidden_sql(j, "ft.cs_ratio", _META)} AS c{j}, coalesce(m{j}, 0.0E0) AS m{j}' for j in _UNITS)}, "
+           f"coalesce(nw, 0) AS nw FROM ft LEFT JOIN (SELECT row_key, sum(n) AS nw, "
+           f"{', '.join(f'sum(n * u{j}) / sum(n) AS m{j}' for j in _UNITS)} FROM cw GROUP BY row_key) z USING (row_key)"),
+]
+
+
+def _path_ctes(nodes: str, name: str = "pa") -> list[tuple[str, str]]:
+    """Gates and delta of each row along the path, for a table of nodes (steps, t, w)."""
+    g = ", ".join(f"sum(CASE WHEN c{j} + t * m{j} > 0 THEN w ELSE 0.0E0 END) AS g{j}" for j in _UNITS)
+    own = ", ".join(f"c{j}, m{j}" for j in _UNITS)
+    gap = " + ".join(f"{_w2_sql(j)} * (m{j} * g{j} - ({_RELU.format(f'c{j} + m{j}')} - {_RELU.format(f'c{j}')}))" for j in _UNITS)
+    return [("qn", nodes), (f"{name}g", f"SELECT row_key, nw, steps, {own}, {g} FROM rm JOIN qn ON true GROUP BY row_key, nw, steps, {own}"),
+            (name, f"SELECT *, round(abs({gap}), 9) AS delta FROM {name}g")]
+
+
+def _nodes_sql(rule, *steps: int) -> str:
+    rows_ = [f"({k}, {t!r}E0, {w!r}E0)" for k in steps for t, w in zip(*rule(k))]
+    return f"SELECT * FROM (VALUES {', '.join(rows_)}) v(steps, t, w)"
+
+
+_MIDPOINTS = " UNION ALL ".join(f"SELECT {k} AS steps, (range + 0.5E0) / {k} AS t, 1.0E0 / {k} AS w FROM range({k})" for k in (1, 4, 20, 80))
+_BAND = "CASE WHEN delta < 0.05E0 THEN 'EXCELLENT' WHEN delta < 0.2E0 THEN 'ACCEPTABLE' ELSE 'POOR' END"
+
+
+def _legendre(steps: int):
+    import numpy as np
+    x, w = np.polynomial.legendre.leggauss(steps)
+    return [float(v) for v in (x + 1) / 2], [float(v) for v in w / 2]
+
+
+def _head_rows(spark, sf):
+    """f1's statements with features, gathered words and frozen layer, written once; and the head."""
+    from credo.operators import head_attribution as ha
+    from credo.operators.modeling import join_embeddings
+    c = Chain(spark, sf, fixture="f1")
+    head, rows_ = steep_head(), join_embeddings(c.features(), fx.f5(spark, sf))
+    pos = at.word_positions(rows_)
+    train_rows = rows_.filter("split = 'train'").select("row_key", "text_vec")
+    words = ha.word_hidden(pos, train_rows, head)
+    return c.materialized("head-rows", ha.gathered(rows_, pos, words, head, CS_A, CS_B)), head
+
+
+@q("path_completeness", chain_sql(
+    f"SELECT row_key, CAST(steps AS INTEGER) AS steps, round(delta, 6) + 0.0E0 AS delta, {_BAND} AS quality FROM pa",
+    fixture="f1", normalized=True, fixtures=("f5",), extra=_HEAD_CTES + _path_ctes(_MIDPOINTS)))
+def path_completeness(spark, sf):
+    """Completeness delta of the head's integrated gradients by midpoint rules of 1, 4, 20 and 80 steps."""
+    from credo.operators import head_attribution as ha
+    rows_, head = _head_rows(spark, sf)
+    found = None
+    for k in (1, 4, 20, 80):
+        one = ha.with_path(rows_, head, k, "midpoint").select("row_key", F.lit(k).alias("steps"), "delta", "quality")
+        found = one if found is None else found.unionByName(one)
+    return round_doubles(found)
+
+
+_GAUSS = _path_ctes(_nodes_sql(_legendre, 20))
+_CONTRIB = "n * (" + " + ".join(f"{_w2_sql(j)} * u{j} * g{j}" for j in _UNITS) + ") / nw"
+
+
+@q("path_attribution", chain_sql(
+    f"SELECT row_key, word, cw.pos AS first_pos, round({_CONTRIB}, 6) + 0.0E0 AS score FROM cw JOIN pa USING (row_key)",
+    fixture="f1", normalized=True, fixtures=("f5",), extra=_HEAD_CTES + _GAUSS))
+def path_attribution(spark, sf):
+    """Every word's integrated gradient through the head (20 Gauss-Legendre steps)."""
+    from credo.operators import head_attribution as ha
+    rows_, head = _head_rows(spark, sf)
+    out = ha.with_path(rows_, head).select("row_key", F.explode(ha.path_contributions(head)).alias("x"))
+    return round_doubles(out.select("row_key", "x.word", F.col("x.pos").alias("first_pos"), "x.score"))
+
+
+def _routed_ctes() -> list[tuple[str, str]]:
+    """CTEs tl (top words) and rt (delta, quality and method of each row)."""
+    p = "1.0E0 / (1.0E0 + exp(-(0.125E0 + " + " + ".join(
+        f"{_w2_sql(j)} * {_RELU.format(f'c{j} + coalesce(k{j}, 0.0E0)')}" for j in _UNITS) + ")))"
+    return _HEAD_CTES + _GAUSS + [
+        ("px", "SELECT cw.*, s.sample, CASE WHEN s.sample = 0 THEN 1 ELSE (instr('0123456789abcdef', substr(md5(concat_ws('|', "
+               "cw.row_key, CAST(s.sample AS VARCHAR), word)), 2, 1)) - 1) % 2 END AS keep FROM cw JOIN pa USING (row_key) "
+               "JOIN (SELECT range AS sample FROM range(50)) s ON true WHERE pa.delta >= 0.2E0"),
+        ("pk", f"SELECT row_key, sample, {', '.join(f'sum(keep * n * u{j}) / nullif(sum(keep * n), 0) AS k{j}' for j in _UNITS)}, "
+               "exp(-pow(1.0E0 - sum(keep) / count(*), 2) / 0.0625E0) AS wt FROM px GROUP BY row_key, sample"),
+        ("pv", f"SELECT pk.row_key, sample, wt, {p} AS p FROM pk JOIN pa USING (row_key)"),
+        ("sc", f"SELECT row_key, word, cw.pos, {_CONTRIB} AS score FROM cw JOIN pa USING (row_key) WHERE pa.delta < 0.2E0 UNION ALL "
+               "SELECT row_key, word, pos, coalesce(sum(keep * wt * p) / nullif(sum(keep * wt), 0), 0) - "
+               "coalesce(sum((1 - keep) * wt * p) / nullif(sum((1 - keep) * wt), 0), 0) AS score FROM px JOIN pv USING (row_key, sample) "
+               "GROUP BY row_key, word, pos"),
+        ("tp", "SELECT row_key, word, score, row_number() OVER (PARTITION BY row_key ORDER BY abs(round(score, 9)) DESC, pos) AS rank FROM sc"),
+        ("tl", "SELECT row_key, string_agg(word, ', ' ORDER BY rank) AS top_words, list(round(score, 6) + 0.0E0 ORDER BY rank) AS scores "
+               "FROM tp WHERE rank <= 3 GROUP BY row_key"),
+        ("rt", "SELECT pa.*, " + _BAND + " AS quality, CASE WHEN delta < 0.2E0 THEN 'gradients' ELSE 'removal' END AS method FROM pa"),
+    ]
+
+
+@q("explain_routed", chain_sql(
+    "SELECT row_key, round(delta, 6) + 0.0E0 AS delta, quality, method, coalesce(top_words, '') AS top_words, scores[1] AS first_score "
+    "FROM rt LEFT JOIN tl USING (row_key)", fixture="f1", normalized=True, fixtures=("f5",), extra=_routed_ctes()))
+def explain_routed(spark, sf):
+    """The three words behind each decision of the head: by integrated gradients, or, where those are incomplete, by removal."""
+    from credo.operators import head_attribution as ha
+    rows_, head = _head_rows(spark, sf)
+    out = ha.routed(ha.with_path(rows_, head), head)
+    words = F.array_join(F.transform("top", lambda x: x["word"]), ", ")
+    return round_doubles(out.select("row_key", "delta", "quality", "method", words.alias("top_words"),
+                                    F.get("top", F.lit(0))["score"].alias("first_score")))
+
+
+def _expected_ctes(text: str) -> list[tuple[str, str]]:
+    """CTE ng: expected gradients, for a query ``text`` of row_key and p0.. (what the frozen text adds)."""
+    offset = lambda i: f"((s * 31 + {i * 17}) % 101 - 50) / 1000.0E0"
+    noise = lambda i: f"((s * 13 + {i * 7}) % 89 - 44) / 500.0E0"
+    neutral = {"cs_ratio": f"{K.CS_DEFAULT!r}E0", "len_norm": "0.0E0"}
+    base = [f"({neutral.get(n, '(SELECT default_cred FROM st)')} + {offset(i)})" for i, n in enumerate(K.FEATURE_NAMES)]
+    gap = [f"(ft.{n} + {noise(i)} - {base[i]})" for i, n in enumerate(K.FEATURE_NAMES)]
+    x = [f"({b} + frac * {g})" for b, g in zip(base, gap)]
+    slope = lambda i: " + ".join(f"r{j} * {_w1_sql(str(STEEP['dim'] + i), j)}" for j in _UNITS)
+    cols = [f"avg(({slope(0)}) * {CS_A!r}E0 * (1 - th * th) * d0) AS a_cs_ratio"]
+    cols += [f"avg(({slope(i)}) * d{i}) AS a_{n}" for i, n in enumerate(K.FEATURE_NAMES) if i]
+    return [
+        ("sm", "SELECT range AS s, (range * 37 % 50 + 0.5E0) / 50 AS frac FROM range(50)"),
+        ("hv", text),
+        ("pt", f"SELECT ft.row_key, {', '.join(f'{g} AS d{i}' for i, g in enumerate(gap))}, tanh({CS_A!r}E0 * {x[0]} + {CS_B!r}E0) AS th, "
+               f"{', '.join(f'p{j} + {_hidden_sql(j, x[0], x[1:])} AS h{j}' for j in _UNITS)} FROM ft JOIN hv USING (row_key) JOIN sm ON true"),
+        # the derivative of greatest(0, h) is 1 where h > 0
+        ("gr", "SELECT *, " + ", ".join(f"CASE WHEN h{j} > 0 THEN {_w2_sql(j)} ELSE 0.0E0 END AS r{j}" for j in _UNITS) + " FROM pt"),
+        ("ng", f"SELECT row_key, {', '.join(cols)} FROM gr GROUP BY row_key"),
+    ]
+
+
+_VECTOR_TEXT = (f"SELECT row_key, {', '.join(f'{_text_sql(j, "v")} AS p{j}' for j in _UNITS)} FROM "
+                f"(SELECT ft.row_key, {_VEC} AS v FROM ft LEFT JOIN f5 USING (row_key)) z")
+
+
+@q("numeric_attribution_head", chain_sql(
+    "SELECT row_key, " + ", ".join(f"round(a_{n}, 6) + 0.0E0 AS a_{n}" for n in K.FEATURE_NAMES) + " FROM ng",
+    fixture="f1", normalized=True, fixtures=("f5",), extra=[features_cte(), *_expected_ctes(_VECTOR_TEXT)]))
+def numeric_attribution_head(spark, sf):
+    """Expected gradients of the head over the numeric features, 50 noisy samples a row, text frozen."""
+    from credo.operators import head_attribution as ha
+    from credo.operators.modeling import join_embeddings
+    c = Chain(spark, sf, fixture="f1")
+    rows_ = join_embeddings(c.features(), fx.f5(spark, sf)).withColumn("_st", c.stats().select(F.struct("default_cred")).scalar())
+    neutral = {n: F.col("_st")["default_cred"] for n in K.FEATURE_NAMES} | {"cs_ratio": F.lit(K.CS_DEFAULT), "len_norm": F.lit(0.0)}
+    return round_doubles(ha.expected_gradients(rows_, steep_head(), CS_A, CS_B, neutral, rule_samples()))
+
+
+def _explain_head_sql():
+    logit = "0.125E0 + " + " + ".join(f"{_w2_sql(j)} * {_RELU.format(f'c{j} + m{j}')}" for j in _UNITS)
+    body, ctes = _sentences_sql(
+        f"SELECT f3.row_key, f3.prob, CASE WHEN f3.prob >= {TH_SQL} THEN 'TRUE' ELSE 'FALSE' END AS prediction, coalesce(tl.top_words, '') "
+        "AS top_words, d.statement FROM f3 JOIN d USING (row_key) LEFT JOIN tl USING (row_key)", True)
+    text = f"SELECT row_key, {', '.join(f'm{j} AS p{j}' for j in _UNITS)} FROM rm"
+    scored = (f"SELECT ft.row_key, 1.0E0 / (1.0E0 + exp(-({logit}))) AS prob, cs_known, cs_ratio AS cs_val, speaker_cred AS spk_cred, "
+              "affil_cred AS afl_cred, ctx_cred, len_norm, ng.* EXCLUDE (row_key) FROM ft JOIN rm USING (row_key) JOIN ng USING (row_key)")
+    extra = _routed_ctes() + _expected_ctes(text) + [("f3", scored)] + ctes
+    return chain_sql(f"SELECT b.*, method, quality FROM ({body}) b JOIN rt USING (row_key)", fixture="f1", normalized=True,
+                     fixtures=("f5",), extra=extra)
+
+
+@q("explain_batch_head", _explain_head_sql())
+def explain_batch_head(spark, sf):
+    """Decisions of the head with explanation and prompt; words from the explainer that each row's completeness asks for."""
+    from credo.operators import head_attribution as ha
+    from credo.plans.scoring import explain_head
+    c = Chain(spark, sf, fixture="f1")
+    feats, head = c.features(), steep_head()
+    train_rows = feats.filter("split = 'train'").join(fx.f5(spark, sf), "row_key", "left")
+    words = ha.word_hidden(at.word_positions(train_rows), train_rows, head)
+    out = explain_head(feats, fx.f5(spark, sf), words, head, CS_A, CS_B, THRESHOLD, c.default_cred().first()["default_cred"],
+                       samples=rule_samples(), with_prompt=True)
+    return out.drop("delta")
+
+
 # --------------------------------------------------- flows and the stream
 #: Flows that share a trained model in one session train it once.
 TRAINED: dict = {}

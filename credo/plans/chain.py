@@ -15,7 +15,7 @@ from credo.constants import (CS_DEFAULT, CS_UNKNOWN_HUNDREDTHS, CS_WEIGHT_HUNDRE
                              LABEL_MAP, LEN_STD_EPSILON)
 from credo.functions.labels import binary_label, normalize_label
 from credo.operators.dedup import deduplicate
-from credo.operators.features import feature_table
+from credo.operators.features import feature_table, find_hot
 from credo.operators.lookups import all_lookups, lookup_stats
 from credo.operators.split import split_hash, split_stratified
 from credo.plans import fixtures as fx
@@ -62,13 +62,25 @@ class Chain:
 
     def splitted(self) -> DataFrame:
         if "split" not in self._cache:
-            lab = self.labelled()
-            self._cache["split"] = split_hash(lab) if self.split == "hash" else split_stratified(lab)
+            if self.split == "hash":
+                self._cache["split"] = split_hash(self.labelled())
+            else:
+                # the split reads its rows more than once
+                self._cache["split"] = split_stratified(materialize(self.spark, self.labelled(), "labelled"))
         return self._cache["split"]
 
     def train(self) -> DataFrame:
         return self.splitted().filter(F.col("split") == "train")
 
+    def written(self) -> DataFrame:
+        """The split table, written once into the shared checkpoint folder."""
+        if "written" not in self._cache:
+            self._cache["split"] = self._cache["written"] = materialize(self.spark, self.splitted(), "split", "split")
+        return self._cache["written"]
+
+    def materialized(self, name: str, df: DataFrame) -> DataFrame:
+        return materialize(self.spark, df, name)
+
     def lookups(self) -> DataFrame:
         """Training lookups, computed once into the shared checkpoint folder.
 
@@ -76,7 +88,7 @@ class Chain:
         they are joined to read files instead of running dedup + split twice;
         every join branch and the stats subquery read the small lookup table."""
         if "lk" not in self._cache:
-            self._cache["split"] = materialize(self.spark, self.splitted(), "split", "split")
+            self.written()
             self._cache["lk"] = materialize(self.spark, all_lookups(self.train()), "lookups")
         return self._cache["lk"]
 
@@ -88,9 +100,13 @@ class Chain:
     def stats(self) -> DataFrame:
         return lookup_stats(self.lookups())
 
+    def hot(self, key_mode: str = "normalized") -> dict[str, list]:
+        """Hot keys of the split table."""
+        return find_hot(self.written(), key_mode)
+
     def features(self, key_mode: str = "normalized") -> DataFrame:
-        return feature_table(self.splitted(), self.lookups(), self.stats(), key_mode=key_mode,
-                             cs_default=CS_DEFAULT)
+        return feature_table(self.written(), self.lookups(), self.stats(), key_mode=key_mode,
+                             cs_default=CS_DEFAULT, hot=self.hot(key_mode))
 
 
 # ---------------------------------------------------------------------------

@@ -109,6 +109,13 @@ def f2(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def f2h(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """f2 with three eighths of its rows on one speaker, and a sixteenth on none."""
+    h = F.substring(F.md5(F.col("row_key")), 1, 1)
+    speaker = F.when(h < "6", F.lit("The  Chair")).when(h != "6", F.col("speaker_name"))
+    return f2(spark, sf_dir).withColumn("speaker_name", speaker)
+
+
 def f3_from(f2df: DataFrame) -> DataFrame:
     """Scored rows: probability, features and signed attributions per row."""
     h = F.md5(F.col("row_key"))
@@ -229,8 +236,11 @@ FROM (SELECT concat('o', CAST(l_orderkey AS VARCHAR)) AS row_key, pos, n, h, ins
 F5_SQL = ("SELECT f1.row_key, e.embedding AS text_vec FROM f1 JOIN embeddings e "
           "ON f1.row_key = concat('d', CAST(e.vec_id AS VARCHAR))")
 
-FIXTURE_SQL = {"f1": F1_SQL, "f2": F2_SQL, "f3": F3_SQL, "f4": F4_SQL, "f5": F5_SQL}
-FIXTURE_DEPS = {"f1": [], "f2": [], "f3": ["f2"], "f4": [], "f5": ["f1"]}
+F2H_SQL = ("SELECT * REPLACE (CASE WHEN substr(md5(row_key), 1, 1) < '6' THEN 'The  Chair' "
+           "WHEN substr(md5(row_key), 1, 1) <> '6' THEN speaker_name END AS speaker_name) FROM f2")
+
+FIXTURE_SQL = {"f1": F1_SQL, "f2": F2_SQL, "f2h": F2H_SQL, "f3": F3_SQL, "f4": F4_SQL, "f5": F5_SQL}
+FIXTURE_DEPS = {"f1": [], "f2": [], "f2h": ["f2"], "f3": ["f2"], "f4": [], "f5": ["f1"]}
 
 
 def with_fixtures(body: str, *names: str, extra: list[tuple[str, str]] | None = None) -> str:

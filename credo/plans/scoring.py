@@ -15,14 +15,43 @@ from pyspark.sql import functions as F
 
 from credo.constants import CS_DEFAULT, FEATURE_NAMES, TOP_WORDS
 from credo.functions.text import standardize_format, word_tokens
-from credo.operators.attribution import baseline_samples
+from credo.operators.attribution import baseline_samples, neutral_point, word_positions
 from credo.operators.explain import explain_rows
 from credo.functions.scoring import decide
-from credo.operators.features import feature_table
+from credo.operators.features import feature_table, trained_hot
 from credo.operators.lookups import lookup_stats
 from credo.operators.modeling import batch_score, coefficients, join_embeddings, word_scores
 from credo.sources.statements import resolve_aliases
 
+def explain_head(feats: DataFrame, embeddings: DataFrame, words: DataFrame, head: dict, cs_a: float, cs_b: float,
+                 threshold: float, default_cred: float, cs_default: float = CS_DEFAULT, steps: int = 20, samples: dict | None = None,
+                 with_prompt: bool = False) -> DataFrame:
+    """Decisions of the two-layer head, explained; words by the explainer that each row's completeness asks for.
+
+    feats: ``feature_table`` rows with the statement; embeddings: (row_key,
+    text_vec); words: ``word_hidden`` of the training statements.  The rows
+    with their words are written once.  Their completeness delta is measured
+    there, and only POOR rows meet the second explainer.  Returns row_key,
+    prediction, confidence, top_words, explanation, delta, quality, method
+    (and prompt).
+    """
+    from credo.operators import head_attribution as ha
+    from credo.plans.chain import materialize
+
+    rows = join_embeddings(feats, embeddings)
+    rows = ha.gathered(rows, word_positions(rows), words, head, cs_a, cs_b)
+    rows = materialize(feats.sparkSession, ha.with_path(rows, head, steps), "head-rows")
+    named = ha.routed(rows, head).select("row_key", "delta", "quality", "method",
+                                         F.array_join(F.transform("top", lambda x: x["word"]), ", ").alias("top_words"))
+    scored = feats.join(rows.select("row_key", "m", ha.head_prob(head).alias("prob")), "row_key").join(named, "row_key")
+    point = {n: F.lit(float(v)) for n, v in neutral_point(cs_default, default_cred).items()}
+    keep = ("row_key", "statement", "prob", "cs_known", *FEATURE_NAMES, "delta", "quality", "method", "top_words")
+    scored = ha.expected_gradients(scored, head, cs_a, cs_b, point, samples, text=F.col("m"), keep=keep)
+    scored = scored.withColumns({alias: F.col(name) for name, alias in VALUE_COLS.items() if alias != name})
+    return explain_rows(scored, None, threshold, float(default_cred), statement_col="statement", with_prompt=with_prompt,
+                        keep=("delta", "quality", "method"))
+
+
 VALUE_COLS = {"cs_ratio": "cs_val", "speaker_cred": "spk_cred", "affil_cred": "afl_cred",
               "ctx_cred": "ctx_cred", "len_norm": "len_norm"}
 
@@ -50,7 +79,9 @@ def score_requests(requests: DataFrame, artifacts: dict, clean_text: bool | None
     df = resolve_aliases(requests)
     if clean_text:
         df = df.withColumn("statement", standardize_format("statement"))
-    feats = feature_table(df, lookups, stats, key_mode=key_mode, cs_default=cs_default, clean_text=False)
+    # requests may be a stream, so hot keys are those of training
+    feats = feature_table(df, lookups, stats, key_mode=key_mode, cs_default=cs_default, clean_text=False,
+                          hot=trained_hot(lookups, key_mode))
     feats = feats.withColumn("words", word_tokens("statement", clean=False))
     if mode == "embedding":
         feats = join_embeddings(feats, embeddings)

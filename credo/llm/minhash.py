@@ -26,8 +26,11 @@ similarity from the union of the two sketches; what passes is verified on the
 full sets.  Shingles are compared by
 64-bit hashes.
 
-Null and empty texts have empty sets and no links.  Rows without an id are
-grouped with equal texts only.  Rows that share an id count as one document.
+Null and empty texts have empty sets and no links.  Rows that share an id count
+as one document.  A row without an id is linked with equal words only: with
+those of a document, it belongs to that one's component and isn't kept; where
+all rows with its words have no id, their component is null and one of them is
+kept.
 """
 
 from __future__ import annotations
@@ -42,6 +45,7 @@ from pyspark.sql import functions as F
 
 from credo.llm.common import fresh, held, stored, text_or_empty
 from credo.llm.components import components
+from credo.operators.skew import split_join
 
 WORDS = 5
 #: Values of a sketch that get lists, and how many of them similar sets share at least.
@@ -210,6 +214,10 @@ class Links:
         last = entries.agg(F.max("level")).first()[0]
         for level in range(0, (last if last is not None else -1) + 1):
             members = self.labelled(entries.filter(F.col("level") >= level), "node", "c")
+            if level:
+                # lists whose members are all connected have nothing left to find
+                mixed = members.groupBy("value").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
+                members = members.join(mixed.select("value"), "value", "left_semi")
             lead = members.filter(F.col("level") == level).select(
                 "value", F.col("node").alias("leader"), F.col("c").alias("lc"), F.col("n_shingles").alias("ln"), F.col("odd").alias("lo"))
             met = members.join(lead, "value").filter("c <> lc")
@@ -228,9 +236,9 @@ class Links:
             self.connect(new)
 
     def connect(self, new: DataFrame) -> None:
-        """Give linked nodes common labels, as far as one round of stars does."""
+        """Give connected nodes a common label: the smallest node around."""
         edges = self.labelled(self.labelled(new, "a", "la"), "b", "lb").select(F.col("la").alias("a"), F.col("lb").alias("b"))
-        merged = components(edges, rounds=1)
+        merged = components(edges)
         if self.labels is None:
             self.labels = stored(merged, "labels")
             return
@@ -247,12 +255,17 @@ class Links:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept for each row of ``docs`` (doc_id, text)."""
-    rows = stored(sketches(docs, ESTIMATE_K), "sketches")
-    classes = rows.filter("same is not null and doc_id is not null").groupBy("same").agg(
-        F.min("doc_id").alias("node"), F.max("doc_id").alias("last"),
+    """doc_id, n_shingles, component_id, kept and same for each row of ``docs`` (doc_id, text).
+
+    ``same`` is equal for equal words, and null for empty sets.
+    """
+    # the number tells equal rows apart
+    rows = stored(sketches(docs, ESTIMATE_K).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    classes = rows.filter("same is not null").groupBy("same").agg(
+        F.min("doc_id").alias("node"), F.max("doc_id").alias("last"), F.count("*").alias("rows"), F.min("row").alias("row"),
         F.first("n_shingles").alias("n_shingles"), F.first("sketch").alias("sketch"), F.first("odd").alias("odd"))
-    classes = stored(classes, "classes")
+    every = stored(classes, "classes")
+    classes = every.filter("node is not null")
     # rows that share an id hang together
     other = rows.filter("same is not null").join(classes.select("same", "node"), "same").filter("doc_id <> node")
     other = other.select(F.col("doc_id").alias("a"), F.col("node").alias("b")).join(classes.select(F.col("node").alias("a")), "a", "left_semi")
@@ -266,24 +279,36 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         large = stored(large, "crowd-sketches")
         links.add(stored(lists(large, LONG_K, LONG_SHARED), "lists"), large, LONG_K, LONG_SHARED)
     parts = stored(components(links.all()), "components")
-    copies = classes.filter("last > node").select("same", "node")
-    full = rows.select("doc_id", "same", "n_shingles").join(copies, "same", "left")
+    copies = classes.filter("last > node or rows > 1").select("same", "node")
+    full = split_join(rows.select("doc_id", "same", "n_shingles", "row"), copies, ["same"])
     full = full.withColumn("node", F.coalesce("node", "doc_id")).join(parts, "node", "left")
+    nameless = every.filter("node is null").select("row", F.lit(True).alias("first"))
+    full = full.join(nameless, "row", "left")
     found = F.coalesce("component", "node")
-    return full.select("doc_id", "n_shingles", found.alias("component_id"), F.coalesce(F.col("doc_id") == found, F.lit(True)).alias("kept"))
+    kept = F.when(F.col("doc_id").isNotNull(), F.col("doc_id") == found).otherwise(F.col("same").isNull() | F.col("first").isNotNull())
+    return full.select("doc_id", "n_shingles", found.alias("component_id"), kept.alias("kept"), "same")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
     """``docs`` with one row of each group of near duplicates: that with the smallest id."""
     found = stored(near_duplicates(docs), "near")
-    drop = stored(found.filter(~F.col("kept")).select(F.col("doc_id").alias("id")).distinct(), "drop")
-    twice = stored(found.filter("kept").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("id")), "twice")
+    drop = stored(found.filter("not kept and doc_id is not null").select(F.col("doc_id").alias("id")).distinct(), "drop")
+    twice = stored(found.filter("kept").groupBy("doc_id").count().filter("count > 1 and doc_id is not null").select(F.col("doc_id").alias("id")), "twice")
     key = F.col("doc_id").cast("long")
     if drop.count() <= IDS_BROADCAST:
         drop = F.broadcast(drop)
-    rest = docs.join(drop, key == F.col("id"), "left_anti")
-    if twice.isEmpty():
+    rest = docs.filter(key.isNotNull()).join(drop, key == F.col("id"), "left_anti")
+    if not twice.isEmpty():
+        again = fresh("_id", docs.columns)
+        many = rest.withColumn(again, key).join(twice, F.col(again) == F.col("id"), "left_semi").dropDuplicates([again]).drop(again)
+        rest = rest.join(twice, key == F.col("id"), "left_anti").unionByName(many)
+    nameless = docs.filter(key.isNull())
+    if nameless.isEmpty():
         return rest
-    again = fresh("_id", docs.columns)
-    many = rest.withColumn(again, key).join(twice, F.col(again) == F.col("id"), "left_semi").dropDuplicates([again]).drop(again)
-    return rest.join(twice, key == F.col("id"), "left_anti").unionByName(many)
+    number = fresh("_row", docs.columns)
+    nameless = stored(nameless.withColumn(number, F.monotonically_increasing_id()), "nameless")
+    words = stored(sketches(nameless.select(F.col(number).alias("doc_id"), "text"), 1).select(F.col("doc_id").alias("row"), "same"), "words")
+    first = words.filter("same is not null").groupBy("same").agg(F.min("row").alias("row"))
+    first = first.join(found.filter("doc_id is not null").select("same").distinct(), "same", "left_anti").select("row")
+    first = stored(first.unionByName(words.filter("same is null").select("row")), "first")
+    return rest.unionByName(nameless.join(first, F.col(number) == F.col("row"), "left_semi").drop(number))

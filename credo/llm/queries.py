@@ -52,7 +52,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op4_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Set size, group and fate of every document."""
-    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return minhash.near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("same")
 
 
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -81,14 +81,52 @@ def test_query_on_awkward_rows(spark, tmp_path):
     want = groups(list(dict.fromkeys(named)))
     by_id = {}
     for r in rows:
-        if r["doc_id"] is None:
-            assert r["component_id"] in (None, 6)  # equal words as document 6, or none
+        if r["doc_id"] is None:  # equal words as document 6, or no text
+            assert (r["component_id"], r["kept"]) == ((6, False) if r["n_shingles"] else (None, True))
         else:
             by_id.setdefault(r["doc_id"], set()).add((r["component_id"], r["kept"]))
     for i, found in by_id.items():
         assert found == {(want[i], want[i] == i)}, i
 
 
+def test_rows_without_id(spark):
+    """One row of each text, and none where a document has the text."""
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    rows = [(5, a), (None, a), (None, a.upper()), (None, b), (None, b), (None, b + "  "), (None, ""), (None, None), (7, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = [(r["doc_id"], r["component_id"], r["kept"], r["n_shingles"]) for r in minhash.near_duplicates(docs).collect()]
+    want = [(5, 5, True, 4), (None, 5, False, 4), (None, 5, False, 4), (None, None, True, 4), (None, None, False, 4),
+            (None, None, False, 4), (None, None, True, 0), (None, None, True, 0), (7, 7, True, 1)]
+    assert sorted(found, key=repr) == sorted(want, key=repr)
+    kept = [tuple(r) for r in minhash.one_of_each(docs).collect()]
+    assert sorted((i, (t or "").strip()) for i, t in kept if i is not None) == [(5, a), (7, "x")]
+    assert sorted((t or "").strip() for i, t in kept if i is None) == ["", "", b]
+
+
+def test_comparisons_grow_with_the_group(spark, monkeypatch):
+    """Three times the near copies of one text: the pairs that meet in lists grow about as much, not with the square."""
+    met = {}
+
+    def corpus(n):
+        rng, base = random.Random(8), [f"b{i}" for i in range(120)]
+        for k in range(n):
+            text = list(base)
+            for _ in range(3 if k else 0):
+                text[rng.randrange(120)] = f"n{rng.randrange(10**9)}"
+            yield k, " ".join(text)
+
+    plain = minhash.can_be_similar
+    for n in (150, 450):
+        seen = spark.sparkContext.accumulator(0)
+        count = F.udf(lambda seen=seen: seen.add(1) or True, "boolean").asNondeterministic()
+        monkeypatch.setattr(minhash, "can_be_similar", lambda *a: count() & plain(*a))
+        rows = list(corpus(n))
+        found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+        assert found == groups(rows)
+        met[n] = seen.value
+    assert met[450] <= 5 * met[150], met
+
+
 def test_one_of_each_keeps_columns_and_one_row(spark):
     docs = with_extra(documents(spark))
     kept = minhash.one_of_each(docs)

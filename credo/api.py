@@ -27,7 +27,7 @@ def train(path: str, artifacts_dir: str | None = None, spark: SparkSession | Non
 
     s = _spark(spark)
     res = run(s, load_statements(s, path, fmt), artifacts_dir, **kwargs)
-    return {k: res[k] for k in ("artifacts_dir", "threshold", "candidate", "val_ba")}
+    return {k: res[k] for k in ("artifacts_dir", "threshold", "candidate", "val_ba", "n_labelled", "n_dropped")}
 
 
 def evaluate(path: str, artifacts_dir: str, spark: SparkSession | None = None, fmt: str = "csv",

@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import HashingTF, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -26,9 +26,14 @@ from pyspark.sql.types import DoubleType
 
 from credo.constants import FEATURE_NAMES, MAX_LEN
 from credo.functions.text import word_tokens
+from credo.session import scratch_dir
 
-#: Terms; a dense weight vector of this size is all a fit or a score holds.
+#: Terms where no distinct count of the words is taken; a dense weight vector of this size is all a fit or a score holds.
 NUM_FEATURES = 1 << 16
+#: Most terms that a distinct count leads to (32 MB of weights).
+MOST_TERMS = 1 << 22
+#: Optimizer steps; the tolerance usually ends a fit before.
+MAX_ITER = 100
 #: Length of a sentence vector.
 EMBEDDING_DIM = 64
 NUMERIC = ["cs_ratio", "speaker_cred", "affil_cred", "ctx_cred", "len_norm"]
@@ -100,12 +105,12 @@ def class_weights(train: DataFrame, y: str = "y") -> DataFrame:
                             .otherwise(F.lit(1.0)))
 
 
-def build_pipeline(reg: float = 0.01, text=True, num_features: int = NUM_FEATURES,
-                   max_iter: int = 50, tol: float = 1e-6) -> Pipeline:
-    """text: True (hashed term presence of ``words``), 'embedding' (the
+def front_stages(text, num_features: int) -> list:
+    """Stages that need no fit: the text's terms, and all inputs in one vector ``features``.
+
+    text: True (hashed term presence of ``words``), 'embedding' (the
     ``text_emb`` vector of a precomputed sentence embedding) or False."""
-    stages = []
-    inputs = list(NUMERIC)
+    stages, inputs = [], list(NUMERIC)
     if text == "embedding":
         inputs.append("text_emb")
     elif text:
@@ -114,13 +119,36 @@ def build_pipeline(reg: float = 0.01, text=True, num_features: int = NUM_FEATURE
         inputs.append("text_tf")
     # feature_table never yields NULL features; embeddings carry no size
     # metadata, so that mode validates strictly instead of keeping NaNs
-    stages.append(VectorAssembler(inputCols=inputs, outputCol="features",
-                                  handleInvalid="error" if text == "embedding" else "keep"))
-    stages.append(LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", regParam=reg,
-                                     elasticNetParam=0.0, maxIter=max_iter, tol=tol, standardization=True,
-                                     # a block costs a pass over all terms: few large ones
-                                     maxBlockSizeInMB=64.0))
-    return Pipeline(stages=stages)
+    return [*stages, VectorAssembler(inputCols=inputs, outputCol="features", handleInvalid="error" if text == "embedding" else "keep")]
+
+
+def classifier(reg: float = 0.01, max_iter: int = MAX_ITER, tol: float = 1e-6) -> LogisticRegression:
+    return LogisticRegression(featuresCol="features", labelCol="y", weightCol="w", regParam=reg,
+                              elasticNetParam=0.0, maxIter=max_iter, tol=tol, standardization=True,
+                              # a block costs a pass over all terms: few large ones
+                              maxBlockSizeInMB=64.0)
+
+
+def linear_model(spark, numeric: dict[str, float], intercept: float) -> PipelineModel:
+    """A model of the numeric features with given weights (made elsewhere, or fixed for a check)."""
+    from pyspark.ml.classification import LogisticRegressionModel
+    from pyspark.ml.common import _py2java
+    from pyspark.ml.linalg import Vectors
+
+    sc = spark.sparkContext
+    weights = _py2java(sc, Vectors.dense([float(numeric[n]) for n in NUMERIC]))
+    made = sc._jvm.org.apache.spark.ml.classification.LogisticRegressionModel("given", weights, float(intercept))
+    model = LogisticRegressionModel(made).setFeaturesCol("features")
+    return PipelineModel([*front_stages(False, 0), model])
+
+
+def sized_terms(words: DataFrame, column: str = "words", most: int = MOST_TERMS) -> int:
+    """Terms for the words of a table: the power of two above twice their number, ``most`` at most.
+
+    One pass with a distinct-count sketch.  With a load below a half, most words
+    have a term of their own."""
+    n = words.select(F.explode(column).alias("w")).agg(F.approx_count_distinct("w")).first()[0]
+    return max(1 << 10, min(most, 1 << max(0, 2 * n - 1).bit_length()))
 
 
 def with_embedding_vector(df: DataFrame, col: str = "text_vec") -> DataFrame:
@@ -130,34 +158,76 @@ def with_embedding_vector(df: DataFrame, col: str = "text_vec") -> DataFrame:
     return df.withColumn("text_emb", array_to_vector(F.col(col).cast("array<double>")))
 
 
-def train_model(train: DataFrame, reg: float = 0.01, text=True, max_iter: int = 50, tol: float = 1e-6,
-                num_features: int = NUM_FEATURES) -> PipelineModel:
-    """Fit the class-weighted classifier on the training split."""
-    from pyspark import StorageLevel
-
+def with_text(df: DataFrame, text) -> DataFrame:
+    """``df`` with the column that the text stage reads."""
     if text == "embedding":
-        t = class_weights(with_embedding_vector(train) if "text_emb" not in train.columns else train)
-        extra = ["text_emb"]
-    else:
-        t = class_weights(with_words(train) if text and "words" not in train.columns else train)
-        extra = ["words"] if text else []
-    t = t.withColumn("y", F.col("y").cast("double")).select("y", "w", *NUMERIC, *extra)
-    # the optimizer makes many passes: keep the training rows (memory, spilling
-    # to disk); a lost block is recomputed from its deterministic lineage
-    t = t.persist(StorageLevel.MEMORY_AND_DISK)
+        return with_embedding_vector(df) if "text_emb" not in df.columns else df
+    return with_words(df) if text and "words" not in df.columns else df
+
+
+def fit_candidates(train: DataFrame, regs, text=True, max_iter: int = MAX_ITER, tol: float = 1e-6,
+                   num_features: int | None = None, parallelism: int = 4) -> list[PipelineModel]:
+    """One model for each regularization, all fitted at once on one cached block of assembled rows.
+
+    The words are hashed and the rows weighted once, whatever the number of
+    candidates; the fits share the cluster.  ``num_features`` is sized from a
+    distinct count of the words if not given.
+    """
+    from multiprocessing.pool import ThreadPool
+
+    from pyspark import StorageLevel, inheritable_thread_target
+
+    spark = train.sparkSession
+    rows = with_text(train, text)
+    if num_features is None:
+        num_features = sized_terms(rows) if text is True else NUM_FEATURES
+    stages = front_stages(text, num_features)
+    block = PipelineModel(stages).transform(class_weights(rows))
+    # the optimizers make many passes: keep the rows (memory, spilling to
+    # disk); a lost block is recomputed from its deterministic lineage
+    block = block.select(F.col("y").cast("double").alias("y"), "w", "features").persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        return build_pipeline(reg, text, num_features, max_iter, tol).fit(t)
+        lr = classifier(max_iter=max_iter, tol=tol)
+        maps = [{lr.regParam: float(r)} for r in regs]
+        fits = lr.fitMultiple(block, maps)
+        # one fit alone first, so that the block is cached once
+        found = dict([next(fits)])
+        with ThreadPool(max(1, min(len(maps) - 1, parallelism))) as pool:
+            found |= dict(pool.imap_unordered(inheritable_thread_target(spark)(lambda _: next(fits)), maps[1:]))
     finally:
-        t.unpersist()
+        block.unpersist()
+    return [without_summary(spark, PipelineModel([*stages, found[i]])) for i in range(len(maps))]
+
+
+def without_summary(spark, model: PipelineModel) -> PipelineModel:
+    """The model written and read back: a fitted one carries its training rows' plan and the session into every task."""
+    path = scratch_dir(spark, "model")
+    model.write().save(path)
+    return PipelineModel.load(path)
+
+
+def train_model(train: DataFrame, reg: float = 0.01, text=True, max_iter: int = MAX_ITER, tol: float = 1e-6,
+                num_features: int | None = None) -> PipelineModel:
+    """Fit the class-weighted classifier on the training split."""
+    return fit_candidates(train, [reg], text, max_iter, tol, num_features)[0]
+
+
+def candidate_scores(models: list[PipelineModel], df: DataFrame, text=True, y: str = "y") -> DataFrame:
+    """(candidate, y, prob): the rows scored by every candidate in one pass over the shared front."""
+    out = PipelineModel(models[0].stages[:-1]).transform(with_text(df, text))
+    names = []
+    for i, model in enumerate(models):
+        lr = model.stages[-1].copy()
+        for part in ("Probability", "RawPrediction", "Prediction"):
+            getattr(lr, f"set{part}Col")(f"_{part}_{i}")
+        out = lr.transform(out)
+        names.append(vector_to_array(f"_Probability_{i}")[1])
+    return out.select(y, F.posexplode(F.array(*names)).alias("candidate", "prob"))
 
 
 def batch_score(model: PipelineModel, df: DataFrame, text=True, keep=()) -> DataFrame:
     """Add ``prob`` = P(TRUE) (and ``logit``)."""
-    if text == "embedding":
-        d = with_embedding_vector(df) if "text_emb" not in df.columns else df
-    else:
-        d = with_words(df) if text and "words" not in df.columns else df
-    s = model.transform(d)
+    s = model.transform(with_text(df, text))
     s = s.withColumn("prob", vector_to_array("probability")[1]) \
          .withColumn("logit", vector_to_array("rawPrediction")[1])
     drop = [c for c in ("features", "rawPrediction", "probability", "prediction", "text_tf", "words", "text_emb")
@@ -225,16 +295,15 @@ def word_scores(spark, model: PipelineModel):
     return scores
 
 
-def select_by_validation(train: DataFrame, val: DataFrame, regs=(0.001, 0.01, 0.1), text: bool = True, tol: float = 1e-6):
-    """Fit one model per candidate; keep the best validation balanced
-    accuracy at 0.5 (strictly better wins, so the first wins on ties)."""
-    from credo.operators.metrics import confusion_counts, metric_columns
+def select_by_validation(train: DataFrame, val: DataFrame, regs=(0.001, 0.01, 0.1), text=True, tol: float = 1e-6,
+                         num_features: int | None = None, max_iter: int = MAX_ITER):
+    """(index, model, balanced accuracy) of the candidate that ``select_best`` picks on ``val`` at 0.5.
+
+    Without validation rows the first candidate is taken."""
+    from credo.operators.sweep import select_best
 
-    best = None
-    for i, reg in enumerate(regs):
-        m = train_model(train, reg=reg, text=text, tol=tol)
-        c = confusion_counts(batch_score(m, val, text), 0.5)
-        ba = c.select(metric_columns()["balanced_accuracy"].alias("ba")).first()["ba"]  # one row
-        if best is None or (ba is not None and ba > best[2]):
-            best = (i, m, ba if ba is not None else -1.0)
-    return best
+    models = fit_candidates(train, regs, text, max_iter, tol, num_features)
+    best = select_best(candidate_scores(models, val, text)).filter("is_best").first()  # one row
+    if best is None or best["balanced_accuracy"] is None:
+        return 0, models[0], -1.0
+    return best["candidate"], models[best["candidate"]], best["balanced_accuracy"]

@@ -897,29 +897,100 @@ def head_score(spark, sf):
     return round_doubles(hs(f, head_weights(69, HEAD_HIDDEN)).select("row_key", "logit", "prob"))
 
 
-def _fitted(spark, sf):
-    from credo.operators.modeling import train_model as tm
-    c = Chain(spark, sf)
-    feats = c.features()
-    return c, feats, tm(feats.filter(F.col("split") == "train"))
+REG = 0.01
+_WORDS_SQL = ("SELECT word AS name, row_number() OVER (ORDER BY word) - 1 AS id, count(*) AS n, 0.0E0 AS gradient FROM "
+              "(SELECT DISTINCT row_key, word FROM wp JOIN d USING (row_key) WHERE split = 'train') z GROUP BY word")
+_OTHERS_SQL = ("SELECT name, CAST(NULL AS BIGINT), (SELECT count(*) FROM d WHERE split = 'train'), 0.0E0 FROM (VALUES "
+               + ", ".join(f"('{n}')" for n in [*K.FEATURE_NAMES, "intercept"]) + ") v(name)")
 
 
-@q("train_model")
+@q("train_model", chain_sql(f"{_WORDS_SQL} UNION ALL {_OTHERS_SQL}", extra=[("wp", _tokens_sql("d"))]))
 def train_model(spark, sf):
-    """Coefficients of the class-weighted model (rows-only check)."""
-    from credo.operators.modeling import coefficients
-    _, _, m = _fitted(spark, sf)
-    numeric, intercept, text_w = coefficients(m)
-    rows = [(k, float(v)) for k, v in numeric.items()] + [("intercept", intercept),
-                                                          ("text_nonzero", float((text_w != 0).sum()))]
-    return spark.createDataFrame(rows, "name string, value double")
+    """Exact dictionary fit, certified: each word's id and statements, and the objective's derivative by its weight."""
+    from credo.operators import dictionary as di
+    from credo.operators.modeling import class_weights, classifier
+    c = Chain(spark, sf)
+    rows_ = c.materialized("train-rows", class_weights(c.features().filter("split = 'train'")).select(
+        "row_key", "statement", "y", "w", *K.FEATURE_NAMES))
+    present = c.materialized("presence", di.presence(at.word_positions(rows_)))
+    words = di.word_dictionary(present)
+    block = c.materialized("vectors", di.term_vectors(rows_, present, words).select(F.col("y").cast("double").alias("y"), "w", "features"))
+    m = classifier(REG, max_iter=500, tol=1e-8).fit(block)
+    numeric = dict(zip(K.FEATURE_NAMES, m.coefficients.toArray()))
+    return round_doubles(di.gradient(rows_, present, di.weights_of(m, words), numeric, m.intercept, REG), 4)
+
+
+#: A model with given weights, so that SQL can follow every flow.
+GIVEN = {"cs_ratio": -2.5, "speaker_cred": 2.0, "affil_cred": 1.5, "ctx_cred": 0.75, "len_norm": -0.125}
+GIVEN_INTERCEPT, GIVEN_THRESHOLD = 0.25, 0.58
+
 
+def _given_prob(src: str) -> str:
+    logit = " + ".join([f"{GIVEN_INTERCEPT!r}E0", *(f"{w!r}E0 * {src}.{n}" for n, w in GIVEN.items())])
+    return f"1.0E0 / (1.0E0 + exp(-({logit})))"
 
-@q("batch_score")
+
+def _given_artifacts(spark, sf):
+    """f2's lookups, split table and the given model, saved and loaded; and the chain."""
+    from credo.operators.modeling import linear_model
+    from credo.session import scratch_dir
+    from credo.sources.artifacts import load_artifacts, save_artifacts
+    c = Chain(spark, sf)
+    path = scratch_dir(spark, "artifacts")
+    save_artifacts(spark, path, c.lookups(), threshold=GIVEN_THRESHOLD, model=linear_model(spark, GIVEN, GIVEN_INTERCEPT),
+                   clean_text=True, text="none", split=c.written())
+    return c, load_artifacts(spark, path)
+
+
+@q("batch_score", chain_sql(f"SELECT row_key, split, y, round({_given_prob('ft')}, 6) AS prob FROM ft", normalized=True, extra=[features_cte()]))
 def batch_score(spark, sf):
+    """Every row scored by a saved and loaded model of given weights."""
     from credo.operators.modeling import batch_score as bs
-    _, feats, m = _fitted(spark, sf)
-    return bs(m, feats).select("row_key", "split", "y", "prob")
+    c, art = _given_artifacts(spark, sf)
+    return round_doubles(bs(art["model"], c.features(), text=False).select("row_key", "split", "y", "prob"))
+
+
+@q("drop_unknown_count", chain_sql("SELECT count(*) AS n_rows, count(*) - count(y) AS n_dropped, count(y) AS n_kept FROM "
+                                   f"(SELECT {s_y('label')} AS y FROM b) z", fixture="f1"))
+def drop_unknown_count(spark, sf):
+    """Rows before and after the drop of unknown labels, counted in the pass that writes what is kept."""
+    from credo.plans.chain import labelled_counted
+    kept, counted = labelled_counted(fx.f1(spark, sf))
+    kept = Chain(spark, sf).materialized("labelled", kept)
+    counts = counted.get
+    return kept.agg(F.lit(counts["n_rows"]).alias("n_rows"), F.lit(counts["n_dropped"]).alias("n_dropped"), F.count("*").alias("n_kept"))
+
+
+_SETTINGS = [("threshold", f"{GIVEN_THRESHOLD!r}"), ("cs_default", f"{K.CS_DEFAULT!r}"), ("key_mode", "normalized"), ("text", "none"),
+             ("clean_text", "true"), ("stratified", "true"), ("max_len", "128"), ("model intercept", f"{GIVEN_INTERCEPT!r}"),
+             *((f"model {n}", f"{w!r}") for n, w in GIVEN.items()), ("newest", "complete")]
+
+
+@q("artifacts_settings", chain_sql(
+    "SELECT * FROM (VALUES " + ", ".join(f"('{n}', '{v}')" for n, v in _SETTINGS) + ") v(name, value) UNION ALL "
+    "SELECT concat('split ', split), CAST(count(*) AS VARCHAR) FROM d GROUP BY split UNION ALL "
+    "SELECT 'lookups', CAST(count(*) AS VARCHAR) FROM lk", lookups=True))
+def artifacts_settings(spark, sf):
+    """Threshold, settings, split and coefficients after a round trip; a half-written newer folder is passed over."""
+    from credo.operators.modeling import coefficients, linear_model
+    from credo.session import scratch_dir
+    from credo.sources.artifacts import load_artifacts, newest_complete, save_artifacts
+    c = Chain(spark, sf)
+    root = scratch_dir(spark, "runs")
+    for name in ("older", "complete"):
+        save_artifacts(spark, f"{root}/{name}", c.lookups(), threshold=GIVEN_THRESHOLD, text="none", split=c.written(),
+                       model=linear_model(spark, GIVEN, GIVEN_INTERCEPT))
+    c.lookups().write.parquet(f"{root}/dead/lookups")  # its writer died here
+    newest = newest_complete(spark, root)
+    art = load_artifacts(spark, newest)
+    numeric, intercept, _ = coefficients(art["model"], text=False)
+    text = lambda v: str(v).lower() if isinstance(v, bool) else v if isinstance(v, str) else repr(v)
+    found = [(n, text(art[n])) for n in ("threshold", "cs_default", "key_mode", "text", "clean_text", "stratified", "max_len")]
+    found += [("model intercept", repr(intercept)), *((f"model {n}", repr(w)) for n, w in numeric.items()), ("newest", newest.rsplit("/", 1)[-1])]
+    out = spark.createDataFrame(found, "name string, value string")
+    sizes = art["split"].groupBy("split").count().select(F.concat(F.lit("split "), "split").alias("name"), F.col("count").cast("string").alias("value"))
+    known = art["lookups"].agg(F.lit("lookups").alias("name"), F.count("*").cast("string").alias("value"))
+    return out.unionByName(sizes).unionByName(known)
 
 
 # ------------------------------------------------------ numeric attribution
@@ -1230,25 +1301,61 @@ def train_run(spark, sf):
     return res["sweep"]
 
 
-@q("evaluate_run")
+def _given_rows_sql(src: str) -> list[tuple[str, str]]:
+    """CTE f3: rows of ``src`` scored and attributed by the given model."""
+    offs, noise = at.baseline_offsets()
+    neutral = {"cs_ratio": f"{K.CS_DEFAULT!r}E0", "len_norm": "0.0E0"}
+    a = ", ".join(f"{w!r}E0 * (ft.{n} + {noise[n]!r}E0 - ({neutral.get(n, '(SELECT default_cred FROM st)')} + {offs[n]!r}E0)) AS a_{n}"
+                  for n, w in GIVEN.items())
+    return [features_cte(src=src),
+            ("f3", f"SELECT ft.row_key, {_given_prob('ft')} AS prob, cs_known, cs_ratio AS cs_val, speaker_cred AS spk_cred, "
+                   f"affil_cred AS afl_cred, ctx_cred, len_norm, {a} FROM ft")]
+
+
+def _given_flow_sql(src: str, rows_: str, with_prompt: bool = True) -> str:
+    """Predictions and explanations of the query ``rows_`` (a CTE named ``src``), by f2's lookups and the given model."""
+    th = f"{GIVEN_THRESHOLD!r}E0"
+    body, ctes = _sentences_sql(
+        f"SELECT f3.row_key, f3.prob, CASE WHEN f3.prob >= {th} THEN 'TRUE' ELSE 'FALSE' END AS prediction, '' AS top_words, "
+        f"{src}.statement FROM f3 JOIN {src} USING (row_key)", with_prompt)
+    cols = "prediction, explanation, prompt" if with_prompt else "prediction, explanation"
+    return chain_sql(f"SELECT row_key, {cols}, round_even(prob, 4) AS probability FROM ({body}) z JOIN f3 USING (row_key)",
+                     normalized=True, extra=[(src, rows_), *_given_rows_sql(src), *ctes])
+
+
+@q("evaluate_run", chain_sql(
+    "SELECT tn, fp, fn, tp, " + ", ".join(f"round({v}, 6) AS {k}" for k, v in _M_SQL.items()) + ", (SELECT auc_roc FROM auc) AS auc_roc FROM cc",
+    normalized=True, extra=[features_cte(), ("f3", f"SELECT y, {_given_prob('ft')} AS prob FROM ft WHERE split = 'test'"),
+                            ("pr", f"SELECT y, prob >= {GIVEN_THRESHOLD!r}E0 AS p FROM f3"), ("cc", _CC + " FROM pr"), *_AUC_CTES]))
 def evaluate_run(spark, sf):
-    """Training then evaluation on its test split: one metrics row."""
+    """The evaluation flow over raw f2 statements: dedup, the saved split's test rows, a loaded model, one metrics row."""
     from credo.plans.evaluation import evaluate
     from credo.sources.statements import normalize_statements
-    _, art = _trained(spark, sf)
+    _, art = _given_artifacts(spark, sf)
     return evaluate(normalize_statements(fx.f2(spark, sf)), art, split="test")["report"]
 
 
-@q("predict_batch")
-def predict_batch(spark, sf):
-    """Score and explain a request for every document, labelled or not."""
-    from credo.plans.scoring import score_requests
+def _document_requests(spark, sf):
     from credo.sources.statements import requests_from
-    _, art = _trained(spark, sf)
     docs = fx.table(spark, sf, "documents").select(
         F.col("doc_id").cast("string").alias("row_key"), F.col("text").alias("statement"), F.col("source").alias("speaker_name"),
         F.col("lang").alias("speaker_affiliation"), F.concat(F.lit("a post in "), "lang").alias("statement_context"))
-    return score_requests(requests_from(docs), art)
+    return requests_from(docs)
+
+
+# f2's suppliers and nations don't speak in documents: all keys but the context's are new, as for real requests
+_DOC_REQ = ("SELECT CAST(doc_id AS VARCHAR) AS row_key, " + s_clean("text") + " AS statement, CASE WHEN lang IS NULL THEN source ELSE "
+            "coalesce(upper(source), source) END AS speaker_name, lang AS speaker_affiliation, CASE WHEN length(concat('a post in ', lang)) > 12 "
+            "AND lang IS NOT NULL THEN upper(concat('a post in ', lang)) WHEN lang IS NOT NULL THEN concat('a post in ', lang) END "
+            "AS statement_context FROM documents")
+
+
+@q("predict_batch", _given_flow_sql("rq", _DOC_REQ))
+def predict_batch(spark, sf):
+    """Score and explain a request for every document, labelled or not."""
+    from credo.plans.scoring import score_requests
+    _, art = _given_artifacts(spark, sf)
+    return score_requests(_document_requests(spark, sf), art)
 
 
 @q("explain_batch")
@@ -1260,14 +1367,16 @@ def explain_batch(spark, sf):
     return score_requests(rows, art).select("row_key", "prediction", "explanation")
 
 
-@q("score_stream")
+@q("score_stream", _given_flow_sql("sq", "SELECT * REPLACE (" + s_clean("statement") + " AS statement) FROM f2"))
 def score_stream(spark, sf):
-    """f2 statements arriving as a lineitem file stream, scored with the
-    trained artifacts into a parquet sink (availableNow), read back."""
+    """f2 statements arriving as files: two micro-batches, a stop, more files, and a restart from the checkpoint."""
     from credo.session import scratch_dir
     from credo.streaming.score_stream import lineitem_statement_stream, start
-    _, art = _trained(spark, sf)
-    out, ck = scratch_dir(spark, "stream-out"), scratch_dir(spark, "stream-ck")
-    qy = start(lineitem_statement_stream(spark, sf), art, out, ck)
-    qy.awaitTermination()
+    _, art = _given_artifacts(spark, sf)
+    out, ck, inbox = (scratch_dir(spark, f"stream-{n}") for n in ("out", "ck", "in"))
+    lines = fx.table(spark, sf, "lineitem")
+    for part in ((0, 1), (2, 3)):
+        for k in part:  # one file each
+            lines.filter(F.pmod(F.xxhash64("l_orderkey"), F.lit(4)) == k).coalesce(1).write.mode("append").parquet(inbox)
+        start(lineitem_statement_stream(spark, sf, arrivals=inbox), art, out, ck).awaitTermination()
     return spark.read.parquet(out)

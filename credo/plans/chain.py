@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from credo.constants import (CS_DEFAULT, CS_UNKNOWN_HUNDREDTHS, CS_WEIGHT_HUNDREDTHS, DEFAULT_CRED_FALLBACK,
@@ -20,6 +20,7 @@ from credo.operators.lookups import all_lookups, lookup_stats
 from credo.operators.split import split_hash, split_stratified
 from credo.plans import fixtures as fx
 from credo.session import scratch_dir
+from credo.sources.statements import drop_unknown_observed
 
 
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
@@ -35,6 +36,12 @@ def labelled(df: DataFrame) -> DataFrame:
     return d.withColumn("y", binary_label("label")).filter(F.col("y").isNotNull())
 
 
+def labelled_counted(df: DataFrame) -> tuple[DataFrame, Observation]:
+    """``labelled``, and an observation of n_rows and n_dropped (unknown labels), counted while it is written."""
+    d = deduplicate(df.withColumn("label", normalize_label("label"))).withColumn("y", binary_label("label"))
+    return drop_unknown_observed(d)
+
+
 def materialize(spark: SparkSession, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:
     """Write to a fresh folder under the shared checkpoint dir and read back."""
     path = scratch_dir(spark, name)

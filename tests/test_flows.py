@@ -131,25 +131,41 @@ def test_evaluate_with_some_or_no_labels(spark, trained):
     part = evaluate(rows_.withColumn("label", F.when(F.ascii(F.right("row_key", F.lit(1))) % 2 == 0, F.col("label"))), art)
     r = part["report"].first()
     assert 0 < r["tn"] + r["fp"] + r["fn"] + r["tp"] < known
-    assert part["predictions"].count() == known
-    for unlabelled in (rows_.drop("label"), rows_.withColumn("label", F.lit(None).cast("string"))):
-        out = evaluate(unlabelled, art)
+    assert part["predictions"].count() <= known
+    for unlabelled, dedup in ((rows_.drop("label"), True), (rows_.withColumn("label", F.lit(None).cast("string")), False)):
+        out = evaluate(unlabelled, art, dedup=dedup)
         assert out["report"] is None and out["confusion"] is None
         assert out["predictions"].count() == known
     test = evaluate(normalize_statements(fx.f1(spark, "/root/testdata/sf0.01")), art, split="test")
     assert test["scored"].count() == art["split"].filter("split = 'test'").count()
 
 
-def test_damaged_model_fails_its_load(spark, tmp_path, trained):
-    from credo.sources.artifacts import save_artifacts
+def test_incomplete_and_damaged_artifacts_are_not_taken(spark, tmp_path, trained):
+    import shutil
+
+    from credo.sources.artifacts import newest_complete, save_artifacts
 
     res, _ = trained
-    path = save_artifacts(spark, str(tmp_path / "art"), res["lookups"])
-    assert load_artifacts(spark, path)["model"] is None
-    (tmp_path / "art" / "model" / "metadata").mkdir(parents=True)
-    (tmp_path / "art" / "model" / "metadata" / "part-00000").write_text("not json")
+    assert newest_complete(spark, str(tmp_path)) is None
+    first = save_artifacts(spark, str(tmp_path / "first"), res["lookups"], model=res["model"], split=res["split"])
+    # a run that died before its manifest, though its parts are newer
+    res["lookups"].write.parquet(str(tmp_path / "dead" / "lookups"))
+    assert newest_complete(spark, str(tmp_path)).endswith("/first")
+    with pytest.raises(ValueError, match="manifest"):
+        load_artifacts(spark, str(tmp_path / "dead"))
+    second = save_artifacts(spark, str(tmp_path / "second"), res["lookups"])
+    assert newest_complete(spark, str(tmp_path)).endswith("/second")
+    art = load_artifacts(spark, second)
+    assert art["model"] is None and art["split"] is None
+    assert load_artifacts(spark, first)["split"].count() == res["split"].count()
+    # published, then damaged
+    for name in (tmp_path / "first" / "model" / "metadata").glob("*part*"):
+        name.unlink()
     with pytest.raises(Exception):
-        load_artifacts(spark, path)
+        load_artifacts(spark, first)
+    shutil.copytree(tmp_path / "first" / "lookups", tmp_path / "second" / "lookups", dirs_exist_ok=True)
+    with pytest.raises(ValueError, match="rows"):
+        load_artifacts(spark, second)
 
 
 def test_checkpoint_folder_is_required_on_a_cluster(monkeypatch):

@@ -8,8 +8,7 @@ integrated-gradient attributions are exact (weight x value; a present term
 contributes its weight once, through its first word if words share it).
 
 ``head_score`` evaluates a given two-layer ReLU head over fused feature
-arrays with NumPy inside an Arrow-batched pandas UDF; the weights travel
-once per executor as a broadcast variable.
+arrays with NumPy in a batch predictor, which loads the weights once per worker.
 """
 
 from __future__ import annotations
@@ -82,19 +81,23 @@ def head_weights(dim: int, hidden: int, seed: int = 7) -> dict:
             "w2": rng.normal(0, 0.5, size=hidden).round(6), "b2": float(np.round(rng.normal(0, 0.1), 6))}
 
 
-def head_score(df: DataFrame, weights: dict, fused: str = "fused") -> DataFrame:
-    """logit = w2 . relu(W1 x + b1) + b2 and prob = sigmoid(logit)."""
-    sc = df.sparkSession.sparkContext
-    bw = sc.broadcast({k: np.asarray(v, dtype=np.float64) for k, v in weights.items()})
+def head_score(df: DataFrame, weights: dict, fused: str = "fused", batch_size: int = 1024) -> DataFrame:
+    """logit = w2 . relu(W1 x + b1) + b2 and prob = sigmoid(logit).
 
-    @F.pandas_udf(DoubleType())
-    def _logit(x: pd.Series) -> pd.Series:
-        w = bw.value
-        X = np.stack(x.to_numpy()) if len(x) else np.zeros((0, w["W1"].shape[1]))
-        h = np.maximum(0.0, X @ w["W1"].T + w["b1"])
-        return pd.Series(h @ w["w2"] + float(w["b2"]))
+    A batch predictor: each Python worker loads the weights once and scores
+    ``batch_size`` rows at a time, whatever the Arrow batches are."""
+    from pyspark.ml.functions import predict_batch_udf
 
-    out = df.withColumn("logit", _logit(F.col(fused)))
+    given = {k: np.asarray(v, dtype=np.float64) for k, v in weights.items()}
+
+    def load():
+        def predict(x: np.ndarray) -> np.ndarray:
+            hidden = np.maximum(0.0, x.astype(np.float64) @ given["W1"].T + given["b1"])
+            return hidden @ given["w2"] + float(given["b2"])
+        return predict
+
+    logit = predict_batch_udf(load, return_type=DoubleType(), batch_size=batch_size, input_tensor_shapes=[[given["W1"].shape[1]]])
+    out = df.withColumn("logit", logit(F.col(fused)))
     return out.withColumn("prob", F.lit(1.0) / (F.lit(1.0) + F.exp(-F.col("logit"))))
 
 

@@ -134,3 +134,16 @@ def test_numbers_are_written_as_printf_does(spark):
     df = spark.createDataFrame([(v,) for v in values], "v double")
     for r in df.select("v", fill("%.2f and %.0f", F.col("v"), F.col("v") * 100).alias("s")).collect():
         assert r["s"] == "%.2f and %.0f" % (r["v"], r["v"] * 100)
+
+
+def test_head_is_scored_in_batches_of_a_fixed_size(spark):
+    from credo.operators.modeling import fuse_features, head_score
+
+    df = fuse_features(statements(spark).fillna(0.0), A, B).withColumn("fused", F.when(F.size("fused") == 9, F.col("fused")))
+    df = df.filter("fused is not null")
+    found = head_score(df, HEAD, batch_size=2)
+    assert "predict" in found._jdf.queryExecution().executedPlan().toString()
+    for r in found.collect():
+        want = np.maximum(np.array(HEAD["W1"]) @ np.array(r["fused"]) + HEAD["b1"], 0) @ np.array(HEAD["w2"]) + HEAD["b2"]
+        assert r["logit"] == pytest.approx(want) and r["prob"] == pytest.approx(1 / (1 + np.exp(-want)))
+    assert head_score(df.limit(0), HEAD).count() == 0

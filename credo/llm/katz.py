@@ -17,11 +17,15 @@ block sends each bucket its distinct bigrams (not its tokens) and gets back
 their counts and their contexts' weights, so the shuffles carry a few bytes
 for each distinct bigram of a block.
 
+The numbers of types seen 1, 2, ... times are smoothed by a line through their
+logarithms before the Good-Turing ratios are taken, so that the ratios lie
+between 0 and 1 for every corpus: raw ones leave that range where copies or a
+small vocabulary make the numbers irregular.
+
 Words are compared by 64-bit hashes.  Null texts count as empty: just the end
 token.  The text's start has the end token as its context.  A null id hashes
-like the empty text.  If counts of counts are too irregular for Good-Turing
-ratios (small corpora), absolute discounting takes their place; where nothing
-is discounted, one count is added for what is unseen.
+like the empty text.  Where nothing is discounted (no type is seen up to
+``LARGEST`` times), one count is added for what is unseen.
 """
 
 from __future__ import annotations
@@ -40,6 +44,8 @@ from credo.llm.common import held, stored, text_or_empty
 
 #: Counts up to this one are discounted.
 LARGEST = 5
+#: Slope of the counts of counts where fewer than two are known, and the flattest that discounts.
+DEFAULT_SLOPE, MOST_SLOPE = -2.0, -1.1
 #: Tokens of a block, tokens for each bucket of contexts.
 BLOCK_TOKENS, BUCKET_TOKENS = 1_000_000, 3_000_000
 WORDS_KEPT = 200_000
@@ -304,21 +310,21 @@ def answer(table: pa.Table) -> pa.Table:
 
 
 class Discounts:
-    """Good-Turing ratios of one order, from the numbers of types seen 1, 2, ... times."""
+    """Good-Turing ratios of one order, from the numbers of types seen 1, 2, ... times.
+
+    The smoothed number of types seen r times is proportional to r ** slope,
+    by least squares on the logarithms of those that aren't 0.  With a slope
+    below -1, all of Katz's ratios lie between 0 and 1.
+    """
 
     def __init__(self, counts_of_counts: list[int]):
-        n = [0, *counts_of_counts]
+        seen = [(np.log(r), np.log(n)) for r, n in enumerate(counts_of_counts[:LARGEST + 1], 1) if n]
+        slope = float(np.polyfit(*zip(*seen), 1)[0]) if len(seen) > 1 else DEFAULT_SLOPE
+        self.slope = min(slope, MOST_SLOPE)
         ratio = np.ones(LARGEST + 2)
-        rest = (LARGEST + 1) * n[LARGEST + 1] / n[1] if n[1] else 1.0
-        good = rest < 1 and all(n[1:LARGEST + 1])
-        if good:
-            for r in range(1, LARGEST + 1):
-                ratio[r] = ((r + 1) * n[r + 1] / (r * n[r]) - rest) / (1 - rest)
-            good = bool((ratio[1:LARGEST + 1] > 0).all() and (ratio[1:LARGEST + 1] < 1).all())
-        if not good:
-            less = n[1] / (n[1] + 2 * n[2]) if n[1] and n[2] else 0.5
-            for r in range(1, LARGEST + 1):
-                ratio[r] = (r - less) / r
+        rest = (LARGEST + 1) ** (self.slope + 1)
+        for r in range(1, LARGEST + 1):
+            ratio[r] = (((r + 1) / r) ** (self.slope + 1) - rest) / (1 - rest)
         self.ratio = ratio
 
     def __call__(self, counts: np.ndarray) -> np.ndarray:

@@ -17,6 +17,18 @@ def held(doc_id, folds):
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % folds == 0
 
 
+def good_turing(counts, k=5):
+    """Katz's ratios d_1 to d_k, counts of counts smoothed by a line through their logarithms."""
+    points = [(math.log(r), math.log(n)) for r in range(1, k + 2) if (n := sum(c == r for c in counts))]
+    slope = -2.0
+    if len(points) > 1:
+        mx, my = (sum(v) / len(points) for v in zip(*points))
+        slope = sum((x - mx) * (y - my) for x, y in points) / sum((x - mx) ** 2 for x, _ in points)
+    n = lambda r: r ** min(slope, -1.1)
+    last = (k + 1) * n(k + 1) / n(1)
+    return [None, *(((r + 1) * n(r + 1) / (r * n(r)) - last) / (1 - last) for r in range(1, k + 1))]
+
+
 class Plain:
     """Katz backoff over dictionaries."""
 
@@ -27,10 +39,9 @@ class Plain:
             for h, w in zip([None, *words], words):
                 self.bi[h][w] += 1
         self.total, self.types = sum(self.uni.values()), len(self.uni)
-        coc = lambda counts: [sum(c == r for c in counts) for r in range(1, katz.LARGEST + 2)]
-        self.du = katz.Discounts(coc(self.uni.values())).ratio
-        self.db = katz.Discounts(coc([c for m in self.bi.values() for c in m.values()])).ratio
-        cut = lambda ratio, c: c * ratio[c] if c <= katz.LARGEST else c
+        self.du = good_turing(list(self.uni.values()))
+        self.db = good_turing([c for m in self.bi.values() for c in m.values()])
+        cut = lambda ratio, c: c * ratio[c] if c <= 5 else c
         freed = sum(c - cut(self.du, c) for c in self.uni.values())
         if freed:
             self.p1 = {w: cut(self.du, c) / self.total for w, c in self.uni.items()}
@@ -106,7 +117,12 @@ def test_katz_frequent_context_is_split(spark, tmp_path, monkeypatch):
 def test_discounts():
     good = katz.Discounts([1000, 400, 220, 140, 100, 75])
     assert all(0 < x < 1 for x in good.ratio[1:6]) and good.ratio[6] == 1
-    for odd in ([0] * 6, [5, 0, 0, 0, 0, 0], [1, 9, 1, 9, 1, 9]):
+    # an exact power law gives the plain Good-Turing ratios
+    law = [10**9 // r**2 for r in range(1, 7)]
+    last = 6 * law[5] / law[0]
+    plain = [((r + 1) * law[r] / (r * law[r - 1]) - last) / (1 - last) for r in range(1, 6)]
+    assert katz.Discounts(law).ratio[1:6] == pytest.approx(plain, rel=1e-6)
+    for odd in ([0] * 6, [5, 0, 0, 0, 0, 0], [1, 9, 1, 9, 1, 9], [1, 10, 100, 1000, 10**4, 10**5], [1000, 2000, 100, 90, 80, 70]):
         assert all(0 < x < 1 for x in katz.Discounts(odd).ratio[1:6])
 
 

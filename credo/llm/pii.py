@@ -36,7 +36,8 @@ SPANS_BROADCAST = 200_000
 
 #: The base patterns.  Repetitions are possessive where nothing could be given
 #: back, which keeps Java's matcher from recursing on long runs.
-EMAIL = r"[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+# only from where a run of name characters starts, or the last match ended: else every place of a long run is tried to its end
+EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
 IP = r"[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = r"[0-9](?:[\x20-]?[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"

@@ -4,6 +4,8 @@ import hashlib
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from credo.llm import pii
 from credo.llm.queries import op5_personal_data
 from tests.llm.cases import documents, with_extra, write_documents
@@ -126,3 +128,17 @@ def test_no_python_in_the_plan(spark):
 def test_empty(spark, tmp_path):
     assert op5_personal_data(spark, write_documents(spark, tmp_path, empty=True)).count() == 0
     assert pii.masked(documents(spark, empty=True)).count() == 0
+
+
+def test_long_runs_take_linear_time(spark):
+    """A run of a million name characters, one that ends in an address, and addresses without a gap."""
+    import time
+
+    texts = ["x@y.z " + "a" * 1_000_000, "b" * 1_000_000 + "@c.d", "a@b.c" * 2000, "a@b.c%d@e.f_g@h.i", "a@" * 20_000, "@" + "a." * 100_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    started = time.time()
+    out = docs.select("doc_id", F.regexp_extract_all("text", F.lit(pii.EMAIL), F.lit(0)).alias("m"))
+    found = {r["doc_id"]: r["m"] for r in out.collect()}
+    assert time.time() - started < 10
+    slow = {0: ["x@y.z"], 5: []}  # for Python's matcher
+    assert found == {i: slow[i] if i in slow else [m.group() for m in BASE["email"].finditer(t)] for i, t in enumerate(texts)}

@@ -31,7 +31,7 @@ from credo.llm.common import stored
 CENTRE_ROWS = 4096
 #: Vectors of an index row, and queries of a block.
 CHUNK, BLOCK = 4096, 512
-EPSILON = 3.0
+EPSILON = 4.0
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> DataFrame:

@@ -82,7 +82,10 @@ def placed(rows: DataFrame, order: list[str]) -> DataFrame:
 
     Ties of ``order`` may be placed either way.
     """
-    written = rows.repartitionByRange("tree", *order).sortWithinPartitions("tree", *order)
+    # the number only deals ties, which are equal rows, over several partitions
+    tie = "_tie"
+    written = rows.withColumn(tie, F.monotonically_increasing_id()).repartitionByRange("tree", *order, tie)
+    written = written.drop(tie).sortWithinPartitions("tree", *order)
     written = stored(written.withColumn("part", F.spark_partition_id().cast("long")), "sorted")
     runs = Window.partitionBy("part", "tree").orderBy(*order)
     written = written.withColumn("row", F.row_number().over(runs) - 1)

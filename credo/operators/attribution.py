@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from credo.constants import DELTA_ACCEPTABLE, DELTA_EXCELLENT, SPECIAL_TOKENS, TOP_WORDS
+from credo.operators.skew import split_join
 
 CHUNK = 8192
 
@@ -105,20 +106,29 @@ def word_positions(df: DataFrame, text_col: str = "statement", clean: bool = Tru
              .withColumn("pos", F.col("pos").cast("bigint") + 1)
 
 
+def word_counts(positions: DataFrame) -> DataFrame:
+    """(row_key, word, n, first_pos): a statement's distinct words; tables that have ``n`` pass as they are."""
+    if "n" in positions.columns:
+        return positions
+    return positions.groupBy("row_key", "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
+
+
 def text_attribution(positions: DataFrame, coef: DataFrame, key: str = "word",
-                     presence: bool = False) -> DataFrame:
+                     presence: bool = False, hot: list[int] | None = None) -> DataFrame:
     """Linear text model: each occurrence of a word contributes its weight
     (integrated gradients from an empty baseline are exact for a linear
     model).  Occurrences are first counted per (row, word), so a very common
-    word is pre-aggregated before it meets the coefficient table.
+    word is pre-aggregated before it meets the coefficient table; with ``hot``
+    (``heavy_hitters`` of stored counts) the words that most rows have meet it
+    in a broadcast of their few rows.
 
-    positions: (row_key, pos, word); coef: (<key>, coef) keyed by word, as
-    ``word_log_odds`` gives it.
+    positions: (row_key, pos, word) or ``word_counts``; coef: (<key>, coef)
+    keyed by word, as ``word_log_odds`` gives it.
     ``presence``: the model sees word presence (counts otherwise).
     Returns (row_key, word, n, first_pos, score)."""
-    counts = positions.groupBy("row_key", "word").agg(
-        F.count(F.lit(1)).alias("n"), F.min("pos").alias("first_pos"))
-    j = counts.join(coef.select(F.col(key).alias("word"), "coef"), "word", "left")
+    coef = coef.select(F.col(key).alias("word"), "coef")
+    counts = word_counts(positions).select("row_key", "word", "n", "first_pos")
+    j = counts.join(coef, "word", "left") if hot is None else split_join(counts, coef, ["word"], hot=hot)
     weight = F.coalesce(F.col("coef"), F.lit(0.0))
     # presence features: a present word contributes its weight once
     score = weight if presence else F.col("n") * weight
@@ -130,7 +140,7 @@ def word_log_odds(positions: DataFrame, labels: DataFrame, alpha: float = 1.0) -
     in TRUE vs FALSE training statements.  (word, n_true, n_false, coef)."""
     # count per (row, word) first: a long document or a common word is
     # pre-aggregated before it meets the labels
-    per_row = positions.groupBy("row_key", "word").agg(F.count(F.lit(1)).alias("_n"))
+    per_row = word_counts(positions).select("row_key", "word", F.col("n").alias("_n"))
     j = per_row.join(labels.select("row_key", "y"), "row_key")
     c = j.groupBy("word").agg((F.sum(F.col("y") * F.col("_n"))).cast("bigint").alias("n_true"),
                               (F.sum((1 - F.col("y")) * F.col("_n"))).cast("bigint").alias("n_false"))
@@ -193,7 +203,7 @@ def baseline_samples(cs_default: float, default_cred: float, n: int = 50, sd: fl
 
 
 def perturbation_attribution(positions: DataFrame, base_score: DataFrame, coef: DataFrame,
-                             n_samples: int = 50, top: int = 10, kernel_width: float = 0.25) -> DataFrame:
+                             n_samples: int = 50, top: int = 10, kernel_width: float = 0.25, hot: list[int] | None = None) -> DataFrame:
     """Word importance by random word removal, as one batch job.
 
     Bag of words: for every (row, sample, word) the word -- all its
@@ -209,11 +219,13 @@ def perturbation_attribution(positions: DataFrame, base_score: DataFrame, coef:
     array of its distinct words: the words are gathered once, and nothing is
     shuffled by sample.
 
-    positions: (row_key, pos, word); base_score: (row_key, base); coef: (word, coef).
+    positions: (row_key, pos, word) or ``word_counts``; base_score: (row_key,
+    base); coef: (word, coef); ``hot`` as in ``text_attribution``.
     Returns the ``top`` words per row: (row_key, rank, word, score)."""
-    words = (positions.groupBy("row_key", "word").agg(F.count(F.lit(1)).alias("n"), F.min("pos").alias("word_pos"))
-             .join(coef.select("word", "coef"), "word", "left")
-             .withColumn("_c", F.col("n") * F.coalesce(F.col("coef"), F.lit(0.0))))
+    words = word_counts(positions).select("row_key", "word", "n", F.col("first_pos").alias("word_pos"))
+    coef = coef.select("word", "coef")
+    words = words.join(coef, "word", "left") if hot is None else split_join(words, coef, ["word"], hot=hot)
+    words = words.withColumn("_c", F.col("n") * F.coalesce(F.col("coef"), F.lit(0.0)))
     samples = F.sequence(F.lit(0), F.lit(n_samples - 1))
 
     def keep(word: Column) -> Column:
@@ -240,8 +252,11 @@ def perturbation_attribution(positions: DataFrame, base_score: DataFrame, coef:
         top_ = total(F.transform(mine, lambda x: x["wt"] * x["p"]))
         return F.coalesce(F.try_divide(top_, total(F.transform(mine, lambda x: x["wt"]))), F.lit(0.0))
 
-    rows = words.select("row_key", F.struct("word_pos", "word", F.col("_c").alias("c"), keep(F.col("word")).alias("keep")).alias("w"))
+    rows = words.select("row_key", F.struct("word_pos", "word", F.col("_c").alias("c")).alias("w"))
     rows = rows.groupBy("row_key").agg(F.sort_array(F.collect_list("w")).alias("ws")).join(base_score, "row_key")
+    # the draws are made where they are used, not carried through the shuffle
+    drawn = F.transform("ws", lambda w: F.struct(w["word_pos"].alias("word_pos"), w["word"].alias("word"), w["c"].alias("c"), keep(w["word"]).alias("keep")))
+    rows = rows.withColumn("ws", drawn)
     rows = rows.withColumn("vs", F.transform(samples, variant))
     scored = F.transform("ws", lambda w: F.struct(w["word_pos"].alias("pos"), w["word"].alias("word"),
                                                   (mean(w, 1) - mean(w, 0)).alias("score")))

@@ -704,18 +704,19 @@ def _text_attr_sql():
 
 
 def _f1_text_model(spark, sf):
+    """f1's statements, their word counts (written once), hot words and word weights."""
+    from credo.operators.skew import heavy_hitters
     c = Chain(spark, sf, fixture="f1")
-    s = c.splitted()
-    pos = at.word_positions(s)
-    tr = s.filter(F.col("split") == "train")
-    coef = at.word_log_odds(pos.join(tr.select("row_key"), "row_key"), tr)
-    return c, s, pos, coef
+    s = c.written()
+    counts = c.materialized("word-counts", at.word_counts(at.word_positions(s)))
+    coef = c.materialized("word-weights", at.word_log_odds(counts, c.train()))
+    return s, counts, heavy_hitters(counts, ["word"]), coef.select("word", "coef")
 
 
 @q("text_attribution", _text_attr_sql())
 def text_attribution(spark, sf):
-    _, _, pos, coef = _f1_text_model(spark, sf)
-    return round_doubles(at.text_attribution(pos, coef.select("word", "coef")))
+    _, counts, hot, coef = _f1_text_model(spark, sf)
+    return round_doubles(at.text_attribution(counts, coef, hot=hot))
 
 
 @q("tokenize_truncate",
@@ -1051,9 +1052,9 @@ def perturbation_attribution(spark, sf):
     """Perturbation (word-removal) attributions for every statement, with the
     closed-form text model; the explainer the completeness check falls back
     to, here run as an alternative explainer over the whole table."""
-    c, s, pos, coef = _f1_text_model(spark, sf)
+    s, counts, hot, coef = _f1_text_model(spark, sf)
     base = s.select("row_key", F.lit(0.0).alias("base"))
-    out = at.perturbation_attribution(pos, base, coef.select("word", "coef"))
+    out = at.perturbation_attribution(counts, base, coef, hot=hot)
     return round_doubles(out.withColumn("rank", F.col("rank").cast("int")))
 
 

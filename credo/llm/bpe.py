@@ -29,7 +29,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from credo.llm.common import held
+from credo.llm.common import give_back, held
 
 #: Words whose encoding a worker remembers; longer words and further ones are
 #: encoded again each time they occur.
@@ -339,6 +339,7 @@ def encode(text: Column, path: str, pattern: str, share: float = 1.0) -> Column:
         words, split = held(("bpe encoder", path, share), lambda: encoder(path, share)), splitter(pattern)
         for batch in batches:
             yield pd.Series([encoded(t, words, split) for t in batch], dtype=object)
+        give_back()
 
     return run(text)
 

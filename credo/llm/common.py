@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
 import uuid
 from collections.abc import Callable, Hashable
 from typing import Any
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,11 +27,20 @@ def held(owner: Hashable, make: Callable[[], Any]) -> Any:
     """
     if _HELD.get("owner") != owner:
         _HELD.clear()
-        gc.collect()
+        give_back()
         _HELD.update(owner=owner, value=make())
     return _HELD["value"]
 
 
+def give_back() -> None:
+    """Return freed memory to the system; an idle worker otherwise keeps what its largest batch took."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_or_empty(col: str | Column) -> Column:
     """The text as a string; null counts as empty."""
     return F.coalesce((F.col(col) if isinstance(col, str) else col).cast("string"), F.lit(""))

@@ -43,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credo.llm.common import fresh, held, stored, text_or_empty
+from credo.llm.common import fresh, give_back, held, stored, text_or_empty
 from credo.llm.components import components
 from credo.operators.skew import split_join
 
@@ -120,6 +120,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 [batch.column(0), pa.array(same, pa.string()), pa.array(n, pa.int64()),
                  pa.array(sketch, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
                 names=["doc_id", "same", "n_shingles", "sketch", "odd"])
+        give_back()
 
     rows = docs.select(F.col("doc_id").cast("long"), text_or_empty("text").alias("text"))
     return rows.mapInArrow(run, "doc_id long, same string, n_shingles long, sketch array<long>, odd array<long>")
@@ -193,6 +194,7 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
                 common = len(np.intersect1d(left, right, assume_unique=True))
                 keep.append(100 * common >= 75 * (len(left) + len(right) - common))
             yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        give_back()
 
     return both.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 

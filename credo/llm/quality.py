@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from credo.llm.common import crc32_fold, held, text_or_empty
+from credo.llm.common import crc32_fold, give_back, held, text_or_empty
 
 SAMPLE = 4000
 BUCKETS = 1 << 18
@@ -91,6 +91,7 @@ def features_of(text: Column) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([features(t) for t in batch], dtype=object)
+        give_back()
 
     return run(text)
 
@@ -188,6 +189,7 @@ def score(text: Column, model: Model) -> Column:
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for batch in batches:
             yield pd.Series([shared.score(features(t)) for t in batch], dtype="float64")
+        give_back()
 
     return run(text)
 

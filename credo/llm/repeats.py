@@ -57,8 +57,8 @@ STEPS = (64, 8, 1)
 SEGMENT = 1 << 19
 #: Bytes ranked at once; an anchor's place has to fit below its name's upper bits.
 SLICE = 1 << 20
-#: Up to so many texts, or removed runs, are broadcast (some 50 bytes each) to their rows.
-TEXTS_BROADCAST = 500_000
+#: Up to so many stretches are broadcast (some 120 bytes each) to their texts; more meet them in a shuffle.
+STRETCHES_BROADCAST = 500_000
 
 RESULT = "struct<kept:binary,spans:array<struct<start:bigint,stop:bigint>>>"
 _HASH = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0x9FB21C651E98DF25, 0xA24BAED4963EE407, 0xD6E8FEB86659FD93)]
@@ -238,7 +238,7 @@ def with_data(docs: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     # any row with the text will do
     own = own.join(docs.groupBy("text_key").agg(F.min("doc_id").alias("id")), "text_key")
     own = stored(own.withColumnRenamed("text_key", "of"), "wanted")
-    if own.count() <= TEXTS_BROADCAST:
+    if wanted.count() <= STRETCHES_BROADCAST:
         own = F.broadcast(own)
     rows = docs.join(own, (F.col("text_key") == F.col("of")) & F.col("doc_id").eqNullSafe(F.col("id")))
     rows = rows.select("text_key", F.col("text").cast("binary").alias("text"), F.explode("stretches").alias("s"))
@@ -309,7 +309,7 @@ def without_repeats(docs: DataFrame, column: str = "unique", length: int = LENGT
     found = stored(found, "repeats")
     keyed = docs.withColumn(key_name, text_key(text))
     bulk = found.agg(F.sum(F.size(runs))).first()[0] or 0
-    if bulk <= TEXTS_BROADCAST:
+    if bulk <= STRETCHES_BROADCAST:
         rows = keyed.join(F.broadcast(found.withColumnRenamed("text_key", of)), F.col(key_name) == F.col(of), "left")
     else:
         # a text's runs meet its ids first, so that the texts themselves are dealt by id too

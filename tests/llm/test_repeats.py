@@ -103,7 +103,7 @@ def test_other_columns_null_and_repeated_ids(spark, monkeypatch):
     first = plain(done)
     kept = [k for k, _ in brute([(t or "").encode() for _, t in rows], 400)]
     assert [x[3] for x in first] == [k for _, k in sorted(zip([(-1 if i is None else i, t or "") for i, t in rows], kept))]
-    monkeypatch.setattr(repeats, "TEXTS_BROADCAST", 0)
+    monkeypatch.setattr(repeats, "STRETCHES_BROADCAST", 0)
     assert plain(repeats.without_repeats(docs, "unique")) == first
 
 

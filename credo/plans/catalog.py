@@ -916,7 +916,7 @@ def train_model(spark, sf):
     present = c.materialized("presence", di.presence(at.word_positions(rows_)))
     words = di.word_dictionary(present)
     block = c.materialized("vectors", di.term_vectors(rows_, present, words).select(F.col("y").cast("double").alias("y"), "w", "features"))
-    m = classifier(REG, max_iter=500, tol=1e-8).fit(block)
+    m = classifier(REG, max_iter=500, tol=1e-7).fit(block)
     numeric = dict(zip(K.FEATURE_NAMES, m.coefficients.toArray()))
     return round_doubles(di.gradient(rows_, present, di.weights_of(m, words), numeric, m.intercept, REG), 4)
 

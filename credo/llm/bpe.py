@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from credo.llm.common import give_back, held
 
-#: Words of each of the two generations that a worker remembers; longer words
-#: are encoded again each time they occur.
-WORDS_KEPT, WORD_BYTES_KEPT = 450_000, 48
+#: Words whose encoding a worker remembers; longer words and further ones are
+#: encoded again each time they occur.
+WORDS_KEPT, WORD_BYTES_KEPT = 600_000, 48
 #: States and pairs of tokens that a worker remembers before it starts anew.
 STATES_KEPT, PAIRS_KEPT = 80_000, 400_000
 
@@ -132,8 +132,9 @@ class Transducer:
         self.clear()
 
     def clear(self) -> None:
-        self.start = State(((0, -1),))
-        self.states = {frozenset(self.start.paths): self.start}
+        start = ((0, -1),)
+        self.states = {start: State(start)}
+        self.start = self.states[start]
 
     def fits(self, left: int, right: int) -> bool:
         if left < 0:
@@ -162,57 +163,43 @@ class Transducer:
     def step(self, state: State, byte: int) -> tuple[int, State]:
         """Build the arc of ``state`` for ``byte``."""
         arcs, token_at, paths, ended = self.merges.arcs, self.merges.token_at, set(), -1
-        known, fits, few = self.valid.get, self.fits, self.below
         for node, after in state.paths:
             nxt = arcs[node].get(byte)
             if nxt is None:
                 continue
-            token, listed = token_at[nxt], type(after) is tuple
-            if token >= 0:
-                if listed:
-                    good = token in after
-                else:
-                    good = known(after << 32 | token)
-                    if good is None:
-                        good = fits(after, token)
-                if good:
-                    ended = token
-                    paths.add((0, token))
+            token = token_at[nxt]
+            if token >= 0 and (token in after if type(after) is tuple else self.fits(after, token)):
+                ended = token
+                paths.add((0, token))
             if arcs[nxt]:
-                below = few[nxt] if nxt in few else self.few_below(nxt)
+                below = self.few_below(nxt)
                 if below is None:
                     paths.add((nxt, after))
-                    continue
-                if listed:
-                    left = [t for t in after if t in below]
-                else:
-                    left = []
-                    for t in below:
-                        good = known(after << 32 | t)
-                        if good or (good is None and fits(after, t)):
-                            left.append(t)
-                if left:
-                    paths.add((nxt, tuple(left)))
-        key = frozenset(paths)
+                elif type(after) is tuple:
+                    if left := tuple(t for t in after if t in below):
+                        paths.add((nxt, left))
+                elif left := tuple(t for t in below if self.fits(after, t)):
+                    paths.add((nxt, left))
+        key = tuple(sorted(paths, key=repr)) if len(paths) > 1 else tuple(paths)
         target = self.states.get(key)
         if target is None:
-            target = self.states[key] = State(tuple(paths))
+            target = self.states[key] = State(key)
         arc = state.arcs[byte] = (ended, target)
         return arc
 
     def encode(self, data: bytes) -> list[int]:
         if len(self.states) > STATES_KEPT * self.share:
             self.clear()
-        lengths, step = self.merges.length, self.step
+        lengths = self.merges.length
         out: list[int] = []
         ends: list[int] = []  # the token that ends at each byte not emitted yet
         state = self.start
         for byte in data:
-            try:
-                token, state = state.arcs[byte]
-            except KeyError:
-                token, state = step(state, byte)
-            ends.append(token)
+            arc = state.arcs.get(byte)
+            if arc is None:
+                arc = self.step(state, byte)
+            ends.append(arc[0])
+            state = arc[1]
             if state.sole:
                 out += back(ends, lengths)
                 ends = []
@@ -230,29 +217,19 @@ def back(ends: list[int], lengths: dict[int, int]) -> list[int]:
 
 
 class Words(dict):
-    """From a word to its ids, packed as little-endian unsigned 32-bit integers.
-
-    Two generations are remembered: a full one becomes the older, and a word of
-    the older that occurs again moves to the new one.
-    """
+    """From a word to its ids, packed as little-endian unsigned 32-bit integers."""
 
     def __init__(self, transducer: Transducer):
         super().__init__()
         self.transducer = transducer
-        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
-        packed = self.older.get(word)
-        if packed is None:
-            data = word.encode()
-            packed = packed_ids(self.transducer.encode(data))
-            if len(data) > WORD_BYTES_KEPT:
-                return packed
-        if len(self) >= WORDS_KEPT * self.transducer.share:
-            # words seen again since the last turn move on, the others go
-            self.older = dict(self)
-            self.clear()
-        self[word] = packed
+        data = word.encode()
+        packed = packed_ids(self.transducer.encode(data))
+        if len(data) <= WORD_BYTES_KEPT:
+            if len(self) >= WORDS_KEPT * self.transducer.share:
+                self.clear()
+            self[word] = packed
         return packed
 
 

@@ -166,3 +166,26 @@ def test_stream_is_stopped_between_files_and_goes_on(spark):
             seen.append(sum(p["numInputRows"] > 0 for p in q.recentProgress))
     assert seen == [2, 0, 1]
     assert rows(spark.read.parquet(out)) == rows(score_requests(fx.f2(spark, SF0001), art))
+
+
+def test_vocabulary_stays_out_of_metadata_and_empty_terms_out_of_the_fit(spark):
+    """Vectors describe no term by an attribute, a fit sees used columns only, and weights are dense for scoring."""
+    rows = spark.createDataFrame([(f"r{i}", f"word{i} common", i % 2, 0.1 * i, 0.2, 0.3, 0.4, 0.5) for i in range(8)],
+                                 "row_key string, statement string, y int, cs_ratio double, speaker_cred double, affil_cred double, "
+                                 "ctx_cred double, len_norm double")
+    stages = mo.front_stages(True, 1 << 12)
+    front = mo.through(stages, mo.with_text(mo.class_weights(rows), True))
+    assert front.schema["features"].metadata["ml_attr"]["num_attrs"] < 10
+    assert front.first()["features"].size == 5 + (1 << 12)
+    block, columns = mo.used_columns(front.select(F.col("y").cast("double").alias("y"), "w", "features"))
+    terms = {mo.term_index(w, 1 << 12) for w in ["common", *(f"word{i}" for i in range(8))]}
+    assert columns.tolist() == [0, 1, 2, 3, 4, *sorted(5 + t for t in terms)]
+    key = lambda r: (r["y"], r["features"].toArray().tolist())
+    wanted = [(r["y"], r["features"].toArray()[columns].tolist()) for r in front.collect()]
+    assert sorted(map(key, block.collect())) == sorted(wanted)
+    m = mo.train_model(rows, num_features=1 << 12, max_iter=20)
+    last = m.stages[-1]
+    assert last._java_obj.coefficientMatrix().getClass().getSimpleName() == "DenseMatrix"
+    assert last.coefficients.size == 5 + (1 << 12) and set(np.nonzero(last.coefficients.toArray())[0]) <= set(columns.tolist())
+    plain = {r["row_key"]: r["p"] for r in m.transform(mo.with_text(rows, True)).select("row_key", mo.vector_to_array("probability")[1].alias("p")).collect()}
+    assert all(abs(r["prob"] - plain[r["row_key"]]) < 1e-12 for r in mo.batch_score(m, rows).collect())

@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from credo.constants import DELTA_ACCEPTABLE, DELTA_EXCELLENT, FEATURE_NAMES, TOP_WORDS
+from credo.operators.attribution import kept_words
 from credo.operators.skew import heavy_hitters, split_join
 
 #: Numeric inputs after the sentence vector.
@@ -160,15 +161,9 @@ def removal_contributions(head: dict, n_samples: int = 50, kernel_width: float =
     and a word's score is the kernel-weighted mean probability of the samples
     that keep it minus that of those that drop it.
     """
-    import hashlib
-
     w2, b2 = np.asarray(head["w2"], dtype=np.float64), float(head["b2"])
     kind = pa.list_(pa.struct([("pos", pa.int64()), ("word", pa.string()), ("score", pa.float64())]))
 
-    def kept(key: str, words: list[str]) -> np.ndarray:
-        bits = [[hashlib.md5(f"{key}|{s}|{w}".encode()).digest()[0] & 1 for w in words] for s in range(1, n_samples)]
-        return np.array([[1] * len(words), *bits], dtype=np.float64)
-
     @F.arrow_udf("array<struct<pos:bigint,word:string,score:double>>")
     def score(keys: pa.Array, rows: pa.Array, frozen: pa.Array) -> pa.Array:
         out = []
@@ -176,7 +171,7 @@ def removal_contributions(head: dict, n_samples: int = 50, kernel_width: float =
             if not ws:
                 out.append([])
                 continue
-            keep = kept(key, [w["word"] for w in ws])
+            keep = kept_words(key, [w["word"] for w in ws], n_samples)
             n = keep * np.array([w["n"] for w in ws], dtype=np.float64)
             left = n.sum(axis=1, keepdims=True)
             text = np.divide(n @ np.array([w["u"] for w in ws]), left, out=np.zeros((n_samples, len(w2))), where=left > 0)

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from credo.operators import attribution as at
 from credo.operators.attribution import merge_subwords, top_words
 from tests.conftest import rows
 
@@ -60,3 +61,27 @@ def test_perturbation_draws_samples_inside_the_row(spark):
     assert plan.count("Generate") == 1 and "explode(sequence" not in plan
     got = {(r["row_key"], r["rank"]): r["word"] for r in out.collect()}
     assert got == {("r", 1): "a", ("r", 2): "b", ("q", 1): "a"}
+
+
+def test_removal_runs_in_batches_and_keeps_its_scores(spark):
+    """Word removal as plain loops; no interpreted lambda per word and sample in the plan."""
+    import hashlib
+    import math
+
+    words = {"a": ["x", "y", "z", "y"], "b": ["x"], "c": ["u", "x"]}
+    coef = {"x": 0.5, "y": -1.25, "u": 30.0}
+    pos = spark.createDataFrame([(k, i + 1, w) for k, ws in words.items() for i, w in enumerate(ws)], "row_key string, pos bigint, word string")
+    base = spark.createDataFrame([("a", 0.1), ("b", -0.2), ("c", None)], "row_key string, base double")
+    out = at.perturbation_attribution(pos, base, spark.createDataFrame([*coef.items()], "word string, coef double"), n_samples=8)
+    assert "aggregate(" not in out._jdf.queryExecution().optimizedPlan().toString().replace("Aggregate", "")
+    found = {(r["row_key"], r["word"]): r["score"] for r in out.collect()}
+    for key, b in (("a", 0.1), ("b", -0.2), ("c", None)):
+        names = sorted(set(words[key]))
+        tries = []
+        for s in range(8):
+            keep = {w: s == 0 or hashlib.md5(f"{key}|{s}|{w}".encode()).digest()[0] & 1 == 1 for w in names}
+            logit = (b or 0.0) + sum(words[key].count(w) * coef.get(w, 0.0) for w in names if keep[w])
+            tries.append((keep, 1 / (1 + math.exp(-logit)), math.exp(-((1 - sum(keep.values()) / len(names)) ** 2) / 0.0625)))
+        for w in names:
+            mean = {k: (sum(p * t for q, p, t in tries if q[w] == k) / n if (n := sum(t for q, p, t in tries if q[w] == k)) else 0.0) for k in (True, False)}
+            assert found[key, w] == pytest.approx(0.0 if b is None else mean[True] - mean[False], abs=1e-12)

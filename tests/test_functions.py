@@ -76,3 +76,12 @@ def test_length_bucket(spark):
     df = spark.createDataFrame([(1.5,), (1.0,), (-1.0,), (-1.01,)], "z double")
     assert [r[0] for r in df.select(length_bucket("z")).collect()] == [
         "unusually long", "typical length", "typical length", "unusually short"]
+
+
+def test_strip_ws_is_pythons_strip_without_a_regular_expression(spark):
+    from credo.functions.text import strip_ws
+
+    texts = [None, "", "\t \x1c", *(f"{chr(i)}a{chr(i)} b{chr(i)}{chr(i)}" for i in range(0x3100) if not 0xD800 <= i < 0xE000)]
+    out = spark.createDataFrame([(t,) for t in texts], "t string").select("t", strip_ws("t").alias("s"))
+    assert "regexp" not in out._jdf.queryExecution().optimizedPlan().toString()
+    assert all(r["s"] == (None if r["t"] is None else r["t"].strip()) for r in out.collect())

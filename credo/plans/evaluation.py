@@ -12,6 +12,7 @@ from credo.operators.features import feature_table, trained_hot
 from credo.operators.lookups import lookup_stats
 from credo.operators.metrics import confusion_matrix, has_labels, metrics_report
 from credo.operators.modeling import batch_score, join_embeddings
+from credo.plans.chain import materialize
 from credo.sources.sinks import predictions
 
 
@@ -58,10 +59,12 @@ def evaluate(statements: DataFrame, artifacts: dict, split: str | None = None, c
         feats = feats.withColumn("statement", standardize_format("statement"))
     if mode == "embedding":
         feats = join_embeddings(feats, embeddings)
+    # read by the label check, the counts and the AUC, so written once
     scored = batch_score(artifacts["model"], feats, MODES[mode]).select("row_key", "y", "prob")
+    scored = materialize(statements.sparkSession, scored, "scored")
     t = float(artifacts["threshold"])
     out = {"scored": scored, "predictions": predictions(scored, t), "report": None, "confusion": None}
-    if has_labels(rows, "y").first()["has_labels"]:  # one row
+    if has_labels(scored, "y").first()["has_labels"]:  # one row
         known = scored.filter(F.col("y").isNotNull())
         out |= {"report": metrics_report(known, t), "confusion": confusion_matrix(known, t)}
     return out

@@ -30,6 +30,14 @@ def test_deduplicate_is_its_two_steps_in_one_shuffle(spark):
     assert sorted(map(tuple, got.collect()), key=key) == sorted(map(tuple, dedup_contradictory(dedup_exact(df)).collect()), key=key)
 
 
+def test_default_rate_moves_no_keys_of_lookups(spark):
+    narrow, full = Chain(spark, SF0001), Chain(spark, SF0001)
+    full.splitted()
+    assert narrow.default_cred().first() == full.default_cred().first()
+    assert "o_orderpriority" in plan_of(full.default_cred())
+    assert "o_orderpriority" not in plan_of(Chain(spark, SF0001).default_cred())
+
+
 def test_evaluation_scores_once(spark):
     from credo.plans.evaluation import evaluate
     from credo.sources.statements import normalize_statements

@@ -96,3 +96,17 @@ def test_words_of_an_order(spark, tmp_path):
     as_text = lambda xs: sorted(map(str, xs))
     assert as_text(out) == as_text(want)
     assert any(k.startswith("-") for k, _ in out)
+
+
+def test_evidence_code_is_short_enough_to_compile(spark):
+    """The JVM leaves methods of more than 8,000 bytes of code uncompiled."""
+    from credo.operators.explain import evidence_lines
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        out = evidence_lines(fx.f3(spark, SF0001), F.lit(0.4))
+        parts = out._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and max(sizes) < 8000

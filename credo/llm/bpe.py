@@ -25,6 +25,7 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -36,6 +37,8 @@ from credo.llm.common import give_back, held
 WORDS_KEPT, WORD_BYTES_KEPT = 600_000, 48
 #: States and pairs of tokens that a worker remembers before it starts anew.
 STATES_KEPT, PAIRS_KEPT = 80_000, 400_000
+#: Texts of an Arrow batch that are taken out of it together.
+TEXTS_AT_ONCE = 256
 
 
 class Merges:
@@ -322,6 +325,13 @@ def encoded(text: str | None, words: Words, split) -> bytes:
     return b"".join([words[m] for m in split.findall(text)]) if text else b""
 
 
+def encoded_batch(texts: pa.Array, words: Words, split) -> pa.Array:
+    """Ids of a batch of texts, of which only ``TEXTS_AT_ONCE`` are Python objects at a time."""
+    parts = [pa.array([encoded(t, words, split) for t in texts.slice(at, TEXTS_AT_ONCE).to_pylist()], pa.binary())
+             for at in range(0, len(texts), TEXTS_AT_ONCE)]
+    return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
+
+
 def decoded(ids: bytes | None, machine: Utf8Machine) -> str:
     return machine.decode(array("I", ids[:len(ids) // 4 * 4])) if ids else ""
 
@@ -334,11 +344,11 @@ def encode(text: Column, path: str, pattern: str, share: float = 1.0) -> Column:
     remembers (less memory, more work, the same ids).
     """
 
-    @F.pandas_udf("binary")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("binary")
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, split = held(("bpe encoder", path, share), lambda: encoder(path, share)), splitter(pattern)
         for batch in batches:
-            yield pd.Series([encoded(t, words, split) for t in batch], dtype=object)
+            yield encoded_batch(batch, words, split)
         give_back()
 
     return run(text)

@@ -97,3 +97,27 @@ def test_empty_tables(spark, tmp_path):
     path = write_documents(spark, tmp_path, empty=True)
     assert op3_byte_bpe(spark, path).count() == 0
     assert op8_token_counts(spark, path).count() == 0
+
+
+def test_a_batch_is_encoded_in_slices(library, monkeypatch):
+    """Few texts of an Arrow batch are Python objects at a time, so a worker's memory doesn't grow with the batch."""
+    import pyarrow as pa
+
+    class Batch:
+        def __init__(self, data):
+            self.data, self.taken = data, []
+
+        def __len__(self):
+            return len(self.data)
+
+        def slice(self, at, n):
+            self.taken.append(n)
+            return self.data.slice(at, n)
+
+    monkeypatch.setattr(bpe, "TEXTS_AT_ONCE", 7)
+    some = [None, "", *texts()[:60]]
+    batch = Batch(pa.array(some, pa.string()))
+    out = bpe.encoded_batch(batch, bpe.encoder(BPE_RANKS), bpe.splitter(P.PATTERN))
+    assert set(batch.taken) == {7} and len(batch.taken) == 9
+    assert [list(array("I", x)) for x in out.to_pylist()] == [library.encode_ordinary(t or "") for t in some]
+    assert len(bpe.encoded_batch(pa.array([], pa.string()), bpe.encoder(BPE_RANKS), bpe.splitter(P.PATTERN))) == 0

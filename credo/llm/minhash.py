@@ -13,7 +13,8 @@ are still long, their members get larger sketches (``LONG_K``; whole sets,
 mostly) with lists of their own, in which a class needs about a quarter of its
 values; two classes that share only a passage then rarely meet.
 
-Inside a list, pairs are not expanded: members are compared with a few
+Two classes that share a passage share all its lists; they meet only in those
+before which their next rarer entries differ.  Inside a list, pairs are not expanded: members are compared with a few
 leaders, first the one with the most common values, then a seeded choice that
 grows ``GROWTH``-fold each round, and only if they are not known to be
 connected yet.  Each pair of a list is thus either compared or in one
@@ -21,7 +22,10 @@ component, and a group of n copies costs about n comparisons.
 
 Pairs are left out if their sizes differ too much, or their parity bits do:
 each element of a set flips one of ``BITS`` bits, so the bits of two sets
-differ in at most as many places as the sets.  A comparison then estimates the
+differ in at most as many places as the sets.  In sets of some thousand
+shingles several differences fall on one bit; the number of bits that differ is then
+held against what is expected at 3/4, and members of long lists, where most pairs
+meet, have ``LONG_BITS``.  A comparison then estimates the
 similarity from the union of the two sketches; what passes is verified on the
 full sets.  Shingles are compared by
 64-bit hashes.
@@ -54,8 +58,10 @@ K, SHARED = 32, 12
 ESTIMATE_K, ESTIMATE_SHARED = 64, 31
 LONG, LONG_K, LONG_SHARED = 64, 512, 325
 GROWTH = 16
-#: Bits of a set's parity, a multiple of 64.
-BITS = 512
+#: Bits of a set's parity, a multiple of 64; more for members of long lists.
+BITS, LONG_BITS = 512, 2048
+#: Deviations by which the parities of similar sets may differ more than expected (a chance of about 1e-9).
+DEVIATIONS = 6
 #: Up to so many ids (16 MB) are broadcast to fetch their texts.
 IDS_BROADCAST = 1_000_000
 #: Words whose hash a worker remembers.
@@ -92,10 +98,10 @@ def shingles(words: list[bytes]) -> np.ndarray:
     return np.unique((x + np.uint64(size)).view(np.int64))
 
 
-def parity(found: np.ndarray) -> np.ndarray:
-    """Whether each of ``BITS`` residues occurs an odd number of times, as 64-bit integers."""
-    bits = np.bincount((found.view(np.uint64) % np.uint64(BITS)).astype(np.int64), minlength=BITS) & 1
-    return np.packbits(bits.astype(np.uint8)).view(np.int64)
+def parity(found: np.ndarray, bits: int = BITS) -> np.ndarray:
+    """Whether each of ``BITS`` residues occurs an odd number of times, as 64-bit integers; then the same for ``bits``, if more."""
+    odd = (np.bincount((found.view(np.uint64) % np.uint64(k)).astype(np.int64), minlength=k) & 1 for k in sorted({BITS, bits}))
+    return np.concatenate([np.packbits(x.astype(np.uint8)).view(np.int64) for x in odd])
 
 
 def normal_words(text: str | None) -> list[bytes]:
@@ -103,7 +109,7 @@ def normal_words(text: str | None) -> list[bytes]:
     return text.encode().lower().split() if text else []
 
 
-def sketches(docs: DataFrame, k: int) -> DataFrame:
+def sketches(docs: DataFrame, k: int, bits: int = BITS) -> DataFrame:
     """doc_id, same (equal for equal words; null for empty sets), n_shingles, sketch and odd of each row of ``docs``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -115,7 +121,7 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
                 same.append(xxhash.xxh128_hexdigest(b" ".join(words)) if words else None)
                 n.append(len(found))
                 sketch.append(found[:k])
-                odd.append(parity(found))
+                odd.append(parity(found, bits))
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(same, pa.string()), pa.array(n, pa.int64()),
                  pa.array(sketch, pa.list_(pa.int64())), pa.array(odd, pa.list_(pa.int64()))],
@@ -129,8 +135,8 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 def lists(classes: DataFrame, k: int, shared: int) -> DataFrame:
     """The inverted lists' entries of ``classes`` (node, n_shingles, sketch, odd).
 
-    value, node, n_shingles, odd, n (members of the list) and level (the round
-    in which the entry leads the list).
+    value, previous (the class's next rarer entry), node, n_shingles, odd, n
+    (members of the list) and level (the round in which the entry leads the list).
     """
     classes = classes.select("node", "n_shingles", "odd", F.slice("sketch", 1, k).alias("sketch"))
     rows = classes.select("node", F.explode("sketch").alias("value"))
@@ -142,24 +148,40 @@ def lists(classes: DataFrame, k: int, shared: int) -> DataFrame:
     room = size - need + 1 - (size - F.size("hits"))
     hub = F.aggregate("hits", F.lit(0).cast("long"), lambda s, h: s + F.least(h["df"], F.lit(1 << 20)))
     kept = hits.join(classes, "node").withColumns({"room": room.cast("int"), "hub": hub}).filter("room > 0")
-    kept = kept.select("node", "n_shingles", "odd", "hub", F.explode(F.slice("hits", 1, F.col("room"))).alias("h"))
-    entries = stored(kept.select("node", "n_shingles", "odd", "hub", "h.value"), "entries")
+    kept = kept.withColumn("hits", F.slice("hits", 1, F.col("room")))
+    own = F.transform("hits", lambda h, i: F.struct(h["value"].alias("value"), F.get("hits", i - 1)["value"].alias("previous")))
+    kept = kept.select("node", "n_shingles", "odd", "hub", F.inline(own))
+    entries = stored(kept, "entries")
     first = entries.groupBy("value").agg(F.max(F.struct("hub", "node")).alias("first"), F.count("*").alias("n")).filter("n > 1")
     first = first.select("value", "n", F.col("first.node").alias("leader"))
     draw = F.pmod(F.xxhash64("node"), F.lit(1 << 30)) / (1 << 30)
     level = F.greatest(F.lit(1), F.ceil(F.log(float(GROWTH), F.greatest(draw * F.col("n"), F.lit(1e-9)))))
     level = F.when(F.col("node") == F.col("leader"), 0).otherwise(level.cast("int"))
-    return entries.join(first, "value").select("value", "node", "n_shingles", "odd", "n", level.alias("level"))
+    return entries.join(first, "value").select("value", "previous", "node", "n_shingles", "odd", "n", level.alias("level"))
 
 
-def can_be_similar(n: Column, odd: Column, other_n: Column, other_odd: Column) -> Column:
-    """False only for pairs below 3/4, by sizes and parity bits.
+def can_be_similar(n: Column, odd: Column, other_n: Column, other_odd: Column, bits: int = BITS) -> Column:
+    """False only for pairs below 3/4, by sizes and parity bits (but for a chance of about 1e-9).
 
     Sets with a similarity of 3/4 differ in at most a seventh of the sum of
-    their sizes.
+    their sizes; so many differences leave each of k bits odd with a chance of
+    (1 - exp(-2 * differences / k)) / 2, and bits are odd less than
+    independently.  ``bits`` over ``BITS`` follow those in ``odd`` and are
+    looked at where the first don't decide.
     """
+    most = (n + other_n) / 7
+
+    def usual(k: int) -> Column:
+        even = F.exp(most * (-2 / k))
+        return F.least(most, (1 - even) * (k / 2) + F.sqrt(1 - even * even) * (DEVIATIONS * k ** 0.5 / 2))
+
     flipped = sum((F.bit_count(odd[i].bitwiseXOR(other_odd[i])) for i in range(BITS // 64)), F.lit(0))
-    return (F.least(n, other_n) * 4 >= F.greatest(n, other_n) * 3) & (flipped * 7 <= n + other_n)
+    out = (F.least(n, other_n) * 4 >= F.greatest(n, other_n) * 3) & (flipped <= usual(BITS))
+    if bits == BITS:
+        return out
+    more = (F.slice(x, BITS // 64 + 1, bits // 64) for x in (odd, other_odd))
+    flips = F.zip_with(*more, lambda x, y: F.bit_count(x.bitwiseXOR(y)))  # so many terms in a row would not be compiled
+    return out & (F.aggregate(flips, F.lit(0), lambda s, x: s + x) <= usual(bits))
 
 
 def may_be_similar(left: str, right: str, k: int, shared: int) -> Column:
@@ -200,10 +222,12 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 class Links:
-    """Links found so far, and labels of nodes known to be connected by them."""
+    """Labels of the nodes that the links found so far connect: the smallest node around."""
 
     def __init__(self, docs: DataFrame, first: DataFrame):
-        self.docs, self.found, self.labels, self.tested = docs, [first], None, None
+        self.docs, self.labels, self.tested = docs, None, None
+        if not first.isEmpty():
+            self.connect(first)
 
     def labelled(self, df: DataFrame, node: str, label: str) -> DataFrame:
         if self.labels is None:
@@ -211,8 +235,12 @@ class Links:
         known = self.labels.select(F.col("node").alias(node), F.col("component").alias(label))
         return df.join(known, node, "left").withColumn(label, F.coalesce(label, node))
 
-    def add(self, entries: DataFrame, sketch: DataFrame, k: int, shared: int) -> None:
-        """Find the links between the members of each list (value, node, n_shingles, odd, level)."""
+    def add(self, entries: DataFrame, sketch: DataFrame, k: int, shared: int, bits: int = BITS) -> None:
+        """Find the links between the members of each list (value, previous, node, n_shingles, odd, level).
+
+        Two members with the same ``previous`` meet in that list; if it is left
+        out as long, both are in the crowd.
+        """
         last = entries.agg(F.max("level")).first()[0]
         for level in range(0, (last if last is not None else -1) + 1):
             members = self.labelled(entries.filter(F.col("level") >= level), "node", "c")
@@ -221,9 +249,10 @@ class Links:
                 mixed = members.groupBy("value").agg(F.min("c").alias("low"), F.max("c").alias("high")).filter("low <> high")
                 members = members.join(mixed.select("value"), "value", "left_semi")
             lead = members.filter(F.col("level") == level).select(
-                "value", F.col("node").alias("leader"), F.col("c").alias("lc"), F.col("n_shingles").alias("ln"), F.col("odd").alias("lo"))
-            met = members.join(lead, "value").filter("c <> lc")
-            met = met.filter(can_be_similar(F.col("n_shingles"), F.col("odd"), F.col("ln"), F.col("lo")))
+                "value", F.col("node").alias("leader"), F.col("c").alias("lc"), F.col("n_shingles").alias("ln"), F.col("odd").alias("lo"),
+                F.col("previous").alias("lp"))
+            met = members.join(lead, "value").filter("c <> lc and coalesce(previous <> lp, true)")
+            met = met.filter(can_be_similar(F.col("n_shingles"), F.col("odd"), F.col("ln"), F.col("lo"), bits))
             pairs = met.select(F.least("node", "leader").alias("a"), F.greatest("node", "leader").alias("b")).distinct()
             if self.tested is not None:
                 pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
@@ -234,8 +263,8 @@ class Links:
                 continue
             self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
             new = stored(verified(pairs, self.docs).distinct(), "links")
-            self.found.append(new)
-            self.connect(new)
+            if not new.isEmpty():
+                self.connect(new)
 
     def connect(self, new: DataFrame) -> None:
         """Give connected nodes a common label: the smallest node around."""
@@ -249,12 +278,6 @@ class Links:
         new_nodes = merged.join(self.labels.select("node"), "node", "left_anti")
         self.labels = stored(both.unionByName(new_nodes.select("node", "component")), "labels")
 
-    def all(self) -> DataFrame:
-        out = self.found[0]
-        for more in self.found[1:]:
-            out = out.unionByName(more)
-        return out
-
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and same for each row of ``docs`` (doc_id, text).
@@ -276,17 +299,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     links.add(entries.filter(F.col("n") <= LONG), classes.select("node", "sketch"), ESTIMATE_K, ESTIMATE_SHARED)
     crowd = stored(entries.filter(F.col("n") > LONG).select("node").distinct(), "crowd")
     if not crowd.isEmpty():
-        large = sketches(texts_of(docs, crowd), LONG_K).withColumnRenamed("doc_id", "node")
+        large = sketches(texts_of(docs, crowd), LONG_K, LONG_BITS).withColumnRenamed("doc_id", "node")
         large = large.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n_shingles", "sketch", "odd")))
         large = stored(large, "crowd-sketches")
-        links.add(stored(lists(large, LONG_K, LONG_SHARED), "lists"), large, LONG_K, LONG_SHARED)
-    parts = stored(components(links.all()), "components")
+        links.add(stored(lists(large, LONG_K, LONG_SHARED), "lists"), large, LONG_K, LONG_SHARED, LONG_BITS)
     copies = classes.filter("last > node or rows > 1").select("same", "node")
     full = split_join(rows.select("doc_id", "same", "n_shingles", "row"), copies, ["same"])
-    full = full.withColumn("node", F.coalesce("node", "doc_id")).join(parts, "node", "left")
+    full = links.labelled(full.withColumn("node", F.coalesce("node", "doc_id")), "node", "component")
     nameless = every.filter("node is null").select("row", F.lit(True).alias("first"))
     full = full.join(nameless, "row", "left")
-    found = F.coalesce("component", "node")
+    found = F.col("component")
     kept = F.when(F.col("doc_id").isNotNull(), F.col("doc_id") == found).otherwise(F.col("same").isNull() | F.col("first").isNotNull())
     return full.select("doc_id", "n_shingles", found.alias("component_id"), kept.alias("kept"), "same")
 

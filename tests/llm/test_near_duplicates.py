@@ -127,6 +127,36 @@ def test_comparisons_grow_with_the_group(spark, monkeypatch):
     assert met[450] <= 5 * met[150], met
 
 
+def test_unlike_texts_with_one_passage_meet_once(spark, monkeypatch):
+    """A long passage makes many lists of the same members; their pairs are compared in the first, as a rule."""
+    passage = [f"p{i}" for i in range(60)]
+    rows = [(n, " ".join([f"a{n}x{i}" for i in range(20)] + passage + [f"b{n}x{i}" for i in range(20)])) for n in range(10)]
+    seen = spark.sparkContext.accumulator(0)
+    count = F.udf(lambda seen=seen: seen.add(1) or True, "boolean").asNondeterministic()
+    monkeypatch.setattr(minhash, "can_be_similar", lambda *a: count())
+    check(spark, rows)
+    assert 45 <= seen.value <= 200, seen.value
+
+
+def test_parity_parts_long_unlike_sets(spark):
+    """Sets of thousands of shingles: those below 3/4 are told apart, those at 3/4 pass."""
+    rng = np.random.default_rng(5)
+
+    def pair(common, own):
+        x = rng.integers(-2**63, 2**63 - 1, common + 2 * own)
+        both = (np.sort(np.concatenate((x[:common], y))) for y in (x[common:common + own], x[common + own:]))
+        return [v for found in both for v in (len(found), minhash.parity(found, minhash.LONG_BITS).tolist())]
+
+    def passing(common, own):
+        df = spark.createDataFrame([pair(common, own) for _ in range(40)], "n long, x array<long>, m long, y array<long>")
+        return df.filter(minhash.can_be_similar(F.col("n"), F.col("x"), F.col("m"), F.col("y"), minhash.LONG_BITS)).count()
+
+    for n in (100, 1000, 3000, 12000):
+        assert passing(6 * (n // 7), n // 7) == 40  # similarity 3/4
+    for n in (100, 1000, 3000):
+        assert passing(n // 10 * 7, n // 10 * 3) == 0  # 7/13
+
+
 def test_one_of_each_keeps_columns_and_one_row(spark):
     docs = with_extra(documents(spark))
     kept = minhash.one_of_each(docs)

@@ -147,3 +147,19 @@ def test_head_is_scored_in_batches_of_a_fixed_size(spark):
         want = np.maximum(np.array(HEAD["W1"]) @ np.array(r["fused"]) + HEAD["b1"], 0) @ np.array(HEAD["w2"]) + HEAD["b2"]
         assert r["logit"] == pytest.approx(want) and r["prob"] == pytest.approx(1 / (1 + np.exp(-want)))
     assert head_score(df.limit(0), HEAD).count() == 0
+
+
+def test_texts_are_dealt_over_bounded_tasks(spark, monkeypatch):
+    """Tasks follow the characters of the texts, and a statement's words are counted where they are."""
+    from credo.plans import chain
+
+    monkeypatch.setattr(chain, "TASK_CHARS", 10)
+    df = statements(spark)
+    dealt = chain.materialize_dealt(spark, df, "dealt", "statement")
+    chars = sum(len(t or "") for t in TEXTS)
+    assert dealt.rdd.getNumPartitions() == chars // 10 + 1
+    assert sorted(map(str, dealt.collect())) == sorted(map(str, df.collect()))
+    counts = word_positions(dealt).groupBy("row_key", "word").count()
+    assert counts._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+    empty = chain.materialize_dealt(spark, df.filter("false"), "dealt", "statement")
+    assert empty.count() == 0 and empty.rdd.getNumPartitions() == 1

@@ -5,12 +5,14 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from credo.llm import repeats
+from credo.llm.common import slices
 from credo.llm.queries import op11_repeats
 from tests.llm.cases import documents, with_extra, write_documents
 
@@ -146,3 +148,43 @@ def test_cut_covers_each_window_once(off, start, count, step):
     row, first, last, number = repeats.cut(np.array([off]), np.array([start]), np.array([count]), step)
     assert sorted(p for a, b in zip(first, last) for p in range(a, b + 1)) == list(range(start, start + count))
     assert all((off - p) // step == n for a, b, n in zip(first, last, number) for p in range(a, b + 1))
+
+
+class Rows:
+    """Stands for a DataFrame; gives what mapInArrow would run in a task."""
+
+    def select(self, *columns):
+        return self
+
+    def mapInArrow(self, run, schema):
+        return run
+
+
+def test_a_batch_is_named_in_slices(monkeypatch):
+    """Names take eight times the bytes, so a batch's stretches aren't all named at once."""
+    r = random.Random(3)
+    data = [bytes(r.choices(b"abcd", k=r.randrange(463, 900))) for _ in range(3000)]
+    parts = [[{"start": 0, "windows": min(64, len(d) - 399), "copies": 1}] for d in data]
+    kind = pa.list_(pa.struct([("start", pa.int32()), ("windows", pa.int32()), ("copies", pa.int32())]))
+    batch = pa.RecordBatch.from_arrays(
+        [pa.array([d[:16] for d in data]), pa.array(range(len(data)), pa.int64()), pa.array([63] * len(data), pa.int32()), pa.array(data), pa.array(parts, kind)],
+        names=["text_key", "at", "off", "data", "parts"])
+    named, plain = [], repeats.names
+    monkeypatch.setattr(repeats, "names", lambda x, lengths: named.append(len(x)) or plain(x, lengths))
+    run = repeats.finer_stretches(Rows(), 8, 400)
+    done = pa.Table.from_batches(run(iter([batch.slice(0, 0), batch])))
+    assert sum(named) == sum(map(len, data)) and max(named) <= 1 << 18
+    alone = pa.Table.from_batches([x for i in range(0, 3000, 250) for x in run(iter([batch.slice(i, 1)]))])
+    places = [x % 250 == 0 for x in done["at"].to_pylist()]
+    assert done.filter(pa.array(places)).to_pylist() == alone.to_pylist()
+
+
+def test_kept_bytes_leave_in_slices(spark):
+    """Values that are longer than a slice, null windows and many small ones keep their rows."""
+    texts = ["x" * n for n in (0, 5, 400_000, 7, 300_000, 300_000, 9)] + [f"text {i}" for i in range(50)]
+    assert list(slices(pa.array(texts, pa.string()).slice(1), 1 << 18)) == [(0, 1), (1, 2), (2, 3), (3, 4), (4, 5), (5, 56)]
+    assert list(slices(pa.array([None, b"ab", None], pa.binary()), 1)) == [(0, 1), (1, 2), (2, 3)] and not list(slices(pa.array([], pa.string()), 1))
+    docs = spark.createDataFrame([(i, t, [(0, 3), (6, 1)] if len(t) > 6 else None) for i, t in enumerate(texts)], "i long, t string, w array<struct<at:bigint,windows:bigint>>")
+    out = docs.coalesce(1).select("i", repeats.without(F.col("t"), F.col("w"), 2).alias("unique")).orderBy("i").collect()
+    expected = [t[4:6] + t[8:] if len(t) > 6 else t for t in texts]
+    assert [bytes(r["unique"]["kept"]).decode() for r in out] == expected

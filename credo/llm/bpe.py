@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from credo.llm.common import give_back, held
+from credo.llm.common import give_back, held, slices
 
 #: Words whose encoding a worker remembers; longer words and further ones are
 #: encoded again each time they occur.
@@ -39,6 +39,8 @@ WORDS_KEPT, WORD_BYTES_KEPT = 600_000, 48
 STATES_KEPT, PAIRS_KEPT = 80_000, 400_000
 #: Texts of an Arrow batch that are taken out of it together.
 TEXTS_AT_ONCE = 256
+#: Bytes of texts whose ids leave the worker together; longer texts alone.
+BYTES_AT_ONCE = 1 << 20
 
 
 class Merges:
@@ -332,6 +334,12 @@ def encoded_batch(texts: pa.Array, words: Words, split) -> pa.Array:
     return pa.concat_arrays(parts) if parts else pa.array([], pa.binary())
 
 
+def encoded_slices(texts: pa.Array, words: Words, split) -> Iterator[pa.Array]:
+    """Ids of a batch of texts, handed on after ``BYTES_AT_ONCE`` bytes of text."""
+    for low, high in slices(texts, BYTES_AT_ONCE):
+        yield encoded_batch(texts.slice(low, high - low), words, split)
+
+
 def decoded(ids: bytes | None, machine: Utf8Machine) -> str:
     return machine.decode(array("I", ids[:len(ids) // 4 * 4])) if ids else ""
 
@@ -348,7 +356,7 @@ def encode(text: Column, path: str, pattern: str, share: float = 1.0) -> Column:
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         words, split = held(("bpe encoder", path, share), lambda: encoder(path, share)), splitter(pattern)
         for batch in batches:
-            yield encoded_batch(batch, words, split)
+            yield from encoded_slices(batch, words, split)
         give_back()
 
     return run(text)

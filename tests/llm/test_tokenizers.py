@@ -121,3 +121,19 @@ def test_a_batch_is_encoded_in_slices(library, monkeypatch):
     assert set(batch.taken) == {7} and len(batch.taken) == 9
     assert [list(array("I", x)) for x in out.to_pylist()] == [library.encode_ordinary(t or "") for t in some]
     assert len(bpe.encoded_batch(pa.array([], pa.string()), bpe.encoder(BPE_RANKS), bpe.splitter(P.PATTERN))) == 0
+
+
+def test_ids_leave_in_slices(library):
+    """A worker doesn't hold the ids of a whole Arrow batch."""
+    import pyarrow as pa
+
+    some = [None, "", *texts()[:40], "word and word " * 90_000, *(["some words of a text " * 100] * 1500)]
+    out = list(bpe.encoded_slices(pa.array(some, pa.string()), bpe.encoder(BPE_RANKS), bpe.splitter(P.PATTERN)))
+    at = 0
+    for part in out:
+        assert len(part) == 1 or sum(len((t or "").encode()) for t in some[at:at + len(part)]) <= 1 << 20
+        at += len(part)
+    assert at == len(some) and len(out) == 6
+    wanted = {t: library.encode_ordinary(t or "") for t in set(some)}
+    assert [list(array("I", x)) for part in out for x in part.to_pylist()] == [wanted[t] for t in some]
+    assert not list(bpe.encoded_slices(pa.array([], pa.string()), bpe.encoder(BPE_RANKS), bpe.splitter(P.PATTERN)))

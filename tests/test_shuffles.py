@@ -110,3 +110,35 @@ def test_evidence_code_is_short_enough_to_compile(spark):
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert sizes and max(sizes) < 8000
+
+
+@pytest.mark.parametrize("name", ["explanation_prompt", "score_requests"])
+def test_explanation_code_is_short_enough_to_compile(spark, name):
+    from credo.plans.scoring import score_requests
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        if name == "score_requests":
+            out = score_requests(fx.f2(spark, SF0001), catalog._given_artifacts(spark, SF0001)[1])
+        else:
+            out = catalog.explanation_prompt(spark, SF0001)
+        parts = out._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [parts.apply(i)._3().maxMethodCodeSize() for i in range(parts.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and max(sizes) < 8000
+
+
+def test_evidence_lines_of_odd_rows(spark):
+    """Ranks that several features share (NULL attributions) and rows with few kept features: as ``evidence_lines`` has them."""
+    from credo.operators.explain import evidence_lines, with_evidence
+
+    rng = random.Random(3)
+    number = lambda: rng.choice([None, 0.0, 0.5, -0.5, 0.325, 2.675, rng.random(), -rng.random()])
+    names = ["cs_val", "spk_cred", "afl_cred", "ctx_cred", "len_norm", "a_cs_ratio", "a_speaker_cred", "a_affil_cred", "a_ctx_cred", "a_len_norm"]
+    data = [(f"r{i}", rng.choice([None, True, False]), *(number() for _ in names)) for i in range(300)]
+    df = spark.createDataFrame(data, f"row_key string, cs_known boolean, {', '.join(f'{n} double' for n in names)}")
+    want = {(r["row_key"], r["rank"]): (r["feature"], r["score"], r["line"]) for r in evidence_lines(df, 0.4).collect()}
+    got = {(r["row_key"], k): (r[f"ev{k}_feature"], r[f"ev{k}_score"], r[f"ev{k}_line"])
+           for r in with_evidence(df, 0.4).collect() for k in (1, 2, 3) if r[f"ev{k}_feature"] is not None}
+    assert got == want

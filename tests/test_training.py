@@ -189,3 +189,21 @@ def test_vocabulary_stays_out_of_metadata_and_empty_terms_out_of_the_fit(spark):
     assert last.coefficients.size == 5 + (1 << 12) and set(np.nonzero(last.coefficients.toArray())[0]) <= set(columns.tolist())
     plain = {r["row_key"]: r["p"] for r in m.transform(mo.with_text(rows, True)).select("row_key", mo.vector_to_array("probability")[1].alias("p")).collect()}
     assert all(abs(r["prob"] - plain[r["row_key"]]) < 1e-12 for r in mo.batch_score(m, rows).collect())
+
+
+def test_arrivals_are_written_by_all_tasks_and_read_in_four_batches(spark, tmp_path, monkeypatch):
+    """Quarters of a table of several files: none goes through one task, and each run of the stream has two micro-batches."""
+    import shutil
+
+    from credo.plans import catalog
+    from credo.streaming import score_stream as st
+
+    for t in ("orders", "supplier", "nation"):
+        shutil.copyfile(f"{SF0001}/{t}.parquet", tmp_path / f"{t}.parquet")
+    spark.read.parquet(f"{SF0001}/lineitem.parquet").repartition(3).write.parquet(str(tmp_path / "lineitem.parquet"))
+    runs, start = [], st.start
+    monkeypatch.setattr(st, "start", lambda *a, **k: runs.append(start(*a, **k)) or runs[-1])
+    out = catalog.score_stream(spark, str(tmp_path))
+    assert [sum(p["numInputRows"] > 0 for p in r.recentProgress) for r in runs] == [2, 2]
+    want = catalog.score_stream(spark, SF0001)
+    assert out.exceptAll(want).isEmpty() and want.exceptAll(out).isEmpty()

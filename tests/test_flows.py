@@ -122,6 +122,29 @@ def test_term_index_is_that_of_hashing_tf(spark):
         assert term_index(word, 1 << 16) == tf.indexOf(word)
 
 
+def test_terms_and_scores_of_many_words(spark):
+    """A batch's words are hashed at once; the first of a list's words with one term has its weight."""
+    import numpy as np
+    import pyarrow as pa
+
+    from credo.operators import modeling as mo
+
+    words = ["", "a", "ab", "abc", "abcd", "abcde", "é", "汉字", "the quick", "x" * 99, "x" * 100, "\U0001f600", *map(str, range(500))]
+    for size in (1 << 16, 1000):
+        assert mo.term_indices(pa.array(["skipped", *words])[1:], size).tolist() == [mo.term_index(w, size) for w in words]
+    weights = np.arange(1.0, 8.0)
+    lists = [None, [], ["a"], ["a", "b", "c", "d", "e", "f", "g", "h"], ["h", "a"], None]
+    want = []
+    for row in lists:
+        seen = set()
+        terms = [mo.term_index(w, 7) for w in row or []]
+        want.append([0.0 if t in seen or seen.add(t) else weights[t] for t in terms])
+    assert mo.scores_of(pa.array([["z"], *lists], pa.list_(pa.string()))[1:], weights).to_pylist() == want
+    none = mo.word_scores(spark, mo.linear_model(spark, dict.fromkeys(mo.NUMERIC, 1.0), 0.0))
+    got = spark.createDataFrame([(x,) for x in lists], "w array<string>").select(none(F.col("w")).alias("s")).collect()
+    assert [r["s"] for r in got] == [[0.0] * len(x or []) for x in lists]
+
+
 def test_evaluate_with_some_or_no_labels(spark, trained):
     from credo.plans.evaluation import evaluate
 

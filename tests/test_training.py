@@ -207,3 +207,14 @@ def test_arrivals_are_written_by_all_tasks_and_read_in_four_batches(spark, tmp_p
     assert [sum(p["numInputRows"] > 0 for p in r.recentProgress) for r in runs] == [2, 2]
     want = catalog.score_stream(spark, SF0001)
     assert out.exceptAll(want).isEmpty() and want.exceptAll(out).isEmpty()
+
+
+def test_features_are_joined_once_for_fits_choice_and_sweep(spark, monkeypatch):
+    from tests.test_plan_shapes import plan_of
+
+    seen, select = [], mo.select_by_validation
+    monkeypatch.setattr(mo, "select_by_validation", lambda tr, va, *a: seen.extend((tr, va)) or select(tr, va, *a))
+    train(spark, normalize_statements(fx.f2(spark, SF0001)), regs=(0.01,), num_features=256, max_iter=3)
+    for rows_ in seen:
+        assert "words" in rows_.columns and rows_.count() > 0
+        assert "Join" not in plan_of(rows_) and "regexp" not in plan_of(rows_)

@@ -218,3 +218,14 @@ def test_features_are_joined_once_for_fits_choice_and_sweep(spark, monkeypatch):
     for rows_ in seen:
         assert "words" in rows_.columns and rows_.count() > 0
         assert "Join" not in plan_of(rows_) and "regexp" not in plan_of(rows_)
+
+
+def test_weights_reach_the_words_without_rows_on_the_driver(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    words = spark.createDataFrame([("b", 2, 1), ("a", 5, 0), ("c", 1, 2)], "word string, n long, id long")
+    model = SimpleNamespace(coefficients=SimpleNamespace(toArray=lambda: np.array([9.0] * 5 + [0.5, -1.5, 2.5])))
+    monkeypatch.setattr(type(spark), "createDataFrame", None)
+    got = di.weights_of(model, words)
+    assert got.columns == ["word", "n", "id", "weight"]
+    assert sorted(map(tuple, got.collect())) == [("a", 5, 0, 0.5), ("b", 2, 1, -1.5), ("c", 1, 2, 2.5)]
